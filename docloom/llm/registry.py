@@ -1,7 +1,7 @@
 """The queries of this folder and their SQL."""
 
-from . import licenses, mixing, simhash, url_rules
+from . import decontaminate, licenses, mixing, simhash, substrings, url_rules
 
-_MODULES = (licenses, mixing, simhash, url_rules)
+_MODULES = (decontaminate, licenses, mixing, simhash, substrings, url_rules)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: q for m in _MODULES for k, q in m.ORACLES.items()}
