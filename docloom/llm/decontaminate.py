@@ -148,6 +148,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     return best.select("doc_id", "item_id", "x.*", F.when(F.col("x.changed") == 0, "exact").otherwise("reparameterised").alias("kind"))
 
 
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """The rows of docs that share no template window with the benchmark; rows without an id stay."""
+    leaks = materialize(find_leaks(docs, benchmark, id_col, **options).where("doc_id is not null").select(F.col("doc_id").alias(id_col)).distinct())
+    return docs.join(leaks, id_col, "left_anti").select(docs.columns)
+
+
 def op8_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 

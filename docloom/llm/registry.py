@@ -1,7 +1,7 @@
 """The queries of this folder and their SQL."""
 
-from . import decontaminate, licenses, mixing, simhash, substrings, url_rules
+from . import ann, decontaminate, langid, licenses, mixing, simhash, substrings, surrogates, url_rules, wrappers
 
-_MODULES = (decontaminate, licenses, mixing, simhash, substrings, url_rules)
+_MODULES = (ann, substrings, wrappers, licenses, surrogates, mixing, url_rules, decontaminate, langid, simhash)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: q for m in _MODULES for k, q in m.ORACLES.items()}

@@ -145,6 +145,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(ids, "fp", "left").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = 4) -> DataFrame:
+    """The rows of docs without near copies: of each group the smallest id stays, once. Rows without an id stay."""
+    found = materialize(near_duplicates(docs, id_col, text_col, shingle, max_bits))
+    kept = materialize(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")))
+    named = docs.join(kept.select(F.col("doc_id").alias(id_col)), id_col, "left_semi")
+    if not kept.where("n > 1").isEmpty():
+        named = named.dropDuplicates([id_col])
+    return named.union(docs.where(F.col(id_col).isNull())).select(docs.columns)
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 

@@ -173,11 +173,12 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     # exact copies first: of each text only the smallest doc_id goes through the graph
     firsts = materialize(docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).groupBy(F.sha2(F.col(text_col), 256).alias("sha")).agg(F.min(F.col(id_col).cast("long")).alias("doc_id")).select("doc_id"))
     firsts = firsts.distinct()
-    once = texts.join(firsts, "doc_id", "left_semi")
-    found = once.mapInArrow(_anchors(k, anchor), "doc_id long, anchor long").distinct().repartition(n, "anchor")
+    # inner joins on unique keys below: a semi join would be pushed under the shuffles, which then could not be shared
+    once = texts.join(firsts, "doc_id")
+    found = once.mapInArrow(_anchors(k, anchor), "doc_id long, anchor long").where("doc_id is not null and anchor is not null").repartition(n, "anchor")
     several = found.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor")
-    shared = found.join(several, "anchor", "left_semi").groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"))
-    edges = once.join(shared, "doc_id").mapInArrow(_edges(k, anchor), "doc_id long, pos int, edge long").repartition(n, "edge")
+    shared = found.join(several, "anchor").groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"))
+    edges = once.join(shared, "doc_id").mapInArrow(_edges(k, anchor), "doc_id long, pos int, edge long").where("doc_id is not null and edge is not null").repartition(n, "edge")
     source = edges.groupBy("edge").agg(F.min(F.struct("doc_id", "pos")).alias("src"), F.max("doc_id").alias("last")).where("src.doc_id < last").select("edge", F.col("src.doc_id").alias("src_doc"), F.col("src.pos").alias("src_pos"))
     again = edges.join(source, "edge").where("doc_id > src_doc").select("doc_id", "pos", "src_doc", "src_pos").distinct()
     w = Window.partitionBy("doc_id").orderBy("pos", "src_doc", "src_pos")
@@ -190,7 +191,8 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     joined = texts.join(proven, "doc_id", "left").join(firsts.withColumn("own", F.lit(True)), "doc_id", "left")
     joined = joined.select("doc_id", "text", "spans", (F.col("text").isNotNull() & F.col("own").isNull()).alias("copied"))
     nameless = given.where("doc_id is null").select("doc_id", "text", F.lit(None).cast(joined.schema["spans"].dataType).alias("spans"), F.lit(False).alias("copied"))
-    return joined.union(nameless).mapInArrow(_remove(k), "doc_id long, n_words long, n_removed long, kept string")
+    schema = "doc_id long, n_words long, n_removed long, kept string"
+    return joined.mapInArrow(_remove(k), schema).union(nameless.mapInArrow(_remove(k), schema))
 
 
 def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

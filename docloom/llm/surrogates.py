@@ -1,0 +1,191 @@
+"""Personal data replaced by surrogates, in DataFrame functions only.
+
+Entities are found by one expression. Each is made of atoms (a given name, a surname, a whole address or number); an
+atom's surrogate follows from a secret key, its kind and its value alone, so the same person keeps one surrogate in all
+documents, and it has the atom's gender, script and format. Over the distinct atoms, surrogates that meet each other
+or a real value are found by grouping, and those atoms try again until all are distinct.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .common import materialize, table
+
+KEY = "docloom-demo-key"
+#: Titles by gender, given names that mark a person without a title, and syllables for new names. Fixed values.
+FEMALE_TITLES = ["Mrs", "Ms", "Miss", "Frau", "Mme", "Mlle", "Sra", "Srta", "Doña", "Señora", "г-жа", "госпожа"]
+MALE_TITLES = ["Mr", "Herr", "M", "Sr", "Don", "Señor", "г-н", "господин"]
+OTHER_TITLES = ["Dr", "Prof"]
+FEMALE_NAMES = ["Mary", "Anna", "Maria", "Emma", "Laura", "Sarah", "Julia", "Sophie", "Claire", "Elena", "Carmen", "Lucia", "Ingrid", "Monika", "Jane", "Linda", "Susan", "Alice", "Marie", "Ana", "Анна", "Мария", "Елена", "Ольга"]
+MALE_NAMES = ["John", "James", "Peter", "Paul", "Michael", "Thomas", "David", "Robert", "William", "Pierre", "Jean", "Luis", "Carlos", "Jose", "Hans", "Karl", "Stefan", "Juan", "Bob", "Richard", "Иван", "Пётр", "Сергей", "Борис"]
+LATIN = ["ba", "be", "bo", "da", "de", "do", "fa", "fe", "ga", "go", "ka", "ke", "la", "le", "li", "lo", "ma", "me", "mi", "mo", "na", "ne", "ni", "no", "ra", "re", "ri", "ro", "sa", "se", "ta", "ve"]
+CYRILLIC = ["ба", "бе", "бо", "ва", "ве", "да", "де", "до", "за", "зе", "ка", "ке", "ла", "ле", "ли", "ло", "ма", "ме", "ми", "мо", "на", "не", "ни", "но", "ра", "ре", "ри", "ро", "са", "се", "та", "те"]
+_CYRILLIC_LOW, _CYRILLIC_UP = "абвгдежзиклмнопрстуфхцчшэюя", "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ"
+
+_EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+"
+_OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+_IP = rf"(?<![\w.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\w|\.\d)"
+_SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
+_IBAN = r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"
+_PHONE = r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3,4}[ .-]\d{3,4}(?:[ .-]\d{2,4})?(?!\w)"
+_CARD = r"(?<![\w-])\d(?:[ -]?\d){12,18}(?!\w)"
+_SECRET = r"(?<!\p{L})(?i:passwo?r?d|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9+/_-]{8,}"
+_WORD = r"\p{Lu}\p{Ll}+"
+
+
+def _any(words: list[str]) -> str:
+    return "(?:" + "|".join(words) + ")"
+
+
+_TITLE = _any(FEMALE_TITLES + MALE_TITLES + OTHER_TITLES)
+_NAME = rf"(?<!\p{{L}})(?:{_TITLE}\.? {_WORD}(?:[ -]{_WORD}){{0,2}}|{_any(FEMALE_NAMES + MALE_NAMES)} {_WORD}(?!\p{{L}}))"
+PATTERN = "|".join([_EMAIL, _SECRET, _IP, _SSN, _CARD, _PHONE, _IBAN, _NAME])
+#: What any entity has; texts without it are not searched.
+_MAY = rf"[@0-9]|(?:{_TITLE}\.?|{_any(FEMALE_NAMES + MALE_NAMES)}) \p{{Lu}}|[=:]\s{{0,3}}[\"']?[A-Za-z0-9+/_-]{{8}}"
+
+
+def kind_of(e: Column) -> Column:
+    digits = F.length(F.regexp_replace(e, r"\D", ""))
+    return (
+        F.when(e.rlike(rf"^{_SECRET}$"), "secret").when(F.contains(e, F.lit("@")), "email").when(e.rlike(rf"^{_IP}$"), "ip").when(e.rlike(rf"^{_SSN}$"), "ssn")
+        .when(e.rlike(r"^[A-Z]{2}\d{2}[ A-Z0-9]+$"), "iban").when(e.rlike(r"^\p{L}"), "name").when(e.rlike(r"^[\d -]+$") & (digits >= 13), "card").otherwise("phone")
+    )
+
+
+def _title(e: Column) -> Column:
+    return F.regexp_extract(e, rf"^{_TITLE}\.? (?=\p{{Lu}})", 0)
+
+
+def _gender(e: Column) -> Column:
+    return F.when(e.rlike(rf"^(?:{_any(FEMALE_TITLES)}\.?|{_any(FEMALE_NAMES)}) |^{_any(OTHER_TITLES)}\.? {_any(FEMALE_NAMES)} "), "f").when(e.rlike(rf"^(?:{_any(MALE_TITLES)}\.?|{_any(MALE_NAMES)}) |^{_any(OTHER_TITLES)}\.? {_any(MALE_NAMES)} "), "m").otherwise("n")
+
+
+def atoms(e: Column) -> Column:
+    """Array of (kind, value): the last word of a name is a surname, those before are given names."""
+    words = F.regexp_extract_all(F.substring(e, F.length(_title(e)) + 1, F.length(e)), F.lit(_WORD), F.lit(0))
+    gender = _gender(e)
+    named = F.transform(words, lambda w, i: F.struct(F.when(i == F.size(words) - 1, F.concat(F.lit("surname-"), gender)).otherwise(F.concat(F.lit("given-"), gender)).alias("kind"), w.alias("value")))
+    whole = F.array(F.struct(kind_of(e).alias("kind"), e.alias("value")))
+    return F.when(kind_of(e) == "name", named).otherwise(whole)
+
+
+def _draw(seed: Column, i: Column, n: int) -> Column:
+    return F.pmod(F.xxhash64(seed, i), F.lit(n)).cast("int")
+
+
+def _pick(letters: str, seed: Column, i: Column) -> Column:
+    return F.substring(F.lit(letters), _draw(seed, i, len(letters)) + 1, F.lit(1))
+
+
+def _like(s: Column, seed: Column, hexadecimal: bool = False) -> Column:
+    """Every character becomes another of its class; what is no letter or digit stays."""
+
+    def change(c, i):
+        if hexadecimal:
+            return F.when(c.rlike("[0-9a-f]"), _pick("0123456789abcdef", seed, i)).otherwise(c)
+        return (
+            F.when(c.rlike("[0-9]"), _pick("0123456789", seed, i)).when(c.rlike(r"\p{IsCyrillic}") & c.rlike(r"\p{Lu}"), _pick(_CYRILLIC_UP, seed, i)).when(c.rlike(r"\p{IsCyrillic}"), _pick(_CYRILLIC_LOW, seed, i))
+            .when(c.rlike(r"\p{Lu}"), _pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ", seed, i)).when(c.rlike(r"\p{L}"), _pick("abcdefghijklmnopqrstuvwxyz", seed, i)).otherwise(c)
+        )
+
+    return F.array_join(F.transform(F.split(s, ""), change), "")
+
+
+def _new_name(kind: Column, value: Column, seed: Column) -> Column:
+    def build(syllables, ends):
+        listed = F.array(*map(F.lit, syllables))
+        stem = F.concat(*(F.element_at(listed, _draw(seed, F.lit(i), len(syllables)) + 1) for i in range(4)))
+        return F.initcap(F.concat(stem, ends))
+
+    given = F.startswith(kind, F.lit("given"))
+    female, male = F.endswith(kind, F.lit("-f")), F.endswith(kind, F.lit("-m"))
+    latin = build(LATIN, F.when(given & female, "na").when(given & male, "n").when(given, "s").otherwise("ck"))
+    cyrillic = build(CYRILLIC, F.when(given & female, "на").when(given, "н").when(female, "нова").otherwise("нов"))
+    return F.when(value.rlike(r"\p{IsCyrillic}"), cyrillic).otherwise(latin)
+
+
+def surrogate(kind: Column, value: Column, attempt: Column, key: str = KEY) -> Column:
+    """The replacement of an atom; a later attempt gives another, from the tenth on with more characters."""
+    # names of either gender are told apart by value alone, so a surname has one stem for a family
+    seed = F.sha2(F.concat_ws("|", F.lit(key), F.regexp_replace(kind, "-.$", ""), value, attempt.cast("string")), 256)
+    domain = F.substring_index(value, "@", -1)
+    domain_seed = F.sha2(F.concat_ws("|", F.lit(key), F.lit("domain"), domain), 256)
+    top = F.concat(F.lit("."), F.substring_index(domain, ".", -1))
+    email = F.concat(_like(F.substring_index(value, "@", 1), seed), F.lit("@"), _like(F.substring(domain, F.lit(1), F.length(domain) - F.length(top)), domain_seed), top)
+    ip = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (_draw(seed, i, 254) + 1).cast("string")), ".")
+    lead = F.regexp_extract(value, r"^\+\d{1,3}", 0)
+    phone = F.concat(lead, _like(F.substring(value, F.length(lead) + 1, F.length(value)), seed))
+    new = F.concat(F.substring(value, 1, 1), _like(F.substring(value, F.lit(2), F.length(value)), seed))
+    body = F.substring(new, F.lit(1), F.length(new) - 1)
+    checked = F.element_at(F.filter(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda d: F.concat(body, d.cast("string"))), lambda x: F.call_function("luhn_check", F.regexp_replace(x, r"\D", ""))), 1)
+    card = F.when(F.call_function("luhn_check", F.regexp_replace(value, r"\D", "")), checked).otherwise(new)
+    before = F.regexp_extract(value, r"^([^=:]*[=:]\s*[\"']?)", 1)
+    secret_value = F.substring(value, F.length(before) + 1, F.length(value))
+    secret = F.concat(before, F.when(secret_value.rlike("^[0-9a-f]+$"), _like(secret_value, seed, True)).otherwise(_like(secret_value, seed)))
+    iban = F.concat(F.substring(value, 1, 2), _like(F.substring(value, F.lit(3), F.length(value)), seed))
+    out = F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "phone", phone).when(kind == "ssn", _like(value, seed)).when(kind == "card", card).when(kind == "secret", secret).when(kind == "iban", iban).otherwise(_new_name(kind, value, seed))
+    more = F.when(attempt >= 10, F.substring(F.translate(seed, "0123456789abcdef", "0123456789012345"), F.lit(1), (attempt - 9).cast("int"))).otherwise("")
+    return F.concat(out, more)
+
+
+def entities(text: Column) -> Column:
+    return F.when(text.rlike(_MAY), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
+
+
+def retries(found: DataFrame, key: str = KEY, most: int = 40) -> DataFrame | None:
+    """found (kind, value), distinct atoms: those that need a later attempt, as (kind, value, attempt); None if none."""
+    cur = found.withColumn("attempt", F.lit(0))
+    for _ in range(most):
+        made = cur.withColumn("made", surrogate(F.col("kind"), F.col("value"), F.col("attempt"), key)).withColumn("space", F.regexp_replace("kind", "-.$", ""))
+        met = made.groupBy("space", "made").agg(F.countDistinct("value").alias("n"), F.min("value").alias("keeps"))
+        real = found.select(F.regexp_replace("kind", "-.$", "").alias("space"), F.col("value").alias("made"), F.lit(True).alias("real")).distinct()
+        judged = made.join(met.where("n > 1"), ["space", "made"], "left").join(real, ["space", "made"], "left")
+        again = F.coalesce(F.col("real"), F.lit(False)) | (F.coalesce("n", F.lit(1)) > 1) & (F.col("value") != F.col("keeps"))
+        nxt = materialize(judged.select("kind", "value", (F.col("attempt") + F.when(again, 1).otherwise(0)).alias("attempt"), again.alias("again")))
+        if nxt.where("again").isEmpty():
+            late = nxt.where("attempt > 0").select("kind", "value", "attempt")
+            return None if late.isEmpty() else late
+        cur = nxt.drop("again")
+    raise RuntimeError("surrogates stay alike")
+
+
+def replace_entities(docs: DataFrame, text_col: str = "text", key: str = KEY) -> DataFrame:
+    """docs with the text's entities replaced, and n_entities long; all other columns stay as they are.
+
+    Null and empty texts stay, with 0 entities; repeated rows and copies get the same surrogates; an empty table gives
+    an empty result. A column n_entities of the input is replaced.
+    """
+    text = F.col(text_col)
+    found = materialize(docs.select(F.explode(entities(text)).alias("e")).distinct().select(F.explode(atoms(F.col("e"))).alias("a")).select("a.kind", "a.value").distinct())
+    late = retries(found, key)
+    work = docs.withColumn("__found", F.coalesce(entities(text), F.array().cast("array<string>")))
+    if late is None:
+        attempt = lambda a: F.lit(0)
+    else:  # only texts with such an atom are looked up, by their content
+        hit = work.where(F.size("__found") > 0).select(F.sha2(text, 256).alias("__sha"), F.explode("__found").alias("e")).distinct().select("__sha", F.explode(atoms(F.col("e"))).alias("a")).select("__sha", "a.kind", "a.value").distinct()
+        tries = hit.join(late, ["kind", "value"]).groupBy("__sha").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "value"), "attempt"))).alias("__tries"))
+        work = work.withColumn("__sha", F.when(F.size("__found") > 0, F.sha2(text, 256))).join(tries, "__sha", "left").drop("__sha")
+        attempt = lambda a: F.coalesce(F.element_at("__tries", F.concat_ws("|", a["kind"], a["value"])), F.lit(0))
+
+    def new(e):
+        made = F.transform(atoms(e), lambda a: surrogate(a["kind"], a["value"], attempt(a), key))
+        # what stands between the words of a name (blank or hyphen) is kept
+        gaps = F.regexp_extract_all(F.substring(e, F.length(_title(e)) + 1, F.length(e)), F.lit("[ -]"), F.lit(0))
+        name = F.concat(_title(e), F.array_join(F.transform(made, lambda w, i: F.concat(w, F.coalesce(F.try_element_at(gaps, i + 1), F.lit("")))), ""))
+        return F.when(kind_of(e) == "name", name).otherwise(F.element_at(made, 1))
+
+    parts = F.split(text, PATTERN, -1)
+    rest = F.zip_with(F.transform("__found", new), F.slice(parts, 2, F.greatest(F.size("__found"), F.lit(1))), lambda s, p: F.concat(s, p))
+    changed = F.when(F.size("__found") > 0, F.concat(F.element_at(parts, 1), F.array_join(rest, ""))).otherwise(text)
+    extra = ["__found", *(["__tries"] if late is not None else [])]
+    return work.withColumn("n_entities", F.size("__found").cast("long")).withColumn(text_col, changed).drop(*extra)
+
+
+def op5_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_entities", "text")
+
+
+QUERIES = {"op5_surrogates": op5_surrogates}
+ORACLES: dict[str, str] = {}
