@@ -1,5 +1,8 @@
 """All queries of the library but those of the llm folder, with their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-FLAGSHIP = ""
+from docloom.operators import joins, lines, metrics, ranking, records, versions
+
+_MODULES = (lines, joins, metrics, ranking, records, versions)
+QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
+ORACLES = {k: q for m in _MODULES for k, q in m.ORACLES.items()}
+FLAGSHIP = "line_stats_by_lang"
