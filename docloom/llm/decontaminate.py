@@ -22,6 +22,7 @@ MIN_LITERALS = 6
 MIN_ITEM = 5
 #: Up to so many distinct benchmark windows (8 bytes each) go to every task; beyond, all windows are shuffled to a join.
 MAX_SENT = 2_000_000
+_GROUP_BYTES = 400_000
 #: Measures that a number may carry. Fixed values.
 UNITS = frozenset("mm cm m km inch inches foot feet yard yards mile miles mg g kg gram grams kilogram kilograms ton tons oz ounce ounces lb lbs pound pounds ml l liter liters litre litres gallon gallons ms s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years c f k degree degrees hz khz mhz ghz w kw v a j kj cal kcal pa kpa percent dollar dollars usd euro euros eur cent cents kmh mph".split())
 
@@ -54,67 +55,88 @@ class Vocabulary(dict):
         self.plain.append(low)
         return i
 
-    def template(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Template hashes, slot flags and vocabulary rows of the kept words."""
+    def template(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Template hash, slot flag, vocabulary row and text number of every kept word of the texts."""
         if len(self.plain) > self.MOST:
             self.clear()
             self.__init__()
-        raw = (text or b"").replace(b"\n", b" \x01 ").split()
+        raw, sizes = [], []
+        for t in texts:
+            words = (t or b"").replace(b"\n", b" \x01 ").split()
+            words.append(b"\x01")
+            raw += words
+            sizes.append(len(words))
         ids = np.fromiter(map(self.__getitem__, raw), np.int64, len(raw))
         kept = np.flatnonzero(self.kind[ids] != _DROP)
         if not len(kept):
-            return np.zeros(0, np.uint64), np.zeros(0, bool), kept
+            return np.zeros(0, np.uint64), np.zeros(0, bool), kept, kept
         ended = np.concatenate([[0], np.cumsum(self.ends[ids])])[kept]
         initial = np.concatenate([[True], ended[1:] > ended[:-1]])
+        doc = np.repeat(np.arange(len(sizes)), sizes)[kept]
         ids = ids[kept]
         kind, h = self.kind[ids], self.hash[ids]
         number, name = kind == _NUMBER, (kind == _CAPITAL) & ~initial
-        unit = (kind == _UNIT) & np.concatenate([[False], number[:-1]])
+        unit = (kind == _UNIT) & np.concatenate([[False], number[:-1] & (doc[1:] == doc[:-1])])
         h[number], h[name], h[unit] = _HASH_OF["number"], _HASH_OF["name"], _HASH_OF["unit"]
-        return h, number | name | unit, ids
-
-
-def windows(h: np.ndarray, slot: np.ndarray, width: int, min_literals: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and hashes of the windows with enough literal words."""
-    n = len(h) - width + 1
-    if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    out = np.zeros(n, np.uint64)
-    for j in range(width):
-        out = out * _BASE + h[j : n + j]
-    out ^= out >> np.uint64(32)
+        return h, number | name | unit, ids, doc
+
+
+class Known:
+    """The benchmark's window hashes, sorted, with a table of their top bits that turns most others away at once."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.sorted = np.sort(hashes)
+        bits = min(26, max(10, len(hashes).bit_length() + 5))
+        self.shift, self.some = np.uint64(64 - bits), np.zeros(1 << bits, bool)
+        self.some[self.sorted >> self.shift] = True
+
+    def where(self, x: np.ndarray) -> np.ndarray:
+        at = np.flatnonzero(self.some[x >> self.shift])
+        y = x[at]
+        return at[self.sorted[np.minimum(np.searchsorted(self.sorted, y), len(self.sorted) - 1)] == y]
+
+
+def windows(h: np.ndarray, slot: np.ndarray, doc: np.ndarray, widths, min_literals: int, known: Known | None = None):
+    """For each width: (width, starts, hashes) of the windows inside one text with enough literal words; known: only these."""
     c = np.concatenate([[0], np.cumsum(~slot)])
-    at = np.flatnonzero(c[width : width + n] - c[:n] >= min_literals)
-    return at, out[at]
+    out = h
+    for w in range(1, min(max(widths, default=0), len(h)) + 1):
+        if w > 1:
+            out = out[:-1] * _BASE + h[w - 1 :]
+        if w in widths:
+            x = out ^ (out >> np.uint64(32))
+            at = np.arange(len(x)) if known is None else known.where(x)
+            at = at[(doc[at] == doc[at + w - 1]) & (c[at + w] - c[at] >= min(min_literals, w - 1))]
+            yield w, at, x[at]
 
 
 def _emit(id_name: str, width: int, min_literals: int, lengths=None, known=None):
     """Windows of (id, text) batches: all of the given lengths, or of the text's own if it is shorter; known: only these."""
 
+    def groups(b):
+        held, total = [], 0
+        for key, t in zip(b.column(0).to_pylist(), b.column(1)):
+            held.append((key, t.as_py()))
+            total += len(held[-1][1] or b"")
+            if lengths is None or total > _GROUP_BYTES:
+                yield held
+                held, total = [], 0
+        if held:
+            yield held
+
     def run(batches):
         vocab = Vocabulary()
         for b in batches:
-            ids, pos, size, hashes, slots = [], [], [], [], []
-            for key, t in zip(b.column(0).to_pylist(), b.column(1)):
-                h, slot, words = vocab.template(t.as_py())
-                for w in lengths if lengths is not None else [min(width, len(h))]:
-                    if w < MIN_ITEM:
-                        continue
-                    at, x = windows(h, slot, w, min(min_literals, w - 1))
-                    if known is not None and len(x):
-                        k = known.value
-                        hit = k[np.minimum(np.searchsorted(k, x), len(k) - 1)] == x
-                        at, x = at[hit], x[hit]
-                    if not len(x):
-                        continue
-                    ids += [key] * len(x)
-                    pos += at.tolist()
-                    size += [w] * len(x)
-                    hashes.append(x)
-                    slots += [[vocab.plain[words[i]] for i in range(a, a + w) if slot[i]] for a in at.tolist()]
-            if ids:
-                x = np.concatenate(hashes).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(pos, pa.int32()), pa.array(size, pa.int32()), pa.array(x), pa.array(slots, pa.list_(pa.string()))], names=[id_name, "pos", "width", "hash", "slots"])
+            for held in groups(b):
+                h, slot, words, doc = vocab.template([t for _, t in held])
+                widths = [w for w in (lengths if lengths is not None else [min(width, len(h))]) if w >= MIN_ITEM]
+                for w, at, x in windows(h, slot, doc, widths, min_literals, known.value if known is not None else None):
+                    if len(x):
+                        slots = [[vocab.plain[words[i]] for i in range(a, a + w) if slot[i]] for a in at.tolist()]
+                        pos = at - np.searchsorted(doc, doc[at])
+                        keys = [held[d][0] for d in doc[at].tolist()]
+                        columns = [pa.array(keys, pa.int64()), pa.array(pos, pa.int32()), pa.array([w] * len(x), pa.int32()), pa.array(x.view(np.int64)), pa.array(slots, pa.list_(pa.string()))]
+                        yield pa.RecordBatch.from_arrays(columns, names=[id_name, "pos", "width", "hash", "slots"])
 
     return run, f"{id_name} long, pos int, width int, hash long, slots array<string>"
 
@@ -134,7 +156,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     hashes = bench.select("hash").distinct()
     spark, known = docs.sparkSession, None
     if 0 < hashes.count() <= max_sent:
-        known = spark.sparkContext.broadcast(np.sort(np.array([r.hash for r in hashes.toLocalIterator()], np.int64).view(np.uint64)))
+        known = spark.sparkContext.broadcast(Known(np.array([r.hash for r in hashes.toLocalIterator()], np.int64).view(np.uint64)))
     run, schema = _emit("doc_id", width, min_literals, lengths, known)
     found = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("binary")).mapInArrow(run, schema)
     d, b = found.alias("d"), bench.alias("b")
