@@ -25,6 +25,7 @@ MAX_SENT = 2_000_000
 _GROUP_BYTES = 400_000
 #: Measures that a number may carry. Fixed values.
 UNITS = frozenset("mm cm m km inch inches foot feet yard yards mile miles mg g kg gram grams kilogram kilograms ton tons oz ounce ounces lb lbs pound pounds ml l liter liters litre litres gallon gallons ms s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years c f k degree degrees hz khz mhz ghz w kw v a j kj cal kcal pa kpa percent dollar dollars usd euro euros eur cent cents kmh mph".split())
+_UNIT_BYTES = frozenset(x.encode() for x in UNITS)
 
 _LITERAL, _NUMBER, _CAPITAL, _UNIT, _DROP = range(5)
 _HASH_OF = {k: np.uint64(xxhash.xxh64_intdigest(f"<{k}>")) for k in ("number", "name", "unit")}
@@ -45,13 +46,20 @@ class Vocabulary(dict):
         i = self[raw] = len(self.plain)
         if i == len(self.hash):
             self.hash, self.kind, self.ends = (np.concatenate([x, np.zeros_like(x)]) for x in (self.hash, self.kind, self.ends))
-        word = raw.decode("utf-8", "replace")
-        plain = _KEEP.sub("", word)
-        low = plain.lower()
-        digits = sum(c.isdigit() for c in plain)
-        kind = _DROP if not plain else _NUMBER if digits and digits * 2 >= len(plain) or word[:1].isdigit() else _UNIT if low in UNITS else _CAPITAL if plain[0].isupper() and not plain.isupper() else _LITERAL
-        self.hash[i], self.kind[i] = xxhash.xxh64_intdigest(low), kind
-        self.ends[i] = raw == b"\x01" or word.rstrip("\"')]}”’»*#$%&|").endswith((".", "!", "?", "…", ":"))
+        stem = raw if raw.isalpha() else raw[:-1]
+        if stem.isalpha() and (stem is raw or raw[-1] in b".,;:!?"):  # letters of ASCII, with a mark at most: most words
+            low = stem.lower()
+            kind = _UNIT if low in _UNIT_BYTES else _CAPITAL if stem[:1].isupper() and not stem.isupper() else _LITERAL
+            ends = stem is not raw and raw[-1] in b".:!?"
+        else:
+            word = raw.decode("utf-8", "replace")
+            plain = _KEEP.sub("", word)
+            low = plain.lower()
+            digits = sum(map(str.isdigit, plain))
+            kind = _DROP if not plain else _NUMBER if digits and digits * 2 >= len(plain) or word[:1].isdigit() else _UNIT if low in UNITS else _CAPITAL if plain[0].isupper() and not plain.isupper() else _LITERAL
+            low = low.encode()
+            ends = raw == b"\x01" or word.rstrip("\"')]}”’»*#$%&|").endswith((".", "!", "?", "…", ":"))
+        self.hash[i], self.kind[i], self.ends[i] = xxhash.xxh64_intdigest(low), kind, ends
         self.plain.append(low)
         return i
 
@@ -132,7 +140,7 @@ def _emit(id_name: str, width: int, min_literals: int, lengths=None, known=None)
                 widths = [w for w in (lengths if lengths is not None else [min(width, len(h))]) if w >= MIN_ITEM]
                 for w, at, x in windows(h, slot, doc, widths, min_literals, known.value if known is not None else None):
                     if len(x):
-                        slots = [[vocab.plain[words[i]] for i in range(a, a + w) if slot[i]] for a in at.tolist()]
+                        slots = [[vocab.plain[words[i]].decode() for i in range(a, a + w) if slot[i]] for a in at.tolist()]
                         pos = at - np.searchsorted(doc, doc[at])
                         keys = [held[d][0] for d in doc[at].tolist()]
                         columns = [pa.array(keys, pa.int64()), pa.array(pos, pa.int32()), pa.array([w] * len(x), pa.int32()), pa.array(x.view(np.int64)), pa.array(slots, pa.list_(pa.string()))]
