@@ -34,6 +34,8 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]
 _ATTRIBUTE = re.compile(r"(?:^|[\s\"'])(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
 _MAX_PERIOD = 6
+#: Elements nested deeper belong to the expression's element at this depth; their text stays, and what is left out stays out.
+MAX_DEPTH = 200
 
 
 def signature(tag: str, attributes: str) -> str:
@@ -72,7 +74,7 @@ VARIES = "*"
 def parse(page: str) -> tuple[Node, list[tuple[tuple[str, ...], str]]]:
     """The page as nested tags, and its blocks in order: (signatures of the open elements, raw text)."""
     root = Node("")
-    stack, path, blocks = [("", root)], (), []
+    stack, path, blocks = [("", root, ())], (), []
     text, link, plain, linked = [], 0, 0, 0
 
     def end_block():
@@ -119,7 +121,7 @@ def parse(page: str) -> tuple[Node, list[tuple[tuple[str, ...], str]]]:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] == tag:
                     del stack[i:]
-                    path = path[: i - 1]
+                    path = stack[-1][2]
                     break
         elif tag in VOID:
             pass
@@ -129,13 +131,17 @@ def parse(page: str) -> tuple[Node, list[tuple[tuple[str, ...], str]]]:
             while i > 0 and stack[i][0] in shut:
                 i -= 1
             del stack[i + 1 :]
-            path = path[:i]
+            path = stack[-1][2]
             sig = signature(tag, attributes)
-            node = Node(sig)
-            stack[-1][1].parts.append(node)
+            if len(stack) <= MAX_DEPTH:
+                node = Node(sig)
+                stack[-1][1].parts.append(node)
+                inner = (*path, sig)
+            else:
+                node, inner = stack[-1][1], (*path, sig) if len(path) <= MAX_DEPTH and is_out(sig) else path
             if not attributes.endswith("/"):
-                stack.append((tag, node))
-                path = (*path, sig)
+                stack.append((tag, node, inner))
+                path = inner
     end_block()
     return root, blocks
 

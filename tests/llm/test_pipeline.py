@@ -1,0 +1,30 @@
+import corpus_pipeline as P
+from docloom.llm import common, decontaminate, langid, simhash
+
+
+def test_stages_on_whole_table(spark, sf):
+    """Each stage keeps what its operator says, of what its predecessor kept."""
+    docs = common.table(spark, sf, "documents")
+    ids = lambda d: sorted(r.doc_id for r in d.select("doc_id").collect())
+    kept = [docs]
+    for _, stage in P.STAGES:
+        kept.append(common.materialize(stage(spark, kept[-1], sf)))
+    assert all(k.columns == docs.columns for k in kept[:-1])
+    said = {r.doc_id for r in langid.identify_languages(docs).where("lang_pred <> 'und' and score >= 0.3").collect()}
+    assert set(ids(kept[1])) == said
+    assert ids(kept[2]) == sorted({r.component_id for r in simhash.near_duplicates(kept[1]).collect()})
+    leaks = {r.doc_id for r in decontaminate.find_leaks(kept[2], common.table(spark, sf, "benchmark")).collect()}
+    assert ids(kept[3]) == sorted(set(ids(kept[2])) - leaks) and ids(kept[4]) == ids(kept[3])
+    assert {r.doc_id: r.n_chars for r in kept[4].collect()} == {r.doc_id: len(r.text) for r in kept[4].collect()}
+    last = kept[5].collect()
+    assert {r.doc_id for r in last} <= set(ids(kept[4])) and all(r.taken == r.size * r.times > 0 for r in last)
+    assert sorted(r.doc_id for r in P.run(spark, sf).collect()) == sorted(r.doc_id for r in last)
+
+
+def test_nulls_and_empty(spark, sf):
+    docs = common.table(spark, sf, "documents")
+    for given in (docs.limit(0), docs.selectExpr(*(f"if(doc_id % 2 = 0, null, {c}) AS {c}" for c in docs.columns))):
+        cur = given
+        for _, stage in P.STAGES:
+            cur = common.materialize(stage(spark, cur, sf))
+        assert cur.count() >= 0

@@ -1,0 +1,36 @@
+from docloom.llm import wrappers as W
+
+PAGE = """<html><head><title>t</title><style>p{{}}</style></head><body><nav><a href=/>Home</a></nav>
+<div class="sidebar"><p>Side</p></div><article><h1>{title}</h1><p>First &amp; {a}<br>line</p>{mid}<ul><li>one</li><li>two</li></ul></article>
+<div class="comments"><p>Nice read</p></div><script>var x = "<p>no</p>";</script><footer>Imprint</footer></body></html>"""
+
+
+def page(i, mid=""):
+    return PAGE.format(title=f"Title {i}", a=f"text   {i}", mid=mid)
+
+
+def test_article_without_the_rest(spark):
+    rows = [(i, "http://a.org/x", page(i, f"<p>more {i}</p>" * (i % 3))) for i in range(8)]
+    got = {r.page_id: r.text for r in W.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: "\n".join([f"Title {i}", f"First & text {i} line", *[f"more {i}"] * (i % 3), "one", "two"]) for i in range(8)}
+
+
+def test_wrapper_has_repeats_options_and_slots():
+    a, b = (W.fold_all(W.parse(page(i, m))[0]) for i, m in ((1, ""), (2, "<p>x</p><p>y</p>")))
+    both = W.merge(a, b)
+
+    def find(node, sig):
+        return next((g for p in node.parts for g in ([p] if p.sig == sig else [find(p, sig)]) if g), None)
+
+    assert find(both, "li").many and find(both, "h1").text == W.VARIES and find(both, "footer").text not in (W.VARIES, None)
+
+
+def test_edges(spark):
+    long = "<article>" + "<p>word</p>" * 50_000 + "</article>"
+    rows = [(1, None, None), (2, "http://b.org", ""), (3, None, "<p>plain & simple"), (4, "x", "<<<"), (5, "http://b.org", long), (5, "http://b.org", long), (None, "http://b.org", "<article><p>q</p></article>"), (7, "http://b.org", "<div>" * 3000 + "deep")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'h' AS host", "1 AS places", "2 AS text")
+    got = W.extract_main_text(df).collect()
+    assert len(got) == len(rows) and all(r.n_chars == len(r.text) for r in got)
+    by = {r.page_id: r.text for r in got}
+    assert by[1] == by[2] == "" and by[3] == "plain & simple" and by[5] == "\n".join(["word"] * 50_000) and by[None] == "q" and by[7] == "deep"
+    assert W.extract_main_text(df.limit(0)).count() == 0
