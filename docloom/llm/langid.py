@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialize, table
 
 UNKNOWN = "und"
 #: The bounded training sample: documents a language, words a document.
@@ -154,7 +154,8 @@ def training_sample(docs: DataFrame, max_docs: int, max_words: int) -> list[tupl
     """For each language at most max_docs documents outside the held-out fold, those of the smallest hashes of their
     id in as many buckets, and at most max_words words of each, from a place that the hash picks."""
     fit = docs.where("lang is not null and text is not null and fold <> 0").select("lang", "text", F.xxhash64("doc_id").alias("h"))
-    picked = fit.groupBy("lang", F.pmod("h", F.lit(max_docs)).alias("bucket")).agg(F.min("h").alias("h")).select("lang", "h")
+    # written first: a join with a table of known small size shuffles no texts
+    picked = materialize(fit.groupBy("lang", F.pmod("h", F.lit(max_docs)).alias("bucket")).agg(F.min("h").alias("h")).select("lang", "h"))
     rows = fit.join(picked, ["lang", "h"]).dropDuplicates(["lang", "h"])
     words = F.split(F.trim("text"), r"[\x20\x09-\x0D]+")
     start = F.greatest(F.lit(1), F.pmod(F.shiftrightunsigned("h", 20), F.greatest(F.size(words) - max_words, F.lit(1))) + 1)
