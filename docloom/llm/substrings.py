@@ -5,7 +5,8 @@ smallest hash of the shorter windows inside it) with its copies: documents first
 many as words, and only windows over an anchor seen in two documents become edges. Joined with the first place of its
 words, an edge has a source coordinate; edges that follow each other in the document and at the source alike form a
 nonbranching path and are compacted to one span. The words of every span are compared, by digest, with those at the
-source before they are removed.
+source before they are removed. A document gives an edge once, at its first place; where it repeats the edge, its own
+text tells the other places.
 """
 
 from __future__ import annotations
@@ -83,13 +84,24 @@ def _windows(parts, k: int, anchor: int):
     return h, at, doc[at], least[at], first
 
 
+def _firsts(doc: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first place of every value in every document, in order, and whether the document has it again."""
+    order = np.lexsort((value, doc))  # stable: equal ones keep their order
+    d, v = doc[order], value[order]
+    new = np.concatenate([[True], (v[1:] != v[:-1]) | (d[1:] != d[:-1])])[: len(d)]
+    again = np.concatenate([~new[1:], [False]])[: len(d)]
+    at = order[new]
+    up = np.argsort(at, kind="stable")
+    return at[up], again[new][up]
+
+
 def _anchors(k: int, anchor: int):
     def run(batches):
         for b, rows, parts in _texts(batches, k):
             ids = b.column(0).to_pylist()
             _, _, doc, least, _ = _windows(parts, k, anchor)
-            new = np.concatenate([[True], (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])])
-            doc, least = doc[new], least[new]
+            first, _ = _firsts(doc, least)
+            doc, least = doc[first], least[first]
             own = np.array([ids[i] for i in rows], np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(own[doc]), pa.array(least.view(np.int64))], names=["doc_id", "anchor"])
 
@@ -112,8 +124,11 @@ def _edges(k: int, anchor: int):
             at, doc = at[keep], doc[keep]
             if not len(at):
                 continue
-            own = np.array([ids[i] for i in rows], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(own[doc]), pa.array((at - first[doc]).astype(np.int32)), pa.array(rolling(h, k)[at].view(np.int64))], names=["doc_id", "pos", "edge"])
+            own, edge = np.array([ids[i] for i in rows], np.int64), rolling(h, k)[at]
+            # one row for an edge and a document, however often it is repeated there
+            one, more = _firsts(doc, edge)
+            at, doc, edge = at[one], doc[one], edge[one]
+            yield pa.RecordBatch.from_arrays([pa.array(own[doc]), pa.array((at - first[doc]).astype(np.int32)), pa.array(edge.view(np.int64)), pa.array(more)], names=["doc_id", "pos", "edge", "more"])
 
     return run
 
@@ -133,8 +148,16 @@ def _source_digests(batches):
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=["src_doc", "src_pos", "words", "digest"])
 
 
+def _repeats(words: list[bytes], known: list[int], k: int, hashes: WordHash) -> list[int]:
+    """Starts of the windows whose words are those of one of the known windows of the same text."""
+    e = rolling(np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words)), k)
+    of = dict(zip(e[known].tolist(), known))
+    return [a for a in np.flatnonzero(np.isin(e, e[known])).tolist() if words[a : a + k] == words[of[int(e[a])] : of[int(e[a])] + k]]
+
+
 def _remove(k: int):
     def run(batches):
+        hashes = WordHash()
         for b in batches:
             out = [[], [], [], []]
             for key, t, spans, copied in zip(b.column(0).to_pylist(), b.column(1), b.column(2), b.column(3).to_pylist()):
@@ -143,11 +166,16 @@ def _remove(k: int):
                 if copied and n >= k:
                     words, gone = [], n
                 elif spans.is_valid:
-                    drop = np.zeros(n, bool)
+                    drop, repeated = np.zeros(n, bool), []
                     for s in spans.as_py():
                         a, m = s["pos"], s["words"]
                         if a + m <= n and _digest(words, a, m) == s["digest"]:
                             drop[a : a + m] = True
+                            if s["more"]:
+                                repeated += range(a, a + m - k + 1)
+                    if repeated:
+                        for a in _repeats(words, repeated, k, hashes):
+                            drop[a : a + k] = True
                     gone = int(drop.sum())
                     if gone:
                         words = [words[i] for i in np.flatnonzero(~drop)]
@@ -178,16 +206,16 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     found = once.mapInArrow(_anchors(k, anchor), "doc_id long, anchor long").where("doc_id is not null and anchor is not null").repartition(n, "anchor")
     several = found.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor")
     shared = found.join(several, "anchor").groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"))
-    edges = once.join(shared, "doc_id").mapInArrow(_edges(k, anchor), "doc_id long, pos int, edge long").where("doc_id is not null and edge is not null").repartition(n, "edge")
+    edges = once.join(shared, "doc_id").mapInArrow(_edges(k, anchor), "doc_id long, pos int, edge long, more boolean").where("doc_id is not null and edge is not null").repartition(n, "edge")
     source = edges.groupBy("edge").agg(F.min(F.struct("doc_id", "pos")).alias("src"), F.max("doc_id").alias("last")).where("src.doc_id < last").select("edge", F.col("src.doc_id").alias("src_doc"), F.col("src.pos").alias("src_pos"))
-    again = edges.join(source, "edge").where("doc_id > src_doc").select("doc_id", "pos", "src_doc", "src_pos").distinct()
+    again = edges.join(source, "edge").where("doc_id > src_doc").select("doc_id", "pos", "src_doc", "src_pos", "more").distinct()
     w = Window.partitionBy("doc_id").orderBy("pos", "src_doc", "src_pos")
     follows = (F.lag("pos").over(w) == F.col("pos") - 1) & (F.lag("src_doc").over(w) == F.col("src_doc")) & (F.lag("src_pos").over(w) == F.col("src_pos") - 1)
     paths = again.withColumn("new", F.when(follows, 0).otherwise(1)).withColumn("path", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = paths.groupBy("doc_id", "path").agg(F.min("pos").alias("pos"), F.first("src_doc").alias("src_doc"), F.min("src_pos").alias("src_pos"), (F.count("*") + k - 1).cast("int").alias("words")).drop("path")
+    spans = paths.groupBy("doc_id", "path").agg(F.min("pos").alias("pos"), F.first("src_doc").alias("src_doc"), F.min("src_pos").alias("src_pos"), (F.count("*") + k - 1).cast("int").alias("words"), F.max("more").alias("more")).drop("path")
     wanted = spans.select("src_doc", "src_pos", "words").distinct().groupBy(F.col("src_doc").alias("doc_id")).agg(F.collect_list(F.struct("src_pos", "words")).alias("spans"))
     digests = texts.join(wanted, "doc_id").mapInArrow(_source_digests, "src_doc long, src_pos int, words int, digest binary").distinct()
-    proven = spans.join(digests, ["src_doc", "src_pos", "words"]).groupBy("doc_id").agg(F.collect_list(F.struct("pos", "words", "digest")).alias("spans"))
+    proven = spans.join(digests, ["src_doc", "src_pos", "words"]).groupBy("doc_id").agg(F.collect_list(F.struct("pos", "words", "digest", "more")).alias("spans"))
     joined = texts.join(proven, "doc_id", "left").join(firsts.withColumn("own", F.lit(True)), "doc_id", "left")
     joined = joined.select("doc_id", "text", "spans", (F.col("text").isNotNull() & F.col("own").isNull()).alias("copied"))
     nameless = given.where("doc_id is null").select("doc_id", "text", F.lit(None).cast(joined.schema["spans"].dataType).alias("spans"), F.lit(False).alias("copied"))
