@@ -125,10 +125,10 @@ def _edges(k: int, anchor: int):
             if not len(at):
                 continue
             own, edge = np.array([ids[i] for i in rows], np.int64), rolling(h, k)[at]
-            # one row for an edge and a document, however often it is repeated there
+            # one row for an edge and a document, however often it is repeated there; place: twice the first start, odd if repeated
             one, more = _firsts(doc, edge)
             at, doc, edge = at[one], doc[one], edge[one]
-            yield pa.RecordBatch.from_arrays([pa.array(own[doc]), pa.array((at - first[doc]).astype(np.int32)), pa.array(edge.view(np.int64)), pa.array(more)], names=["doc_id", "pos", "edge", "more"])
+            yield pa.RecordBatch.from_arrays([pa.array(own[doc]), pa.array(((at - first[doc]) * 2 + more).astype(np.int32)), pa.array(edge.view(np.int64))], names=["doc_id", "place", "edge"])
 
     return run
 
@@ -206,9 +206,10 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     found = once.mapInArrow(_anchors(k, anchor), "doc_id long, anchor long").where("doc_id is not null and anchor is not null").repartition(n, "anchor")
     several = found.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor")
     shared = found.join(several, "anchor").groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"))
-    edges = once.join(shared, "doc_id").mapInArrow(_edges(k, anchor), "doc_id long, pos int, edge long, more boolean").where("doc_id is not null and edge is not null").repartition(n, "edge")
-    source = edges.groupBy("edge").agg(F.min(F.struct("doc_id", "pos")).alias("src"), F.max("doc_id").alias("last")).where("src.doc_id < last").select("edge", F.col("src.doc_id").alias("src_doc"), F.col("src.pos").alias("src_pos"))
-    again = edges.join(source, "edge").where("doc_id > src_doc").select("doc_id", "pos", "src_doc", "src_pos", "more").distinct()
+    edges = once.join(shared, "doc_id").mapInArrow(_edges(k, anchor), "doc_id long, place int, edge long").where("doc_id is not null and edge is not null").repartition(n, "edge")
+    source = edges.groupBy("edge").agg(F.min(F.struct("doc_id", "place")).alias("src"), F.max("doc_id").alias("last")).where("src.doc_id < last").select("edge", F.col("src.doc_id").alias("src_doc"), F.shiftright("src.place", 1).alias("src_pos"))
+    again = edges.join(source, "edge").where("doc_id > src_doc").select("doc_id", "place", "src_doc", "src_pos").distinct()
+    again = again.select("doc_id", F.shiftright("place", 1).alias("pos"), (F.col("place") % 2 == 1).alias("more"), "src_doc", "src_pos")
     w = Window.partitionBy("doc_id").orderBy("pos", "src_doc", "src_pos")
     follows = (F.lag("pos").over(w) == F.col("pos") - 1) & (F.lag("src_doc").over(w) == F.col("src_doc")) & (F.lag("src_pos").over(w) == F.col("src_pos") - 1)
     paths = again.withColumn("new", F.when(follows, 0).otherwise(1)).withColumn("path", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
