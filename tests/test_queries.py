@@ -17,7 +17,10 @@ def canon(rows, names):
     return sorted((tuple(cell(r[i]) for i in order) for r in rows), key=repr)
 
 
-@pytest.fixture(scope="module")
+#: Queries that find nothing at the smallest size.
+LARGER = {"mutual_unique_alignment"}
+
+
 def duck(sf):
     c = duckdb.connect()
     for t in TABLES:
@@ -26,9 +29,10 @@ def duck(sf):
 
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
-def test_against_sql(spark, sf, duck, name):
+def test_against_sql(spark, sf, name):
+    sf = sf.replace("sf0.001", "sf0.01") if name in LARGER else sf
     got = registry.QUERIES[name](spark, sf)
-    cur = duck.execute(registry.ORACLES[name])
+    cur = duck(sf).execute(registry.ORACLES[name])
     names = [d[0] for d in cur.description]
     assert sorted(names) == sorted(got.columns)
     want = canon(cur.fetchall(), names)
