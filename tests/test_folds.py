@@ -1,0 +1,104 @@
+"""Operators without SQL against brute force."""
+
+import itertools
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from docloom.operators import folds, pages
+
+TEXT = st.text(alphabet="ab .!?\n。é", max_size=60)
+
+
+@given(TEXT, st.integers(2, 12))
+@settings(max_examples=300, deadline=None)
+def test_sentence_ranges_tile(text, most):
+    got = list(folds.sentence_ranges(text, most))
+    assert "".join(text[a:b] for a, b in got) == text
+    for a, b in got[:-1]:
+        half = a + most // 2
+        ends = [e for e in range(half, a + most + 1) if e > a and any(text[k] in ".!?。！？" and text[k + 1 : e].isspace() for k in range(a, e - 1)) and (e == a + most or not text[e].isspace())]
+        spaces = [e for e in range(half + 1, a + most + 1) if text[e - 1].isspace()]
+        assert b == (ends or spaces or [a + most])[-1]
+
+
+@given(TEXT.map(str.strip), st.integers(2, 12))
+@settings(max_examples=300, deadline=None)
+def test_cut_unit_keeps_all_but_spaces(text, most):
+    got = folds.cut_unit(text, most)
+    assert all(0 < b - a <= most for a, b in got)
+    assert "".join(text[a:b] for a, b in got).replace(" ", "").replace("\n", "") == text.replace(" ", "").replace("\n", "")
+
+
+def brute_roles(numbers, barriers):
+    """All readings, each candidate given each role."""
+    best, found = None, []
+    for roles in itertools.product(("entry", "list_item", "exception"), repeat=len(numbers)):
+        last, opened, length, cost = None, False, 0, 0
+        for n, wall, role in zip(numbers, barriers, roles):
+            if wall:
+                opened, length = False, 0
+            if role == "exception":
+                opened, length, cost = False, 0, cost + 1
+            elif role == "entry" and (last is None or n > last):
+                last, opened, length = n, True, 0
+            elif role == "list_item" and opened and n in (1, length + 1):
+                length = n
+            else:
+                break
+        else:
+            if best is None or cost < best:
+                best, found = cost, []
+            if cost == best:
+                found.append(roles)
+    return ["+".join(sorted({r[i] for r in found})) for i in range(len(numbers))]
+
+
+@given(st.lists(st.tuples(st.integers(1, 4), st.booleans()), max_size=6))
+@settings(max_examples=200, deadline=None)
+def test_start_roles(starts):
+    numbers, barriers = [n for n, _ in starts], [b for _, b in starts]
+    assert folds.start_roles(numbers, [""] * len(starts), barriers) == brute_roles(numbers, barriers)
+
+
+def test_windows_of_every_document(spark, sf):
+    units = folds.line_pieces(spark.read.parquet(f"{sf}/documents.parquet"), 400)
+    got = folds.overlapping_line_windows(spark, sf).collect()
+    by_doc = {}
+    for r in units.collect():
+        by_doc.setdefault(r.doc_id, []).append((r.start, r.end))
+    want = []
+    for doc, pieces in by_doc.items():
+        pieces.sort()
+        i, number = 0, 0
+        size = lambda ps: sum(b - a for a, b in ps)
+        while i < len(pieces):
+            j = i + 1
+            while j < len(pieces) and size(pieces[i : j + 1]) <= 400:
+                j += 1
+            number += 1
+            want += [(doc, number, *p) for p in pieces[i:j]]
+            again = j < len(pieces) and j - i > 1 and size(pieces[j - 1 : j + 1]) <= 400
+            i = j - 1 if again else j
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_sentence_query_is_the_function(spark, sf):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = sorted(map(tuple, folds.sentence_aware_spans(spark, sf).select("doc_id", "start", "end").collect()))
+    assert got == sorted((d, a, b) for d, t in docs.items() for a, b in folds.sentence_ranges(t or "", 500))
+
+
+def test_html():
+    assert pages.text_of("<p>a &amp; b</p><br>c<table><tr><td>1</td><td>2</td></tr></table>") == "a & b\n\nc1\t2"
+    assert pages.text_of(None) is None
+    grid = pages.cells_of('<table><tr><td rowspan="2">a</td><th>b</th></tr><tr><td>c</td></tr></table>')
+    assert [(c["row"], c["col"], c["header"], c["text"]) for c in grid] == [(0, 0, False, "a"), (0, 1, True, "b"), (1, 1, False, "c")]
+    for bad in (None, "", "<table></table>", "<table><tr><td><table></table></td></tr></table>", '<table><tr><td colspan="0">a</td></tr></table>', "<table><tr><td>a</tr>"):
+        assert pages.cells_of(bad) is None
+
+
+def test_empty_inputs(spark):
+    docs = spark.createDataFrame([(1, None), (2, "")], "doc_id bigint, text string")
+    assert folds.sentence_spans(docs).count() == 0
+    assert folds.greedy_windows(folds.line_pieces(docs, 10), "doc_id", "start", "end", 10, True).count() == 0
