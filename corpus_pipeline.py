@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from docloom.llm.common import materialize, table
 from docloom.llm.decontaminate import drop_leaks
+from docloom.llm.jaccard import keep_one_of_each
 from docloom.llm.langid import keep_identified
 from docloom.llm.mixing import mix
-from docloom.llm.simhash import keep_one_of_each
 from docloom.llm.surrogates import replace_entities
 
 
@@ -19,7 +19,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the smallest doc_id stays."""
+    """Of each group of near copies (five-word shingles, Jaccard similarity of 0.8 or more) the smallest doc_id stays."""
     return keep_one_of_each(docs)
 
 

@@ -1,0 +1,56 @@
+import random
+
+import corpus_pipeline as P
+from docloom.llm import common, jaccard as J, simhash
+
+
+def sets_of(text):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)}
+
+
+def brute(rows):
+    found = {i: sets_of(t) for i, t in rows}
+    label = {i: i for i in found}
+    changed = True
+    while changed:
+        changed = False
+        for i, a in found.items():
+            for j, b in found.items():
+                if label[j] < label[i] and 5 * len(a & b) >= 4 * len(a | b):
+                    label[i], changed = label[j], True
+    return label
+
+
+def edited(rng, n=60):
+    """Copies of a few texts with 1 to 3 words changed, so similarities lie on both sides of 0.8."""
+    base = [[f"w{rng.randint(0, 5000)}" for _ in range(120)] for _ in range(n // 6)]
+    for i in range(n):
+        words = list(rng.choice(base))
+        for at in rng.sample(range(120), rng.randint(0, 4)):
+            words[at] = f"x{rng.random()}"
+        yield i, " ".join(words)
+
+
+def test_components_against_brute_force(spark):
+    rows = [*edited(random.Random(3)), (900, "few words"), (901, "Few  words"), (902, None), (903, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for hot in (64, 2):
+        assert {r.doc_id: r.component_id for r in J.near_copies(df, hot_band=hot).collect()} == brute(rows)
+
+
+def test_stage_finds_copies_beyond_four_bits(spark, sf):
+    """Copies of similarity 0.8 or more whose fingerprints lie more than four bits apart."""
+    rng = random.Random(1)
+    a = [f"w{rng.randint(0, 5000)}" for _ in range(120)]
+    b = [*a[:40], "new", *a[41:]]
+    assert (simhash.fingerprint(" ".join(a).encode()) ^ simhash.fingerprint(" ".join(b).encode())).bit_count() > 4
+    docs = common.table(spark, sf, "documents").limit(0)
+    given = spark.createDataFrame([(7, " ".join(b)), (3, " ".join(a)), (9, "another text of no kin at all")], "doc_id long, text string").selectExpr(*(c if c in ("doc_id", "text") else f"null AS {c}" for c in docs.columns))
+    assert sorted(r.doc_id for r in P.near_duplicates(spark, given, sf).collect()) == [3, 9]
+
+
+def test_edges(spark):
+    df = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (None, "a b c d e f")], "doc_id long, text string")
+    assert sorted(str(r.doc_id) for r in J.keep_one_of_each(df).collect()) == ["1", "None"]
+    assert J.keep_one_of_each(df.limit(0)).count() == 0
