@@ -102,3 +102,14 @@ def test_empty_inputs(spark):
     docs = spark.createDataFrame([(1, None), (2, "")], "doc_id bigint, text string")
     assert folds.sentence_spans(docs).count() == 0
     assert folds.greedy_windows(folds.line_pieces(docs, 10), "doc_id", "start", "end", 10, True).count() == 0
+
+
+def test_long_and_wide_tables_keep_their_cells():
+    """The bounds hold for one cell's spans, not for the whole table."""
+    long = pages.cells_of("<table>" + "<tr><td>a</td><td>b</td><td>c</td><td>d</td><td>e</td></tr>" * 2001 + "</table>")
+    assert len(long) == 10_005 and (long[-1]["row"], long[-1]["col"]) == (2000, 4)
+    wide = pages.cells_of("<table><tr>" + "<td>a</td>" * 20_000 + "</tr></table>")
+    assert [c["col"] for c in wide] == list(range(20_000))
+    spans = pages.cells_of('<table><tr><td rowspan="3">a</td><td>b</td><td rowspan="2">c</td></tr><tr><td>d</td><td>e</td></tr><tr><td>f</td></tr></table>')
+    assert [(c["row"], c["col"]) for c in spans] == [(0, 0), (0, 1), (0, 2), (1, 1), (1, 3), (2, 1)]
+    assert pages.cells_of('<table><tr><td rowspan="101" colspan="100">a</td></tr></table>') is None
