@@ -28,9 +28,22 @@ _EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _IP = rf"(?<![\w.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\w|\.\d)"
 _SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
-_IBAN = r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"
-_PHONE = r"(?:(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3,4}[ .-]\d{3,4}(?:[ .-]\d{2,4})?(?!\w)|(?<![\w+])\+(?=(?:[ .()-]{0,2}\d){8})\d{1,3}(?:[ .-]?\(?\d{2,8}\)?){1,5}(?!\w))"
-_CARD = r"(?<![\w-])\d(?:[ -]?\d){12,18}(?!\w)"
+#: A number ends where no other number goes on behind a dot or hyphen, if it can, so it takes no part of its neighbour.
+_END = r"(?!\w|[.-]\d)"
+_GROUPS = r"\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}(?!\w)"
+
+
+def _ended(body: str) -> str:
+    return rf"(?:{body}{_END}|{body}(?!\w))"
+
+
+_IBAN = rf"(?<!\w)(?:[A-Z]{{2}}\d{{2}}[A-Z0-9]{{11,30}}(?!\w)|{_ended(r'[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?')})"
+_NEXT = rf"(?![ -]{_IP})"
+_OTHER = rf"(?![ -](?:{_IP}|{_GROUPS}|{_SSN}|\d{{13,19}}(?!\w)))"
+_LOCAL = rf"(?:\+\d{{1,3}}{_NEXT}[ .-]?)?(?:\(\d{{2,4}}\)|\d{{2,4}}){_NEXT}[ .-]?\d{{3,4}}{_NEXT}[ .-]\d{{3,4}}(?:{_OTHER}[ .-]\d{{2,4}})?"
+_ABROAD = rf"\+(?=(?:[ .()-]{{0,2}}\d){{8}})\d{{1,3}}{_NEXT}[ .-]?\(?\d{{2,8}}\)?(?:{_OTHER}[ .-]?\(?\d{{2,8}}\)?){{0,4}}"
+_PHONE = rf"(?<![\w+])(?:{_ended(_LOCAL)}|{_ABROAD}(?!\w))"
+_CARD = rf"(?<![\w-])(?:{_GROUPS}(?:{_OTHER}[ -]\d{{1,3}}{_END})?|{_ended(rf'\d(?:{_NEXT}[ -]?\d){{12,18}}')})"
 _SECRET = r"(?<!\p{L})(?i:passwo?r?d|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9+/_-]{8,}"
 _WORD = r"\p{Lu}\p{Ll}+"
 
@@ -40,7 +53,7 @@ def _any(words: list[str]) -> str:
 
 
 _TITLE = _any(FEMALE_TITLES + MALE_TITLES + OTHER_TITLES)
-_NAME = rf"(?<!\p{{L}})(?:{_TITLE}\.? {_WORD}(?:[ -]{_WORD}){{0,2}}|{_any(FEMALE_NAMES + MALE_NAMES)} {_WORD}(?!\p{{L}}))"
+_NAME = rf"(?<!\p{{L}})(?:{_TITLE}\.? {_WORD}(?:(?! {_TITLE}\.? \p{{Lu}})[ -]{_WORD}){{0,2}}|{_any(FEMALE_NAMES + MALE_NAMES)} {_WORD}(?!\p{{L}}))"
 PATTERN = "|".join([_EMAIL, _SECRET, _IP, _SSN, _CARD, _PHONE, _IBAN, _NAME])
 #: What any entity has; texts without it are not searched.
 _MAY = rf"[@0-9]|(?:{_TITLE}\.?|{_any(FEMALE_NAMES + MALE_NAMES)}) \p{{Lu}}|[=:]\s{{0,3}}[\"']?[A-Za-z0-9+/_-]{{8}}"

@@ -1,5 +1,7 @@
 import re
 
+from pyspark.sql import functions as F
+
 from docloom.llm import surrogates as S
 
 
@@ -36,3 +38,23 @@ def test_clean_and_edges(spark):
     assert got[4][0] == 1 and got[4][1].startswith("a " * 50_000) and "x@y.org" not in got[4][1]
     assert run(spark, [(1, "x@y.org"), (1, "x@y.org")])[1][0] == 1
     assert S.replace_entities(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_neighbours_of_every_pair_of_kinds(spark):
+    """Each of two entities side by side is found whole, and none takes a part of the other."""
+    kinds = {
+        "email": ["anna.b@mail.org"], "secret": ["password=abcdefgh12"], "ip": ["190.137.223.204", "97.51.17.173"], "ssn": ["123-45-6789"], "card": ["9807915762804490", "4111 1111 1111 1111"],
+        "phone": ["+1 (826) 555-4081", "+49 170 1234567"], "iban": ["ES9121000418450200051332", "DE89370400440532013000"], "name": ["Mrs Anna Keller"],
+    }
+    every = [x for xs in kinds.values() for x in xs]
+    rows = [(a, b) for a in every for b in every]
+    df = spark.createDataFrame([(f"See {a} {b} now", a, b) for a, b in rows], "text string, a string, b string")
+    wrong = [(r.a, r.b, r.e) for r in df.select("a", "b", S.entities(df["text"]).alias("e")).collect() if r.e != [r.a, r.b]]
+    assert not wrong
+    kind = {r.e: r.k for r in spark.createDataFrame([(x,) for x in every], "e string").select("e", S.kind_of(F.col("e")).alias("k")).collect()}
+    assert kind == {x: k for k, xs in kinds.items() for x in xs}
+
+
+def test_numbers_before_a_fraction_are_still_found(spark):
+    df = spark.createDataFrame([("card 4111111111111111.5",), ("call +49 170 1234567.5",), ("call 826-555-4081-1 now",)], "text string")
+    assert all(len(r.e) == 1 for r in df.select(S.entities(df["text"]).alias("e")).collect())
