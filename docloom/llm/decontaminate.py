@@ -2,7 +2,8 @@
 
 Numbers, names and units become typed placeholders, so a question with other parameters has the same template. Windows
 of template words of the benchmark and of the documents are joined on their hashes; the slots under the joined windows
-of one alignment must map one to one between item and document.
+of one alignment must map one to one between item and document. Windows with too few words outside slots, and items no
+longer than a window, are joined on their plain words too, so that verbatim copies of them are found.
 """
 
 from __future__ import annotations
@@ -119,7 +120,8 @@ def windows(h: np.ndarray, slot: np.ndarray, doc: np.ndarray, widths, min_litera
 
 
 def _emit(id_name: str, width: int, min_literals: int, lengths=None, known=None):
-    """Windows of (id, text) batches: all of the given lengths, or of the text's own if it is shorter; known: only these."""
+    """Windows of (id, text) batches, of template and (plain) of plain words: all of the given lengths, or of the text's own
+    if it is shorter; known: only these. Only the benchmark's (no lengths given) plain windows carry their slots."""
 
     def groups(b):
         held, total = [], 0
@@ -137,24 +139,30 @@ def _emit(id_name: str, width: int, min_literals: int, lengths=None, known=None)
         for b in batches:
             for held in groups(b):
                 h, slot, words, doc = vocab.template([t for _, t in held])
-                widths = [w for w in (lengths if lengths is not None else [min(width, len(h))]) if w >= MIN_ITEM]
-                for w, at, x in windows(h, slot, doc, widths, min_literals, known.value if known is not None else None):
+                widths = [w for w in (lengths if lengths is not None else [min(width, len(h))]) if w]
+                long = [w for w in widths if w >= MIN_ITEM]
+                only = known.value if known is not None else None
+                ways = [(False, windows(h, slot, doc, long, min_literals, only)), (True, windows(vocab.hash[words], slot, doc, widths, 0, only))]
+                for plain, (w, at, x) in ((p, found) for p, way in ways for found in way):
+                    if plain and lengths is None and len(h) > width:  # windows with enough literals have their template
+                        few = np.convolve(~slot, np.ones(w, int), "valid")[at] < min(min_literals, w - 1)
+                        at, x = at[few], x[few]
                     if len(x):
-                        slots = [[vocab.plain[words[i]].decode() for i in range(a, a + w) if slot[i]] for a in at.tolist()]
+                        slots = [[vocab.plain[words[i]].decode() for i in range(a, a + w) if slot[i]] if not plain or lengths is None else [] for a in at.tolist()]
                         pos = at - np.searchsorted(doc, doc[at])
                         keys = [held[d][0] for d in doc[at].tolist()]
-                        columns = [pa.array(keys, pa.int64()), pa.array(pos, pa.int32()), pa.array([w] * len(x), pa.int32()), pa.array(x.view(np.int64)), pa.array(slots, pa.list_(pa.string()))]
-                        yield pa.RecordBatch.from_arrays(columns, names=[id_name, "pos", "width", "hash", "slots"])
+                        columns = [pa.array(keys, pa.int64()), pa.array(pos, pa.int32()), pa.array([w] * len(x), pa.int32()), pa.array([plain] * len(x)), pa.array(x.view(np.int64)), pa.array(slots, pa.list_(pa.string()))]
+                        yield pa.RecordBatch.from_arrays(columns, names=[id_name, "pos", "width", "plain", "hash", "slots"])
 
-    return run, f"{id_name} long, pos int, width int, hash long, slots array<string>"
+    return run, f"{id_name} long, pos int, width int, plain boolean, hash long, slots array<string>"
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = WINDOW, min_literals: int = MIN_LITERALS, max_sent: int = MAX_SENT) -> DataFrame:
     """One row a (document, item) that share a template window: doc_id, item_id, windows, first_pos, slots, changed, kind.
 
     kind is 'exact' if no slot value differs, else 'reparameterised'; then item and document values must map one to
-    one over the whole alignment. Items with fewer words than the window count as one window, items under MIN_ITEM
-    words and null texts never match. Repeated documents or items give one row; a null doc_id is kept; empty tables
+    one over the whole alignment. Windows with fewer than min_literals words outside slots, and items under MIN_ITEM words,
+    match word for word only. Items with fewer words than the window count as one window, null texts never match. Repeated documents or items give one row; a null doc_id is kept; empty tables
     give an empty result; other columns are not read.
     """
     run, schema = _emit("item_id", width, min_literals)
@@ -168,9 +176,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     run, schema = _emit("doc_id", width, min_literals, lengths, known)
     found = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("binary")).mapInArrow(run, schema)
     d, b = found.alias("d"), bench.alias("b")
-    pairs = d.join(b, (F.col("d.hash") == F.col("b.hash")) & (F.col("d.width") == F.col("b.width")) & (F.size("d.slots") == F.size("b.slots")))
-    pairs = pairs.select("doc_id", "item_id", F.col("d.pos").alias("pos"), (F.col("d.pos") - F.col("b.pos")).alias("shift"), F.arrays_zip(F.col("b.slots").alias("a"), F.col("d.slots").alias("b")).alias("slots"))
-    runs = pairs.groupBy("doc_id", "item_id", "shift").agg(F.countDistinct("pos").alias("windows"), F.min("pos").alias("first_pos"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
+    pairs = d.join(b, (F.col("d.hash") == F.col("b.hash")) & (F.col("d.width") == F.col("b.width")) & (F.col("d.plain") == F.col("b.plain")) & (F.col("b.plain") | (F.size("d.slots") == F.size("b.slots"))))
+    values = F.when(F.col("b.plain"), F.col("b.slots")).otherwise(F.col("d.slots"))
+    pairs = pairs.select("doc_id", "item_id", "b.plain", F.col("d.pos").alias("pos"), (F.col("d.pos") - F.col("b.pos")).alias("shift"), F.arrays_zip(F.col("b.slots").alias("a"), values.alias("b")).alias("slots"))
+    runs = pairs.groupBy("doc_id", "item_id", "plain", "shift").agg(F.countDistinct("pos").alias("windows"), F.min("pos").alias("first_pos"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
     one_to_one = (F.size("slots") == F.size(F.array_distinct("slots.a"))) & (F.size("slots") == F.size(F.array_distinct("slots.b")))
     changed = F.size(F.filter("slots", lambda x: x["a"] != x["b"]))
     good = runs.where(one_to_one | (changed == 0)).withColumn("changed", changed).withColumn("slots", F.size("slots"))

@@ -51,3 +51,13 @@ def test_edges(spark):
     assert sorted((str(r.doc_id), r.item_id) for r in D.find_leaks(d, b).collect()) == [("3", 1), ("6", 1), ("None", 1)]
     assert D.find_leaks(d.limit(0), b).count() == 0 and D.find_leaks(d, b.limit(0)).count() == 0
     assert sorted(str(r.doc_id) for r in D.drop_leaks(d, b).collect()) == ["1", "2", "None"]
+
+
+def test_verbatim_copies_of_any_kind_are_found(spark):
+    """Items of many slots or few words, word for word in a document; with other values they are no match."""
+    items = ["What is 12 + 7 - 3 * 4?", "A train travels 60 km in 2 hours and 90 km in 3.", "Name the largest planet.", "Anna met Paul, Laura, Peter, Hans, Karl, Stefan, Juan, Bob and Emma there."]
+    docs = [(i, f"Some words before, {x} And after.") for i, x in enumerate(items)] + [(8, "Before. What is 15 + 9 - 2 * 6? After."), (9, CLEAN)]
+    d, b = frames(spark, docs, list(enumerate(items)))
+    for max_sent in (D.MAX_SENT, 0):
+        got = sorted((r.doc_id, r.item_id, r.kind) for r in D.find_leaks(d, b, max_sent=max_sent).collect())
+        assert got == [(i, i, "exact") for i in range(4)]
