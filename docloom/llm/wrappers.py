@@ -22,8 +22,12 @@ from .url_rules import host_of
 
 #: HTML's own classes of elements. Fixed values.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark meter output q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-RAW = frozenset("script style noscript textarea title iframe xmp template svg math object select button".split())
+#: With the elements of MathML, and object, whose content is text of the page.
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark meter output q rp rt ruby s samp small span strike strong sub sup time tt u var wbr object math mrow mi mn mo ms mtext mspace msup msub msubsup mfrac msqrt mroot mover munder munderover mtable mtr mtd mstyle mpadded mphantom menclose mfenced semantics annotation".split())
+#: Raw text to HTML: without an end tag, it goes to the end of the page.
+RAW = frozenset("script style noscript textarea title iframe xmp noembed noframes".split())
+#: Left out with all their content; one that is not closed (before the next of its kind) is taken as no element.
+SKIPPED = frozenset("button select svg template".split())
 CLOSES = {"p": frozenset({"p"}), "li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}), "tr": frozenset({"tr", "td", "th"}), "td": frozenset({"td", "th"}), "th": frozenset({"td", "th"}), "option": frozenset({"option"}), "tbody": frozenset({"thead", "tbody", "tr", "td", "th"})}
 KEEPS_P = frozenset({"td", "th", "body", "html"})
 #: What is never main text, by element and by words in class, id or role.
@@ -75,7 +79,7 @@ def parse(page: str) -> tuple[Node, list[tuple[tuple[str, ...], str]]]:
     """The page as nested tags, and its blocks in order: (signatures of the open elements, raw text)."""
     root = Node("")
     stack, path, blocks = [("", root, ())], (), []
-    text, link, plain, linked = [], 0, 0, 0
+    text, link, plain, linked, open_ended = [], 0, 0, 0, set()
 
     def end_block():
         nonlocal text, plain, linked
@@ -109,6 +113,14 @@ def parse(page: str) -> tuple[Node, list[tuple[tuple[str, ...], str]]]:
                 end = re.compile(rf"</{re.escape(tag)}\s*[^>]*>", re.I).search(page, at)
                 at = end.end() if end else n
             continue
+        if tag in SKIPPED:
+            if not closing and not attributes.endswith("/") and tag not in open_ended:
+                end = re.compile(rf"<(/?){tag}(?![^\s/>])[^>]*>", re.I).search(page, at)
+                if end is None:
+                    open_ended.add(tag)
+                elif end[1]:
+                    at = end.end()
+            continue
         if tag in INLINE:
             if tag == "a":
                 link = 0 if closing else 1

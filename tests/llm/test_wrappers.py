@@ -34,3 +34,18 @@ def test_edges(spark):
     by = {r.page_id: r.text for r in got}
     assert by[1] == by[2] == "" and by[3] == "plain & simple" and by[5] == "\n".join(["word"] * 50_000) and by[None] == "q" and by[7] == "deep"
     assert W.extract_main_text(df.limit(0)).count() == 0
+
+
+def test_elements_that_are_not_raw_text():
+    """An unclosed button, select, svg or template cuts nothing; math and object keep their text."""
+    def read(html):
+        root, blocks = W.parse(html)
+        return W.take(blocks, W.main_places(W.fold_all(root)))
+
+    for tag in ("button", "select", "svg", "template", "object", "math"):
+        assert read(f"<nav><{tag}></nav><article><p>one</p><p>two</p></article>") == "one\ntwo"
+        assert read(f"<article><p>one</p><{tag}><p>two</p></article><footer>f</footer>") == "one\ntwo"
+    assert read("<article><p>one <button>press</button><svg><text>x</text></svg>two</p></article>") == "one two"
+    assert read("<button><article><p>one</p></article><button>b</button>") == "one"
+    assert read("<article><p>sum <math><mi>x</mi><mo>+</mo><mn>1</mn></math> <object data=a>see a</object></p></article>") == "sum x+1 see a"
+    assert read("<article><p>one</p><script>var x = 1;</article>") == "one"
