@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from .common import materialize, table
 
-KEY = "docloom-demo-key"
+#: The secret key is read from this setting of the session; the demo key only stands in where none is set, as in tests.
+KEY_SETTING, DEMO_KEY = "spark.docloom.surrogateKey", "docloom-demo-key"
 #: Titles by gender, given names that mark a person without a title, and syllables for new names. Fixed values.
 FEMALE_TITLES = ["Mrs", "Ms", "Miss", "Frau", "Mme", "Mlle", "Sra", "Srta", "Doña", "Señora", "г-жа", "госпожа"]
 MALE_TITLES = ["Mr", "Herr", "M", "Sr", "Don", "Señor", "г-н", "господин"]
@@ -54,9 +55,12 @@ def _any(words: list[str]) -> str:
 
 _TITLE = _any(FEMALE_TITLES + MALE_TITLES + OTHER_TITLES)
 _NAME = rf"(?<!\p{{L}})(?:{_TITLE}\.? {_WORD}(?:(?! {_TITLE}\.? \p{{Lu}})[ -]{_WORD}){{0,2}}|{_any(FEMALE_NAMES + MALE_NAMES)} {_WORD}(?!\p{{L}}))"
-PATTERN = "|".join([_EMAIL, _SECRET, _IP, _SSN, _CARD, _PHONE, _IBAN, _NAME])
-#: What any entity has; texts without it are not searched.
-_MAY = rf"[@0-9]|(?:{_TITLE}\.?|{_any(FEMALE_NAMES + MALE_NAMES)}) \p{{Lu}}|[=:]\s{{0,3}}[\"']?[A-Za-z0-9+/_-]{{8}}"
+#: Each kind behind a look at its first character, so most places of a text are passed at once.
+_MARKED = [rf"(?=[pPtTsSaA]){_SECRET}", rf"(?=[\d+(])(?:{'|'.join([_IP, _SSN, _CARD, _PHONE])})", rf"(?=[A-Z]{{2}}\d{{2}}){_IBAN}", rf"(?=[\p{{Lu}}г]){_NAME}"]
+PLAIN = "|".join(_MARKED)
+PATTERN = "|".join([_EMAIL, *_MARKED])
+#: Stands around entities while a text is cut; a noncharacter of Unicode. Texts that hold it are searched twice instead.
+_MARK = "\uffff"
 
 
 def kind_of(e: Column) -> Column:
@@ -106,27 +110,47 @@ def _like(s: Column, seed: Column, hexadecimal: bool = False) -> Column:
     return F.array_join(F.transform(F.split(s, ""), change), "")
 
 
-def _new_name(kind: Column, value: Column, seed: Column) -> Column:
+def _new_name(kind: Column, value: Column, seed: Column, attempt: Column) -> Column:
     def build(syllables, ends):
         listed = F.array(*map(F.lit, syllables))
-        stem = F.concat(*(F.element_at(listed, _draw(seed, F.lit(i), len(syllables)) + 1) for i in range(4)))
+        # a syllable more every ten attempts: there are always more names than persons
+        places = F.sequence(F.lit(0), F.lit(3) + (attempt / 10).cast("int"))
+        stem = F.array_join(F.transform(places, lambda i: F.element_at(listed, _draw(seed, i, len(syllables)) + 1)), "")
         return F.initcap(F.concat(stem, ends))
 
     given = F.startswith(kind, F.lit("given"))
     female, male = F.endswith(kind, F.lit("-f")), F.endswith(kind, F.lit("-m"))
     latin = build(LATIN, F.when(given & female, "na").when(given & male, "n").when(given, "s").otherwise("ck"))
-    cyrillic = build(CYRILLIC, F.when(given & female, "на").when(given, "н").when(female, "нова").otherwise("нов"))
+    # a surname's own ending tells its form, as it may stand alone
+    cyrillic = build(CYRILLIC, F.when(given & female, "на").when(given, "н").when(F.endswith(value, F.lit("а")), "нова").otherwise("нов"))
     return F.when(value.rlike(r"\p{IsCyrillic}"), cyrillic).otherwise(latin)
 
 
-def surrogate(kind: Column, value: Column, attempt: Column, key: str = KEY) -> Column:
-    """The replacement of an atom; a later attempt gives another, from the tenth on with more characters."""
+def _mod97(s: Column) -> Column:
+    """Of a string of digits and A-Z, a letter standing for two digits."""
+    value = lambda c: F.when(c.rlike("[0-9]"), F.ascii(c) - 48).otherwise(F.ascii(c) - 55)
+    return F.aggregate(F.split(s, ""), F.lit(0), lambda r, c: F.when(c == "", r).otherwise((r * F.when(value(c) > 9, 100).otherwise(10) + value(c)) % 97))
+
+
+def _new_iban(value: Column, seed: Column) -> Column:
+    """Another account of the same country and form; with right check digits if the old ones are right."""
+    compact = F.regexp_replace(value, " ", "")
+    valid = _mod97(F.concat(F.substring(compact, F.lit(5), F.length(compact)), F.substring(compact, 1, 4))) == 1
+    rest = _like(F.substring(value, F.lit(5), F.length(value)), seed)
+    check = F.lit(98) - _mod97(F.concat(F.regexp_replace(rest, " ", ""), F.substring(value, 1, 2), F.lit("00")))
+    digits = F.when(valid, F.lpad(check.cast("string"), 2, "0")).otherwise(_like(F.substring(value, 3, 2), F.concat(seed, F.lit("c"))))
+    return F.concat(F.substring(value, 1, 2), digits, rest)
+
+
+def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
+    """The replacement of an atom; a later attempt gives another one, names and mail boxes also longer ones."""
     # names of either gender are told apart by value alone, so a surname has one stem for a family
     seed = F.sha2(F.concat_ws("|", F.lit(key), F.regexp_replace(kind, "-.$", ""), value, attempt.cast("string")), 256)
     domain = F.substring_index(value, "@", -1)
     domain_seed = F.sha2(F.concat_ws("|", F.lit(key), F.lit("domain"), domain), 256)
     top = F.concat(F.lit("."), F.substring_index(domain, ".", -1))
-    email = F.concat(_like(F.substring_index(value, "@", 1), seed), F.lit("@"), _like(F.substring(domain, F.lit(1), F.length(domain) - F.length(top)), domain_seed), top)
+    more = F.when(attempt >= 10, F.substring(F.translate(seed, "0123456789abcdef", "abcdefghijklmnop"), F.lit(1), (attempt / 10).cast("int"))).otherwise("")
+    email = F.concat(_like(F.substring_index(value, "@", 1), seed), more, F.lit("@"), _like(F.substring(domain, F.lit(1), F.length(domain) - F.length(top)), domain_seed), top)
     ip = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (_draw(seed, i, 254) + 1).cast("string")), ".")
     lead = F.regexp_extract(value, r"^\+\d{1,3}", 0)
     phone = F.concat(lead, _like(F.substring(value, F.length(lead) + 1, F.length(value)), seed))
@@ -137,17 +161,44 @@ def surrogate(kind: Column, value: Column, attempt: Column, key: str = KEY) -> C
     before = F.regexp_extract(value, r"^([^=:]*[=:]\s*[\"']?)", 1)
     secret_value = F.substring(value, F.length(before) + 1, F.length(value))
     secret = F.concat(before, F.when(secret_value.rlike("^[0-9a-f]+$"), _like(secret_value, seed, True)).otherwise(_like(secret_value, seed)))
-    iban = F.concat(F.substring(value, 1, 2), _like(F.substring(value, F.lit(3), F.length(value)), seed))
-    out = F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "phone", phone).when(kind == "ssn", _like(value, seed)).when(kind == "card", card).when(kind == "secret", secret).when(kind == "iban", iban).otherwise(_new_name(kind, value, seed))
-    more = F.when(attempt >= 10, F.substring(F.translate(seed, "0123456789abcdef", "0123456789012345"), F.lit(1), (attempt - 9).cast("int"))).otherwise("")
-    return F.concat(out, more)
+    return (
+        F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "phone", phone).when(kind == "ssn", _like(value, seed)).when(kind == "card", card)
+        .when(kind == "secret", secret).when(kind == "iban", _new_iban(value, seed)).otherwise(_new_name(kind, value, seed, attempt))
+    )
+
+
+def _cut(text: Column, pattern: str) -> Column:
+    """The text in parts, entities at the odd places; one search, as the marks around what it finds show the cuts."""
+    marked = F.split(F.regexp_replace(text, pattern, f"{_MARK}$0{_MARK}"), _MARK, -1)
+    between, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    twice = F.flatten(F.transform(between, lambda x, i: F.when(i < F.size(found), F.array(x, F.get(found, i))).otherwise(F.array(x))))
+    return F.when(F.contains(text, F.lit(_MARK)), twice).otherwise(marked)
+
+
+def cut_at_entities(text: Column) -> Column:
+    """The text in parts: what stands between entities, and the entities, in turn; null: null."""
+    return F.when(F.contains(text, F.lit("@")), _cut(text, PATTERN)).otherwise(_cut(text, PLAIN))
+
+
+def with_surnames(parts: Column) -> Column:
+    """Parts in which the surnames of the text's entities are entities wherever they stand."""
+    names = F.filter(_entities(parts), lambda e: kind_of(e) == "name")
+    surnames = F.array_distinct(F.transform(names, lambda e: F.regexp_extract(e, rf"{_WORD}$", 0)))
+    pattern = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join(surnames, "|"), F.lit(r")(?!\p{L})"))
+    again = lambda x: F.split(F.regexp_replace(x, pattern, F.lit(f"{_MARK}$0{_MARK}")), _MARK, -1)
+    wider = F.flatten(F.transform(parts, lambda x, i: F.when((i % 2 == 0) & ~F.contains(x, F.lit(_MARK)), again(x)).otherwise(F.array(x))))
+    return F.when(F.size(surnames) > 0, wider).otherwise(parts)
+
+
+def _entities(parts: Column) -> Column:
+    return F.filter(parts, lambda x, i: i % 2 == 1)
 
 
 def entities(text: Column) -> Column:
-    return F.when(text.rlike(_MAY), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    return F.coalesce(_entities(with_surnames(cut_at_entities(text))), F.array().cast("array<string>"))
 
 
-def retries(found: DataFrame, key: str = KEY, most: int = 40) -> DataFrame | None:
+def retries(found: DataFrame, key: str, most: int = 60) -> DataFrame | None:
     """found (kind, value), distinct atoms: those that need a later attempt, as (kind, value, attempt); None if none."""
     cur = found.withColumn("attempt", F.lit(0))
     for _ in range(most):
@@ -164,36 +215,49 @@ def retries(found: DataFrame, key: str = KEY, most: int = 40) -> DataFrame | Non
     raise RuntimeError("surrogates stay alike")
 
 
-def replace_entities(docs: DataFrame, text_col: str = "text", key: str = KEY) -> DataFrame:
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that docs hasn't."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def replace_entities(docs: DataFrame, text_col: str = "text", key: str | None = None) -> DataFrame:
     """docs with the text's entities replaced, and n_entities long; all other columns stay as they are.
 
-    Null and empty texts stay, with 0 entities; repeated rows and copies get the same surrogates; an empty table gives
-    an empty result. A column n_entities of the input is replaced.
+    Null and empty texts stay, with 0 entities; texts of any length are searched whole; repeated rows and copies get the
+    same surrogates, in any order of rows; an empty table gives an empty result. A column n_entities of the input is
+    replaced. The key is that of the session's setting if none is given.
     """
-    text = F.col(text_col)
-    found = materialize(docs.select(F.explode(entities(text)).alias("e")).distinct().select(F.explode(atoms(F.col("e"))).alias("a")).select("a.kind", "a.value").distinct())
+    key = key or docs.sparkSession.conf.get(KEY_SETTING, DEMO_KEY)
+    parts, row, tries = (_free(docs, x) for x in ("parts", "row", "tries"))
+    # searched once: what is written are the parts of the texts in place of the texts
+    work = docs.withColumn(parts, cut_at_entities(F.col(text_col))).drop(text_col).withColumn(parts, with_surnames(F.col(parts)))
+    work = materialize(work.withColumn(row, F.monotonically_increasing_id()))
+    named = F.explode(_entities(F.col(parts)))
+    found = materialize(work.where(F.size(parts) > 1).select(named.alias("e")).distinct().select(F.explode(atoms(F.col("e"))).alias("a")).select("a.kind", "a.value").distinct())
     late = retries(found, key)
-    work = docs.withColumn("__found", F.coalesce(entities(text), F.array().cast("array<string>")))
     if late is None:
         attempt = lambda a: F.lit(0)
-    else:  # only texts with such an atom are looked up, by their content
-        hit = work.where(F.size("__found") > 0).select(F.sha2(text, 256).alias("__sha"), F.explode("__found").alias("e")).distinct().select("__sha", F.explode(atoms(F.col("e"))).alias("a")).select("__sha", "a.kind", "a.value").distinct()
-        tries = hit.join(late, ["kind", "value"]).groupBy("__sha").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "value"), "attempt"))).alias("__tries"))
-        work = work.withColumn("__sha", F.when(F.size("__found") > 0, F.sha2(text, 256))).join(tries, "__sha", "left").drop("__sha")
-        attempt = lambda a: F.coalesce(F.element_at("__tries", F.concat_ws("|", a["kind"], a["value"])), F.lit(0))
+    else:  # the rows with such an atom, by their number, which no two rows share
+        hit = work.where(F.size(parts) > 1).select(row, named.alias("e")).distinct().select(row, F.explode(atoms(F.col("e"))).alias("a")).select(row, "a.kind", "a.value").distinct()
+        of_row = hit.join(late, ["kind", "value"]).groupBy(row).agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "value"), "attempt"))).alias(tries))
+        work = work.join(of_row, row, "left")
+        attempt = lambda a: F.coalesce(F.element_at(tries, F.concat_ws("|", a["kind"], a["value"])), F.lit(0))
 
     def new(e):
         made = F.transform(atoms(e), lambda a: surrogate(a["kind"], a["value"], attempt(a), key))
         # what stands between the words of a name (blank or hyphen) is kept
         gaps = F.regexp_extract_all(F.substring(e, F.length(_title(e)) + 1, F.length(e)), F.lit("[ -]"), F.lit(0))
-        name = F.concat(_title(e), F.array_join(F.transform(made, lambda w, i: F.concat(w, F.coalesce(F.try_element_at(gaps, i + 1), F.lit("")))), ""))
+        name = F.concat(_title(e), F.array_join(F.transform(made, lambda w, i: F.concat(w, F.coalesce(F.get(gaps, i), F.lit("")))), ""))
         return F.when(kind_of(e) == "name", name).otherwise(F.element_at(made, 1))
 
-    parts = F.split(text, PATTERN, -1)
-    rest = F.zip_with(F.transform("__found", new), F.slice(parts, 2, F.greatest(F.size("__found"), F.lit(1))), lambda s, p: F.concat(s, p))
-    changed = F.when(F.size("__found") > 0, F.concat(F.element_at(parts, 1), F.array_join(rest, ""))).otherwise(text)
-    extra = ["__found", *(["__tries"] if late is not None else [])]
-    return work.withColumn("n_entities", F.size("__found").cast("long")).withColumn(text_col, changed).drop(*extra)
+    p = F.col(parts)
+    text = F.when(F.size(p) == 1, F.element_at(p, 1)).otherwise(F.array_join(F.transform(p, lambda x, i: F.when(i % 2 == 1, new(x)).otherwise(x)), ""))
+    n = F.when(p.isNull(), 0).otherwise((F.size(p) / 2).cast("long")).cast("long")
+    others = [c for c in docs.columns if c != "n_entities"]
+    return work.select(*(text.alias(c) if c == text_col else F.col(c) for c in others), n.alias("n_entities"))
 
 
 def op5_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:

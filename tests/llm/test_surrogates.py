@@ -58,3 +58,65 @@ def test_neighbours_of_every_pair_of_kinds(spark):
 def test_numbers_before_a_fraction_are_still_found(spark):
     df = spark.createDataFrame([("card 4111111111111111.5",), ("call +49 170 1234567.5",), ("call 826-555-4081-1 now",)], "text string")
     assert all(len(r.e) == 1 for r in df.select(S.entities(df["text"]).alias("e")).collect())
+
+
+def test_surname_alone_is_the_same_person(spark):
+    got = run(spark, [(1, "Mrs Anna Keller came. Later Keller left; Kellerman stayed."), (2, "Keller alone"), (3, "г-жа Анна Петрова и Петрова")])
+    n, text = got[1]
+    new = re.search(r"Mrs \w+ (\w+) came\. Later (\w+) left; Kellerman stayed", text)
+    assert n == 2 and new[1] == new[2] != "Keller" and got[2] == (0, "Keller alone")
+    russian = got[3][1].split()
+    assert got[3][0] == 2 and russian[2] == russian[4] != "Петрова"
+
+
+def test_text_with_the_mark(spark):
+    got = run(spark, [(1, "odd ￿ text a@b.org end￿ 10.1.2.3"), (2, "￿")])
+    assert got[1][0] == 2 and got[1][1].startswith("odd ￿ text ") and "a@b.org" not in got[1][1] and " end￿ " in got[1][1]
+    assert got[2] == (0, "￿")
+
+
+def test_key_of_the_session(spark):
+    before = run(spark, [(1, "a.b@mail.org")])
+    spark.conf.set(S.KEY_SETTING, "another")
+    try:
+        assert run(spark, [(1, "a.b@mail.org")]) != before
+    finally:
+        spark.conf.unset(S.KEY_SETTING)
+    assert run(spark, [(1, "a.b@mail.org")]) == before
+
+
+def test_iban_keeps_right_check_digits(spark):
+    def right(x):
+        x = x.replace(" ", "")
+        return int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97 == 1
+
+    given = ["ES9121000418450200051332", "GB29 NWBK 6016 1331 9268 19", "DE89370400440532013001"]
+    got = run(spark, [(i, f"pay {x}, please") for i, x in enumerate(given)])
+    new = [re.search(r"pay (.*), please", got[i][1])[1] for i in range(3)]
+    assert [right(x) for x in new[:2]] == [right(x) for x in given[:2]] == [True, True]
+    assert all(a != b and len(a) == len(b) and a[:2] == b[:2] for a, b in zip(given, new))
+
+
+def test_against_a_plain_search(spark, sf):
+    """On all documents: Python's own search and one replacement for each entity give the same texts."""
+    import regex
+
+    java = regex.compile(S.PATTERN.replace("\\p{IsCyrillic}", "\\p{Cyrillic}"), regex.V0)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    out = {r.doc_id: r for r in S.replace_entities(docs).collect()}
+    seen: dict[str, str] = {}
+    for r in docs.collect():
+        if r.text is None or java.search(r.text) is None:
+            assert out[r.doc_id].text == r.text and out[r.doc_id].n_entities == 0
+            continue
+        spans = [m.span() for m in java.finditer(r.text)]
+        between, at = [], 0
+        for a, b in spans:
+            between.append(r.text[at:a])
+            at = b
+        between.append(r.text[at:])
+        whole = regex.fullmatch("(.*?)".join(map(regex.escape, between)), out[r.doc_id].text, regex.S)
+        assert whole and out[r.doc_id].n_entities == len(spans)
+        for (a, b), new in zip(spans, whole.groups()):
+            assert seen.setdefault(r.text[a:b], new) == new and new != r.text[a:b]
+    assert len(set(seen.values())) == len(seen) > 0
