@@ -21,6 +21,8 @@ UNKNOWN = "und"
 TRAIN_DOCS = 200
 TRAIN_WORDS = 150
 FOLDS = 5
+#: Of the way from the score of equally likely languages to 1, what a language needs. See README for what it rejects.
+MARGIN = 0.15
 BUCKETS = 1 << 15
 _ORDERS = (1, 2, 3, 4)
 _BLOCK = 32
@@ -55,8 +57,9 @@ def emissions(words: list[bytes], weights: np.ndarray) -> np.ndarray:
     return np.stack([np.bincount(owner, weights[buckets, k], len(words)) for k in range(weights.shape[1])], 1)
 
 
-def forward_backward(scores: np.ndarray, sizes: np.ndarray, transition: np.ndarray) -> np.ndarray:
+def forward_backward(scores: np.ndarray, sizes: np.ndarray, transition: np.ndarray, messages: bool = False):
     """Marginals of every word; scores: (words, labels) of documents of the given sizes (all over 0), one after the other.
+    With messages: also what reaches each word from before (itself included) and from behind it, each up to a factor.
 
     Documents are cut into blocks that run side by side: first each block's transfer matrix, then the vectors at block
     borders, then the words in the blocks. No document is too long and none waits for another.
@@ -97,19 +100,34 @@ def forward_backward(scores: np.ndarray, sizes: np.ndarray, transition: np.ndarr
         v = np.where(real[:, t, None], x, v)
         alpha[t] = v
     out = np.empty_like(e)
+    before, behind = (np.empty_like(e), np.empty_like(e)) if messages else (None, None)
     v = right
     for t in range(_BLOCK - 1, -1, -1):
         on = real[:, t]
+        if messages:
+            before[at[on, t]], behind[at[on, t]] = alpha[t][on], v[on]
         g = alpha[t][on] * v[on]
         out[at[on, t]] = g / g.sum(1, keepdims=True)
         x = (v * e[at[:, t]]) @ a.T
         x /= x.sum(1, keepdims=True)
         v = np.where(on[:, None], x, v)
-    return out
+    return (out, before, behind) if messages else out
+
+
+def with_pairs(scores: np.ndarray, sizes: np.ndarray, transition: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Marginals of every word, the words that another of their document follows, and the marginals of these pairs."""
+    p, before, behind = forward_backward(scores, sizes, transition, True)
+    inner = np.ones(len(scores), bool)
+    inner[np.cumsum(sizes) - 1] = False
+    i = np.flatnonzero(inner)
+    e = np.exp(scores[i + 1] - scores[i + 1].max(1, keepdims=True))
+    pair = before[i][:, :, None] * np.exp(transition - transition.max())[None] * (e * behind[i + 1])[:, None, :]
+    return p, i, pair / pair.sum((1, 2), keepdims=True)
 
 
 def train(samples: list[tuple[str, list[bytes]]], seed: int = 7, epochs: int = 6, length: int = 64, batch: int = 48, rate: float = 0.05) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """(labels, weights, transitions) from (language, plain words) samples, by gradient steps on the likelihood."""
+    """(labels, weights, transitions) from (language, plain words) samples, by gradient steps on the likelihood:
+    counted less expected features, and counted less expected pairs of neighbouring labels."""
     labels = sorted({lang for lang, _ in samples})
     s, rng = max(1, len(labels)), np.random.default_rng(seed)
     stretches = []
@@ -133,15 +151,9 @@ def train(samples: list[tuple[str, list[bytes]]], seed: int = 7, epochs: int = 6
             scores = np.stack([np.bincount(owner, weights[buckets, k], len(w)) for k in range(s)], 1)
             sizes = np.full(-(-len(w) // length), length)
             sizes[-1] = len(w) - length * (len(sizes) - 1)
-            p = forward_backward(scores, sizes, trans)
+            p, i, pair = with_pairs(scores, sizes, trans)
             err = np.eye(s)[y] - p
             grad = np.stack([np.bincount(buckets, err[owner, k], BUCKETS) for k in range(s)], 1) / len(w)
-            # expected pairs from neighbouring marginals under the current transitions
-            inner = np.ones(len(w), bool)
-            inner[np.cumsum(sizes) - 1] = False
-            i = np.flatnonzero(inner)
-            pair = p[i][:, :, None] * np.exp(trans - trans.max())[None] * p[i + 1][:, None, :]
-            pair /= pair.sum((1, 2), keepdims=True)
             gt = (np.bincount(y[i] * s + y[i + 1], minlength=s * s).reshape(s, s) - pair.sum(0)) / len(w)
             g2w += grad**2
             g2t += gt**2
@@ -239,7 +251,8 @@ def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """One row a document: doc_id, held_out, lang_pred, score (mean marginal of that language), switches.
 
     Learns from documents with a language whose crc32(doc_id) mod 5 is not 0, a bounded sample of them; predicts from
-    the text alone. Null texts, texts without letters, and all texts if no language was given, are 'und' with score 0;
+    the text alone, texts of any length whole. Of languages with equal sums of marginals the first by name is taken.
+    Null texts, texts without letters, and all texts if no language was given, are 'und' with score 0;
     a null doc_id is not held out and never learned from; repeated rows stay repeated; an empty table gives an empty
     result; other columns are not read.
     """
@@ -255,10 +268,16 @@ def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return asked.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, switches long")
 
 
-def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_score: float = 0.3, max_docs: int = TRAIN_DOCS, max_words: int = TRAIN_WORDS) -> DataFrame:
-    """The rows of docs whose text has a language with at least min_score; all columns stay. No row crosses a shuffle."""
+def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", margin: float = MARGIN, max_docs: int = TRAIN_DOCS, max_words: int = TRAIN_WORDS) -> DataFrame:
+    """The rows of docs whose text has a language; all columns stay. No row crosses a shuffle.
+
+    What goes: null texts, texts without letters, all texts if no language was given, and texts whose best language has
+    a mean marginal of at most 1/S + margin * (1 - 1/S) among S languages, i.e. hardly more than S equally likely
+    languages have (with a single one nothing more goes).
+    """
     _, model = fit(docs, id_col, text_col, lang_col, max_docs, max_words)
-    at = docs.columns.index(text_col)
+    at, floor = docs.columns.index(text_col), 1 / max(1, len(model[0]))
+    min_score = floor + margin * (1 - floor)
 
     def run(batches):
         by = Labeller(*model)

@@ -23,6 +23,55 @@ def test_forward_backward_against_all_paths(monkeypatch):
         at += n
 
 
+def log_likelihood(scores, y, trans):
+    """Of one document, by all paths."""
+    n, s = scores.shape
+    start = lambda k: np.log(np.exp(trans[:, k]).sum())
+    value = lambda path: start(path[0]) + sum(scores[i, k] for i, k in enumerate(path)) + sum(trans[a, b] for a, b in zip(path, path[1:]))
+    return value(y) - np.log(sum(np.exp(value(p)) for p in itertools.product(range(s), repeat=n)))
+
+
+def test_pair_marginals_against_all_paths(monkeypatch):
+    monkeypatch.setattr(L, "_BLOCK", 2)
+    rng = np.random.default_rng(3)
+    sizes, s = np.array([5, 1, 4]), 3
+    scores, trans = rng.normal(size=(10, s)) * 2, rng.normal(size=(s, s)) * 2
+    p, i, pair = L.with_pairs(scores, sizes, trans)
+    assert i.tolist() == [0, 1, 2, 3, 6, 7, 8]
+    for start, n in ((0, 5), (6, 4)):
+        want, e = np.zeros((n - 1, s, s)), scores[start : start + n]
+        for path in itertools.product(range(s), repeat=n):
+            w = np.exp(trans[:, path[0]]).sum() * np.exp(sum(e[j, y] for j, y in enumerate(path)) + sum(trans[a, b] for a, b in zip(path, path[1:])))
+            for j in range(n - 1):
+                want[j, path[j], path[j + 1]] += w
+        got = pair[(i >= start) & (i < start + n)]
+        assert got == pytest.approx(want / want.sum((1, 2), keepdims=True))
+        assert got.sum(2) == pytest.approx(p[start : start + n - 1]) and got.sum(1) == pytest.approx(p[start + 1 : start + n])
+
+
+def test_gradient_against_differences():
+    rng = np.random.default_rng(4)
+    n, s, d = 5, 3, 1e-6
+    scores, trans, y = rng.normal(size=(n, s)), rng.normal(size=(s, s)), rng.integers(0, 3, n)
+    p, i, pair = L.with_pairs(scores, np.array([n]), trans)
+    for k in range(n):
+        for a in range(s):
+            up, down = scores.copy(), scores.copy()
+            up[k, a] += d
+            down[k, a] -= d
+            assert (y[k] == a) - p[k, a] == pytest.approx((log_likelihood(up, y, trans) - log_likelihood(down, y, trans)) / 2 / d, abs=1e-6)
+    # the first label's weight does not depend on single transitions as these are measured between words
+    counted = np.bincount(y[i] * s + y[i + 1], minlength=s * s).reshape(s, s) - pair.sum(0)
+    start = np.exp(trans) / np.exp(trans).sum(0)
+    first = start * (np.eye(s)[y[0]] - p[0])[None]
+    for a in range(s):
+        for b in range(s):
+            up, down = trans.copy(), trans.copy()
+            up[a, b] += d
+            down[a, b] -= d
+            assert counted[a, b] + first[a, b] == pytest.approx((log_likelihood(scores, y, up) - log_likelihood(scores, y, down)) / 2 / d, abs=1e-6)
+
+
 def test_held_out_accuracy(spark, sf):
     sf = sf.replace("sf0.001", "sf0.01")
     lang = {r.doc_id: (r.lang, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
