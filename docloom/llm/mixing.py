@@ -14,7 +14,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, table
@@ -94,7 +94,7 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, max_repeat: float = MAX_RE
 
 def _flight(seed: int, last: bool):
     def run(key, t):
-        t = t.sort_by([("doc_id", "ascending"), ("size", "ascending"), ("uid", "ascending")])
+        t = t.sort_by([("doc_id", "ascending"), ("size", "ascending"), ("nth", "ascending")])
         size, prob = t["size"].to_pylist(), t["prob"].to_pylist()
         rng = random.Random(f"{seed}|{key[0].as_py()!r}|{key[1].as_py()}|{key[2].as_py()}")
         aside = for_landing(size, prob) if last else frozenset()
@@ -106,26 +106,33 @@ def _flight(seed: int, last: bool):
     return run
 
 
+def size_of(text: Column) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, max_repeat: float = MAX_REPEAT, seed: int = SEED, block: int = BLOCK) -> DataFrame:
     """One row a document: doc_id, size (words), source_size, target (of its source), taken (words, repeats counted).
 
     A null text has size 0; documents of size 0 and sources of size 0 take nothing; a null source is a source of its
-    own, last in order; a null doc_id and repeated rows are documents like any other. Equal input gives equal output,
-    whatever its partitions. An empty table gives an empty result; other columns are not read.
+    own, last in order; a null doc_id and repeated rows are documents like any other; texts of any length count whole.
+    Equal input gives equal output, whatever its partitions: ties are settled by id, size and, among equal rows, a
+    number. An empty table gives an empty result; other columns are not read.
     """
-    words = F.coalesce(F.regexp_count(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    sizes = materialize(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), words.alias("size")).withColumn("uid", F.monotonically_increasing_id()))
+    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), size_of(F.col(text_col)).alias("size"))
+    # equal rows are numbered by counting them, so they are dealt to all blocks and never gathered
+    equal = materialize(given.groupBy("doc_id", "source", "size").agg(F.count("*").alias("n")))
+    sizes = equal.select("doc_id", "source", "size", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("nth"))
     per = materialize(source_targets(sizes.select("source", "size"), weights, max_repeat))
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     per = per.withColumn("whole", F.floor(ratio + _EPS)).withColumn("prob", F.greatest(ratio - F.col("whole"), F.lit(0.0)))
     a, b = sizes.alias("a"), per.alias("b")
-    cur = a.join(b, F.col("a.source").eqNullSafe(F.col("b.source"))).select("doc_id", F.col("a.source").alias("source"), "size", "uid", "source_size", "target", "whole", F.when(F.col("size") > 0, F.col("prob")).otherwise(0.0).alias("prob"), F.ceil(F.col("docs") / block).alias("blocks"))
-    schema = "doc_id long, source string, size long, uid long, source_size long, target double, whole long, prob double, blocks long, level int, block long"
+    cur = a.join(b, F.col("a.source").eqNullSafe(F.col("b.source"))).select("doc_id", F.col("a.source").alias("source"), "size", "nth", "source_size", "target", "whole", F.when(F.col("size") > 0, F.col("prob")).otherwise(0.0).alias("prob"), F.ceil(F.col("docs") / block).alias("blocks"))
+    schema = "doc_id long, source string, size long, nth long, source_size long, target double, whole long, prob double, blocks long, level int, block long"
     done, level = None, 0
     most = per.agg(F.max(F.ceil(F.col("docs") / block))).first()[0] or 1
     while True:
         last = most <= 1
-        put = cur.withColumn("level", F.lit(level)).withColumn("block", F.pmod(F.xxhash64("doc_id", "size", F.lit(level)), F.greatest("blocks", F.lit(1))))
+        put = cur.withColumn("level", F.lit(level)).withColumn("block", F.pmod(F.xxhash64("doc_id", "size", "nth", F.lit(level)), F.greatest("blocks", F.lit(1))))
         flown = materialize(put.groupBy("source", "level", "block").applyInArrow(_flight(seed, last), schema))
         is_open = (F.col("prob") > 0) & (F.col("prob") < 1)
         settled = flown.where(~is_open)
@@ -135,9 +142,32 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         still = flown.where(is_open)
         left = still.groupBy("source").agg(F.ceil(F.count("*") / block).alias("blocks"))
         c, d = still.drop("blocks").alias("c"), left.alias("d")
-        cur = c.join(d, F.col("c.source").eqNullSafe(F.col("d.source"))).select(*(f"c.{x}" for x in ("doc_id", "source", "size", "uid", "source_size", "target", "whole", "prob")), "d.blocks")
+        cur = c.join(d, F.col("c.source").eqNullSafe(F.col("d.source"))).select(*(f"c.{x}" for x in ("doc_id", "source", "size", "nth", "source_size", "target", "whole", "prob")), "d.blocks")
         most, level = left.agg(F.max("blocks")).first()[0] or 1, level + 1
-    return done.select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("whole") + F.round("prob").cast("long"))).alias("taken"))
+    return done.select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("whole") + F.round("prob").cast("long"))).alias("taken"), "source")
+
+
+def keep_taken(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The rows of docs that the mix takes, with size, target (of the source), taken (words) and times.
+
+    A row without an id can't be traced and takes no part. Equal rows (id, source, size) get the takes of as many
+    documents, each its own. Columns of docs with the names of the new ones are replaced. Takes and texts are joined
+    by one plan at every size, a merge join, so texts cross one shuffle.
+    """
+    new = ["size", "target", "taken", "times"]
+    named = docs.where(F.col(id_col).isNotNull())
+    takes = mix(named, id_col, text_col, source_col, **options).where("taken > 0").select("doc_id", "source", "size", "target", "taken")
+    takes = materialize(takes.groupBy("doc_id", "source", "size").agg(F.first("target").alias("target"), F.sort_array(F.collect_list("taken"), False).alias("all")))
+    d = named.drop(*(c for c in named.columns if c in new)).withColumn("size", size_of(F.col(text_col)))
+    others = [c for c in d.columns if c != "size"]
+    more = not takes.where(F.size("all") > 1).isEmpty()
+    if more:  # equal rows are numbered after they have met
+        d = d.withColumn("taken", F.row_number().over(Window.partitionBy(id_col, source_col, "size").orderBy(F.xxhash64(*others))))
+    a, b = d.alias("a"), takes.hint("merge").alias("b")
+    joined = a.join(b, (F.col(f"a.{id_col}").cast("long") == F.col("b.doc_id")) & F.col(f"a.{source_col}").cast("string").eqNullSafe(F.col("b.source")) & (F.col("a.size") == F.col("b.size")))
+    taken = F.get("b.all", F.col("a.taken") - 1) if more else F.get("b.all", F.lit(0))
+    out = joined.select(*(F.col(f"a.{c}") for c in others), F.col("a.size").alias("size"), F.col("b.target").alias("target"), taken.alias("taken")).where("taken is not null")
+    return out.withColumn("times", (F.col("taken") / F.col("size")).cast("int"))
 
 
 def op6_cube(spark: SparkSession, sf_dir: str) -> DataFrame:

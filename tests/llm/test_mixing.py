@@ -54,3 +54,25 @@ def test_edges(spark):
     assert len(got) == 6 and {(r.doc_id, r.size) for r in got} == {(1, 0), (2, 0), (3, 2), (None, 1000), (5, 1)}
     assert all(r.taken <= 3 * r.size for r in got)
     assert M.mix(df.limit(0)).count() == 0
+
+
+def test_rows_taken(spark):
+    rows = [(i % 200, "w " * (1 + i % 7), "ab"[i % 2], f"r{i}") for i in range(600)]
+    rows += [(5000, "same words here", "a", "x")] * 4 + [(None, "no id", "b", "y"), (6000, None, "a", "z"), (6001, "", None, "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, name string").selectExpr("*", "'clash' AS target", "'clash' AS size")
+    got = M.keep_taken(df).collect()
+    assert got and got[0].__fields__ == ["doc_id", "text", "source", "name", "size", "target", "taken", "times"]
+    assert all(r.size == len(r.text.split()) and r.taken == r.size * r.times > 0 for r in got)
+    told = M.mix(df.where("doc_id is not null")).where("taken > 0").collect()
+    key = lambda r: (r.doc_id, r.source, r.size, r.taken, r.target)
+    assert sorted(map(key, got), key=str) == sorted(map(key, told), key=str)
+    names = [r.name for r in got if r.name != "x"]
+    assert len(set(names)) == len(names) and sum(r.name == "x" for r in got) <= 4
+    assert M.keep_taken(df.limit(0)).count() == 0
+
+
+def test_repeated_rows_are_dealt_to_all_blocks(spark):
+    df = spark.range(4000).selectExpr("cast(if(id % 2 = 0, null, 7) AS long) AS doc_id", "'one two' AS text", "if(id % 4 < 3, 'a', 'b') AS source")
+    got = M.mix(df, block=64)
+    assert got.count() == 4000
+    assert all(abs(r[0] - r[1]) <= 8 for r in got.groupBy("target").sum("taken").collect())
