@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: For bytes.translate: A-Z become a-z, every other byte stays.
@@ -21,9 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is set, as in tests."""
+    """The cluster's shared folder; a temporary one only where none is set and all runs on one machine, as in tests."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         if not _own_dir:
             _own_dir.append(tempfile.mkdtemp(prefix="docloom-"))
         path = _own_dir[0]
@@ -64,10 +66,69 @@ def _tidy() -> None:
             return
 
 
+#: Bits of a filter that goes to every task (8 MB), at most; below that 16 for every key in it.
+FILTER_BITS = 1 << 26
+#: A key with more rows than this, and than 1 / SHARE of all rows, is joined by sending its one row instead; there are at
+#: most SHARE such keys, whatever the data.
+HOT_ROWS, SHARE = 1000, 1000
+
+
+def filter_size(n: int) -> int:
+    return min(FILTER_BITS, 1 << max(15, (16 * n).bit_length()))
+
+
+def filter_of(keys: DataFrame, hashed: Column, size: int) -> DataFrame:
+    """(b, bits): the set bits of a filter of `size` bits over the hashes, in rows of 4 KB. It may say yes to other keys,
+    never no to one of these; where its size reaches FILTER_BITS it says yes more often."""
+    slot = keys.select((F.pmod(hashed, F.lit(size)) + 1).alias("s"))
+    return slot.groupBy(F.bitmap_bucket_number("s").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits"))
+
+
+def without(docs: DataFrame, gone: DataFrame, keys: list[Column], names: list[str]) -> DataFrame:
+    """The rows of docs whose keys are not those of a row of gone (columns `names`; written, without nulls).
+
+    A filter of bounded size, made from gone, lets most rows pass where they lie; only the rows it stops, those that go
+    and some others, cross a shuffle to a merge join. One plan at every size. Rows with a null key stay.
+    """
+    hashed, size = F.xxhash64(*keys), filter_size(gone.count())
+    bits = F.broadcast(materialize(filter_of(gone, F.xxhash64(*names), size)).withColumnsRenamed({"b": "__b", "bits": "__bits"}))
+    slot = F.pmod(hashed, F.lit(size))
+    byte = F.conv(F.hex(F.substring("__bits", ((slot % 32768) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    asked = docs.join(bits, (slot / 32768).cast("long") + 1 == F.col("__b"), "left")
+    stopped = F.coalesce(byte.bitwiseAND(F.element_at(F.array(*(F.lit(1 << i) for i in range(8))), (slot % 8 + 1).cast("int"))) != 0, F.lit(False))
+    sent = gone.select(*(F.col(n).alias(f"__{n}") for n in names)).hint("merge")
+    same = [k == F.col(f"__{n}") for k, n in zip(keys, names)]
+    on = same[0]
+    for x in same[1:]:
+        on = on & x
+    return asked.where(~stopped).select(docs.columns).union(asked.where(stopped).select(docs.columns).join(sent, on, "left_anti"))
+
+
+def spread_join(big: DataFrame, small: DataFrame, key: str, rows: str, total: int, hot_rows: int | None = None) -> DataFrame:
+    """big joined with small (one row a key, `rows` = how many rows of big the key has; total = all of them).
+
+    Rows of common keys are joined where they lie, so no task gets all rows of a key; the others meet by a shuffle.
+    The column `rows` is not returned.
+    """
+    limit = max(hot_rows or HOT_ROWS, total // SHARE)
+    if total <= limit:
+        return big.join(small.drop(rows), key)
+    small = materialize(small)
+    hot, cool = small.where(F.col(rows) > limit).drop(rows), small.where(F.col(rows) <= limit).drop(rows)
+    if hot.isEmpty():
+        return big.join(small.drop(rows), key)
+    hot = F.broadcast(hot)
+    return big.join(hot, key).unionByName(big.join(hot.select(key), key, "left_anti").join(cool, key))
+
+
+#: A hub of the graph with more links than this is not left to one task.
+HUB_LINKS = 50_000
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of (src, dst), both long: rows (node, component = smallest node).
 
-    Alternates large-star and small-star steps, each a map-side combined minimum and a join, so a node of very
+    Alternates large-star and small-star steps, each a map-side combined minimum and a spread join, so a node of very
     many links is never gathered. Every round is written to the shared folder. No edges: no rows. Self loops and
     repeated links do no harm.
     """
@@ -81,10 +142,12 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if not seen[0]:
             break
         both = cur.union(cur.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        least = both.groupBy("src").agg(F.least(F.min("dst"), F.first("src")).alias("m"))
-        large = both.where("dst > src").join(least, "src").select(F.col("dst").alias("src"), F.col("m").alias("dst")).where("src <> dst").distinct()
-        low = large.groupBy("src").agg(F.min("dst").alias("m"))
-        small = large.join(low, "src")
+        least = both.groupBy("src").agg(F.least(F.min("dst"), F.first("src")).alias("m"), F.count("*").alias("k"))
+        large = spread_join(both.where("dst > src"), least, "src", "k", 2 * seen[0], HUB_LINKS).select(F.col("dst").alias("src"), F.col("m").alias("dst")).where("src <> dst").distinct()
+        if seen[0] > HUB_LINKS:
+            large = materialize(large)
+        low = large.groupBy("src").agg(F.min("dst").alias("m"), F.count("*").alias("k"))
+        small = spread_join(large, low, "src", "k", seen[0], HUB_LINKS)
         nxt = small.select("src", F.col("m").alias("dst")).union(small.select(F.col("dst").alias("src"), F.col("m").alias("dst"))).where("src <> dst").distinct()
         nxt = materialize(nxt)
         now = stats(nxt)

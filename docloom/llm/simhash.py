@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER_AZ, components, materialize, table
+from .common import LOWER_AZ, components, materialize, spread_join, table
 
 #: A segment value with more distinct fingerprints than this is linked through shared midpoints, not by pairs.
 HOT_BUCKET = 512
@@ -117,14 +117,20 @@ def links(nodes: DataFrame, max_bits: int = 4, hot_bucket: int = HOT_BUCKET) ->
 
 
 def midpoint_links(members: DataFrame, max_bits: int) -> DataFrame:
-    """Links with the components of 'at most max_bits apart', linear in the members: two fingerprints are that close
-    exactly if the balls of half the distance around them (for an odd distance, half rounded up on one side, with
-    the distance checked) share a point. Members of a point are chained to the smallest one in it."""
-    if max_bits % 2:
-        raise ValueError("midpoints need an even distance")
-    masks = [x for x, _ in _flips(64, max_bits // 2)]
-    points = members.select("fp", F.explode(F.transform(_longs(masks), lambda x: F.col("fp").bitwiseXOR(x))).alias("point"))
-    least = points.groupBy("point").agg(F.min("fp").alias("least"), F.max("fp").alias("most")).where("least <> most").select("point", "least")
+    """Links with the components of 'at most max_bits apart', linear in the members.
+
+    Two fingerprints are at most 2r apart exactly if the balls of radius r around them share a point, so members of a
+    point are chained to the smallest one in it. At an odd distance 2r + 1 a fingerprint lies in the ball of radius
+    r + 1 around another's points at the rim only: what is 2r apart is chained as before, and two fingerprints 2r + 1
+    apart share a point that is in the inner ball (r) of one and on the rim (r + 1) of the other, so in every point
+    each rim member is linked to the smallest inner one; the inner ones are chained among themselves. Two rim members
+    alone (2r + 2 apart) are never linked."""
+    half, odd = divmod(max_bits, 2)
+    inner, rim = _flips(64, half), _flips(64, half + odd)
+    masks = F.arrays_zip(_longs(x for x, _ in rim).alias("flip"), F.array_repeat(F.lit(True), len(inner)).alias("inner")) if odd else F.arrays_zip(_longs(x for x, _ in inner).alias("flip"), F.array_repeat(F.lit(True), len(inner)).alias("inner"))
+    ball = F.transform(masks, lambda x: F.struct(F.col("fp").bitwiseXOR(x["flip"]).alias("point"), F.coalesce(x["inner"], F.lit(False)).alias("inner")))
+    points = members.select("fp", F.explode(ball).alias("p")).select("fp", "p.point", "p.inner")
+    least = points.groupBy("point").agg(F.min(F.when(F.col("inner"), F.col("fp"))).alias("least"), F.min("fp").alias("first"), F.max("fp").alias("last")).where("least is not null and first <> last").select("point", "least")
     return points.join(least, "point").where("fp <> least").select(F.col("fp").alias("src"), F.col("least").alias("dst")).distinct()
 
 
@@ -140,21 +146,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     comp = components(links(nodes.select("fp"), max_bits))
     # a component of fingerprints takes the smallest doc_id of its members
     named = nodes.join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    best = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    ids = named.select("fp", "component").join(best, "component").select("fp", "component_id")
+    named = materialize(named.select("fp", "first", "component"))
+    best = named.groupBy("component").agg(F.min("first").alias("component_id"), F.count("*").alias("k"))
+    ids = spread_join(named.select("fp", "component"), best, "component", "k", named.count()).select("fp", "component_id")
     return prints.join(ids, "fp", "left").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = 4) -> DataFrame:
-    """The rows of docs without near copies: of each group the smallest id stays, once. Rows without an id stay."""
-    found = materialize(near_duplicates(docs, id_col, text_col, shingle, max_bits))
-    kept = materialize(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")))
-    named = docs.join(kept.select(F.col("doc_id").alias(id_col)), id_col, "left_semi")
-    if not kept.where("n > 1").isEmpty():
-        named = named.dropDuplicates([id_col])
-    return named.union(docs.where(F.col(id_col).isNull())).select(docs.columns)
-
-
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 

@@ -1,30 +1,88 @@
 import corpus_pipeline as P
-from docloom.llm import common, decontaminate, langid, simhash
+import pytest
+from docloom.llm import common, decontaminate, langid, mixing, nearcopies
 
 
-def test_stages_on_whole_table(spark, sf):
-    """Each stage keeps what its operator says, of what its predecessor kept."""
-    docs = common.table(spark, sf, "documents")
-    ids = lambda d: sorted(r.doc_id for r in d.select("doc_id").collect())
-    kept = [docs]
+def ids(df):
+    return sorted(r.doc_id for r in df.select("doc_id").collect())
+
+
+@pytest.fixture(scope="module")
+def kept(spark, sf):
+    """What every stage returns, each on its predecessor's."""
+    out = [common.table(spark, sf, "documents")]
     for _, stage in P.STAGES:
-        kept.append(common.materialize(stage(spark, kept[-1], sf)))
-    assert all(k.columns == docs.columns for k in kept[:-1])
-    said = {r.doc_id for r in langid.identify_languages(docs).where("lang_pred <> 'und' and score >= 0.3").collect()}
-    assert set(ids(kept[1])) == said
-    assert ids(kept[2]) == sorted({r.component_id for r in simhash.near_duplicates(kept[1]).collect()})
-    leaks = {r.doc_id for r in decontaminate.find_leaks(kept[2], common.table(spark, sf, "benchmark")).collect()}
-    assert ids(kept[3]) == sorted(set(ids(kept[2])) - leaks) and ids(kept[4]) == ids(kept[3])
-    assert {r.doc_id: r.n_chars for r in kept[4].collect()} == {r.doc_id: len(r.text) for r in kept[4].collect()}
-    last = kept[5].collect()
-    assert {r.doc_id for r in last} <= set(ids(kept[4])) and all(r.taken == r.size * r.times > 0 for r in last)
-    assert sorted(r.doc_id for r in P.run(spark, sf).collect()) == sorted(r.doc_id for r in last)
-
-
-def test_nulls_and_empty(spark, sf):
+        out.append(common.materialize(stage(spark, out[-1], sf)))
+    return out
+
+
+def five_word_sets(rows):
+    for r in rows:
+        w = (r.text or "").lower().split()
+        yield r.doc_id, {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)}
+
+
+def test_columns_and_run(spark, sf, kept):
+    assert all(k.columns == kept[0].columns for k in kept[:-1])
+    assert kept[-1].columns == [*kept[0].columns, "size", "target", "taken", "times"]
+    assert ids(P.run(spark, sf)) == ids(kept[-1])
+
+
+def test_language_stage(kept):
+    said = {r.doc_id for r in langid.identify_languages(kept[0]).where("lang_pred <> 'und'").collect()}
+    assert set(ids(kept[1])) <= said and len(kept[1].collect()) >= 0.99 * len(said)
+    with_letters = {r.doc_id for r in kept[0].collect() if any(c.isalpha() for c in r.text or "")}
+    assert said == with_letters
+
+
+def test_near_duplicate_stage_against_brute_force(kept):
+    sets = dict(five_word_sets(kept[1].collect()))
+    label = {i: i for i in sets}
+    changed = True
+    while changed:
+        changed = False
+        for i, a in sets.items():
+            for j, b in sets.items():
+                if label[j] < label[i] and 5 * len(a & b) >= 4 * len(a | b):
+                    label[i], changed = label[j], True
+    assert ids(kept[2]) == sorted(set(label.values())) and len(kept[2].collect()) < len(sets)
+
+
+def test_decontamination_stage(spark, sf, kept):
+    """No text holds ten consecutive words of the benchmark; what goes shares a template with it."""
+    words = lambda t: "".join(c if c.isalnum() or c.isspace() else "" for c in t.lower()).split()
+    grams = {tuple(w[i : i + 10]) for r in common.table(spark, sf, "benchmark").collect() if r.text for w in [words(r.text)] for i in range(len(w) - 9)}
+    holds = lambda r: any(tuple(w[i : i + 10]) in grams for w in [words(r.text)] for i in range(len(w) - 9))
+    assert not [r.doc_id for r in kept[3].collect() if holds(r)]
+    gone = set(ids(kept[2])) - set(ids(kept[3]))
+    assert gone and gone == {r.doc_id for r in decontaminate.find_leaks(kept[2], common.table(spark, sf, "benchmark")).collect()}
+
+
+def test_private_data_stage(kept):
+    before, after = {r.doc_id: r for r in kept[3].collect()}, {r.doc_id: r for r in kept[4].collect()}
+    assert before.keys() == after.keys()
+    changed = [i for i in before if before[i].text != after[i].text]
+    assert changed and all("@" not in w or w not in after[i].text for i in changed for w in before[i].text.split() if "@" in w[1:-1] and "." in w)
+    assert all(r.n_chars == len(r.text) for r in after.values())
+
+
+def test_mixing_stage(kept):
+    told = {r.doc_id: r.taken for r in mixing.mix(kept[4]).where("taken > 0").collect()}
+    got = kept[5].collect()
+    assert {r.doc_id: r.taken for r in got} == told and all(r.taken == r.size * r.times > 0 for r in got)
+
+
+def test_nulls_repeats_clashes_and_empty(spark, sf):
     docs = common.table(spark, sf, "documents")
-    for given in (docs.limit(0), docs.selectExpr(*(f"if(doc_id % 2 = 0, null, {c}) AS {c}" for c in docs.columns))):
+    empty, odd, twice = docs.limit(0), docs.selectExpr(*(f"if(doc_id % 2 = 0, null, {c}) AS {c}" for c in docs.columns)), docs.where("doc_id < 30")
+    twice = twice.union(twice).selectExpr("*", "'clash' AS fp", "1 AS th", "2 AS node", "'t' AS target")
+    left = []
+    for given in (empty, odd, twice):
         cur = given
-        for _, stage in P.STAGES:
+        for name, stage in P.STAGES:
             cur = common.materialize(stage(spark, cur, sf))
-        assert cur.count() >= 0
+            assert cur.columns == (given.columns if name != "mixing" else [*(c for c in given.columns if c != "target"), "size", "target", "taken", "times"])
+        left.append(cur.collect())
+    assert left[0] == [] and left[1] and all(r.doc_id % 2 for r in left[1])
+    found = [r.doc_id for r in left[2]]
+    assert found and len(set(found)) == len(found) and set(found) <= set(range(30))
