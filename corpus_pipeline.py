@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from docloom.llm.common import materialize, table
 from docloom.llm.decontaminate import drop_leaks
-from docloom.llm.jaccard import keep_one_of_each
+from docloom.llm.nearcopies import keep_one_of_each
 from docloom.llm.langid import keep_identified
-from docloom.llm.mixing import mix
+from docloom.llm.mixing import keep_taken
 from docloom.llm.surrogates import replace_entities
 
 
@@ -19,7 +19,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, Jaccard similarity of 0.8 or more) the smallest doc_id stays."""
+    """Of each group of near copies (wide SimHash fingerprints, then five-word shingles of Jaccard similarity 0.8 or more)
+    the smallest doc_id stays."""
     return keep_one_of_each(docs)
 
 
@@ -34,11 +35,8 @@ def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, with size, target (of the source), taken (words) and times; a row without a
-    doc_id can't be traced and takes no part."""
-    named = docs.where("doc_id is not null")
-    taken = materialize(mix(named).where("taken > 0").select("doc_id", "size", "target", "taken", (F.col("taken") / F.col("size")).cast("int").alias("times")))
-    return named.join(taken, "doc_id")
+    """The documents that the mix takes, with size, target (of the source), taken (words) and times."""
+    return keep_taken(docs)
 
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("decontaminate", decontaminate), ("private_data", private_data), ("mixing", mixing)]
