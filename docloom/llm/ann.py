@@ -1,9 +1,10 @@
 """Approximate nearest neighbours: an inverted file of coarse centroids with product-quantised residuals.
 
 Centroids and codebooks are fitted on a bounded sample; every distinct vector is indexed: its nearest centroid's list,
-and a byte a subspace for the residual. A query probes the lists of its nearest centroids, scores their codes with
-asymmetric distance tables, and the best codes are ranked again by the exact distance of the original vectors. Lists
-and the queries that probe them are cut into blocks of bounded size, so no task gets a whole list.
+and a byte a subspace for the residual. A query goes twice: it scores the codes of its few nearest lists with asymmetric
+distance tables, and the exact distances of the best give a limit; then it probes all its lists and only codes within
+the limit leave the task, to be ranked by the exact distance of the original vectors. Lists are packed into slices and
+queries into blocks of bounded size, large lists over several slices, so no task gets more than one of each.
 """
 
 from __future__ import annotations
@@ -22,10 +23,12 @@ SAMPLE = 20_000
 MAX_LISTS = 1024
 BLOCK = 8192
 QUERY_BLOCK = 1024
-#: The share of lists a query probes: measured for recall on vectors with weak clusters; lower it for strong ones.
-PROBE = 0.6
-MIN_PROBES = 32
-RERANK = 400
+#: The nearest lists that give the limit, the codes of each that are scored for it, and of all these the ones ranked.
+FIRST, KEEP, RANKED = 16, 16, 64
+#: The share of lists a query probes: measured for recall on vectors of which half have no cluster; less will do for others.
+PROBE = 0.7
+#: How far above the limit, as squares, a code may be scored; for the error of the codes.
+SLACK = 0.05
 SUBSPACE = 4
 SEED = 11
 
@@ -64,10 +67,11 @@ class Index:
         return np.argsort(d, 1, kind="stable")[:, :n]
 
     def distances(self, q: np.ndarray, list_id: int, codes: np.ndarray) -> np.ndarray:
-        """Squared, of the query to what the codes stand for."""
-        rest, out = q - self.centroids[list_id], np.zeros(len(codes))
+        """Squared, of each query to what each code of one list stands for."""
+        rest, out = q - self.centroids[list_id], np.zeros((len(q), len(codes)))
         for j, ((a, b), book) in enumerate(zip(self.cuts, self.books)):
-            out += ((rest[a:b] - book) ** 2).sum(1)[codes[:, j]]
+            r = rest[:, a:b]
+            out += ((r**2).sum(1)[:, None] + (book**2).sum(1)[None] - 2 * r @ book.T)[:, codes[:, j]]
         return out
 
 
@@ -96,43 +100,55 @@ def _encode(index):
     return run
 
 
-def _probe(index, n):
+def _route(index, probes, slices):
+    """(query_id, q, most) batches -> a row for each slice that holds a list the query probes."""
+
     def run(batches):
-        ix = index.value
+        ix, (start, blocks) = index.value, slices
         for b in batches:
             if b.num_rows:
-                p = ix.probes(_matrix(b.column(1)), n)
-                rows = np.repeat(np.arange(b.num_rows), p.shape[1])
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), b.column(1).take(pa.array(rows)), pa.array(p.ravel().astype(np.int32))], names=["query_id", "q", "list"])
+                rows, at = [], []
+                for i, lists in enumerate(ix.probes(_matrix(b.column(1)), probes)):
+                    to = np.unique(np.concatenate([np.arange(start[x], start[x] + blocks[x]) for x in lists]))
+                    rows.append(np.full(len(to), i))
+                    at.append(to)
+                took = b.take(pa.array(np.concatenate(rows)))
+                yield pa.RecordBatch.from_arrays([*took.columns, pa.array(np.concatenate(at).astype(np.int32))], names=["query_id", "q", "most", "slice"])
+
+    return run, "query_id long, q array<double>, most double, slice int"
 
-    return run
 
+def _search(index, probes, keep):
+    """Of one slice and one block of queries: of each list its nearest codes (keep), or all within the query's limit."""
 
-def _search(index, keep):
     def run(key, codes, queries):
-        out = [[], [], []]
+        out = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
         if codes.num_rows and queries.num_rows:
-            ix, list_id = index.value, codes["list"][0].as_py()
-            ids = codes["rep"].to_numpy()
+            ix = index.value
+            ids, lists = codes["rep"].to_numpy(), codes["list"].to_numpy()
             c = np.frombuffer(b"".join(codes["code"].to_pylist()), np.uint8).reshape(len(ids), -1)
-            for query, q in zip(queries["query_id"].to_pylist(), _matrix(queries["q"])):
-                d = ix.distances(q, list_id, c)
-                if len(d) > keep:
-                    edge = np.partition(d, keep - 1)[keep - 1]
-                    near = np.flatnonzero(d <= edge)
-                    near = near[np.lexsort((ids[near], d[near]))[:keep]]
+            asked, q, most = queries["query_id"].to_numpy(), _matrix(queries["q"]), queries["most"].to_numpy()
+            probed = np.zeros((len(q), len(ix.centroids)), bool)
+            np.put_along_axis(probed, ix.probes(q, probes), True, 1)
+            for x in np.unique(lists):
+                which, at = np.flatnonzero(probed[:, x]), np.flatnonzero(lists == x)
+                if not len(which):
+                    continue
+                at = at[np.argsort(ids[at])]
+                d = ix.distances(q[which], x, c[at])
+                if keep:
+                    near = np.argsort(d, 1, kind="stable")[:, :keep]
+                    row, col = np.repeat(np.arange(len(which)), near.shape[1]), near.ravel()
                 else:
-                    near = np.arange(len(d))
-                out[0].append(np.full(len(near), query))
-                out[1].append(ids[near])
-                out[2].append(d[near])
-        kinds = (np.int64, np.int64, np.float64)
-        return pa.table({n: np.concatenate(x).astype(t) if x else np.zeros(0, t) for n, x, t in zip(("query_id", "rep", "adc"), out, kinds)})
+                    row, col = np.nonzero(d <= most[which, None])
+                for column, v in zip(out, (asked[which[row]], ids[at[col]], d[row, col])):
+                    column.append(v)
+        return pa.table({n: np.concatenate(v) for n, v in zip(("query_id", "rep", "adc"), out)})
 
-    return run
+    return run, "query_id long, rep long, adc double"
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", probe: float = PROBE, rerank: int = RERANK, sample: int = SAMPLE, max_lists: int = MAX_LISTS) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", probe: float = PROBE, first: int = FIRST, sample: int = SAMPLE, max_lists: int = MAX_LISTS) -> DataFrame:
     """query_id, rank (from 1), vec_id, score (Euclidean distance): each query's k nearest found, ties to smaller vec_id.
 
     queries has the columns of vectors; a query's own id is no candidate. Vectors that are null, zero, or hold null or
@@ -145,6 +161,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
     dim = dims.d if dims else 1
     base = base.where(F.size("v") == dim)
     asked = valid_vectors(queries, id_col, vector_col).where(F.size("v") == dim).withColumnsRenamed({"vec_id": "query_id", "v": "q"}).dropDuplicates(["query_id"])
+    asked = materialize(asked)
     # equal vectors are one entry of the index; of its ids only the k + 1 smallest can be in a result
     w = Window.partitionBy("v").orderBy("vec_id")
     ranked = base.distinct().withColumn("n", F.row_number().over(w)).where(F.col("n") <= k + 1)
@@ -154,22 +171,38 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
     fit = entries.orderBy(F.xxhash64("rep", F.lit(SEED)), "rep").limit(sample).select("v").collect()  # a sample of bounded size
     rows = np.array([r.v for r in fit]) if fit else np.zeros((1, dim))
     index = spark.sparkContext.broadcast(Index(rows, n, max_lists))
-    n_lists = len(index.value.centroids)
-    probes = min(n_lists, max(MIN_PROBES, math.ceil(probe * n_lists)))
     codes = materialize(entries.mapInArrow(_encode(index), "rep long, list int, code binary"))
-    wanted = materialize(asked.mapInArrow(_probe(index, probes), "query_id long, q array<double>, list int"))
-    # one row a list: how many blocks its codes and its queries make
-    grid = codes.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).join(wanted.groupBy("list").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("query_blocks")), "list")
-    spread = lambda col: F.explode(F.sequence(F.lit(0), F.col(col) - 1))
-    c = codes.join(grid, "list").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int")).withColumn("query_block", spread("query_blocks")).select("list", "block", "query_block", "rep", "code")
-    q = wanted.join(grid, "list").withColumn("query_block", F.pmod(F.xxhash64("query_id"), "query_blocks").cast("int")).withColumn("block", spread("blocks")).select("list", "block", "query_block", "query_id", "q")
-    keys = ["list", "block", "query_block"]
-    scored = c.groupBy(*keys).cogroup(q.groupBy(*keys)).applyInArrow(_search(index, rerank), "query_id long, rep long, adc double")
-    best = scored.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy("adc", "rep"))).where(F.col("r") <= rerank).select("query_id", "rep")
+    # lists are packed into slices of BLOCK codes or fewer; larger ones take several
+    n_lists = len(index.value.centroids)
+    counts = {r.list: r.n for r in codes.groupBy("list").agg(F.count("*").alias("n")).collect()}  # a row a list: max_lists at most
+    start, blocks, at, room = np.zeros(n_lists, np.int64), np.ones(n_lists, np.int64), -1, 0
+    for x in range(n_lists):
+        m = counts.get(x, 0)
+        if m > room:
+            blocks[x] = -(-m // BLOCK)
+            at, room = at + 1, blocks[x] * BLOCK
+        start[x], room = max(at, 0), room - m
+        if blocks[x] > 1:
+            at, room = at + int(blocks[x]) - 1, 0
+    where = spark.createDataFrame([(x, int(start[x]), int(blocks[x])) for x in range(n_lists)], "list int, start int, blocks int")
+    n_blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    placed = codes.join(F.broadcast(where), "list").withColumn("slice", (F.col("start") + F.pmod(F.xxhash64("rep"), "blocks")).cast("int"))
+    placed = placed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).select("slice", "block", "rep", "list", "code")
+
+    def scored(given, probes, keep):
+        routed = given.mapInArrow(*_route(index, probes, (start, blocks))).withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).cast("int"))
+        return placed.groupBy("slice", "block").cogroup(routed.groupBy("slice", "block")).applyInArrow(*_search(index, probes, keep))
+
     exact = F.sqrt(F.aggregate(F.zip_with("q", "v", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
-    scored = best.join(entries, "rep").join(asked, "query_id").select("query_id", "rep", exact.alias("score"))
+    ranked = lambda found: found.join(entries, "rep").join(asked, "query_id").select("query_id", "rep", exact.alias("score"))
+    some = scored(asked.withColumn("most", F.lit(0.0)), min(n_lists, first), KEEP)
+    some = materialize(some.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy("adc", "rep"))).where(F.col("r") <= max(RANKED, k + 1)).select("query_id", "rep"))
+    # the query itself may be among them, so the limit is the distance of one more
+    nth = ranked(some).withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "rep"))).where(F.col("r") == k + 1)
+    limits = materialize(asked.join(nth.select("query_id", "score"), "query_id", "left").select("query_id", "q", F.coalesce(F.col("score") * F.col("score") * (1 + SLACK), F.lit(float("inf"))).alias("most")))
+    found = scored(limits, min(n_lists, max(first, math.ceil(probe * n_lists))), 0).select("query_id", "rep").union(some).distinct()
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    top = scored.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "rep"))).where(F.col("r") <= k + 1)
+    top = ranked(found).withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "rep"))).where(F.col("r") <= k + 1)
     out = top.join(members.select("rep", "vec_id"), "rep").where("vec_id <> query_id")
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
