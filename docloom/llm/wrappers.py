@@ -8,9 +8,11 @@ from slots, and where the slots of the article are; a page then yields the text
 
 from __future__ import annotations
 
+import bisect
 import html as html_lib
 import json
 import re
+from collections import Counter
 
 import pyarrow as pa
 import xxhash
@@ -32,12 +34,19 @@ CLOSES = {"p": frozenset({"p"}), "li": frozenset({"li"}), "dt": frozenset({"dt",
 KEEPS_P = frozenset({"td", "th", "body", "html"})
 #: What is never main text, by element and by words in class, id or role.
 OUT_TAGS = frozenset("head nav header footer aside form menu dialog search".split())
-OUT_WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navigation navbar menu sidebar aside footer header masthead breadcrumb breadcrumbs pagination pager comment comments reply replies disqus respond cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended widget toolbar complementary contentinfo alert tags".split())
+OUT_WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navigation navbar menu sidebar aside footer header masthead breadcrumb breadcrumbs pagination pager comment comments reply replies disqus respond cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe subscription signup login complementary contentinfo".split())
+#: Words that only hint at it: of such an element the blocks go that are mostly links.
+HINT_WORDS = frozenset("share sharing social related recommended widget toolbar alert tags".split())
 IN_WORDS = frozenset("article articlebody content post entry story main body text".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|[^<]+|<", re.S)
 _ATTRIBUTE = re.compile(r"(?:^|[\s\"'])(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
 _MAX_PERIOD = 6
+#: Sequences whose product of lengths is above this are aligned between anchors only.
+MOST_CELLS = 250_000
+#: Text that so many pages of a host have at one place, all of them, is text of the template; of fewer words it may as
+#: well be a heading that articles share ("Summary"), so it stays.
+TEMPLATE_PAGES, TEMPLATE_WORDS = 4, 4
 #: Elements nested deeper belong to the expression's element at this depth; their text stays, and what is left out stays out.
 MAX_DEPTH = 200
 
@@ -58,13 +67,14 @@ def is_out(sig: str) -> bool:
 class Node:
     """A group of the expression: its open tag's signature ('' for a bare group), parts, text slot and multiplicity."""
 
-    __slots__ = ("sig", "parts", "text", "plain", "linked", "many", "maybe")
+    __slots__ = ("sig", "parts", "text", "plain", "linked", "many", "maybe", "pages", "shared")
 
-    def __init__(self, sig, parts=(), text=None, plain=0, linked=0, many=False, maybe=False):
+    def __init__(self, sig, parts=(), text=None, plain=0, linked=0, many=False, maybe=False, pages=1, shared=()):
         self.sig, self.parts, self.text, self.plain, self.linked, self.many, self.maybe = sig, list(parts), text, plain, linked, many, maybe
+        self.pages, self.shared = pages, set(shared)  # pages that have the group, and the hashes of texts that all of them have in it
 
     def dump(self):
-        return [self.sig, [p.dump() for p in self.parts], self.text, self.plain, self.linked, self.many, self.maybe]
+        return [self.sig, [p.dump() for p in self.parts], self.text, self.plain, self.linked, self.many, self.maybe, self.pages, sorted(self.shared)]
 
     @classmethod
     def load(cls, x):
@@ -75,8 +85,8 @@ class Node:
 VARIES = "*"
 
 
-def parse(page: str) -> tuple[Node, list[tuple[tuple[str, ...], str]]]:
-    """The page as nested tags, and its blocks in order: (signatures of the open elements, raw text)."""
+def parse(page: str) -> tuple[Node, list[tuple[tuple[str, ...], str, bool]]]:
+    """The page as nested tags, and its blocks in order: (signatures of the open elements, raw text, mostly links)."""
     root = Node("")
     stack, path, blocks = [("", root, ())], (), []
     text, link, plain, linked, open_ended = [], 0, 0, 0, set()
@@ -86,10 +96,12 @@ def parse(page: str) -> tuple[Node, list[tuple[tuple[str, ...], str]]]:
         if text:
             raw = "".join(text)
             if not raw.isspace():
-                blocks.append((path, raw))
+                blocks.append((path, raw, 0 < plain <= 2 * linked))
                 node = stack[-1][1]
-                value = xxhash.xxh32_hexdigest(raw.strip())
+                value = xxhash.xxh32_hexdigest(_clean(raw))
                 node.text = value if node.text in (None, value) else VARIES
+                if raw.strip().count(" ") >= TEMPLATE_WORDS - 1:
+                    node.shared.add(value)
                 node.plain += plain
                 node.linked += linked
             text, plain, linked = [], 0, 0
@@ -158,36 +170,75 @@ def parse(page: str) -> tuple[Node, list[tuple[tuple[str, ...], str]]]:
     return root, blocks
 
 
-def merge(a: Node, b: Node) -> Node:
-    """The expression that fits whatever one of two fits."""
+def merge(a: Node, b: Node, one_page: bool = False) -> Node:
+    """The expression that fits whatever one of two fits; of two stretches of one page or of different pages."""
     text = a.text if a.text == b.text else VARIES
-    return Node(a.sig, align(a.parts, b.parts), text, a.plain + b.plain, a.linked + b.linked, a.many or b.many, a.maybe or b.maybe)
-
-
-def align(x: list[Node], y: list[Node]) -> list[Node]:
-    """Parts in order: those of both (the longest common sequence of signatures), and as optional those of one."""
-    if [p.sig for p in x] == [p.sig for p in y]:
-        return [merge(p, q) for p, q in zip(x, y)]
-    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    for i in range(len(x) - 1, -1, -1):
-        for j in range(len(y) - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if x[i].sig == y[j].sig and x[i].sig else max(best[i + 1][j], best[i][j + 1])
-    out, i, j = [], 0, 0
-    while i < len(x) or j < len(y):
-        if i < len(x) and j < len(y) and x[i].sig == y[j].sig and x[i].sig:
-            out.append(merge(x[i], y[j]))
-            i, j = i + 1, j + 1
-        else:
-            if j == len(y) or i < len(x) and best[i + 1][j] >= best[i][j + 1]:
-                p, i = x[i], i + 1
+    pages, shared = (max(a.pages, b.pages), a.shared | b.shared) if one_page else (a.pages + b.pages, a.shared & b.shared)
+    return Node(a.sig, align(a.parts, b.parts, one_page), text, a.plain + b.plain, a.linked + b.linked, a.many or b.many, a.maybe or b.maybe, pages, shared)
+
+
+def matched(x: list[str], y: list[str]) -> list[tuple[int, int]]:
+    """Places of a longest common sequence of two lists of signatures; '' matches nothing. Above MOST_CELLS: the longest
+    sequence of signatures that are single in both, and the same again between these; what has no such anchor is left."""
+    a = 0
+    while a < min(len(x), len(y)) and x[a] == y[a] and x[a]:
+        a += 1
+    e = 0
+    while e < min(len(x), len(y)) - a and x[-1 - e] == y[-1 - e] and x[-1 - e]:
+        e += 1
+    head, tail = [(i, i) for i in range(a)], [(len(x) - i, len(y) - i) for i in range(e, 0, -1)]
+    u, v = x[a : len(x) - e], y[a : len(y) - e]
+    if len(u) * len(v) <= MOST_CELLS:
+        best = [[0] * (len(v) + 1) for _ in range(len(u) + 1)]
+        for i in range(len(u) - 1, -1, -1):
+            for j in range(len(v) - 1, -1, -1):
+                best[i][j] = best[i + 1][j + 1] + 1 if u[i] == v[j] and u[i] else max(best[i + 1][j], best[i][j + 1])
+        mid, i, j = [], 0, 0
+        while i < len(u) and j < len(v):
+            if u[i] == v[j] and u[i]:
+                mid.append((i, j))
+                i, j = i + 1, j + 1
+            elif best[i + 1][j] >= best[i][j + 1]:
+                i += 1
             else:
-                p, j = y[j], j + 1
+                j += 1
+    else:
+        once_u, once_v = ({s: i for i, s in enumerate(w) if n[s] == 1 and s} for w, n in ((u, Counter(u)), (v, Counter(v))))
+        ends, back, spots = [], {}, []
+        for i, j in sorted((i, once_v[s]) for s, i in once_u.items() if s in once_v):
+            k = bisect.bisect_left(ends, j)
+            ends[k:], spots[k:] = [j, *ends[k + 1 :]], [(i, j), *spots[k + 1 :]]
+            back[i, j] = spots[k - 1] if k else None
+        anchors, at = [], spots[-1] if spots else None
+        while at:
+            anchors.append(at)
+            at = back[at]
+        mid, i0, j0 = [], 0, 0
+        for i, j in [*anchors[::-1], *([(len(u), len(v))] if anchors else [])]:
+            mid += [(i0 + p, j0 + q) for p, q in matched(u[i0:i], v[j0:j])]
+            if i < len(u):
+                mid.append((i, j))
+            i0, j0 = i + 1, j + 1
+    return [*head, *((a + i, a + j) for i, j in mid), *tail]
+
+
+def align(x: list[Node], y: list[Node], one_page: bool = False) -> list[Node]:
+    """Parts in order: those of both, and as optional those of one."""
+    pairs = matched([p.sig for p in x], [p.sig for p in y])
+    if len(pairs) == len(x) == len(y):
+        return [merge(p, q, one_page) for p, q in zip(x, y)]
+    out, i, j = [], 0, 0
+    for a, b in [*pairs, (len(x), len(y))]:
+        for p in [*x[i:a], *y[j:b]]:
             p.maybe = True
             out.append(p)
-    return fold(out)
+        if a < len(x):
+            out.append(merge(x[a], y[b], one_page))
+        i, j = a + 1, b + 1
+    return fold(out, one_page)
 
 
-def fold(parts: list[Node]) -> list[Node]:
+def fold(parts: list[Node], one_page: bool = True) -> list[Node]:
     """Neighbouring stretches of the same tags become one repeated group."""
     for k in range(1, _MAX_PERIOD + 1):
         out: list[Node] = []
@@ -197,67 +248,105 @@ def fold(parts: list[Node]) -> list[Node]:
                 last = out[-k:]
                 del out[-k:]
                 for i, q in enumerate(last):
-                    g = merge(out[-k + i], q)
+                    g = merge(out[-k + i], q, True) if one_page else _beside(out[-k + i], q)
                     g.many = True
                     out[-k + i] = g
         parts = out
     return parts
 
 
+def _beside(a: Node, b: Node) -> Node:
+    """Groups that different pages brought into one place: whether a page had both is not known, so neither's texts
+    count as every page's unless both have them."""
+    g = merge(a, b, True)
+    g.shared, g.pages = a.shared & b.shared, max(a.pages, b.pages)
+    return g
+
+
 def fold_all(node: Node) -> Node:
     node.parts = fold([fold_all(p) for p in node.parts])
     return node
 
 
-def main_places(root: Node) -> list[list[str]]:
-    """Where main text is, best first: paths of signatures. Elements made for articles, then elements named for
-    them, then the deepest one that has most of the text slots' plain text."""
-    by_tag, by_name = [], []
+def _tag(sig: str) -> str:
+    return sig.split(" ", 1)[0]
+
 
-    def walk(node, path):
-        for p in node.parts:
-            if is_out(p.sig):
-                continue
-            here = [*path, p.sig]
-            tag, *words = p.sig.split(" ")
-            if tag in ("article", "main") or "articlebody" in words:
-                by_tag.append((tag != "article", len(by_tag), here))
-            elif tag in ("div", "section", "td") and not IN_WORDS.isdisjoint(words):
-                by_name.append(here)
-            walk(p, here)
+def _hinted(sig: str) -> bool:
+    return not HINT_WORDS.isdisjoint(sig.split(" ")[1:])
+
+
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+
+
+def read_rules(root: Node) -> dict:
+    """What an expression says of the main text: places (paths of signatures) and the hashes of texts of the template.
+
+    The weight of a group is the plain text of its slots, without links; text that is the same on all pages is no slot
+    (unless there is one page, or nothing varies). From the root the way goes down while one group has four fifths of
+    the weight, beside varying headings, which are places too; it ends at an article or main element. Where several
+    groups share the weight, those made or named for articles are taken if they have half of it, else all.
+    """
+    slots_only = root.pages > 1
+
+    def own(node):
+        if slots_only and node.text not in (VARIES, None):
+            return 0
+        return max(0, node.plain - 2 * node.linked)
 
     def weight(node):
-        own = max(0, node.plain - 2 * node.linked) if node.text == VARIES or node.plain > 200 else 0
-        return own + sum(weight(p) for p in node.parts if not is_out(p.sig))
+        w = own(node) + sum(weight(p) for p in node.parts if not is_out(p.sig))
+        return w / 2 if _hinted(node.sig) else w
 
-    walk(root, [])
-    out = [h for _, _, h in sorted(by_tag, key=lambda x: x[:2])]
-    out += by_name
-    node, path = root, []
+    if not weight(root):
+        slots_only = False
+    node_group, path, extra = [root], [], []
     while True:
-        parts = [(weight(p), p) for p in node.parts if not is_out(p.sig)]
-        whole = weight(node)
-        heavy = max(parts, key=lambda x: x[0], default=(0, None))
-        # a repeated paragraph is not a place of its own: stop above it
-        if heavy[1] is None or not whole or heavy[0] < 0.8 * whole or heavy[1].many or not heavy[1].parts:
+        whole, kids = sum(map(weight, node_group)), {}
+        for node in node_group:
+            for p in node.parts:
+                if not is_out(p.sig):
+                    kids.setdefault(p.sig, []).append(p)
+        heavy = {sig: sum(map(weight, g)) for sig, g in kids.items()}
+        here = _tag(path[-1]) if path else ""
+        if here in ("article", "main") or not whole or not heavy:
+            break
+        main = next((sig for sig in heavy if (_tag(sig) == "main" or "articlebody" in sig.split(" ")[1:]) and 3 * heavy[sig] >= whole), None)
+        best = main or max(heavy, key=lambda sig: (heavy[sig], _tag(sig) == "article", not IN_WORDS.isdisjoint(sig.split(" ")[1:]), sig))
+        if not main and (5 * heavy[best] < 4 * whole or not any(p.parts for p in kids[best])):
             break
-        node = heavy[1]
-        path.append(node.sig)
-    return [*out, path]
+        extra += [[*path, sig] for sig in kids if _tag(sig) in _HEADINGS and heavy[sig] and sig != best]
+        path, node_group = [*path, best], kids[best]
+    places = [path]
+    if path == [] or _tag(path[-1]) not in ("article", "main"):
+        meant = [sig for sig in heavy if _tag(sig) in ("article", "main") or _tag(sig) in ("div", "section", "td") and not IN_WORDS.isdisjoint(sig.split(" ")[1:])]
+        if meant and 2 * sum(heavy[sig] for sig in meant) >= whole > 0:
+            places = [[*path, sig] for sig in kids if sig in meant or _tag(sig) in _HEADINGS and heavy[sig]]
+    fixed, todo = set(), [root]
+    while todo:
+        node = todo.pop()
+        if node.pages >= TEMPLATE_PAGES and 5 * node.pages >= 4 * root.pages:
+            fixed |= node.shared
+        todo += node.parts
+    return {"places": [*extra, *places], "fixed": sorted(fixed)}
 
 
 def _clean(raw: str) -> str:
     return " ".join(html_lib.unescape(raw).split())
 
 
-def take(blocks, places: list[list[str]]) -> str | None:
-    """The text under the first place that has any; nested and excluded elements left out by their signatures."""
-    for place in places:
-        n, want = len(place), tuple(place)
-        got = [c for path, raw in blocks if path[:n] == want and not any(map(is_out, path[n:])) and (c := _clean(raw))]
-        if got:
-            return "\n".join(got)
-    return None
+def take(blocks, rules: dict) -> str | None:
+    """The text under the places, in page order, without what its element leaves out and links that its element's name
+    hints at; texts of the template go too, if they are the smaller part of it."""
+    places, fixed, got = [tuple(x) for x in rules["places"]], set(rules["fixed"]), []
+    for path, raw, links in blocks:
+        n = max((len(x) for x in places if path[: len(x)] == x), default=-1)
+        if n >= 0 and not any(map(is_out, path[n:])) and not (links and any(map(_hinted, path[n:]))) and (c := _clean(raw)):
+            got.append(c)
+    own = [c for c in got if xxhash.xxh32_hexdigest(c) not in fixed] if fixed else got
+    if 2 * sum(map(len, own)) < sum(map(len, got)):
+        own = got
+    return "\n".join(own) if own else None
 
 
 def _learn(batches):
@@ -299,12 +388,12 @@ def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html
 
 def _places(batches):
     for b in batches:
-        found = [json.dumps(main_places(Node.load(json.loads(w)))) for w in b.column(1).to_pylist()]
+        found = [json.dumps(read_rules(Node.load(json.loads(w)))) for w in b.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.string())], names=["host", "places"])
 
 
 def _extract(batches):
-    known: dict[str, list] = {}
+    known: dict[str, dict] = {}
     for b in batches:
         texts = []
         for page, places in zip(b.column(2), b.column(3).to_pylist()):
@@ -315,7 +404,7 @@ def _extract(batches):
                     known[places] = json.loads(places)
                 text = take(blocks, known[places]) if places else None
                 if text is None:
-                    text = take(blocks, main_places(fold_all(root))) or ""
+                    text = take(blocks, read_rules(fold_all(root))) or ""
                 if len(known) > 5000:
                     known.clear()
             texts.append(text)
@@ -326,8 +415,10 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     """One row a page: page_id, url, text (blocks joined by a line break), n_chars (code points).
 
     Null and empty html give an empty text; a null url or one without a host belongs to the host ''; a page that its
-    host's wrapper does not fit is read by its own expression; repeated pages stay repeated; an empty table gives an
-    empty result; other columns are not read.
+    host's wrapper does not fit is read by its own expression; pages of any length are read whole; repeated pages stay
+    repeated; an empty table gives an empty result; other columns are not read. The rules rest on sums over a host's
+    pages and on texts that all of them have, so tasks may align them in any order; only optional groups that stand in
+    another order on other pages can make a difference.
     """
     places = materialize(infer_wrappers(pages, url_col, html_col).mapInArrow(_places, "host string, places string"))
     asked = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host"))

@@ -1,3 +1,5 @@
+import random
+
 from docloom.llm import wrappers as W
 
 PAGE = """<html><head><title>t</title><style>p{{}}</style></head><body><nav><a href=/>Home</a></nav>
@@ -40,7 +42,7 @@ def test_elements_that_are_not_raw_text():
     """An unclosed button, select, svg or template cuts nothing; math and object keep their text."""
     def read(html):
         root, blocks = W.parse(html)
-        return W.take(blocks, W.main_places(W.fold_all(root)))
+        return W.take(blocks, W.read_rules(W.fold_all(root)))
 
     for tag in ("button", "select", "svg", "template", "object", "math"):
         assert read(f"<nav><{tag}></nav><article><p>one</p><p>two</p></article>") == "one\ntwo"
@@ -49,3 +51,63 @@ def test_elements_that_are_not_raw_text():
     assert read("<button><article><p>one</p></article><button>b</button>") == "one"
     assert read("<article><p>sum <math><mi>x</mi><mo>+</mo><mn>1</mn></math> <object data=a>see a</object></p></article>") == "sum x+1 see a"
     assert read("<article><p>one</p><script>var x = 1;</article>") == "one"
+
+
+def texts(spark, pages, n=1):
+    df = spark.createDataFrame([(i, "http://h.org/x", p) for i, p in enumerate(pages)], "page_id long, url string, html string").repartition(n)
+    return {r.page_id: r.text for r in W.extract_main_text(df).collect()}
+
+
+def test_words_in_class_only_hint(spark):
+    body = '<nav><a href=/>n</a></nav><article><h1>T {0}</h1><section class="related-work"><p>Work {0} of others</p></section><p class="share">We share {0}</p><p>See <math>x={0}</math> and</p><p class=share><a href=/s>Share this</a></p></article>'
+    got = texts(spark, [body.format(i) for i in range(6)], 2)
+    assert got == {i: f"T {i}\nWork {i} of others\nWe share {i}\nSee x={i} and" for i in range(6)}
+
+
+def test_text_of_the_template_goes(spark):
+    body = "<main><h1>T {0}</h1><p>Long text {0} of this page</p><p>Read our other pages!</p><p>End {0}</p></main><footer>f</footer>"
+    assert texts(spark, [body.format(i) for i in range(6)], 3) == {i: f"T {i}\nLong text {i} of this page\nEnd {i}" for i in range(6)}
+    same = "<article><p>one and the same</p><p>on all pages</p></article>"
+    assert set(texts(spark, [same] * 6).values()) == {"one and the same\non all pages"}
+
+
+def test_place_with_the_weight_of_the_slots(spark):
+    long = "many words of number {0} " * 20
+    teaser = "<article>teaser {0}</article><main><h1>T {0}</h1><div><p>" + long + "</p></div></main>"
+    assert all(t.startswith(f"T {i}\nmany words of number {i}") for i, t in texts(spark, [teaser.format(i) for i in range(5)]).items())
+    twins = "<div class=post><p>first {0}</p></div>".replace("div", "article") + '<article class="post featured"><p>second {0}</p></article><div><p>x</p></div>'
+    assert texts(spark, [twins.format(i) for i in range(5)]) == {i: f"first {i}\nsecond {i}" for i in range(5)}
+    beside = "<body><main><h1>T {0}</h1><article><p>" + long + "</p></article></main></body>"
+    assert all(t.startswith(f"T {i}\n") for i, t in texts(spark, [beside.format(i) for i in range(5)]).items())
+    plain = "<div id=top><p>Site</p></div><div id=x><h2>T {0}</h2><p>" + long + "</p><p>more {0}</p></div><div id=low><p>Imprint</p></div>"
+    assert all(t.startswith(f"T {i}\n") and t.endswith(f"more {i}") for i, t in texts(spark, [plain.format(i) for i in range(5)]).items())
+
+
+def test_layout_makes_no_difference(spark):
+    pages = [page(i, f"<p>more {i}</p>" * (i % 3) + ("<ol><li>x</li></ol>" if i % 4 == 0 else "")) for i in range(24)]
+    assert texts(spark, pages, 1) == texts(spark, pages, 7)
+
+
+def longest(x, y):
+    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    for i, a in enumerate(x):
+        for j, b in enumerate(y):
+            best[i + 1][j + 1] = best[i][j] + 1 if a == b and a else max(best[i][j + 1], best[i + 1][j])
+    return best[-1][-1]
+
+
+def test_alignment_against_all_sequences(monkeypatch):
+    rng = random.Random(3)
+    for cells in (W.MOST_CELLS, 9):
+        monkeypatch.setattr(W, "MOST_CELLS", cells)
+        for _ in range(300):
+            x, y = ([rng.choice(["p", "h2", "ul", "div a", "", "pre"]) for _ in range(rng.randint(0, 12))] for _ in range(2))
+            got = W.matched(x, y)
+            assert all(x[i] == y[j] and x[i] for i, j in got) and got == sorted(got) and len({i for i, _ in got}) == len({j for _, j in got}) == len(got)
+            assert len(got) == longest(x, y) or cells == 9
+
+
+def test_many_unlike_elements_are_aligned_in_bounded_time():
+    x = [f"div a{i}" for i in range(50_000)]
+    y = [s for i, s in enumerate(x) if i % 7] + ["p"] * 10
+    assert len(W.matched(x, y)) == sum(1 for i in range(50_000) if i % 7)
