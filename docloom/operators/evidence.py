@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.text import words
-from docloom.operators.lines import line_spans
+from docloom.operators.lines import text_lines
 from docloom.sources.tables import read_table as T
 
 #: Rules for lines, first match wins; patterns that Java and RE2 read alike. Fixed values.
@@ -22,9 +22,8 @@ def routed(lines: DataFrame, text: str, rules: list[tuple[str, str]] = RULES, ot
 
 
 def document_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_start, line): the lines of line_spans with their text."""
-    spans = line_spans(docs.select(F.struct("doc_id", "text").alias("k"), "text"), "k")
-    return spans.select("k.doc_id", "line_start", F.expr("substring(k.text, int(line_start) + 1, int(line_end - line_start))").alias("line"))
+    """(doc_id, line_start, line): the lines of texts."""
+    return text_lines(docs).select("doc_id", "line_start", "line")
 
 
 def routed_line_kinds(spark, sf):

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.operators.lines import line_spans
+from docloom.operators.lines import text_lines
 from docloom.sources.tables import read_table as T
 
 #: The longest start of a text that ends with a sentence and its spaces, or with a space.
@@ -129,7 +129,7 @@ def greedy_windows(units: DataFrame, key: str, start: str, end: str, most: int,
 
 def line_pieces(docs: DataFrame, most: int) -> DataFrame:
     """The lines of documents; one above the budget is cut."""
-    lines = line_spans(docs.select(F.struct("doc_id", "text").alias("k"), "text"), "k").select("k.doc_id", F.expr("substring(k.text, int(line_start) + 1, int(line_end - line_start))").alias("line"), "line_start")
+    lines = text_lines(docs).select("doc_id", "line", "line_start")
 
     @F.pandas_udf("array<struct<a:bigint,b:bigint>>")
     def cut(texts: pd.Series) -> pd.Series:

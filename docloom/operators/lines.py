@@ -2,22 +2,55 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from docloom.functions.text import BLANK, fold_spaces, strip_blank, words
+from docloom.functions.text import fold_spaces, words
 from docloom.sources.tables import read_table as T
 
 
+_BLANKS = " \t\r\x0b\x0c"
+_MOST_ROWS = 50_000
+
+
+def text_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, line_start, line_end, line) of every non-blank line, without the blanks around it. Null texts have no lines.
+
+    One pass over each text; what leaves it are its lines, never the text itself, in batches of bounded size.
+    """
+    kind = docs.select(key).schema[0].dataType
+
+    def run(batches):
+        for b in batches:
+            took, starts, ends, lines = [], [], [], []
+            for i, t in enumerate(b.column(1)):
+                at = 0
+                for line in (t.as_py() or "").split("\n"):
+                    body = line.strip(_BLANKS)
+                    if body:
+                        a = at + len(line) - len(line.lstrip(_BLANKS))
+                        took.append(i)
+                        starts.append(a)
+                        ends.append(a + len(body))
+                        lines.append(body)
+                    at += len(line) + 1
+                    if len(took) >= _MOST_ROWS:
+                        yield _batch(b, took, starts, ends, lines)
+                        took, starts, ends, lines = [], [], [], []
+            yield _batch(b, took, starts, ends, lines)
+
+    def _batch(b, took, starts, ends, lines):
+        keys = b.column(0).take(pa.array(took, pa.int64()))
+        return pa.RecordBatch.from_arrays([keys, pa.array(starts, pa.int64()), pa.array(ends, pa.int64()), pa.array(lines, pa.string())], names=[key, "line_start", "line_end", "line"])
+
+    return docs.select(key, text).mapInArrow(run, StructType([StructField(key, kind), StructField("line_start", LongType()), StructField("line_end", LongType()), StructField("line", StringType())]))
+
+
 def line_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, line_start, line_end) of every non-blank line, without the blanks around it. Null texts have no lines."""
-    pieces = F.split(F.col(text), "\n", -1)
-    lengths = F.transform(pieces, F.length)
-    lines = F.transform(pieces, lambda x, i: F.struct(x.alias("line"), (F.aggregate(F.slice(lengths, F.lit(1), i), F.lit(0), lambda a, n: a + n) + i).alias("at")))
-    rows = docs.select(key, F.explode(lines).alias("l")).select(key, "l.line", "l.at")
-    lead = F.length("line") - F.length(F.regexp_replace("line", rf"^{BLANK}+", ""))
-    body = strip_blank(F.col("line"))
-    return rows.where(body != "").select(key, (F.col("at") + lead).cast("bigint").alias("line_start"), (F.col("at") + lead + F.length(body)).cast("bigint").alias("line_end"))
+    """(key, line_start, line_end) of text_lines."""
+    return text_lines(docs, key, text).drop("line")
 
 
 _LINES_SQL = r"""

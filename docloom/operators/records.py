@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+from dataclasses import dataclass
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions.text import typed_integer, typed_number
@@ -57,12 +61,215 @@ def export_nested_rows(spark, sf):
     return nested_orders(spark, sf).select("o_orderkey", "o_orderstatus", F.explode_outer("lines").alias("l")).select("o_orderkey", "o_orderstatus", "l.l_linenumber", "l.l_partkey", "l.l_quantity")
 
 
-QUERIES = {f.__name__: f for f in (leaves_of_json, conform_json, event_counts_by_type, export_root_rows, export_nested_rows)}
+@dataclass(frozen=True)
+class Field:
+    """A field of a record's schema: string, integer, number, boolean, object (fields), or an array of scalars (items) or
+    of objects (fields)."""
+
+    name: str
+    kind: str
+    fields: tuple[Field, ...] = ()
+    items: str | None = None
+
+
+_TYPES = {"string": "string", "integer": "bigint", "number": "double", "boolean": "boolean"}
+_LIKE = {"string": "STRING", "integer": "BIGINT", "number": "(BIGINT|DOUBLE|FLOAT|DECIMAL.*)", "boolean": "BOOLEAN"}
+
+
+def _is(v: Column, kind: str) -> Column:
+    """Whether a variant has this kind; objects and arrays by the start of their type's name."""
+    return F.call_function("schema_of_variant", v).rlike(f"^({kind})")
+
+
+def _scalar(v: Column, kind: str) -> Column:
+    value = F.try_variant_get(v, "$", _TYPES[kind])
+    kept = F.when(F.trim(value) != "", value) if kind == "string" else value
+    return F.when(_is(v, _LIKE[kind] + "$"), kept)
+
+
+def _member(v: Column, name: str) -> Column:
+    return F.try_variant_get(v, "$['" + name.replace("'", "\\'") + "']", "variant")
+
+
+def _conformed(v: Column, field: Field) -> Column:
+    if field.kind == "object":
+        return F.when(_is(v, "OBJECT"), conformed(v, field.fields))
+    if field.kind == "array":
+        items = F.when(_is(v, "ARRAY"), F.try_variant_get(v, "$", "array<variant>"))
+        if field.items:
+            kept = F.filter(F.transform(items, lambda x: _scalar(x, field.items)), lambda x: x.isNotNull())
+        else:
+            kept = F.transform(F.filter(items, lambda x: x.isNotNull() & _is(x, "OBJECT")), lambda x: conformed(x, field.fields))
+        return F.when(F.size(kept) > 0, kept)
+    return _scalar(v, field.kind)
+
+
+def conformed(v: Column, fields: tuple[Field, ...]) -> Column:
+    """A variant restricted to a schema, as a struct in the schema's order: unknown keys go; missing, blank and mistyped
+    values are null; items of a list that are null, blank or no objects are dropped; empty lists are null."""
+    return F.struct(*(_conformed(_member(v, f.name), f).alias(f.name) for f in fields))
+
+
+def conform_nested(df: DataFrame, column: str, fields: tuple[Field, ...]) -> DataFrame:
+    """The JSON text of a column as a struct of the schema; what is no JSON object has all fields null."""
+    return df.withColumn(column, conformed(F.try_parse_json(column), fields))
+
+
+def value_at(record: Column, path: tuple[str | int, ...]) -> Column:
+    """The value at a path of names and list places; null where there is none."""
+    for step in path:
+        record = F.get(record, F.lit(step)) if isinstance(step, int) else record[step]
+    return record
+
+
+def _item_leaves(items: Column, field: Field, path: Column) -> Column:
+    at = lambda i: F.concat(path, F.lit("."), i.cast("string"))
+    if field.fields:
+        return F.flatten(F.transform(items, lambda x, i: nested_leaves(x, field.fields, at(i))))
+    return F.transform(items, lambda x, i: F.struct(at(i).alias("path"), x.cast("string").alias("value")))
+
+
+def nested_leaves(record: Column, fields: tuple[Field, ...], at: Column | None = None) -> Column:
+    """Array of (path, value) of the leaves that are filled, in schema order; list places stand in the path."""
+    out = []
+    for f in fields:
+        path = F.lit(f.name) if at is None else F.concat(at, F.lit("." + f.name))
+        v, empty = record[f.name], F.array().cast("array<struct<path:string,value:string>>")
+        if f.kind == "object":
+            found = nested_leaves(v, f.fields, path)
+        elif f.kind == "array":
+            found = _item_leaves(v, f, path)
+        else:
+            found = F.when(v.isNotNull(), F.array(F.struct(path.alias("path"), v.cast("string").alias("value"))))
+        out.append(F.coalesce(found, empty))
+    return F.concat(*out)
+
+
+def _members(records: Column, name: str) -> Column:
+    return F.transform(records, lambda x: x[name])
+
+
+def _most(df: DataFrame, column: str, fields: tuple[Field, ...]) -> dict[tuple[str, ...], int]:
+    """The largest size of every list of objects, lists inside lists included; one pass, one row back."""
+    sizes = {}
+
+    def walk(levels: Column, fs, path):
+        for f in fs:
+            here = (*path, f.name)
+            values = _members(levels, f.name)
+            if f.kind == "object":
+                walk(values, f.fields, here)
+            elif f.kind == "array" and f.fields:
+                sizes[here] = F.array_max(F.transform(values, lambda x: F.greatest(F.size(x), F.lit(0))))
+                walk(F.flatten(F.filter(values, lambda x: x.isNotNull())), f.fields, here)
+
+    walk(F.array(column), fields, ())
+    names = {path: f"s{i}" for i, path in enumerate(sizes)}
+    row = df.agg(*(F.coalesce(F.max(c), F.lit(0)).alias(names[p]) for p, c in sizes.items())).first() if sizes else {}
+    return {p: row[n] for p, n in names.items()}
+
+
+def export_columns(df: DataFrame, column: str, fields: tuple[Field, ...]) -> list[tuple[str, Column]]:
+    """(name, value) of every export column of a record, in schema order: scalars by name, objects by path, lists of
+    scalars joined by ', ', and lists of objects as path.place.name for every place that any record has. Lists of
+    scalars keep their column where all are empty; lists of objects that no record fills have none."""
+    most, out = _most(df, column, fields), []
+
+    def walk(record, fs, names, path):
+        for f in fs:
+            v, here, name = record[f.name], (*path, f.name), [*names, f.name]
+            if f.kind == "object":
+                walk(v, f.fields, name, here)
+            elif f.kind == "array" and f.fields:
+                for i in range(most[here]):
+                    walk(F.get(v, F.lit(i)), f.fields, [*name, str(i)], here)
+            else:
+                out.append((".".join(name), F.array_join(F.transform(v, lambda x: F.coalesce(x.cast("string"), F.lit(""))), ", ") if f.kind == "array" else v))
+
+    walk(F.col(column), fields, [], ())
+    return out
+
+
+def export_table(df: DataFrame, column: str, fields: tuple[Field, ...], *keep: str) -> DataFrame:
+    """One row a record with all its export columns."""
+    return df.select(*keep, *(c.alias(n) for n, c in export_columns(df, column, fields)))
+
+
+def canonical_json(df: DataFrame, column: str) -> DataFrame:
+    """The JSON text of a column in its one form: keys sorted, no blanks, text as text. No JSON, or numbers that JSON
+    hasn't: null."""
+
+    def canon(t: str | None) -> str | None:
+        try:
+            return None if t is None else json.dumps(json.loads(t), sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+        except ValueError:
+            return None
+
+    at = df.columns.index(column)
+
+    def run(batches):
+        for b in batches:
+            yield b.set_column(at, b.schema.field(at), pa.array(map(canon, b.column(at).to_pylist()), b.schema.field(at).type))
+
+    return df.mapInArrow(run, df.schema)
+
+
+_LINE = (Field("number", "integer"), Field("part", "integer"), Field("note", "string"))
+ORDER = (Field("status", "string"), Field("customer", "object", (Field("id", "integer"), Field("name", "string"))), Field("tags", "array", items="string"), Field("lines", "array", _LINE))
+
+
+def raw_orders(spark, sf) -> DataFrame:
+    """(o_orderkey, raw): orders as JSON as a model might answer: keys in another order, unknown keys, blanks, wrong types."""
+    line = F.struct(F.lit(1).alias("extra"), F.col("l_partkey").alias("part"), F.when(F.col("l_linenumber") % 2 == 0, F.lit(" ")).otherwise(F.col("l_returnflag")).alias("note"), F.col("l_linenumber").alias("number"))
+    li = T(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", line.alias("line")))).alias("ls"))
+    o = T(spark, sf, "orders").join(li, "o_orderkey", "left")
+    tags = F.when(F.col("o_orderkey") % 3 == 0, F.array(F.lit("a"), F.lit(""), F.lit(None).cast("string"), F.col("o_orderstatus"))).otherwise(F.array(F.lit(" ")))
+    raw = F.to_json(F.struct(F.transform("ls", lambda x: x["line"]).alias("lines"), F.lit(7).alias("unknown"), tags.alias("tags"), F.struct(F.lit(5).alias("name"), F.col("o_custkey").alias("id")).alias("customer"), F.col("o_orderstatus").alias("status")))
+    return o.select("o_orderkey", F.when(F.col("o_orderkey") % 50 == 0, F.lit("{broken")).otherwise(raw).alias("raw"))
+
+
+def conform_nested_orders(spark, sf):
+    """Leaves of the orders, each with its path, after conformance."""
+    df = conform_nested(raw_orders(spark, sf), "raw", ORDER)
+    return df.select("o_orderkey", F.explode(nested_leaves(F.col("raw"), ORDER)).alias("x")).select("o_orderkey", "x.path", "x.value")
+
+
+def export_cells(spark, sf):
+    """The filled cells of the export table of the orders, which has columns for all lines of the longest one."""
+    df = conform_nested(raw_orders(spark, sf), "raw", ORDER)
+    cells = F.array(*(F.struct(F.lit(n).alias("name"), c.cast("string").alias("value")) for n, c in export_columns(df, "raw", ORDER)))
+    return df.select("o_orderkey", F.explode(cells).alias("c")).select("o_orderkey", "c.name", "c.value").where("value is not null")
+
+
+def canonical_props(spark, sf):
+    df = canonical_json(T(spark, sf, "events").select("event_id", "props"), "props")
+    return df.select("event_id", "props", F.sha2("props", 256).alias("sha256"))
+
+
+QUERIES = {f.__name__: f for f in (leaves_of_json, conform_json, event_counts_by_type, export_root_rows, export_nested_rows, conform_nested_orders, export_cells, canonical_props)}
 _N = "WITH n AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity) AS i FROM lineitem)"
 ORACLES = {
     "leaves_of_json": "SELECT event_id, k AS path, json_extract_string(props, '$.' || k) AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events) WHERE trim(json_extract_string(props, '$.' || k)) <> ''",
     "conform_json": "SELECT event_id, CASE WHEN regexp_full_match(json_extract_string(props, '$.k'), '[0-9]+') THEN json_extract_string(props, '$.k')::BIGINT END AS k, json_extract_string(props, '$.missing') AS missing FROM events",
     "event_counts_by_type": "SELECT user_id, " + ", ".join(f"nullif(count(*) FILTER (event_type = '{k}'), 0) AS {k}" for k in ("click", "error", "purchase", "signup", "view")) + " FROM events GROUP BY user_id",
     "export_root_rows": _N + ", m AS (SELECT l_orderkey, count(*) AS n_lines, " + ", ".join(f"max(CASE WHEN i = {i + 1} THEN {c} END) AS lines_{i}_{c}" for i in range(3) for c in ("l_linenumber", "l_partkey")) + " FROM n GROUP BY 1) SELECT o_orderkey, o_orderstatus, coalesce(n_lines, 0) AS n_lines, " + ", ".join(f"lines_{i}_{c}" for i in range(3) for c in ("l_linenumber", "l_partkey")) + " FROM orders LEFT JOIN m ON l_orderkey = o_orderkey",
+    "conform_nested_orders": """WITH o AS (SELECT * FROM orders WHERE o_orderkey % 50 <> 0),
+        l AS (SELECT l_orderkey, l_linenumber, l_partkey, l_returnflag, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1 AS i FROM lineitem JOIN o ON l_orderkey = o_orderkey)
+        SELECT o_orderkey, 'status' AS path, o_orderstatus AS value FROM o WHERE trim(o_orderstatus) <> ''
+        UNION ALL SELECT o_orderkey, 'customer.id', o_custkey::VARCHAR FROM o WHERE o_custkey IS NOT NULL
+        UNION ALL SELECT o_orderkey, 'tags.0', 'a' FROM o WHERE o_orderkey % 3 = 0
+        UNION ALL SELECT o_orderkey, 'tags.1', o_orderstatus FROM o WHERE o_orderkey % 3 = 0 AND trim(o_orderstatus) <> ''
+        UNION ALL SELECT l_orderkey, 'lines.' || i || '.number', l_linenumber::VARCHAR FROM l
+        UNION ALL SELECT l_orderkey, 'lines.' || i || '.part', l_partkey::VARCHAR FROM l
+        UNION ALL SELECT l_orderkey, 'lines.' || i || '.note', l_returnflag FROM l WHERE l_linenumber % 2 <> 0""",
+    "export_cells": """WITH o AS (SELECT * FROM orders WHERE o_orderkey % 50 <> 0),
+        l AS (SELECT l_orderkey, l_linenumber, l_partkey, l_returnflag, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1 AS i FROM lineitem JOIN o ON l_orderkey = o_orderkey)
+        SELECT o_orderkey, 'status' AS name, o_orderstatus AS value FROM o WHERE trim(o_orderstatus) <> ''
+        UNION ALL SELECT o_orderkey, 'customer.id', o_custkey::VARCHAR FROM o WHERE o_custkey IS NOT NULL
+        UNION ALL SELECT o_orderkey, 'tags', 'a, ' || o_orderstatus FROM o WHERE o_orderkey % 3 = 0
+        UNION ALL SELECT l_orderkey, 'lines.' || i || '.number', l_linenumber::VARCHAR FROM l
+        UNION ALL SELECT l_orderkey, 'lines.' || i || '.part', l_partkey::VARCHAR FROM l
+        UNION ALL SELECT l_orderkey, 'lines.' || i || '.note', l_returnflag FROM l WHERE l_linenumber % 2 <> 0""",
+    "canonical_props": "SELECT event_id, replace(props, ' ', '') AS props, sha256(replace(props, ' ', '')) AS sha256 FROM events",
     "export_nested_rows": "SELECT o_orderkey, o_orderstatus, l_linenumber, l_partkey, l_quantity FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey",
 }

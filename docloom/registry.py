@@ -1,8 +1,8 @@
 """All queries of the library but those of the llm folder, with their SQL."""
 
-from docloom.operators import evidence, folds, joins, lines, metrics, pages, ranking, reconcile, records, versions
+from docloom.operators import evidence, folds, joins, lines, metrics, pages, quotes, ranking, reconcile, records, versions
 
-_MODULES = (lines, folds, pages, evidence, joins, metrics, reconcile, ranking, records, versions)
+_MODULES = (lines, folds, pages, evidence, quotes, joins, metrics, reconcile, ranking, records, versions)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: q for m in _MODULES for k, q in m.ORACLES.items()}
 FLAGSHIP = "line_stats_by_lang"
