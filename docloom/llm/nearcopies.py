@@ -5,9 +5,9 @@ those that were nearly even in both. So each text enumerates, in every segment,
 certain bits, and texts that share such a segment value meet. What meets is checked by the complete distance of the
 fingerprints and then by the exact similarity of the shingle sets.
 
-In a bucket a text is not compared with all others, but with its first member and the one before it; a bucket that
-still holds several components after that has its pairs of different components compared too, so no link between
-components is lost to the size of a bucket.
+In a bucket a text is not compared with all others, but with its first member; a bucket that still holds several
+components after that has its pairs of different components compared too, so no link between components is lost to the
+size of a bucket.
 """
 
 from __future__ import annotations
@@ -78,7 +78,7 @@ def _sign(shingle: int, width: int, unsure: int):
 
 def _buckets(width: int, unsure: int, later: bool):
     """Segment values of batches of (node, bits, low). A batch sends on one node a value, with how many it has there
-    (not later), and links the others to that one and to each other in turn (later)."""
+    (not later), and pairs the others with that one (later)."""
     m = BITS // width
 
     def run(batches):
@@ -102,9 +102,9 @@ def _buckets(width: int, unsure: int, later: bool):
                 continue
             more = np.concatenate([np.full(count[g] - 1, start[g]) for g in np.flatnonzero(count > 1)] or [np.zeros(0, np.int64)])
             at = np.setdiff1d(np.arange(len(keys)), start, assume_unique=True) if len(more) else more
-            yield pa.RecordBatch.from_arrays([pa.array(keys[at]), pa.array(owner[at]), pa.array(owner[more]), pa.array(owner[at - 1])], names=["bucket", "node", "first", "prev"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys[at]), pa.array(owner[at]), pa.array(owner[more])], names=["bucket", "node", "first"])
 
-    return run, "bucket long, node long, first long, prev long" if later else "bucket long, node long, k int"
+    return run, "bucket long, node long, first long" if later else "bucket long, node long, k int"
 
 
 def _ordered(pairs: DataFrame, a: str, b: str) -> DataFrame:
@@ -158,11 +158,11 @@ def linked(nodes: DataFrame, sets_of, width: int, unsure: int) -> DataFrame:
     given = nodes.select("node", "bits", "low")
     sent = given.mapInArrow(*_buckets(width, unsure, False)).repartition("bucket").withColumn("o", F.xxhash64("node", "bucket"))
     w = Window.partitionBy("bucket").orderBy("o").rowsBetween(Window.unboundedPreceding, 0)
-    seen = sent.select("bucket", "node", F.first("node").over(w).alias("first"), F.lag("node").over(Window.partitionBy("bucket").orderBy("o")).alias("prev"), F.sum("k").over(w).alias("k"))
-    met = materialize(seen.where("prev is not null or k > 3"))
+    seen = sent.select("bucket", "node", F.first("node").over(w).alias("first"), F.sum("k").over(w).alias("k"))
+    met = materialize(seen.where("node <> first or k > 2"))
     held = materialize(given.mapInArrow(*_buckets(width, unsure, True)))
-    both = met.select("node", "first", "prev").union(held.select("node", "first", "prev"))
-    close = materialize(_close(_ordered(both, "node", "first").union(_ordered(both.where("prev is not null"), "node", "prev")), nodes))
+    both = met.select("node", "first").union(held.select("node", "first"))
+    close = materialize(_close(_ordered(both, "node", "first"), nodes))
     # first each text's nearest one; what that joins needs no further comparison
     ends = close.select(F.col("src").alias("x"), F.col("dst").alias("y"), "far").union(close.select("dst", "src", "far"))
     best = ends.groupBy("x").agg(F.min(F.struct("far", "y")).alias("b"))
@@ -173,8 +173,8 @@ def linked(nodes: DataFrame, sets_of, width: int, unsure: int) -> DataFrame:
     rest = materialize(_apart(close.select("src", "dst"), comp))
     if not rest.isEmpty() and not (more := materialize(_similar(rest, sets))).isEmpty():
         comp = materialize(components(as_links(comp).union(more)))
-    # buckets of more than three whose members are not yet one component: their pairs of different components
-    large = met.where("k > 3").select("bucket").distinct()
+    # buckets of more than two whose members are not yet one component: their pairs of different components
+    large = met.where("k > 2").select("bucket").distinct()
     members = met.select("bucket", "node").union(met.select("bucket", "first")).union(held.select("bucket", "node")).union(held.select("bucket", "first"))
     members = members.join(large, "bucket", "left_semi").distinct().join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
     members = materialize(members)
@@ -207,7 +207,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def sets_of(pairs):
         """The shingle sets of the pairs' ends; of the other texts only what a filter of bounded size lets through is cut."""
-        which = materialize(nodes.select("set", "node", "first").join(pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), "node"))
+        which = materialize(nodes.select("set", "node", "first").join(pairs.select(F.col("src").alias("node")).union(pairs.select("dst")).distinct(), "node"))
         size = filter_size(which.count())
         bits = np.zeros(size // 8, np.uint8)
         for r in filter_of(which, F.xxhash64("first"), size).toLocalIterator():  # 8 MB at most, never ids
