@@ -116,3 +116,27 @@ def test_without_by_filter(spark, monkeypatch):
         got = common.without(df, gone, [df["doc_id"].cast("long")], ["doc_id"])
         assert got.columns == df.columns and sorted(r.other for r in got.collect()) == want
     assert common.without(df, gone.limit(0), [df["doc_id"].cast("long")], ["doc_id"]).count() == 5000
+
+
+def test_blocks_of_a_bucket_against_all_pairs(spark):
+    """Block sizes don't change what is found; a bucket of one member and equal components find nothing."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2, (4, J.BITS), np.uint8)
+    rows = []
+    for i in range(60):
+        bits = base[i % 4] ^ (rng.random(J.BITS) < (0.05 if i % 3 else 0.13))
+        rows.append((i, [int(x) for x in np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)], 80 + i % 30))
+    nodes = spark.createDataFrame(rows, "node long, bits array<long>, n int")
+    members = [(b, i, i // 5 * 5) for b in (1, 2) for i in range(60) if b == 1 or i % 2] + [(3, 7, 5)]
+    want = set()
+    for b, i, ci in members:
+        for c, j, cj in members:
+            x, y = np.array(rows[i][1]), np.array(rows[j][1])
+            far = np.bitwise_count(x ^ y)
+            if b == c and i < j and ci != cj and min(rows[i][2], rows[j][2]) >= 0.8 * max(rows[i][2], rows[j][2]) and far[0] <= J.MOST_LEAD and far.sum() <= J.MOST_BITS:
+                want.add((i, j))
+    given = spark.createDataFrame(members, "bucket long, node long, component long")
+    assert len(want) > 50
+    for block in (4, 1024):
+        assert sorted(map(tuple, J._meet_in_blocks(given, nodes, block).collect())) == sorted(want)
+    assert J._meet_in_blocks(given.limit(0), nodes).isEmpty()
