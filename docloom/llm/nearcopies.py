@@ -156,7 +156,8 @@ def _compare(group: pa.Table) -> pa.Table:
     """The pairs of one block pair of a bucket: of different components, of sizes that allow the similarity, and near."""
     column = lambda c: group.column(c).combine_chunks().to_numpy(zero_copy_only=False)
     node, comp, n, side = column("node"), column("component"), column("n").astype(np.float64), column("side")
-    bits = group.column("bits").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(node), -1)
+    # unsigned, as numpy counts the bits of a negative number's absolute value
+    bits = group.column("bits").combine_chunks().flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(node), -1)
     a, b = np.flatnonzero(side <= 0), np.flatnonzero(side >= 0)
     lead = np.bitwise_count(bits[a, None, 0] ^ bits[None, b, 0]) <= MOST_LEAD
     lead &= np.minimum(n[a, None], n[None, b]) >= LEAST * np.maximum(n[a, None], n[None, b]) - 1e-9
