@@ -1,0 +1,91 @@
+import random
+import re
+from collections import Counter
+
+import pytest
+
+from docloom.llm import phrases as P
+from tests.test_queries import canon, duck
+
+
+def brute(docs, least, longest=5, share=100, most=2000):
+    n, f = Counter(), Counter()
+    for lang, text in docs:
+        lang = "und" if lang is None else lang
+        lower = (text or "").translate({i: i + 32 for i in range(65, 91)})
+        for piece in re.split("[.,;:!?\n-\r]", lower):
+            words = re.findall("[^ \t]+", piece)
+            n[lang] += len(words)
+            for k in range(1, longest + 1):
+                f.update((lang, *words[i : i + k]) for i in range(len(words) - k + 1))
+    cands = {p: a for p, a in f.items() if len(p) > 2 and a >= least}
+    gone = {(p[0], *p[i:j]) for p, a in cands.items() for i in range(1, len(p)) for j in range(i + 2, len(p) + 1) if j - i < len(p) - 1 and 100 * a >= share * f[(p[0], *p[i:j])]}
+    rows = {}
+    for (lang, *w), a in cands.items():
+        if (lang, *w) not in gone:
+            score, _, l, r = min((1000 * a * n[lang] // (f[(lang, *w[:k])] * f[(lang, *w[k:])]), k, f[(lang, *w[:k])], f[(lang, *w[k:])]) for k in range(1, len(w)))
+            rows.setdefault(lang, []).append((-score, -a, " ".join(w).encode(), l, r))
+    return sorted((lang, i + 1, p.decode(), -a, l, r, n[lang], -s) for lang, x in rows.items() for i, (s, a, p, l, r) in enumerate(sorted(x)[:most]))
+
+
+def test_against_sql(spark, sf):
+    got = P.op13_phrases(spark, sf)
+    cur = duck(sf).execute(P.ORACLES["op13_phrases"])
+    names = [d[0] for d in cur.description]
+    want = canon(cur.fetchall(), names)
+    assert want and canon([tuple(r) for r in got.collect()], got.columns) == want
+
+
+@pytest.mark.parametrize("least,share,most,parts", [(3, 100, 2000, 8), (2, 60, 5, 3), (6, 100, 50, 1)])
+def test_random_texts(spark, least, share, most, parts, monkeypatch):
+    monkeypatch.setattr(P, "_FLUSH", 50)
+    monkeypatch.setattr(P, "_MOST_WORDS", 8)
+    rng = random.Random(least)
+    fixed = ["Alpha beta gamma delta epsilon zeta", "one two, three", "x x x x x x x x", "Été chaud sec"]
+    docs = [(rng.choice(["en", "de", None, "und", "fr"]), " ".join(rng.choice(fixed) if rng.random() < 0.3 else f"w{rng.randrange(9)}" + rng.choice(["", "", ". ", "\n", "\x0b"]) for _ in range(rng.randrange(30)))) for _ in range(80)]
+    frame = spark.createDataFrame(docs, "lang string, text string").repartition(parts)
+    got = [tuple(r) for r in P.mine_phrases(frame, min_count=least, share=share, most=most).collect()]
+    assert sorted(got) == brute(docs, least, share=share, most=most)
+
+
+def test_edges(spark):
+    long_text = "a very long text of many words indeed " * 30_000
+    docs = [("en", None), ("en", ""), (None, " .,; "), ("en", long_text), ("en", "short text"), ("en", "short text")]
+    frame = spark.createDataFrame(docs, "lang string, text string").selectExpr("*", "1 AS words", "2 AS n", "3 AS phrase")
+    assert sorted(tuple(r) for r in P.mine_phrases(frame).collect()) == brute(docs, 100)
+    assert P.mine_phrases(frame.limit(0)).count() == 0
+    assert P.mine_phrases(frame.where("text = ''")).columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
+
+
+def test_slices_give_the_same_first_rows(spark):
+    rows = [("en" if i % 3 else "de", f"p{i:04}", i % 7, i % 5) for i in range(300)]
+    frame = spark.createDataFrame(rows, "lang string, phrase string, score long, a long")
+    order = [P.F.desc("score"), P.F.desc("a"), P.F.asc("phrase")]
+    whole = {tuple(r) for r in P._first_by_lang(frame, order, 20, 300).collect()}
+    assert whole == {tuple(r) for r in P._first_by_lang(frame, order, 20, 1_000_000).collect()} and len(whole) == 40
+
+
+def test_one_prefix_over_many_tasks(spark, monkeypatch):
+    """A prefix with most of the pointers is grown in several tasks; its counts are whole."""
+    rng = random.Random(1)
+    docs = [("en", " ".join(f"hot pair {rng.randrange(60)} {rng.randrange(60)}" for _ in range(40))) for _ in range(100)]
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        got = [tuple(r) for r in P.mine_phrases(spark.createDataFrame(docs, "lang string, text string"), min_count=20).collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert sorted(got) == brute(docs, 20)
+
+
+def test_clash_of_codes_starts_anew(spark, monkeypatch):
+    real, seen = P.word_counts, []
+
+    def clashing(docs, seed):
+        seen.append(seed)
+        out = real(docs, seed)
+        return out.withColumn("code", P.F.lit(5).cast("long")) if seed < 2 else out
+
+    monkeypatch.setattr(P, "word_counts", clashing)
+    docs = [("en", "red apple pie " * 20)]
+    got = [tuple(r) for r in P.mine_phrases(spark.createDataFrame(docs, "lang string, text string"), min_count=5).collect()]
+    assert seen == [0, 1, 2] and sorted(got) == brute(docs, 5)
