@@ -142,17 +142,20 @@ def overlapping_line_windows(spark, sf):
     return greedy_windows(line_pieces(T(spark, sf, "documents"), 400), "doc_id", "start", "end", 400, True)
 
 
-def start_roles(numbers: list[int], suffixes: list[str], barriers: list[bool]) -> list[str]:
+def start_roles(numbers: list[int], suffixes: list[str], barriers: list[bool], inline: list[list[int]] | None = None) -> list[str]:
     """The role of each numbered start: entry if it goes on from the last entry, list_item if it goes on in the open
-    entry's list, exception otherwise, with the fewest exceptions; roles that occur in some best reading are joined."""
+    entry's list, exception otherwise, with the fewest exceptions; roles that occur in some best reading are joined.
+    inline: the numbers written inside lines since the start before; in an open entry they begin or go on its list."""
     states = [{(None, False, 0): 0}]
     moves = []
-    for n, s, wall in zip(numbers, suffixes, barriers):
+    for n, s, wall, written in zip(numbers, suffixes, barriers, inline or [()] * len(numbers)):
         costs, step = {}, []
         for state, cost in states[-1].items():
             last, opened, length = state
             if wall:
                 opened, length = False, 0
+            for x in written if opened else ():
+                length = x if x in (1, length + 1) else length
             options = [("exception", (last, False, 0), 1)]
             if last is None or (n, s) > last:
                 options.append(("entry", ((n, s), True, 0), 0))
