@@ -1,16 +1,23 @@
-"""Nested records: leaves, typed conformance, and tables for export."""
+"""Nested records: leaves, fit to a schema, typed values, and tables for export.
+
+A record is JSON text. One pass over it (`record_leaves`) gives its leaves or cells as rows; rows, joins of rows with
+what they share, and columns are Spark's from there on.
+"""
 
 from __future__ import annotations
 
 import json
+import math
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as K
 
 from docloom.functions.text import typed_integer, typed_number
 from docloom.sources.tables import read_table as T
+from docloom.sources.written import materialize
 
 
 def json_leaves(df: DataFrame, key: str, column: str) -> DataFrame:
@@ -51,148 +58,257 @@ def nested_orders(spark, sf) -> DataFrame:
 
 
 def export_root_rows(spark, sf):
-    """One row an order: the columns of its first three lines side by side."""
-    cols = [F.get("lines", i)[c].alias(f"lines_{i}_{c}") for i in range(3) for c in ("l_linenumber", "l_partkey")]
-    return nested_orders(spark, sf).select("o_orderkey", "o_orderstatus", F.coalesce(F.size("lines"), F.lit(0)).cast("bigint").alias("n_lines"), *cols)
+    """One row an order: its lines' numbers and parts as lists in one column each."""
+    joined = lambda c: F.array_join(F.transform("lines", lambda x: x[c].cast("string")), ", ")
+    return nested_orders(spark, sf).select("o_orderkey", "o_orderstatus", F.coalesce(F.size("lines"), F.lit(0)).cast("bigint").alias("n_lines"), joined("l_linenumber").alias("numbers"), joined("l_partkey").alias("parts"))
 
 
 def export_nested_rows(spark, sf):
-    """One row a line with its parent's columns; parents without lines keep one row."""
-    return nested_orders(spark, sf).select("o_orderkey", "o_orderstatus", F.explode_outer("lines").alias("l")).select("o_orderkey", "o_orderstatus", "l.l_linenumber", "l.l_partkey", "l.l_quantity")
+    """One row a line with its order's columns; orders without lines have none."""
+    return nested_orders(spark, sf).select("o_orderkey", "o_orderstatus", F.explode("lines").alias("l")).select("o_orderkey", "o_orderstatus", "l.l_linenumber", "l.l_partkey", "l.l_quantity")
 
 
 @dataclass(frozen=True)
 class Field:
     """A field of a record's schema: string, integer, number, boolean, object (fields), or an array of scalars (items) or
-    of objects (fields)."""
+    of objects (fields). allowed: the only texts that a string may have."""
 
     name: str
     kind: str
     fields: tuple[Field, ...] = ()
     items: str | None = None
+    allowed: tuple[str, ...] | None = None
 
 
-_TYPES = {"string": "string", "integer": "bigint", "number": "double", "boolean": "boolean"}
-_LIKE = {"string": "STRING", "integer": "BIGINT", "number": "(BIGINT|DOUBLE|FLOAT|DECIMAL.*)", "boolean": "BOOLEAN"}
+def _blank(v) -> bool:
+    return v is None or isinstance(v, str) and not v.strip()
 
 
-def _is(v: Column, kind: str) -> Column:
-    """Whether a variant has this kind; objects and arrays by the start of their type's name."""
-    return F.call_function("schema_of_variant", v).rlike(f"^({kind})")
+def fitted(value, fields: tuple[Field, ...]) -> dict:
+    """A parsed record restricted to its schema, in schema order: unknown keys go, missing and blank values are null,
+    and so are lists without items and values of another structure at a list or an object. Scalars stay what they are,
+    whatever their type; so do the items of a list of scalars that are not null or blank."""
+    given = value if isinstance(value, dict) else {}
 
+    def fit(v, f: Field):
+        if _blank(v):
+            return None
+        if f.kind == "object":
+            return fitted(v, f.fields) if isinstance(v, dict) else None
+        if f.kind == "array":
+            items = v if isinstance(v, list) else []
+            return ([x for x in items if not _blank(x)] if f.items else [fitted(x, f.fields) for x in items if isinstance(x, dict)]) or None
+        return v
+
+    return {f.name: fit(given.get(f.name), f) for f in fields}
+
+
+def typed(value, kind: str, allowed: tuple[str, ...] | None = None):
+    """A scalar as its declared kind, or None where it is none: 12 from "12" or 12.0, 1.5 from "1,5", "5" from 5, trimmed
+    text. Nothing but true and false is a boolean, and they are nothing else."""
+    if kind == "boolean" or isinstance(value, bool) or not isinstance(value, (str, int, float)):
+        return value if kind == "boolean" and isinstance(value, bool) else None
+    if kind == "string":
+        text = str(value).strip()
+        return text if text and (allowed is None or text in allowed) else None
+    if kind == "integer":
+        whole = int(value) if isinstance(value, str) and value.strip().isdecimal() or isinstance(value, float) and value.is_integer() else value
+        return whole if isinstance(whole, int) and abs(whole) < 1 << 63 else None
+    try:
+        number = float(str(value).replace(",", "."))
+    except ValueError:
+        return None
+    return (value if isinstance(value, int) else number) if math.isfinite(number) else None
+
+
+def _text(v) -> str | None:
+    return v if v is None or isinstance(v, str) else json.dumps(v, ensure_ascii=False)
+
+
+def escaped(name: str) -> str:
+    """A name as a step of a path: backslashes and dots get a backslash, and so does a number, which would be a place."""
+    step = name.replace("\\", "\\\\").replace(".", "\\.")
+    return "\\" + step if name.isdecimal() and name.isascii() else step
+
+
+def _parsed(text: str | None):
+    try:
+        return None if text is None else json.loads(text)
+    except ValueError:
+        return None
+
+
+def _leaves(record, fields: tuple[Field, ...], rows: tuple[str, ...], joined: bool):
+    """(name, shared, order, repeated, kind, raw, value) of each filled leaf. shared: places in the lists on the way to
+    the rows, which names leave out; repeated: inside another list of objects; kind `row` marks an item that is a row."""
+
+    def walk(value, level, name, shared, order, way, repeated):
+        for n, f in enumerate(level):
+            v = value.get(f.name) if isinstance(value, dict) else None
+            if v is None:
+                continue
+            here, at = (f"{name}." if name else "") + escaped(f.name), (*order, n)
+            ahead = way[1:] if way and way[0] == f.name else None
+            if f.kind == "object":
+                yield from walk(v, f.fields, here, shared, at, ahead, repeated)
+            elif f.kind == "array" and f.fields:
+                for i, x in enumerate(v if isinstance(v, list) else []):
+                    if ahead is None:
+                        yield from walk(x, f.fields, f"{here}.{i}", shared, (*at, i), None, True)
+                        continue
+                    if not ahead:
+                        yield None, (*shared, i), (), False, "row", None, None
+                    yield from walk(x, f.fields, here, (*shared, i), at, ahead or None, repeated)
+            elif f.kind == "array":
+                values = v if isinstance(v, list) else []
+                if joined:
+                    yield here, shared, at, repeated, "list", json.dumps(values, ensure_ascii=False), ", ".join(_text(typed(x, f.items, f.allowed)) or "" for x in values)
+                else:
+                    for i, x in enumerate(values):
+                        yield f"{here}.{i}", shared, (*at, i), repeated, f.items, json.dumps(x, ensure_ascii=False), _text(typed(x, f.items, f.allowed))
+            else:
+                yield here, shared, at, repeated, f.kind, json.dumps(v, ensure_ascii=False), _text(typed(v, f.kind, f.allowed))
+
+    return walk(record, fields, "", (), (), rows or None, False)
 
-def _scalar(v: Column, kind: str) -> Column:
-    value = F.try_variant_get(v, "$", _TYPES[kind])
-    kept = F.when(F.trim(value) != "", value) if kind == "string" else value
-    return F.when(_is(v, _LIKE[kind] + "$"), kept)
 
+_PLACES = K.ArrayType(K.IntegerType())
+_LEAF = K.StructType([K.StructField(n, t) for n, t in zip("name shared order repeated kind raw value".split(), (K.StringType(), _PLACES, _PLACES, K.BooleanType(), K.StringType(), K.StringType(), K.StringType()))])
 
-def _member(v: Column, name: str) -> Column:
-    return F.try_variant_get(v, "$['" + name.replace("'", "\\'") + "']", "variant")
 
+def record_leaves(df: DataFrame, keys: list[str], column: str, fields: tuple[Field, ...], rows: tuple[str, ...] = (), fit: bool = True, joined: bool = False) -> DataFrame:
+    """(keys, name, shared, order, repeated, kind, raw, value): the leaves of JSON records, a row each, where they lie.
 
-def _conformed(v: Column, field: Field) -> Column:
-    if field.kind == "object":
-        return F.when(_is(v, "OBJECT"), conformed(v, field.fields))
-    if field.kind == "array":
-        items = F.when(_is(v, "ARRAY"), F.try_variant_get(v, "$", "array<variant>"))
-        if field.items:
-            kept = F.filter(F.transform(items, lambda x: _scalar(x, field.items)), lambda x: x.isNotNull())
-        else:
-            kept = F.transform(F.filter(items, lambda x: x.isNotNull() & _is(x, "OBJECT")), lambda x: conformed(x, field.fields))
-        return F.when(F.size(kept) > 0, kept)
-    return _scalar(v, field.kind)
+    value is typed and as text, null where raw (the JSON of what stands there) is not of the field's kind, so nothing is
+    lost in silence. order is the place in the schema with places in lists, by which leaves sort. Names are escaped
+    paths. fit: restrict records to the schema first. rows: the names down to the list whose items are rows, none for
+    whole records. joined: one cell for a list of scalars. What is no JSON object has no leaves.
+    """
+    schema = K.StructType([*df.select(*keys).schema.fields, *_LEAF.fields])
+    types = [pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.bool_(), pa.string(), pa.string(), pa.string()]
 
+    def run(batches):
+        for b in batches:
+            took, out = [], []
+            for i, text in enumerate(b.column(len(keys)).to_pylist()):
+                record = _parsed(text)
+                for leaf in _leaves(fitted(record, fields) if fit else record, fields, rows, joined):
+                    took.append(i)
+                    out.append(leaf)
+            columns = zip(*out) if out else [[]] * len(types)
+            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(took, pa.int32())) for c in b.columns[: len(keys)]), *(pa.array(list(c), t) for c, t in zip(columns, types))], names=schema.names)
+
+    return df.select(*keys, column).mapInArrow(run, schema)
+
+
+def export_cells_of(df: DataFrame, keys: list[str], column: str, fields: tuple[Field, ...], rows: tuple[str, ...] = (), omit: bool = False, fit: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(rows, cells) of an export: rows (keys, row) and cells (keys, row, name, order, kind, value), row being the places of
+    the row's item in the lists down to it, empty for whole records.
+
+    rows: the names down to a list of objects, each item of which is a row with the cells of what is above it; a record
+    without such items has no row. Cells in other lists of objects have their places in the name, or none with omit.
+    The keys tell records apart and are not null.
+    """
+    leaves = record_leaves(df, keys, column, fields, rows, fit, joined=True)
+    leaves = leaves.where("not repeated") if omit else leaves
+    if not rows:
+        return df.select(*keys, F.array().cast("array<int>").alias("row")), leaves.select(*keys, F.col("shared").alias("row"), "name", "order", "kind", "value")
+    leaves = materialize(leaves)
+    found = leaves.where("kind = 'row'").select(*keys, F.col("shared").alias("row"))
+    above = found.withColumn("n", F.explode(F.sequence(F.lit(0), F.size("row")))).withColumn("shared", F.expr("slice(row, 1, n)")).drop("n")
+    return found, leaves.where("kind <> 'row'").join(above, [*keys, "shared"]).select(*keys, "row", "name", "order", "kind", "value")
+
+
+def declared_columns(fields: tuple[Field, ...], rows: tuple[str, ...] = ()) -> list[tuple[str, tuple[int, ...], str]]:
+    """(name, order, kind) of the columns that an export has without any data: those in no list of objects but the ones
+    on the way to the rows."""
+    out = []
 
-def conformed(v: Column, fields: tuple[Field, ...]) -> Column:
-    """A variant restricted to a schema, as a struct in the schema's order: unknown keys go; missing, blank and mistyped
-    values are null; items of a list that are null, blank or no objects are dropped; empty lists are null."""
-    return F.struct(*(_conformed(_member(v, f.name), f).alias(f.name) for f in fields))
+    def walk(level, name, order, way):
+        for n, f in enumerate(level):
+            here, ahead = (f"{name}." if name else "") + escaped(f.name), way[1:] if way and way[0] == f.name else None
+            if f.kind == "object" or f.kind == "array" and f.fields and ahead is not None:
+                walk(f.fields, here, (*order, n), ahead or None)
+            elif not f.fields:
+                out.append((here, (*order, n), "list" if f.kind == "array" else f.kind))
 
+    walk(fields, "", (), rows or None)
+    return out
 
-def conform_nested(df: DataFrame, column: str, fields: tuple[Field, ...]) -> DataFrame:
-    """The JSON text of a column as a struct of the schema; what is no JSON object has all fields null."""
-    return df.withColumn(column, conformed(F.try_parse_json(column), fields))
 
+def row_paths(fields: tuple[Field, ...]) -> list[tuple[str, ...]]:
+    """The paths whose items can be the rows of an export, in schema order; () stands for whole records."""
+    out: list[tuple[str, ...]] = [()]
 
-def value_at(record: Column, path: tuple[str | int, ...]) -> Column:
-    """The value at a path of names and list places; null where there is none."""
-    for step in path:
-        record = F.get(record, F.lit(step)) if isinstance(step, int) else record[step]
-    return record
+    def walk(level, path):
+        for f in level:
+            here = (*path, f.name)
+            out.extend([here] if f.kind == "array" and f.fields else [])
+            walk(f.fields, here)
 
+    walk(fields, ())
+    return out
 
-def _item_leaves(items: Column, field: Field, path: Column) -> Column:
-    at = lambda i: F.concat(path, F.lit("."), i.cast("string"))
-    if field.fields:
-        return F.flatten(F.transform(items, lambda x, i: nested_leaves(x, field.fields, at(i))))
-    return F.transform(items, lambda x, i: F.struct(at(i).alias("path"), x.cast("string").alias("value")))
 
+#: An export beyond this many columns is refused; its cells (`export_cells_of`) have no such limit.
+MOST_COLUMNS = 2000
 
-def nested_leaves(record: Column, fields: tuple[Field, ...], at: Column | None = None) -> Column:
-    """Array of (path, value) of the leaves that are filled, in schema order; list places stand in the path."""
-    out = []
-    for f in fields:
-        path = F.lit(f.name) if at is None else F.concat(at, F.lit("." + f.name))
-        v, empty = record[f.name], F.array().cast("array<struct<path:string,value:string>>")
-        if f.kind == "object":
-            found = nested_leaves(v, f.fields, path)
-        elif f.kind == "array":
-            found = _item_leaves(v, f, path)
-        else:
-            found = F.when(v.isNotNull(), F.array(F.struct(path.alias("path"), v.cast("string").alias("value"))))
-        out.append(F.coalesce(found, empty))
-    return F.concat(*out)
 
+def export_table(df: DataFrame, keys: list[str], column: str, fields: tuple[Field, ...], rows: tuple[str, ...] = (), omit: bool = False, fit: bool = True, most: int = MOST_COLUMNS) -> DataFrame:
+    """(keys, row, and a column a cell name, in schema order): see export_cells_of. Declared columns are there even if
+    empty; columns with places in them, for the places that some record fills."""
+    if rows not in row_paths(fields):
+        raise ValueError(f"no list of objects at {rows}")
+    listed, cells = export_cells_of(df, keys, column, fields, rows, omit, fit)
+    cells = materialize(cells)
+    seen = cells.groupBy("name").agg(F.min("order").alias("order"), F.first("kind").alias("kind")).limit(most + 1).collect()
+    columns = {r["name"]: (tuple(r["order"]), r["kind"]) for r in seen} | {n: (o, k) for n, o, k in declared_columns(fields, rows)}
+    if len(columns) > most:
+        raise ValueError(f"more than {most} columns; take the cells instead")
+    order = sorted(columns, key=lambda n: columns[n][0])
+    wide = cells.groupBy(*keys, "row").pivot("name", order).agg(F.first("value"))
+    kinds = {"integer": "bigint", "number": "double", "boolean": "boolean"}
+    quoted = lambda n: F.col("`" + n.replace("`", "``") + "`")
+    return listed.join(wide, [*keys, "row"], "left").select(*keys, "row", *(quoted(n).cast(kinds.get(columns[n][1], "string")).alias(n) for n in order))
 
-def _members(records: Column, name: str) -> Column:
-    return F.transform(records, lambda x: x[name])
 
+def _ddl(fields: tuple[Field, ...]) -> K.StructType:
+    kinds = {"string": K.StringType(), "integer": K.LongType(), "number": K.DoubleType(), "boolean": K.BooleanType()}
+    of = lambda f: _ddl(f.fields) if f.kind == "object" else K.ArrayType(kinds[f.items] if f.items else _ddl(f.fields)) if f.kind == "array" else kinds[f.kind]
+    return K.StructType([K.StructField(f.name, of(f)) for f in fields])
 
-def _most(df: DataFrame, column: str, fields: tuple[Field, ...]) -> dict[tuple[str, ...], int]:
-    """The largest size of every list of objects, lists inside lists included; one pass, one row back."""
-    sizes = {}
 
-    def walk(levels: Column, fs, path):
-        for f in fs:
-            here = (*path, f.name)
-            values = _members(levels, f.name)
-            if f.kind == "object":
-                walk(values, f.fields, here)
-            elif f.kind == "array" and f.fields:
-                sizes[here] = F.array_max(F.transform(values, lambda x: F.greatest(F.size(x), F.lit(0))))
-                walk(F.flatten(F.filter(values, lambda x: x.isNotNull())), f.fields, here)
+def _coerced(record: dict, fields: tuple[Field, ...]) -> dict:
+    """A fitted record with typed scalars; items of a list that are of another kind go."""
+    def one(v, f):
+        if v is None or f.kind == "object":
+            return v and _coerced(v, f.fields)
+        if f.kind == "array":
+            return ([y for x in v if (y := typed(x, f.items, f.allowed)) is not None] if f.items else [_coerced(x, f.fields) for x in v]) or None
+        return typed(v, f.kind, f.allowed)
 
-    walk(F.array(column), fields, ())
-    names = {path: f"s{i}" for i, path in enumerate(sizes)}
-    row = df.agg(*(F.coalesce(F.max(c), F.lit(0)).alias(names[p]) for p, c in sizes.items())).first() if sizes else {}
-    return {p: row[n] for p, n in names.items()}
+    return {f.name: one(record[f.name], f) for f in fields}
 
 
-def export_columns(df: DataFrame, column: str, fields: tuple[Field, ...]) -> list[tuple[str, Column]]:
-    """(name, value) of every export column of a record, in schema order: scalars by name, objects by path, lists of
-    scalars joined by ', ', and lists of objects as path.place.name for every place that any record has. Lists of
-    scalars keep their column where all are empty; lists of objects that no record fills have none."""
-    most, out = _most(df, column, fields), []
+def conform_nested(df: DataFrame, column: str, fields: tuple[Field, ...]) -> DataFrame:
+    """The JSON text of a column in two steps: `<column>_fit`, the text of the record restricted to the schema with every
+    scalar as it was said, and the column itself as a typed struct. What the second step can't type is null there and
+    still in the first. What is no JSON object has all fields null."""
 
-    def walk(record, fs, names, path):
-        for f in fs:
-            v, here, name = record[f.name], (*path, f.name), [*names, f.name]
-            if f.kind == "object":
-                walk(v, f.fields, name, here)
-            elif f.kind == "array" and f.fields:
-                for i in range(most[here]):
-                    walk(F.get(v, F.lit(i)), f.fields, [*name, str(i)], here)
-            else:
-                out.append((".".join(name), F.array_join(F.transform(v, lambda x: F.coalesce(x.cast("string"), F.lit(""))), ", ") if f.kind == "array" else v))
+    @F.udf("struct<fit:string,typed:string>", useArrow=True)
+    def both(text):
+        fit = fitted(_parsed(text), fields)
+        return json.dumps(fit, ensure_ascii=False), json.dumps(_coerced(fit, fields), ensure_ascii=False)
 
-    walk(F.col(column), fields, [], ())
-    return out
+    said = df.withColumn("__both", both(F.col(column)))
+    return said.withColumns({f"{column}_fit": F.col("__both.fit"), column: F.from_json("__both.typed", _ddl(fields))}).drop("__both")
 
 
-def export_table(df: DataFrame, column: str, fields: tuple[Field, ...], *keep: str) -> DataFrame:
-    """One row a record with all its export columns."""
-    return df.select(*keep, *(c.alias(n) for n, c in export_columns(df, column, fields)))
+def value_at(record: Column, path: tuple[str | int, ...]) -> Column:
+    """The value at a path of names and list places; null where there is none."""
+    for step in path:
+        record = F.get(record, F.lit(step)) if isinstance(step, int) else record[step]
+    return record
 
 
 def canonical_json(df: DataFrame, column: str) -> DataFrame:
@@ -219,7 +335,8 @@ ORDER = (Field("status", "string"), Field("customer", "object", (Field("id", "in
 
 
 def raw_orders(spark, sf) -> DataFrame:
-    """(o_orderkey, raw): orders as JSON as a model might answer: keys in another order, unknown keys, blanks, wrong types."""
+    """(o_orderkey, raw): orders as JSON as a model might answer: keys in another order, unknown keys, blanks, other types.
+    Lines come by number, part and note."""
     line = F.struct(F.lit(1).alias("extra"), F.col("l_partkey").alias("part"), F.when(F.col("l_linenumber") % 2 == 0, F.lit(" ")).otherwise(F.col("l_returnflag")).alias("note"), F.col("l_linenumber").alias("number"))
     li = T(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", line.alias("line")))).alias("ls"))
     o = T(spark, sf, "orders").join(li, "o_orderkey", "left")
@@ -230,15 +347,19 @@ def raw_orders(spark, sf) -> DataFrame:
 
 def conform_nested_orders(spark, sf):
     """Leaves of the orders, each with its path, after conformance."""
-    df = conform_nested(raw_orders(spark, sf), "raw", ORDER)
-    return df.select("o_orderkey", F.explode(nested_leaves(F.col("raw"), ORDER)).alias("x")).select("o_orderkey", "x.path", "x.value")
+    return record_leaves(raw_orders(spark, sf), ["o_orderkey"], "raw", ORDER).where("value is not null").select("o_orderkey", F.col("name").alias("path"), "value")
 
 
 def export_cells(spark, sf):
     """The filled cells of the export table of the orders, which has columns for all lines of the longest one."""
-    df = conform_nested(raw_orders(spark, sf), "raw", ORDER)
-    cells = F.array(*(F.struct(F.lit(n).alias("name"), c.cast("string").alias("value")) for n, c in export_columns(df, "raw", ORDER)))
-    return df.select("o_orderkey", F.explode(cells).alias("c")).select("o_orderkey", "c.name", "c.value").where("value is not null")
+    _, cells = export_cells_of(raw_orders(spark, sf), ["o_orderkey"], "raw", ORDER)
+    return cells.where("value is not null").select("o_orderkey", "name", "value")
+
+
+def export_line_cells(spark, sf):
+    """The cells of the export that has a row a line: the line's own and, on each, those of its order."""
+    _, cells = export_cells_of(raw_orders(spark, sf), ["o_orderkey"], "raw", ORDER, ("lines",), omit=True)
+    return cells.where("value is not null").select("o_orderkey", F.get("row", F.lit(0)).cast("long").alias("line"), "name", "value")
 
 
 def canonical_props(spark, sf):
@@ -246,30 +367,28 @@ def canonical_props(spark, sf):
     return df.select("event_id", "props", F.sha2("props", 256).alias("sha256"))
 
 
-QUERIES = {f.__name__: f for f in (leaves_of_json, conform_json, event_counts_by_type, export_root_rows, export_nested_rows, conform_nested_orders, export_cells, canonical_props)}
+QUERIES = {f.__name__: f for f in (leaves_of_json, conform_json, event_counts_by_type, export_root_rows, export_nested_rows, conform_nested_orders, export_cells, export_line_cells, canonical_props)}
 _N = "WITH n AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity) AS i FROM lineitem)"
+#: Lines of an order with equal number and part sort by their note, which only odd lines have, as in `raw_orders`.
+_ORDERS = """WITH o AS (SELECT * FROM orders WHERE o_orderkey % 50 <> 0),
+        l AS (SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_linenumber % 2 <> 0 THEN l_returnflag END AS note, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, CASE WHEN l_linenumber % 2 <> 0 THEN l_returnflag END) - 1 AS i FROM lineitem JOIN o ON l_orderkey = o_orderkey),
+        line AS (SELECT l_orderkey, i, 'number' AS name, l_linenumber::VARCHAR AS value FROM l UNION ALL SELECT l_orderkey, i, 'part', l_partkey::VARCHAR FROM l UNION ALL SELECT l_orderkey, i, 'note', note FROM l WHERE note IS NOT NULL),
+        top AS (SELECT o_orderkey, 'status' AS name, o_orderstatus AS value FROM o WHERE trim(o_orderstatus) <> '' UNION ALL SELECT o_orderkey, 'customer.id', o_custkey::VARCHAR FROM o WHERE o_custkey IS NOT NULL
+            UNION ALL SELECT o_orderkey, 'customer.name', '5' FROM o UNION ALL SELECT o_orderkey, 'tags', 'a, ' || o_orderstatus FROM o WHERE o_orderkey % 3 = 0)"""
 ORACLES = {
     "leaves_of_json": "SELECT event_id, k AS path, json_extract_string(props, '$.' || k) AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events) WHERE trim(json_extract_string(props, '$.' || k)) <> ''",
     "conform_json": "SELECT event_id, CASE WHEN regexp_full_match(json_extract_string(props, '$.k'), '[0-9]+') THEN json_extract_string(props, '$.k')::BIGINT END AS k, json_extract_string(props, '$.missing') AS missing FROM events",
     "event_counts_by_type": "SELECT user_id, " + ", ".join(f"nullif(count(*) FILTER (event_type = '{k}'), 0) AS {k}" for k in ("click", "error", "purchase", "signup", "view")) + " FROM events GROUP BY user_id",
-    "export_root_rows": _N + ", m AS (SELECT l_orderkey, count(*) AS n_lines, " + ", ".join(f"max(CASE WHEN i = {i + 1} THEN {c} END) AS lines_{i}_{c}" for i in range(3) for c in ("l_linenumber", "l_partkey")) + " FROM n GROUP BY 1) SELECT o_orderkey, o_orderstatus, coalesce(n_lines, 0) AS n_lines, " + ", ".join(f"lines_{i}_{c}" for i in range(3) for c in ("l_linenumber", "l_partkey")) + " FROM orders LEFT JOIN m ON l_orderkey = o_orderkey",
-    "conform_nested_orders": """WITH o AS (SELECT * FROM orders WHERE o_orderkey % 50 <> 0),
-        l AS (SELECT l_orderkey, l_linenumber, l_partkey, l_returnflag, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1 AS i FROM lineitem JOIN o ON l_orderkey = o_orderkey)
-        SELECT o_orderkey, 'status' AS path, o_orderstatus AS value FROM o WHERE trim(o_orderstatus) <> ''
-        UNION ALL SELECT o_orderkey, 'customer.id', o_custkey::VARCHAR FROM o WHERE o_custkey IS NOT NULL
+    "export_root_rows": _N + """, m AS (SELECT l_orderkey, count(*) AS n_lines, string_agg(l_linenumber, ', ' ORDER BY i) AS numbers, string_agg(l_partkey, ', ' ORDER BY i) AS parts FROM n GROUP BY 1)
+        SELECT o_orderkey, o_orderstatus, coalesce(n_lines, 0) AS n_lines, numbers, parts FROM orders LEFT JOIN m ON l_orderkey = o_orderkey""",
+    "conform_nested_orders": _ORDERS + """
+        SELECT o_orderkey, name AS path, value FROM top WHERE name <> 'tags'
         UNION ALL SELECT o_orderkey, 'tags.0', 'a' FROM o WHERE o_orderkey % 3 = 0
         UNION ALL SELECT o_orderkey, 'tags.1', o_orderstatus FROM o WHERE o_orderkey % 3 = 0 AND trim(o_orderstatus) <> ''
-        UNION ALL SELECT l_orderkey, 'lines.' || i || '.number', l_linenumber::VARCHAR FROM l
-        UNION ALL SELECT l_orderkey, 'lines.' || i || '.part', l_partkey::VARCHAR FROM l
-        UNION ALL SELECT l_orderkey, 'lines.' || i || '.note', l_returnflag FROM l WHERE l_linenumber % 2 <> 0""",
-    "export_cells": """WITH o AS (SELECT * FROM orders WHERE o_orderkey % 50 <> 0),
-        l AS (SELECT l_orderkey, l_linenumber, l_partkey, l_returnflag, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1 AS i FROM lineitem JOIN o ON l_orderkey = o_orderkey)
-        SELECT o_orderkey, 'status' AS name, o_orderstatus AS value FROM o WHERE trim(o_orderstatus) <> ''
-        UNION ALL SELECT o_orderkey, 'customer.id', o_custkey::VARCHAR FROM o WHERE o_custkey IS NOT NULL
-        UNION ALL SELECT o_orderkey, 'tags', 'a, ' || o_orderstatus FROM o WHERE o_orderkey % 3 = 0
-        UNION ALL SELECT l_orderkey, 'lines.' || i || '.number', l_linenumber::VARCHAR FROM l
-        UNION ALL SELECT l_orderkey, 'lines.' || i || '.part', l_partkey::VARCHAR FROM l
-        UNION ALL SELECT l_orderkey, 'lines.' || i || '.note', l_returnflag FROM l WHERE l_linenumber % 2 <> 0""",
+        UNION ALL SELECT l_orderkey, 'lines.' || i || '.' || name, value FROM line""",
+    "export_cells": _ORDERS + " SELECT * FROM top UNION ALL SELECT l_orderkey, 'lines.' || i || '.' || name, value FROM line",
+    "export_line_cells": _ORDERS + """ SELECT l_orderkey AS o_orderkey, i AS line, 'lines.' || name AS name, value FROM line
+        UNION ALL SELECT o_orderkey, i, name, value FROM top JOIN l ON o_orderkey = l_orderkey""",
     "canonical_props": "SELECT event_id, replace(props, ' ', '') AS props, sha256(replace(props, ' ', '')) AS sha256 FROM events",
-    "export_nested_rows": "SELECT o_orderkey, o_orderstatus, l_linenumber, l_partkey, l_quantity FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey",
+    "export_nested_rows": "SELECT o_orderkey, o_orderstatus, l_linenumber, l_partkey, l_quantity FROM orders JOIN lineitem ON l_orderkey = o_orderkey",
 }
