@@ -1,10 +1,7 @@
-"""Helpers that the operators share: tables, written cuts of lineage, connected components."""
+"""Helpers that the operators share: tables, filters of bounded size, and what the library has for all its operators."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -13,69 +10,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: For bytes.translate: A-Z become a-z, every other byte stays.
-LOWER_AZ = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+from docloom.operators.graph import components, spread_join
+from docloom.sources.written import discard, materialize
 
-_written: list[tuple[SparkSession, str]] = []
-_own_dir: list[str] = []
+__all__ = ["LOWER_AZ", "components", "discard", "filter_of", "in_slots", "materialize", "sieve", "slot_bits", "slot_filter", "slot_rows", "spread_join", "table", "without"]
 
+#: For bytes.translate: A-Z become a-z, every other byte stays.
+LOWER_AZ = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is set and all runs on one machine, as in tests."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        if not _own_dir:
-            _own_dir.append(tempfile.mkdtemp(prefix="docloom-"))
-        path = _own_dir[0]
-    return path.rstrip("/")
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def discard(df: DataFrame) -> None:
-    """Removes what materialize() wrote for this frame; nothing may read it any more."""
-    path = getattr(df, "_docloom_path", None)
-    if path:
-        _remove(df.sparkSession, path)
-        _written[:] = [x for x in _written if x[1] != path]
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Writes the frame to the shared folder and reads it again: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/docloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append((spark, path))
-    back = spark.read.schema(df.schema).parquet(path)
-    back._docloom_path = path
-    return back
-
-
-@atexit.register
-def _tidy() -> None:
-    for spark, path in _written:
-        try:
-            _remove(spark, path)
-        except Exception:  # the session is gone; the folder belongs to the cluster
-            return
-
-
 #: Bits of a filter that goes to every task (8 MB), at most; below that 16 for every key in it.
 FILTER_BITS = 1 << 26
-#: A key with more rows than this, and than 1 / SHARE of all rows, is joined by sending its one row instead; there are at
-#: most SHARE such keys, whatever the data.
-HOT_ROWS, SHARE = 1000, 1000
-
 
 def filter_size(n: int) -> int:
     return min(FILTER_BITS, 1 << max(15, (16 * n).bit_length()))
@@ -116,23 +64,6 @@ def without(docs: DataFrame, gone: DataFrame, keys: list[Column], names: list[st
     return passed.union(stopped.join(sent, on, "left_anti"))
 
 
-def spread_join(big: DataFrame, small: DataFrame, key: str, rows: str, total: int, hot_rows: int | None = None) -> DataFrame:
-    """big joined with small (one row a key, `rows` = how many rows of big the key has; total = all of them).
-
-    Rows of common keys are joined where they lie, so no task gets all rows of a key; the others meet by a shuffle.
-    The column `rows` is not returned.
-    """
-    limit = max(hot_rows or HOT_ROWS, total // SHARE)
-    if total <= limit:
-        return big.join(small.drop(rows), key)
-    small = materialize(small)
-    hot, cool = small.where(F.col(rows) > limit).drop(rows), small.where(F.col(rows) <= limit).drop(rows)
-    if hot.isEmpty():
-        return big.join(small.drop(rows), key)
-    hot = F.broadcast(hot)
-    return big.join(hot, key).unionByName(big.join(hot.select(key), key, "left_anti").join(cool, key))
-
-
 #: Slots of a filter that counts hashes, the same at every size, so what goes to a task is 32 MB of bits at most; slots of a row.
 SLOTS, SLOTS_IN_ROW = 1 << 28, 1 << 20
 SLOT_ROWS = "block int, slots binary, n binary"
@@ -181,44 +112,3 @@ def slot_bits(parts: dict[int, bytes]) -> np.ndarray:
 def in_slots(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     slots = hashes & np.uint64(SLOTS - 1)
     return (bits[(slots >> np.uint64(3)).astype(np.int64)] >> (slots & np.uint64(7)).astype(np.uint8)) & 1 == 1
-
-
-#: A hub of the graph with more links than this is not left to one task.
-HUB_LINKS = 50_000
-
-
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Connected components of (src, dst), both long: rows (node, component = smallest node).
-
-    Alternates large-star and small-star steps, each a map-side combined minimum and a spread join, so a node of very
-    many links is never gathered. Every round is written to the shared folder. No edges: no rows. Self loops and
-    repeated links do no harm.
-    """
-    cur = materialize(edges.where("src <> dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct())
-
-    def stats(df):
-        return df.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(20,0)"))).first()
-
-    seen = stats(cur)
-    for _ in range(max_rounds):
-        if not seen[0]:
-            break
-        both = cur.union(cur.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        least = both.groupBy("src").agg(F.least(F.min("dst"), F.first("src")).alias("m"), F.count("*").alias("k"))
-        large = spread_join(both.where("dst > src"), least, "src", "k", 2 * seen[0], HUB_LINKS).select(F.col("dst").alias("src"), F.col("m").alias("dst")).where("src <> dst").distinct()
-        if seen[0] > HUB_LINKS:
-            large = materialize(large)
-        low = large.groupBy("src").agg(F.min("dst").alias("m"), F.count("*").alias("k"))
-        small = spread_join(large, low, "src", "k", seen[0], HUB_LINKS)
-        nxt = small.select("src", F.col("m").alias("dst")).union(small.select(F.col("dst").alias("src"), F.col("m").alias("dst"))).where("src <> dst").distinct()
-        nxt = materialize(nxt)
-        now = stats(nxt)
-        discard(cur)
-        cur = nxt
-        if now == seen:
-            break
-        seen = now
-    else:
-        raise RuntimeError("components did not settle")
-    nodes = cur.select(F.col("src").alias("node"), F.col("dst").alias("component"))
-    return nodes.union(cur.select(F.col("dst").alias("node"), F.col("dst").alias("component")).distinct())

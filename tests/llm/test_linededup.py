@@ -6,6 +6,7 @@ import pytest
 
 from docloom.llm import common
 from docloom.llm import linededup as L
+from docloom.operators import graph
 from tests.test_queries import canon, duck
 
 LONG = "This very line is long enough to be compared, as it has over forty letters"
@@ -57,8 +58,8 @@ def test_edges(spark):
 
 
 def test_hot_keys_are_joined_where_they_lie(spark, monkeypatch):
-    monkeypatch.setattr(common, "HOT_ROWS", 5)
-    monkeypatch.setattr(common, "SHARE", 10)
+    monkeypatch.setattr(graph, "HOT_ROWS", 5)
+    monkeypatch.setattr(graph, "SHARE", 10)
     docs = [(i, LONG + "\n" + f"{LONG} {i % 9}") for i in range(60)]
     got = sorted(map(tuple, L.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()), key=repr)
     assert got == brute(docs)

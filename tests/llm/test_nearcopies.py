@@ -4,6 +4,7 @@ import corpus_pipeline as P
 import numpy as np
 import pytest
 from docloom.llm import common, nearcopies as J, simhash
+from docloom.operators import graph
 
 
 def sets_of(text):
@@ -53,9 +54,9 @@ def test_one_large_group(spark, batch):
 
 
 def test_hot_keys_give_the_same(spark, monkeypatch):
-    monkeypatch.setattr(common, "HOT_ROWS", 2)
-    monkeypatch.setattr(common, "SHARE", 10**9)
-    monkeypatch.setattr(common, "HUB_LINKS", 2)
+    monkeypatch.setattr(graph, "HOT_ROWS", 2)
+    monkeypatch.setattr(graph, "SHARE", 10**9)
+    monkeypatch.setattr(graph, "HUB_LINKS", 2)
     rows = [*edited(random.Random(5), 60, 3), *((1000 + i, "just the same words here again") for i in range(20))]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id: r.component_id for r in J.near_copies(df).collect()} == brute(rows)

@@ -4,8 +4,8 @@ import random
 
 import numpy as np
 
-from docloom.llm import common
 from docloom.llm import vecdedup as V
+from docloom.operators import graph
 from tests.test_queries import canon, duck
 
 
@@ -45,8 +45,8 @@ def test_random_vectors_with_copies(spark):
 
 
 def test_hot_vector_is_joined_where_it_lies(spark, monkeypatch):
-    monkeypatch.setattr(common, "HOT_ROWS", 10)
-    monkeypatch.setattr(common, "SHARE", 10)
+    monkeypatch.setattr(graph, "HOT_ROWS", 10)
+    monkeypatch.setattr(graph, "SHARE", 10)
     rows = [(i, [1.0, 2.0] if i % 2 else [i / 7, -i / 3]) for i in range(100)]
     assert rows_of(V.weighted_kmeans(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), dims=2, k=5)) == brute([(i, [float(np.float32(x)) for x in v]) for i, v in rows], 2, 5, 5)
 
