@@ -23,7 +23,8 @@ from .common import LOWER_AZ, SLOT_ROWS, in_slots, materialize, slot_bits, slot_
 
 #: Lower-cases A-Z and makes every end of a piece a newline, on bytes.
 _PIECES = LOWER_AZ.translate(bytes.maketrans(b".,;:!?\n\x0b\x0c\r", b"\n" * 10))
-_FLUSH, _MOST_WORDS = 1_000_000, 300_000
+#: Words of a stretch whose prefixes are counted, and whose pointers are projected; different words held at a time.
+_FLUSH, _STRETCH, _MOST_WORDS = 1_000_000, 100_000, 300_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -91,7 +92,7 @@ def word_counts(docs: DataFrame, seed: int) -> DataFrame:
     return materialize(docs.mapInArrow(run, "lang string, code long, word string, n long").groupBy("lang", "code", "word").agg(F.sum("n").alias("n")))
 
 
-def _encode_batches(batches, seed: int):
+def _encode_batches(batches, seed: int, words: int):
     """The words of the documents in stretches of bounded size (a text is whole): (codes, whether joined to the next)."""
     langs: dict[str, _Codes] = {}
     some, size = [], 0
@@ -101,7 +102,7 @@ def _encode_batches(batches, seed: int):
             if pieces := _pieces(text.as_py()):
                 some.append(_encoded(pieces, codes))
                 size += len(some[-1][0])
-            if size >= _FLUSH:
+            if size >= words:
                 yield tuple(np.concatenate(x) for x in zip(*some))
                 some, size = [], 0
     if size:
@@ -110,10 +111,10 @@ def _encode_batches(batches, seed: int):
 
 def frequent_prefixes(docs: DataFrame, seed: int, min_count: int):
     """A filter of the two-word prefixes: it knows all with min_count occurrences (at most 255 are told apart), and some others."""
-    most = min(min_count, 255)
+    most, words = min(min_count, 255), _FLUSH
 
     def run(batches):
-        for codes, joined in _encode_batches(batches, seed):
+        for codes, joined in _encode_batches(batches, seed, words):
             if joined.any():
                 yield slot_rows(_pairs(codes)[joined[:-1]], most)
 
@@ -126,11 +127,11 @@ def frequent_prefixes(docs: DataFrame, seed: int, min_count: int):
 def projected(docs: DataFrame, prefixes, seed: int, longest: int) -> DataFrame:
     """Occurrence pointers (w1, .., w<longest>, n): a two-word prefix with the words after it, 0 from the end of its piece
     or the first pair that is surely rare; n equal ones of a stretch are one row."""
-    names = [f"w{k}" for k in range(1, longest + 1)]
+    names, words = [f"w{k}" for k in range(1, longest + 1)], _STRETCH
 
     def run(batches):
         bits = slot_bits(prefixes.value)
-        for codes, joined in _encode_batches(batches, seed):
+        for codes, joined in _encode_batches(batches, seed, words):
             on = joined.copy()
             on[:-1][joined[:-1]] = in_slots(bits, _pairs(codes)[joined[:-1]])
             at = np.flatnonzero(on)

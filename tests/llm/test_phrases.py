@@ -39,6 +39,7 @@ def test_against_sql(spark, sf):
 @pytest.mark.parametrize("least,share,most,parts", [(3, 100, 2000, 8), (2, 60, 5, 3), (6, 100, 50, 1)])
 def test_random_texts(spark, least, share, most, parts, monkeypatch):
     monkeypatch.setattr(P, "_FLUSH", 50)
+    monkeypatch.setattr(P, "_STRETCH", 30)
     monkeypatch.setattr(P, "_MOST_WORDS", 8)
     rng = random.Random(least)
     fixed = ["Alpha beta gamma delta epsilon zeta", "one two, three", "x x x x x x x x", "Été chaud sec"]
