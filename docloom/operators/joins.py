@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.operators.sweeps import overlap_pairs
 from docloom.sources.tables import read_table as T
 
 
@@ -98,19 +99,10 @@ def glossary_unambiguous(spark, sf):
     return unambiguous(T(spark, sf, "part").select(F.concat_ws("/", "p_name", "p_brand", "p_size").alias("term"), "p_type"), "term", "p_type")
 
 
-def interval_overlaps(df: DataFrame, key: str, ident: str, start: str, end: str, width: int) -> DataFrame:
-    """Pairs (a, b) of rows of one key whose half-open intervals overlap. Each interval goes to the buckets it covers,
-    pairs meet in a bucket and are kept in the first they share, so no key is compared as a whole."""
-    cut = df.select(key, ident, start, end, F.explode(F.sequence(F.floor(F.col(start) / width), F.floor((F.col(end) - 1) / width))).alias("bucket"))
-    a, b = cut.alias("a"), cut.alias("b")
-    on = (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a.bucket") == F.col("b.bucket")) & (F.col(f"a.{ident}") < F.col(f"b.{ident}")) & (F.col(f"a.{start}") < F.col(f"b.{end}")) & (F.col(f"b.{start}") < F.col(f"a.{end}"))
-    first = F.col("a.bucket") == F.floor(F.greatest(F.col(f"a.{start}"), F.col(f"b.{start}")) / width)
-    return a.join(b, on & first).select(F.col(f"a.{key}").alias(key), F.col(f"a.{ident}").alias("a"), F.col(f"b.{ident}").alias("b"))
-
-
 def interval_overlap_join(spark, sf):
+    """Events of one user whose spans overlap, met by a sweep."""
     ev = T(spark, sf, "events").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("s"), (F.unix_micros(F.col("ts").cast("timestamp")) + F.floor(F.col("value") * 60_000_000).cast("bigint") + 1).alias("e"))
-    return interval_overlaps(ev, "user_id", "event_id", "s", "e", 3_600_000_000)
+    return overlap_pairs(ev, None, "user_id", "event_id", "s", "e")
 
 
 def boxes_iou(boxes: DataFrame, page: str, ident: str, cell: int, least: float) -> DataFrame:
