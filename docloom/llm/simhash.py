@@ -142,14 +142,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     table gives an empty result. Other columns are not read, so clashing names do no harm.
     """
     prints = materialize(fingerprints(docs, id_col, text_col, shingle))
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows"))
     comp = components(links(nodes.select("fp"), max_bits))
     # a component of fingerprints takes the smallest doc_id of its members
     named = nodes.join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    named = materialize(named.select("fp", "first", "component"))
+    named = materialize(named.select("fp", "first", "rows", "component"))
     best = named.groupBy("component").agg(F.min("first").alias("component_id"), F.count("*").alias("k"))
-    ids = spread_join(named.select("fp", "component"), best, "component", "k", named.count()).select("fp", "component_id")
-    return prints.join(ids, "fp", "left").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    ids = spread_join(named.select("fp", "rows", "component"), best, "component", "k", named.count()).select("fp", "rows", "component_id")
+    # the rows of a common fingerprint (of empty texts, or of one page copied often) are joined where they lie
+    return spread_join(prints, ids, "fp", "rows", prints.count()).select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
