@@ -41,6 +41,12 @@ IN_WORDS = frozenset("article articlebody content post entry story main body tex
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|[^<]+|<", re.S)
 _ATTRIBUTE = re.compile(r"(?:^|[\s\"'])(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
+#: A class name with one of these says how the page is laid out, not what the element is ("no-sidebar", "comments-open").
+MODIFIERS = frozenset("no not with without has is open opened closed hide hidden show shown enabled disabled active".split())
+#: Of the words above, those that a page's layout may be named for as well: they leave out nothing if that leaves nothing
+#: of a page with so much plain text.
+LAYOUT_WORDS = frozenset("nav navigation navbar menu sidebar aside footer header masthead banner notice notices promo promotion complementary contentinfo".split())
+LEAST_TEXT = 200
 _MAX_PERIOD = 6
 #: Sequences whose product of lengths is above this are aligned between anchors only.
 MOST_CELLS = 250_000
@@ -52,16 +58,32 @@ MAX_DEPTH = 200
 
 
 def signature(tag: str, attributes: str) -> str:
-    """The element and the words in its class, id and role."""
+    """The element and the words in its class, id and role; a name with a modifier is one word."""
     if not attributes.strip():
         return tag
-    words = sorted({w for m in _ATTRIBUTE.finditer(attributes) for w in _WORD.findall((m[2] or m[3] or m[4] or "").lower())})
-    return " ".join([tag, *words])
+    words = set()
+    for m in _ATTRIBUTE.finditer(attributes):
+        for name in (m[2] or m[3] or m[4] or "").lower().split():
+            parts = _WORD.findall(name)
+            words.update(parts if MODIFIERS.isdisjoint(parts) else ["-".join(parts)])
+    return " ".join([tag, *sorted(words)])
 
 
-def is_out(sig: str) -> bool:
+def is_out(sig: str, soft: bool = False) -> bool:
+    """Whether the element is never main text; soft: words of the layout are passed over."""
     tag, *words = sig.split(" ")
-    return tag in OUT_TAGS or (tag not in ("html", "body", "article", "main") and not OUT_WORDS.isdisjoint(words))
+    return tag in OUT_TAGS or (tag not in ("html", "body", "article", "main") and any(w in OUT_WORDS and not (soft and w in LAYOUT_WORDS) for w in words))
+
+
+def _left_out(path: tuple[str, ...], n: int, soft: bool) -> bool:
+    """Whether something below the place leaves the block out. Headings in an article's own header are main text."""
+    for k in range(n, len(path)):
+        if is_out(path[k], soft):
+            headed = _tag(path[k]) == "header" and any(_tag(p) == "article" for p in path[:k]) and any(_tag(p) in _HEADINGS for p in path[k + 1 :])
+            if not headed or any(is_out(p, soft) for p in path[k + 1 :]):
+                return True
+            return False
+    return False
 
 
 class Node:
@@ -287,7 +309,7 @@ def read_rules(root: Node) -> dict:
     the weight, beside varying headings, which are places too; it ends at an article or main element. Where several
     groups share the weight, those made or named for articles are taken if they have half of it, else all.
     """
-    slots_only = root.pages > 1
+    slots_only, soft = root.pages > 1, False
 
     def own(node):
         if slots_only and node.text not in (VARIES, None):
@@ -295,17 +317,20 @@ def read_rules(root: Node) -> dict:
         return max(0, node.plain - 2 * node.linked)
 
     def weight(node):
-        w = own(node) + sum(weight(p) for p in node.parts if not is_out(p.sig))
+        w = own(node) + sum(weight(p) for p in node.parts if not is_out(p.sig, soft))
         return w / 2 if _hinted(node.sig) else w
 
     if not weight(root):
         slots_only = False
+    if not weight(root):
+        soft = True
+        soft = weight(root) >= LEAST_TEXT
     node_group, path, extra = [root], [], []
     while True:
         whole, kids = sum(map(weight, node_group)), {}
         for node in node_group:
             for p in node.parts:
-                if not is_out(p.sig):
+                if not is_out(p.sig, soft):
                     kids.setdefault(p.sig, []).append(p)
         heavy = {sig: sum(map(weight, g)) for sig, g in kids.items()}
         here = _tag(path[-1]) if path else ""
@@ -328,7 +353,7 @@ def read_rules(root: Node) -> dict:
         if node.pages >= TEMPLATE_PAGES and 5 * node.pages >= 4 * root.pages:
             fixed |= node.shared
         todo += node.parts
-    return {"places": [*extra, *places], "fixed": sorted(fixed)}
+    return {"places": [*extra, *places], "fixed": sorted(fixed), "soft": soft}
 
 
 def _clean(raw: str) -> str:
@@ -341,7 +366,7 @@ def take(blocks, rules: dict) -> str | None:
     places, fixed, got = [tuple(x) for x in rules["places"]], set(rules["fixed"]), []
     for path, raw, links in blocks:
         n = max((len(x) for x in places if path[: len(x)] == x), default=-1)
-        if n >= 0 and not any(map(is_out, path[n:])) and not (links and any(map(_hinted, path[n:]))) and (c := _clean(raw)):
+        if n >= 0 and not _left_out(path, n, rules["soft"]) and not (links and any(map(_hinted, path[n:]))) and (c := _clean(raw)):
             got.append(c)
     own = [c for c in got if xxhash.xxh32_hexdigest(c) not in fixed] if fixed else got
     if 2 * sum(map(len, own)) < sum(map(len, got)):
@@ -414,7 +439,11 @@ def _extract(batches):
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row a page: page_id, url, text (blocks joined by a line break), n_chars (code points).
 
-    Null and empty html give an empty text; a null url or one without a host belongs to the host ''; a page that its
+    Elements named for menus, headers, sidebars and the like by a whole word of their class, id or role are left out,
+    unless the word comes with a modifier or nothing else is left of a page with LEAST_TEXT characters of text. A heading
+    in an article's own header is main text, the rest of that header is not. From TEMPLATE_PAGES pages of a host on, text
+    that all of them have at one place goes, so the same page may give less on a host with more pages; places that weigh
+    the same are taken by name. Null and empty html give an empty text; a null url or one without a host belongs to the host ''; a page that its
     host's wrapper does not fit is read by its own expression; pages of any length are read whole; repeated pages stay
     repeated; an empty table gives an empty result; other columns are not read. The rules rest on sums over a host's
     pages and on texts that all of them have, so tasks may align them in any order; only optional groups that stand in

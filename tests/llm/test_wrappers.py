@@ -111,3 +111,64 @@ def test_many_unlike_elements_are_aligned_in_bounded_time():
     x = [f"div a{i}" for i in range(50_000)]
     y = [s for i, s in enumerate(x) if i % 7] + ["p"] * 10
     assert len(W.matched(x, y)) == sum(1 for i in range(50_000) if i % 7)
+
+
+def test_classes_that_tell_the_layout(spark):
+    """Words with a modifier leave out nothing; a whole word does, but not if nothing else is left of a long page."""
+    para = "<p>" + "some text of page {0} that goes on " * 6 + "</p><p>and more {0}</p>"
+    want = lambda i: "some text of page {0} that goes on ".format(i).strip() + (" some text of page {0} that goes on".format(i)) * 5 + f"\nand more {i}"
+    for wrapper in ('<div class="page no-sidebar">', '<div class="post comments-open">', '<div id="main" class="with-footer">', '<div class="sidebar">'):
+        body = wrapper + para + "</div>"
+        for n in (1, 3, 6):
+            assert texts(spark, [body.format(i) for i in range(n)]) == {i: want(i) for i in range(n)}, wrapper
+    beside = '<div class="content">' + para + '</div><div class="sidebar"><p>side {0}</p></div>'
+    assert texts(spark, [beside.format(i) for i in range(5)]) == {i: want(i) for i in range(5)}
+    assert set(texts(spark, ['<div class="cookie-notice">' + "We use cookies. " * 30 + "</div>"] * 3).values()) == {""}
+    assert set(texts(spark, ['<div class="header">Site</div>'] * 3).values()) == {""}
+
+
+def test_heading_in_an_articles_header(spark):
+    body = "<header><h1>Site</h1></header><article><header><h1>Title {0}</h1><p>by A {0}</p></header><p>text {0}</p><nav><h2>More</h2></nav></article>"
+    assert texts(spark, [body.format(i) for i in range(5)]) == {i: f"Title {i}\ntext {i}" for i in range(5)}
+
+
+def read_plainly(html):
+    """Another reader, by the standard parser: the blocks of the one article element, of pages that have one."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.open, self.blocks = [], [""]
+
+        def handle_starttag(self, tag, attrs):
+            if tag not in W.VOID:
+                self.open.append((tag, dict(attrs).get("class") or ""))
+            if tag not in W.INLINE:
+                self.blocks.append("")
+            elif tag in ("br", "img"):
+                self.blocks[-1] += " "
+
+        def handle_endtag(self, tag):
+            if tag not in W.INLINE:
+                self.blocks.append("")
+            while self.open and self.open.pop()[0] != tag:
+                pass
+
+        def handle_data(self, data):
+            tags = [t for t, _ in self.open]
+            if "article" in tags and not {"script", "style", "nav", "aside", "footer", "form", "button"} & set(tags) and not any({"ad", "comments"} & set(c.split()) for _, c in self.open):
+                self.blocks[-1] += data
+
+    reader = Reader()
+    reader.feed(html)
+    reader.close()
+    return "\n".join(x for x in (" ".join(b.split()) for b in reader.blocks) if x)
+
+
+def test_against_another_reader(spark, sf):
+    """All pages with one article element whose host has texts that differ: both readers agree."""
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    got = {r.page_id: r.text for r in W.extract_main_text(pages).collect()}
+    asked = [r for r in pages.collect() if r.html is not None and r.html.count("<article") == r.html.count("</article>") == 1]
+    assert len(asked) > 30 and {r.page_id: got[r.page_id] for r in asked} == {r.page_id: read_plainly(r.html) for r in asked}
