@@ -13,14 +13,17 @@ from pyspark.sql import functions as F
 
 from .common import materialize, table
 
-#: The secret key is read from this setting of the session; the demo key only stands in where none is set, as in tests.
+#: The secret key is read from this setting of the session; the demo key only stands in on a local master, as in tests.
 KEY_SETTING, DEMO_KEY = "spark.docloom.surrogateKey", "docloom-demo-key"
 #: Titles by gender, given names that mark a person without a title, and syllables for new names. Fixed values.
 FEMALE_TITLES = ["Mrs", "Ms", "Miss", "Frau", "Mme", "Mlle", "Sra", "Srta", "Doña", "Señora", "г-жа", "госпожа"]
 MALE_TITLES = ["Mr", "Herr", "M", "Sr", "Don", "Señor", "г-н", "господин"]
 OTHER_TITLES = ["Dr", "Prof"]
-FEMALE_NAMES = ["Mary", "Anna", "Maria", "Emma", "Laura", "Sarah", "Julia", "Sophie", "Claire", "Elena", "Carmen", "Lucia", "Ingrid", "Monika", "Jane", "Linda", "Susan", "Alice", "Marie", "Ana", "Анна", "Мария", "Елена", "Ольга"]
-MALE_NAMES = ["John", "James", "Peter", "Paul", "Michael", "Thomas", "David", "Robert", "William", "Pierre", "Jean", "Luis", "Carlos", "Jose", "Hans", "Karl", "Stefan", "Juan", "Bob", "Richard", "Иван", "Пётр", "Сергей", "Борис"]
+FEMALE_NAMES = ["Mary", "Anna", "Maria", "Emma", "Laura", "Sarah", "Julia", "Sophie", "Claire", "Elena", "Carmen", "Lucia", "Ingrid", "Monika", "Jane", "Linda", "Susan", "Alice", "Marie", "Ana", "Patricia", "Jennifer", "Elizabeth", "Barbara", "Jessica", "Karen", "Lisa", "Nancy", "Margaret", "Sandra", "Emily", "Michelle", "Amanda", "Rebecca", "Helen", "Katherine", "Olivia", "Sabine", "Petra", "Ursula", "Renate", "Heike", "Katharina", "Hannah", "Lena", "Lea", "Nina", "Isabelle", "Nathalie", "Sylvie", "Camille", "Chloe", "Manon", "Isabel", "Pilar", "Dolores", "Teresa", "Rosa", "Marta", "Cristina", "Aylin", "Fatma", "Elif", "Zeynep", "Leyla", "Fatima", "Aisha", "Giulia", "Chiara", "Francesca", "Ewa", "Agnieszka", "Анна", "Мария", "Елена", "Ольга", "Наталья", "Татьяна", "Ирина"]
+MALE_NAMES = ["John", "James", "Peter", "Paul", "Michael", "Thomas", "David", "Robert", "William", "Pierre", "Jean", "Luis", "Carlos", "Jose", "Hans", "Karl", "Stefan", "Juan", "Bob", "Richard", "Joseph", "Charles", "Daniel", "Matthew", "Anthony", "Steven", "Andrew", "Kenneth", "Joshua", "Kevin", "Brian", "George", "Edward", "Ronald", "Timothy", "Jason", "Jeffrey", "Ryan", "Jacob", "Nicholas", "Eric", "Jonathan", "Kurt", "Jonas", "Klaus", "Werner", "Walter", "Wolfgang", "Jürgen", "Dieter", "Andreas", "Markus", "Matthias", "Lukas", "Felix", "Maximilian", "Philippe", "Michel", "Alain", "Jacques", "Antoine", "Julien", "Nicolas", "Miguel", "Javier", "Pedro", "Alejandro", "Manuel", "Antonio", "Francisco", "Mehmet", "Mustafa", "Ahmed", "Mohammed", "Omar", "Marco", "Giovanni", "Piotr", "Krzysztof", "Иван", "Пётр", "Сергей", "Борис", "Алексей", "Дмитрий", "Николай"]
+#: Words that are surnames too, but mostly stand for months, days or something else; words before a noun. Fixed values.
+COMMON = ["May", "April", "June", "August", "March", "Monday", "Friday", "Sunday", "Will", "Young", "Long", "Best", "Rich", "King", "Price", "Rose", "Day", "Love", "Field", "Stone", "Wood", "West", "North", "Church", "Page", "Park", "Green", "Brown", "White", "Black", "Gray", "Case", "Cook", "Baker", "Hall", "Hill", "Major", "Summer", "Winter", "Mai", "Juni", "Juli", "März", "Januar", "Oktober", "Freitag", "Sonntag", "Montag", "Kaiser", "König", "Berg", "Stein", "Wald", "Bach", "Sommer", "Herbst", "Mars", "Avril", "Petit", "Grand", "Mayo", "Abril", "Julio", "Domingo", "Rey", "Campo"]
+BEFORE_NOUNS = ["der", "die", "das", "den", "dem", "des", "ein", "eine", "einen", "einem", "einer", "im", "am", "zum", "zur", "kein", "keine", "the", "a", "an", "le", "la", "les", "un", "une", "el", "los", "las", "una"]
 LATIN = ["ba", "be", "bo", "da", "de", "do", "fa", "fe", "ga", "go", "ka", "ke", "la", "le", "li", "lo", "ma", "me", "mi", "mo", "na", "ne", "ni", "no", "ra", "re", "ri", "ro", "sa", "se", "ta", "ve"]
 CYRILLIC = ["ба", "бе", "бо", "ва", "ве", "да", "де", "до", "за", "зе", "ка", "ке", "ла", "ле", "ли", "ло", "ма", "ме", "ми", "мо", "на", "не", "ни", "но", "ра", "ре", "ри", "ро", "са", "се", "та", "те"]
 _CYRILLIC_LOW, _CYRILLIC_UP = "абвгдежзиклмнопрстуфхцчшэюя", "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ"
@@ -181,10 +184,14 @@ def cut_at_entities(text: Column) -> Column:
 
 
 def with_surnames(parts: Column) -> Column:
-    """Parts in which the surnames of the text's entities are entities wherever they stand."""
+    """Parts in which the surnames of the text's entities are entities wherever they stand, but behind an article. Not those
+    that are common words: listed ones, and ones that the same text has in lower case."""
     names = F.filter(_entities(parts), lambda e: kind_of(e) == "name")
     surnames = F.array_distinct(F.transform(names, lambda e: F.regexp_extract(e, rf"{_WORD}$", 0)))
-    pattern = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join(surnames, "|"), F.lit(r")(?!\p{L})"))
+    surnames = F.array_except(surnames, F.array(*map(F.lit, COMMON)))
+    plain = F.filter(parts, lambda x, i: i % 2 == 0)
+    surnames = F.filter(surnames, lambda w: ~F.exists(plain, lambda x: F.contains(x, F.lower(w)) & F.rlike(x, F.concat(F.lit(r"(?<!\p{L})"), F.lower(w), F.lit(r"(?!\p{L})")))))
+    pattern = F.concat(F.lit(rf"(?<!\p{{L}})(?<!(?<!\p{{L}})(?i:{'|'.join(BEFORE_NOUNS)})\s)(?:"), F.array_join(surnames, "|"), F.lit(r")(?!\p{L})"))
     again = lambda x: F.split(F.regexp_replace(x, pattern, F.lit(f"{_MARK}$0{_MARK}")), _MARK, -1)
     wider = F.flatten(F.transform(parts, lambda x, i: F.when((i % 2 == 0) & ~F.contains(x, F.lit(_MARK)), again(x)).otherwise(F.array(x))))
     return F.when(F.size(surnames) > 0, wider).otherwise(parts)
@@ -223,14 +230,23 @@ def _free(docs: DataFrame, name: str) -> str:
     return name
 
 
+def secret_key(spark: SparkSession) -> str:
+    """The key of the session's setting; the demo key only where all runs on one machine, as in tests."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError(f"set {KEY_SETTING}: surrogates made with a known key can be undone")
+    return key or DEMO_KEY
+
+
 def replace_entities(docs: DataFrame, text_col: str = "text", key: str | None = None) -> DataFrame:
     """docs with the text's entities replaced, and n_entities long; all other columns stay as they are.
 
     Null and empty texts stay, with 0 entities; texts of any length are searched whole; repeated rows and copies get the
     same surrogates, in any order of rows; an empty table gives an empty result. A column n_entities of the input is
-    replaced. The key is that of the session's setting if none is given.
+    replaced. The key is that of the session's setting if none is given;
+    without either, a cluster is refused.
     """
-    key = key or docs.sparkSession.conf.get(KEY_SETTING, DEMO_KEY)
+    key = key or secret_key(docs.sparkSession)
     parts, row, tries = (_free(docs, x) for x in ("parts", "row", "tries"))
     # searched once: what is written are the parts of the texts in place of the texts
     work = docs.withColumn(parts, cut_at_entities(F.col(text_col))).drop(text_col).withColumn(parts, with_surnames(F.col(parts)))

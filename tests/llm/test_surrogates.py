@@ -1,5 +1,6 @@
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from docloom.llm import surrogates as S
@@ -69,6 +70,28 @@ def test_surname_alone_is_the_same_person(spark):
     assert got[3][0] == 2 and russian[2] == russian[4] != "Петрова"
 
 
+def test_common_words_are_no_names(spark):
+    text = "Dr Will May came in May 2020 with Frau Koch. In May it rained; the Koch family left, der Koch blieb. Mr Anton Bauch und sein bauch: Bauch."
+    n, out = run(spark, [(1, text)])[1]
+    assert "came in May 2020" in out and "In May it rained" in out and "der Koch blieb" in out and "the Koch family" in out and out.endswith("sein bauch: Bauch.")
+    assert n == 3 and "Will May" not in out and "Frau Koch" not in out and "Anton" not in out
+
+
+def test_names_without_titles(spark):
+    n, out = run(spark, [(1, "Kurt Meyer, Aylin Demir and Jonas Wolf met; Wolf spoke.")])[1]
+    assert n == 4 and not re.search("Meyer|Demir|Wolf|Kurt|Aylin|Jonas", out)
+
+
+def test_no_key_no_run(spark, monkeypatch):
+    class Cluster:
+        conf = type("C", (), {"get": staticmethod(lambda *_: None)})
+        sparkContext = type("S", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(RuntimeError, match="surrogateKey"):
+        S.secret_key(Cluster())
+    assert S.secret_key(spark) == S.DEMO_KEY
+
+
 def test_text_with_the_mark(spark):
     got = run(spark, [(1, "odd ￿ text a@b.org end￿ 10.1.2.3"), (2, "￿")])
     assert got[1][0] == 2 and got[1][1].startswith("odd ￿ text ") and "a@b.org" not in got[1][1] and " end￿ " in got[1][1]
