@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,6 +51,18 @@ def materialize(df: DataFrame) -> DataFrame:
     return back
 
 
+@contextlib.contextmanager
+def only_kept() -> Iterator[list[DataFrame]]:
+    """Inside, frames may be written as helpers of others; on leaving, those that aren't in the given list are removed. What
+    is kept must itself be written, not read from the others."""
+    before, kept = {path for _, path in _written}, []
+    yield kept
+    stay = {getattr(df, "_docloom_path", None) for df in kept}
+    for spark, path in [x for x in _written if x[1] not in before and x[1] not in stay]:
+        remove(spark, path)
+        _written.remove((spark, path))
+
+
 @atexit.register
 def _tidy() -> None:
     for spark, path in _written:
