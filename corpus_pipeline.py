@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.common import materialize, table
+from docloom.llm.common import discard, materialize, table
 from docloom.llm.decontaminate import drop_leaks
 from docloom.llm.nearcopies import keep_one_of_each
 from docloom.llm.langid import keep_identified
 from docloom.llm.mixing import keep_taken
 from docloom.llm.surrogates import replace_entities
+from docloom.sources.written import only_kept
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +46,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage. What a stage wrote besides its result, and the input it read, go when it is done."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir))
+        with only_kept() as kept:
+            out = materialize(stage(spark, docs, sf_dir))
+            kept.append(out)
+        discard(docs)
+        docs = out
     return STAGES[-1][1](spark, docs, sf_dir)
