@@ -3,8 +3,8 @@
 Centroids and codebooks are fitted on a bounded sample; every distinct vector is indexed: its nearest centroid's list,
 and a byte a subspace for the residual. A query goes twice: it scores the codes of its few nearest lists with asymmetric
 distance tables, and the exact distances of the best give a limit; then it probes all its lists and only codes within
-the limit leave the task, to be ranked by the exact distance of the original vectors. Lists are packed into slices and
-queries into blocks of bounded size, large lists over several slices, so no task gets more than one of each.
+the limit leave the task, to be ranked by the exact distance of the original vectors. Lists are packed into slices of
+bounded size, large lists over several; queries go to the slices of the lists they probe, codes go nowhere.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, table
 
-#: Vectors in the training sample, at most so many lists, vectors or queries in a block.
+#: Vectors in the training sample, at most so many lists, codes of a slice, queries scored at a time.
 SAMPLE = 20_000
 MAX_LISTS = 1024
 BLOCK = 8192
@@ -119,31 +119,48 @@ def _route(index, probes, slices):
 
 
 def _search(index, probes, keep):
-    """Of one slice and one block of queries: of each list its nearest codes (keep), or all within the query's limit."""
+    """Over rows sorted by slice, its codes before its queries: of each list a query's nearest codes (keep), or all within
+    its limit. A task holds one slice's codes; queries stream by, however many there are."""
 
-    def run(key, codes, queries):
+    def score(ix, ids, lists, c, queries):
         out = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
-        if codes.num_rows and queries.num_rows:
-            ix = index.value
-            ids, lists = codes["rep"].to_numpy(), codes["list"].to_numpy()
-            c = np.frombuffer(b"".join(codes["code"].to_pylist()), np.uint8).reshape(len(ids), -1)
-            asked, q, most = queries["query_id"].to_numpy(), _matrix(queries["q"]), queries["most"].to_numpy()
-            probed = np.zeros((len(q), len(ix.centroids)), bool)
-            np.put_along_axis(probed, ix.probes(q, probes), True, 1)
-            for x in np.unique(lists):
-                which, at = np.flatnonzero(probed[:, x]), np.flatnonzero(lists == x)
-                if not len(which):
+        asked, q, most = queries.column(2).to_numpy(), _matrix(queries.column(5)), queries.column(6).to_numpy()
+        probed = np.zeros((len(q), len(ix.centroids)), bool)
+        np.put_along_axis(probed, ix.probes(q, probes), True, 1)
+        for x in np.unique(lists):
+            which, at = np.flatnonzero(probed[:, x]), np.flatnonzero(lists == x)
+            if not len(which):
+                continue
+            at = at[np.argsort(ids[at])]
+            d = ix.distances(q[which], x, c[at])
+            if keep:
+                near = np.argsort(d, 1, kind="stable")[:, :keep]
+                row, col = np.repeat(np.arange(len(which)), near.shape[1]), near.ravel()
+            else:
+                row, col = np.nonzero(d <= most[which, None])
+            for column, v in zip(out, (asked[which[row]], ids[at[col]], d[row, col])):
+                column.append(v)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in out], names=["query_id", "rep", "adc"])
+
+    def run(batches):
+        ix, now, held, codes = index.value, None, [], None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            key = b.column(0).to_numpy().astype(np.int64) * 2 + b.column(1).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), b.num_rows]
+            for first, end in zip(cuts, cuts[1:]):
+                part, (at, kind) = b.slice(first, end - first), divmod(int(key[first]), 2)
+                if at != now:
+                    now, held, codes = at, [], None
+                if kind == 0:
+                    held.append(part)
                     continue
-                at = at[np.argsort(ids[at])]
-                d = ix.distances(q[which], x, c[at])
-                if keep:
-                    near = np.argsort(d, 1, kind="stable")[:, :keep]
-                    row, col = np.repeat(np.arange(len(which)), near.shape[1]), near.ravel()
-                else:
-                    row, col = np.nonzero(d <= most[which, None])
-                for column, v in zip(out, (asked[which[row]], ids[at[col]], d[row, col])):
-                    column.append(v)
-        return pa.table({n: np.concatenate(v) for n, v in zip(("query_id", "rep", "adc"), out)})
+                if held and codes is None:
+                    texts = [x for h in held for x in h.column(4).to_pylist()]
+                    codes = np.concatenate([h.column(2).to_numpy() for h in held]), np.concatenate([h.column(3).to_numpy() for h in held]), np.frombuffer(b"".join(texts), np.uint8).reshape(len(texts), -1)
+                for i in range(0, part.num_rows if held else 0, QUERY_BLOCK):
+                    yield score(ix, *codes, part.slice(i, QUERY_BLOCK))
 
     return run, "query_id long, rep long, adc double"
 
@@ -185,13 +202,13 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
         if blocks[x] > 1:
             at, room = at + int(blocks[x]) - 1, 0
     where = spark.createDataFrame([(x, int(start[x]), int(blocks[x])) for x in range(n_lists)], "list int, start int, blocks int")
-    n_blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     placed = codes.join(F.broadcast(where), "list").withColumn("slice", (F.col("start") + F.pmod(F.xxhash64("rep"), "blocks")).cast("int"))
-    placed = placed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).select("slice", "block", "rep", "list", "code")
+    placed = placed.select("slice", F.lit(0).alias("kind"), F.col("rep").alias("id"), "list", "code", F.lit(None).cast("array<double>").alias("q"), F.lit(None).cast("double").alias("most"))
 
     def scored(given, probes, keep):
-        routed = given.mapInArrow(*_route(index, probes, (start, blocks))).withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).cast("int"))
-        return placed.groupBy("slice", "block").cogroup(routed.groupBy("slice", "block")).applyInArrow(*_search(index, probes, keep))
+        routed = given.mapInArrow(*_route(index, probes, (start, blocks)))
+        routed = routed.select("slice", F.lit(1).alias("kind"), F.col("query_id").alias("id"), F.lit(None).cast("int").alias("list"), F.lit(None).cast("binary").alias("code"), "q", "most")
+        return placed.union(routed).repartition("slice").sortWithinPartitions("slice", "kind").mapInArrow(*_search(index, probes, keep))
 
     exact = F.sqrt(F.aggregate(F.zip_with("q", "v", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
     ranked = lambda found: found.join(entries, "rep").join(asked, "query_id").select("query_id", "rep", exact.alias("score"))
