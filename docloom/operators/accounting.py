@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions.text import fold_spaces
+from docloom.operators.graph import components
 from docloom.operators.metrics import _PRF, multiset_counts, with_scores
 from docloom.sources.tables import read_table as T
+from docloom.sources.written import materialize
 
 #: Reasons that leave a check not completed. Fixed values.
 UNFINISHED = ("grounding_exceeds_budget", "call_failed", "missing_claim", "unknown_label", "no_evidence")
@@ -60,31 +60,6 @@ def grounding_account(claims: DataFrame, excluded: DataFrame, linked: DataFrame,
     return told.select(F.explode(rows).alias("r")).groupBy("r.kind", "r.name").agg(F.count("*").alias("n"))
 
 
-def _checkpointed(df: DataFrame) -> DataFrame:
-    """Cut from its lineage in the cluster's shared folder; a temporary one only where none is set and all is local."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="docloom-"))
-    return df.checkpoint()
-
-
-def least_reachable(edges: DataFrame) -> DataFrame:
-    """(node, least) of links (a, b): the smallest node reachable. Takes as many rounds as the longest of the shortest
-    paths, so it is meant for small components, however many there are."""
-    both = _checkpointed(edges.select(F.col("a").alias("node"), F.col("b").alias("next")).union(edges.select("b", "a")))
-    label = _checkpointed(both.groupBy("node").agg(F.least("node", F.min("next")).alias("least")))
-    while True:
-        seen = both.join(label.withColumnsRenamed({"node": "next", "least": "other"}), "next").groupBy("node").agg(F.min("other").alias("other"))
-        moved = _checkpointed(label.join(seen, "node").select("node", F.least("least", "other").alias("least"), (F.col("other") < F.col("least")).alias("moved")))
-        label = moved.select("node", "least")
-        if moved.where("moved").isEmpty():
-            return label
-
-
 def duplicate_pairs(seen: DataFrame, least: float = MIN_IOU, cell: int = 32) -> DataFrame:
     """Pairs (a, b), a before b, of observations (place, id, crop, text, x0 to y1, cx0 to cy1) of one place and equal
     folded text whose boxes have an intersection over union of at least `least`, in different overlapping crops.
@@ -111,7 +86,8 @@ def duplicate_pairs(seen: DataFrame, least: float = MIN_IOU, cell: int = 32) ->
 def duplicate_marks(pairs: DataFrame) -> DataFrame:
     """(id, first, members, mark) of every observation in a pair: first and number of its component, and 'kept' or
     'dropped' in a component of two, where the later one goes, 'potential' in a larger one, which stays whole."""
-    label = least_reachable(pairs)
+    label = components(pairs.select(F.col("a").cast("long").alias("src"), F.col("b").cast("long").alias("dst"))).select("node", F.col("component").alias("least"))
+    label = materialize(label)
     size = label.groupBy("least").agg(F.count("*").alias("members"))
     mark = F.when(F.col("members") > 2, "potential").when(F.col("node") == F.col("least"), "kept").otherwise("dropped")
     return label.join(size, "least").select(F.col("node").alias("id"), F.col("least").alias("first"), "members", mark.alias("mark"))
