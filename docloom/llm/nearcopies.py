@@ -5,9 +5,11 @@ those that were nearly even in both. So each text enumerates, in every segment,
 certain bits, and texts that share such a segment value meet. What meets is checked by the complete distance of the
 fingerprints and then by the exact similarity of the shingle sets.
 
-In a bucket a text is not paired with all others, but with its first member. A bucket that still holds several
-components after that is dealt to blocks; the fingerprints of different components are compared inside the tasks of its
-block pairs, and only near pairs leave them, so no link between components is lost to the size of a bucket.
+In a bucket a text is not paired with all others, but with its first member; near texts form clusters. The members of a
+bucket in different clusters are compared inside tasks, so that every near pair that shares a bucket ends in one cluster.
+A cluster that holds several components of similar texts is dealt to blocks: fingerprints and shingle sets of each two
+blocks meet in a task, and only links between components leave it, so no pair is written and no link is lost to the size of
+a bucket or cluster.
 """
 
 from __future__ import annotations
@@ -79,8 +81,9 @@ def _sign(shingle: int, width: int, unsure: int):
 
 
 def _buckets(width: int, unsure: int, later: bool):
-    """Segment values of batches of (node, bits, low). A batch sends on one node a value, with how many it has there
-    (not later), and pairs the others with that one (later)."""
+    """Segment values of batches of (node, bits, low, n). A batch sends on one node a value, with the first word of its
+    fingerprint, its size and how many it has there (not later), and pairs the others with that one and says whether they
+    may be near (later)."""
     m = BITS // width
 
     def run(batches):
@@ -96,17 +99,22 @@ def _buckets(width: int, unsure: int, later: bool):
                 ball = np.concatenate([ball, ball ^ (np.int64(1) << low[:, :, i : i + 1])], 2)
             keys = ((value[:, :, None] ^ ball) | (np.arange(m, dtype=np.int64) << width)[None, :, None]).ravel()
             order = np.argsort(keys, kind="stable")
-            keys, owner = keys[order], np.repeat(node, m << unsure)[order]
+            words, sizes = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(node), -1), b.column(3).to_numpy(zero_copy_only=False)
+            keys, row = keys[order], np.repeat(np.arange(len(node)), m << unsure)[order]
+            owner = node[row]
             start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
             count = np.diff(np.append(start, len(keys)))
             if not later:
-                yield pa.RecordBatch.from_arrays([pa.array(keys[start]), pa.array(owner[start]), pa.array(count.astype(np.int32))], names=["bucket", "node", "k"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[start]), pa.array(owner[start]), pa.array(count.astype(np.int32)), pa.array(words[row[start], 0]), pa.array(sizes[row[start]])], names=["bucket", "node", "k", "w", "n"])
                 continue
             more = np.concatenate([np.full(count[g] - 1, start[g]) for g in np.flatnonzero(count > 1)] or [np.zeros(0, np.int64)])
             at = np.setdiff1d(np.arange(len(keys)), start, assume_unique=True) if len(more) else more
-            yield pa.RecordBatch.from_arrays([pa.array(keys[at]), pa.array(owner[at]), pa.array(owner[more])], names=["bucket", "node", "first"])
+            x, y = row[at], row[more]
+            near = np.minimum(sizes[x], sizes[y]) >= LEAST * np.maximum(sizes[x], sizes[y]) - 1e-9
+            near &= np.bitwise_count((words[x, 0] ^ words[y, 0]).view(np.uint64)) <= MOST_LEAD
+            yield pa.RecordBatch.from_arrays([pa.array(keys[at]), pa.array(owner[at]), pa.array(owner[more]), pa.array(near)], names=["bucket", "node", "first", "near"])
 
-    return run, "bucket long, node long, first long" if later else "bucket long, node long, k int"
+    return run, "bucket long, node long, first long, near boolean" if later else "bucket long, node long, k int, w long, n int"
 
 
 def _ordered(pairs: DataFrame, a: str, b: str) -> DataFrame:
@@ -186,18 +194,96 @@ def _meet_in_blocks(members: DataFrame, nodes: DataFrame, block: int = BLOCK) ->
     return sent.groupBy("bucket", "lo", "hi").applyInArrow(_compare, "src long, dst long").distinct()
 
 
+#: Members of a cluster that meet as many others in one task with their sets; columns of a product of sets.
+SETS, _COLUMNS = 512, 4096
+
+
+def _shared(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many elements each two of the sets share, by products of 0-1 matrices over the elements that several have."""
+    values = np.concatenate([*a, *b])
+    owner = np.repeat(np.arange(len(a) + len(b)), [len(x) for x in [*a, *b]])
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    new = np.concatenate([[True], values[1:] != values[:-1]])
+    column = np.cumsum(new) - 1
+    common = np.diff(np.append(np.flatnonzero(new), len(values))) > 1
+    keep = common[column]
+    column, owner = (np.cumsum(common) - 1)[column[keep]], owner[keep]
+    out = np.zeros((len(a), len(b)), np.float32)
+    for first in range(0, int(common.sum()), _COLUMNS):
+        lo, hi = np.searchsorted(column, [first, first + _COLUMNS])
+        part = np.zeros((len(a) + len(b), _COLUMNS), np.float32)
+        part[owner[lo:hi], column[lo:hi] - first] = 1
+        out += part[: len(a)] @ part[len(a) :].T
+    return out
+
+
+def _similar_of_block(group: pa.Table) -> pa.Table:
+    """Links between the components of one block pair of a cluster: of its similar pairs as many as join what they join."""
+    column = lambda c: group.column(c).combine_chunks()
+    node, comp, n, side = (column(c).to_numpy(zero_copy_only=False) for c in ("node", "component", "n", "side"))
+    bits = column("bits").flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(node), -1)
+    a, b = np.flatnonzero(side <= 0), np.flatnonzero(side >= 0)
+    may = (comp[a, None] != comp[None, b]) & (np.minimum(n[a, None], n[None, b]) >= LEAST * np.maximum(n[a, None], n[None, b]) - 1e-9)
+    far = np.zeros(may.shape, np.uint16)
+    for word in range(bits.shape[1]):
+        far += np.bitwise_count(bits[a, None, word] ^ bits[None, b, word])
+    may &= far <= MOST_BITS
+    rows, cols = np.flatnonzero(may.any(1)), np.flatnonzero(may.any(0))
+    links: list[tuple[int, int]] = []
+    if len(rows):
+        sets = column("found")
+        read = lambda at: [sets[int(i)].values.to_numpy(zero_copy_only=False) for i in at]
+        shared = _shared(read(a[rows]), read(b[cols]))
+        size = n.astype(np.float64)
+        total = size[a[rows]][:, None] + size[b[cols]][None] - shared
+        found = may[np.ix_(rows, cols)] & (shared >= LEAST * total - 1e-9)
+        root: dict[int, int] = {}
+
+        def top(x):
+            while root.get(x, x) != x:
+                x = root[x]
+            return x
+
+        for i, j in zip(*np.nonzero(found)):
+            x, y = a[rows[i]], b[cols[j]]
+            p, q = top(int(comp[x])), top(int(comp[y]))
+            if p != q:
+                root[max(p, q)] = min(p, q)
+                links.append((int(node[x]), int(node[y])))
+    return pa.table({"src": pa.array([x for x, _ in links], pa.int64()), "dst": pa.array([y for _, y in links], pa.int64())})
+
+
+def _similar_in_blocks(members: DataFrame, nodes: DataFrame, sets: DataFrame, block: int | None = None) -> DataFrame:
+    """Links (src, dst) of similarity LEAST or more between the components of each cluster of members (cluster, k, node,
+    component), k being its size; enough of them to join all that any joins.
+
+    A cluster is dealt to blocks, and each two blocks of it meet in a task of their own with fingerprints and shingle
+    sets; only links leave it.
+    """
+    own = F.pmod(F.xxhash64("node", "cluster"), F.col("blocks")).cast("int").alias("own")
+    dealt = members.withColumn("blocks", F.ceil(F.col("k") / (block or SETS)).cast("int")).select("cluster", "node", "component", "blocks", own)
+    dealt = dealt.join(nodes.select("node", "bits", "n"), "node").join(sets, "node")
+    sent = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    sent = sent.select("cluster", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), F.signum(F.col("own") - F.col("other")).cast("int").alias("side"), "node", "component", "n", "bits", "found")
+    return sent.groupBy("cluster", "lo", "hi").applyInArrow(_similar_of_block, "src long, dst long").distinct()
+
+
 def linked(nodes: DataFrame, sets_of, width: int, unsure: int) -> DataFrame:
     """Components (node, component) of the nodes (node, bits, low, n) by links of similarity LEAST or more.
 
     sets_of(pairs) gives the shingle sets of the pairs' ends.
     """
-    given = nodes.select("node", "bits", "low")
+    given = nodes.select("node", "bits", "low", "n")
     sent = given.mapInArrow(*_buckets(width, unsure, False)).repartition("bucket").withColumn("o", F.xxhash64("node", "bucket"))
     w = Window.partitionBy("bucket").orderBy("o").rowsBetween(Window.unboundedPreceding, 0)
-    seen = sent.select("bucket", "node", F.first("node").over(w).alias("first"), F.sum("k").over(w).alias("k"))
-    met = materialize(seen.where("node <> first or k > 2"))
+    one = F.first(F.struct("node", "w", "n")).over(w)
+    seen = sent.select("bucket", "node", "w", "n", one.alias("one"), F.sum("k").over(w).alias("k"))
+    # most chance meetings end here, before any join
+    may = (F.bit_count(F.col("w").bitwiseXOR(F.col("one.w"))) <= MOST_LEAD) & (F.least("n", "one.n") >= LEAST * F.greatest("n", "one.n") - 1e-9)
+    met = materialize(seen.select("bucket", "node", F.col("one.node").alias("first"), "k", may.alias("near")).where("node <> first or k > 2"))
     held = materialize(given.mapInArrow(*_buckets(width, unsure, True)))
-    both = met.select("node", "first").union(held.select("node", "first"))
+    both = met.where("near").select("node", "first").union(held.where("near").select("node", "first"))
     close = materialize(_close(_ordered(both, "node", "first"), nodes))
     # first each text's nearest one; what that joins needs no further comparison
     ends = close.select(F.col("src").alias("x"), F.col("dst").alias("y"), "far").union(close.select("dst", "src", "far"))
@@ -209,19 +295,25 @@ def linked(nodes: DataFrame, sets_of, width: int, unsure: int) -> DataFrame:
     rest = materialize(_apart(close.select("src", "dst"), comp))
     if not rest.isEmpty() and not (more := materialize(_similar(rest, sets))).isEmpty():
         comp = materialize(components(as_links(comp).union(more)))
-    # buckets of more than two whose members are not yet one component: their pairs of different components
+    # texts that are near, if not similar, are in one cluster: buckets of more than two may still hold near pairs of several
+    near = materialize(components(as_links(comp).union(close.select("src", "dst"))))
     large = met.where("k > 2").select("bucket").distinct()
     members = met.select("bucket", "node").union(met.select("bucket", "first")).union(held.select("bucket", "node")).union(held.select("bucket", "first"))
-    members = members.join(large, "bucket", "left_semi").distinct().join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    members = members.join(large, "bucket", "left_semi").distinct().join(near, "node", "left").withColumn("component", F.coalesce("component", "node"))
     members = materialize(members)
     split = materialize(members.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("bucket"))
-    if split.isEmpty():
-        return comp
-    found = _meet_in_blocks(members.join(split, "bucket", "left_semi"), nodes)
-    late = materialize(found.join(close.select("src", "dst"), ["src", "dst"], "left_anti"))
-    if late.isEmpty() or (more := materialize(_similar(late, materialize(sets_of(late))))).isEmpty():
+    if not split.isEmpty() and not (late := materialize(_meet_in_blocks(members.join(split, "bucket", "left_semi"), nodes))).isEmpty():
+        near = materialize(components(as_links(near).union(late)))
+    # every near pair of a bucket now lies in one cluster; the similar ones of those with several components are found there
+    placed = near.withColumnRenamed("component", "cluster").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = materialize(placed)
+    open_ = materialize(placed.groupBy("cluster").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("k")).where("a < b").select("cluster", "k"))
+    if open_.isEmpty():
         return comp
-    return components(as_links(comp).union(more))
+    asked = materialize(placed.join(open_, "cluster").select("cluster", "k", "node", "component"))
+    own = materialize(sets_of(asked.select(F.col("node").alias("src"), F.col("node").alias("dst"))))
+    more = materialize(_similar_in_blocks(asked, nodes, own))
+    return comp if more.isEmpty() else components(as_links(comp).union(more))
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:

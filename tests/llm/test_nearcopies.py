@@ -141,3 +141,35 @@ def test_blocks_of_a_bucket_against_all_pairs(spark):
     for block in (4, 1024):
         assert sorted(map(tuple, J._meet_in_blocks(given, nodes, block).collect())) == sorted(want)
     assert J._meet_in_blocks(given.limit(0), nodes).isEmpty()
+
+
+def test_clusters_in_blocks_against_all_pairs(spark):
+    """Texts that are all near, some similar: block sizes don't change what is joined, and links are few."""
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for _ in range(50):
+        words = list(base)
+        for at in rng.sample(range(120), rng.choice([1, 3, 4, 5])):
+            words[at] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(words).encode())
+    sets = [J.shingles(t) for t in texts]
+    nodes = spark.createDataFrame([(i, [int(w) for w in J.sketch(s)[0].view(np.int64)], len(s)) for i, s in enumerate(sets)], "node long, bits array<long>, n int")
+    found = spark.createDataFrame([(i, [int(x) for x in s.view(np.int64)]) for i, s in enumerate(sets)], "node long, found array<long>")
+    members = spark.createDataFrame([(c, 50, i, i // 3 * 3) for c in (0, 1) for i in range(50)], "cluster long, k long, node long, component long")
+    like = lambda i, j: (shared := len(np.intersect1d(sets[i], sets[j]))) >= 0.8 * (len(sets[i]) + len(sets[j]) - shared)
+
+    def groups(links):
+        label = {i: i // 3 * 3 for i in range(50)}
+        for i, j in links:
+            a, b = label[i], label[j]
+            label = {k: min(a, b) if v in (a, b) else v for k, v in label.items()}
+        return label
+
+    want = groups((i, j) for i in range(50) for j in range(i) if like(i, j))
+    assert 1 < len(set(want.values())) < 17
+    for block in (7, 512):
+        links = [tuple(r) for r in J._similar_in_blocks(members, nodes, found, block).collect()]
+        assert all(like(i, j) for i, j in links) and groups(links) == want
+    whole = J._shared(sets[:20], sets[20:])
+    assert (whole == [[len(np.intersect1d(x, y)) for y in sets[20:]] for x in sets[:20]]).all()
