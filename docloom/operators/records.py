@@ -304,6 +304,73 @@ def conform_nested(df: DataFrame, column: str, fields: tuple[Field, ...]) -> Dat
     return said.withColumns({f"{column}_fit": F.col("__both.fit"), column: F.from_json("__both.typed", _ddl(fields))}).drop("__both")
 
 
+def lossless(value, field: Field):
+    """A saved value brought to a field's structure with nothing dropped: a composite at a scalar becomes its JSON text, a
+    lone item a list of one, and a scalar where an object should be goes to the object's first field."""
+    cell = lambda v: v if v is None or isinstance(v, (str, bool, int, float)) else json.dumps(v, ensure_ascii=False)
+    if value is None:
+        return None
+    if field.kind == "object":
+        if isinstance(value, dict):
+            return {f.name: lossless(value.get(f.name), f) for f in field.fields}
+        return {field.fields[0].name if field.fields else "": cell(value)}
+    if field.kind == "array":
+        items = value if isinstance(value, list) else [value]
+        return [cell(x) if field.items else lossless(x, Field(field.name, "object", field.fields)) for x in items]
+    return cell(value)
+
+
+def violations(value, field: Field, path: tuple = ()):
+    """(path, code) of what keeps a value from being one of its field: type, not_allowed, extra_field or missing_field. A
+    null fits any field; an object has every field of its schema, be it null, and no other."""
+    if value is None:
+        return
+    if field.kind == "object":
+        if not isinstance(value, dict):
+            yield path, "type"
+            return
+        names = {f.name for f in field.fields}
+        yield from (((*path, n), "extra_field") for n in value if n not in names)
+        for f in field.fields:
+            if f.name not in value:
+                yield (*path, f.name), "missing_field"
+            else:
+                yield from violations(value[f.name], f, (*path, f.name))
+    elif field.kind == "array":
+        if not isinstance(value, list):
+            yield path, "type"
+            return
+        inner = Field(field.name, field.items, allowed=field.allowed) if field.items else Field(field.name, "object", field.fields)
+        for i, x in enumerate(value):
+            yield from violations(x, inner, (*path, i))
+    else:
+        number = isinstance(value, (int, float)) and not isinstance(value, bool)
+        fits = {"string": isinstance(value, str), "boolean": isinstance(value, bool), "number": number, "integer": number and float(value).is_integer()}[field.kind]
+        if not fits:
+            yield path, "type"
+        elif field.allowed is not None and value not in field.allowed:
+            yield path, "not_allowed"
+
+
+def validated(df: DataFrame, keys: list[str], column: str, fields: tuple[Field, ...]) -> DataFrame:
+    """(keys, path, code): the violations of JSON records against their schema, a row each; text that is no JSON object has
+    the one of code malformed. path is a JSON array."""
+    schema = K.StructType([*df.select(*keys).schema.fields, K.StructField("path", K.StringType()), K.StructField("code", K.StringType())])
+    root = Field("", "object", fields)
+
+    def run(batches):
+        for b in batches:
+            took, out = [], []
+            for i, text in enumerate(b.column(len(keys)).to_pylist()):
+                record = _parsed(text)
+                for path, code in violations(record, root) if isinstance(record, dict) else [((), "malformed")]:
+                    took.append(i)
+                    out.append((json.dumps(path, ensure_ascii=False, separators=(",", ":")), code))
+            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(took, pa.int32())) for c in b.columns[: len(keys)]), *(pa.array(list(c), pa.string()) for c in (zip(*out) if out else ([], [])))], names=schema.names)
+
+    return df.select(*keys, column).mapInArrow(run, schema)
+
+
 def value_at(record: Column, path: tuple[str | int, ...]) -> Column:
     """The value at a path of names and list places; null where there is none."""
     for step in path:
@@ -362,12 +429,19 @@ def export_line_cells(spark, sf):
     return cells.where("value is not null").select("o_orderkey", F.get("row", F.lit(0)).cast("long").alias("line"), "name", "value")
 
 
+def order_violations(spark, sf):
+    """What is wrong with the raw orders, counted by code and field."""
+    found = validated(raw_orders(spark, sf), ["o_orderkey"], "raw", ORDER)
+    last = F.element_at(F.split(F.regexp_replace("path", r"[\[\]\"]", ""), ","), -1)
+    return found.groupBy("code", last.alias("field")).agg(F.count("*").alias("n"))
+
+
 def canonical_props(spark, sf):
     df = canonical_json(T(spark, sf, "events").select("event_id", "props"), "props")
     return df.select("event_id", "props", F.sha2("props", 256).alias("sha256"))
 
 
-QUERIES = {f.__name__: f for f in (leaves_of_json, conform_json, event_counts_by_type, export_root_rows, export_nested_rows, conform_nested_orders, export_cells, export_line_cells, canonical_props)}
+QUERIES = {f.__name__: f for f in (leaves_of_json, conform_json, event_counts_by_type, export_root_rows, export_nested_rows, conform_nested_orders, export_cells, export_line_cells, order_violations, canonical_props)}
 _N = "WITH n AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity) AS i FROM lineitem)"
 #: Lines of an order with equal number and part sort by their note, which only odd lines have, as in `raw_orders`.
 _ORDERS = """WITH o AS (SELECT * FROM orders WHERE o_orderkey % 50 <> 0),
@@ -389,6 +463,10 @@ ORACLES = {
     "export_cells": _ORDERS + " SELECT * FROM top UNION ALL SELECT l_orderkey, 'lines.' || i || '.' || name, value FROM line",
     "export_line_cells": _ORDERS + """ SELECT l_orderkey AS o_orderkey, i AS line, 'lines.' || name AS name, value FROM line
         UNION ALL SELECT o_orderkey, i, name, value FROM top JOIN l ON o_orderkey = l_orderkey""",
+    "order_violations": """WITH o AS (SELECT * FROM orders WHERE o_orderkey % 50 <> 0), l AS (SELECT lineitem.* FROM lineitem JOIN o ON l_orderkey = o_orderkey)
+        SELECT 'malformed' AS code, '' AS field, count(*) AS n FROM orders WHERE o_orderkey % 50 = 0 UNION ALL SELECT 'extra_field', 'unknown', count(*) FROM o
+        UNION ALL SELECT 'type', 'name', count(*) FROM o UNION ALL SELECT 'extra_field', 'extra', count(*) FROM l
+        UNION ALL SELECT 'missing_field', 'lines', count(*) FROM o WHERE NOT EXISTS (SELECT 1 FROM l WHERE l_orderkey = o_orderkey) HAVING count(*) > 0""",
     "canonical_props": "SELECT event_id, replace(props, ' ', '') AS props, sha256(replace(props, ' ', '')) AS sha256 FROM events",
     "export_nested_rows": "SELECT o_orderkey, o_orderstatus, l_linenumber, l_partkey, l_quantity FROM orders JOIN lineitem ON l_orderkey = o_orderkey",
 }

@@ -100,6 +100,23 @@ def test_too_many_columns_are_refused(spark):
         table(spark, [record], FIELDS, ("list", "x"))
 
 
+def test_lossless_fit():
+    fields = R.Field("r", "object", (text("t"), R.Field("l", "array", items="string"), R.Field("o", "array", (text("x"), text("y")))))
+    assert R.lossless({"t": {"a": [1]}, "l": "one", "o": 5, "z": 1}, fields) == {"t": '{"a": [1]}', "l": ["one"], "o": [{"x": 5}]}
+    assert R.lossless("lone", fields) == {"t": "lone"} and R.lossless(None, fields) is None and R.lossless({"l": [None, [1], True]}, fields) == {"t": None, "l": [None, "[1]", True], "o": None}
+
+
+def test_violations(spark):
+    fields = (text("t"), R.Field("n", "integer"), R.Field("c", "string", allowed=("red",)), R.Field("l", "array", (text("x"),)))
+    rows = [(1, '{"t": "a", "n": 3.0, "c": "red", "l": [{"x": null}]}'), (2, '{"t": 1, "n": 1.5, "c": "blue", "l": {}, "z": 0}'), (3, '{"t": null, "n": true, "l": [{"y": 1}, 4]}'), (4, "{bad"), (5, None), (6, "[]")]
+    got = sorted((r.id, r.path, r.code) for r in R.validated(frame(spark, rows), ["id"], "raw", fields).collect())
+    assert got == [
+        (2, '["c"]', "not_allowed"), (2, '["l"]', "type"), (2, '["n"]', "type"), (2, '["t"]', "type"), (2, '["z"]', "extra_field"),
+        (3, '["c"]', "missing_field"), (3, '["l",0,"x"]', "missing_field"), (3, '["l",0,"y"]', "extra_field"), (3, '["l",1]', "type"), (3, '["n"]', "type"),
+        (4, "[]", "malformed"), (5, "[]", "malformed"), (6, "[]", "malformed"),
+    ]
+
+
 def test_canonical_json(spark):
     rows = [(1, '{"b": 1, "a": {"d": "ü", "c": [1, 2.50, null]}}'), (2, '{"a":{"c":[1,2.5,null],"d":"ü"},"b":1}'), (3, "{bad"), (4, None), (5, '{"x": NaN}')]
     got = {r.id: r.j for r in R.canonical_json(spark.createDataFrame(rows, "id long, j string"), "j").collect()}

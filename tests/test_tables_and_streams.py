@@ -1,0 +1,67 @@
+"""Formats read and written, and the event stream against the same work on the whole table."""
+
+import csv
+import pathlib
+
+from pyspark.sql import functions as F
+
+from docloom.sources import tables as T
+from docloom.streaming import events as E
+
+
+def test_json_lines(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"a": 1, "b": "x"}\n{broken\n{"a": 2}\n')
+    got = sorted(((r.a, r.b, r._corrupt_record) for r in T.read_json_lines(spark, str(tmp_path), "a int, b string").collect()), key=str)
+    assert got == [(1, "x", None), (2, None, None), (None, None, "{broken")]
+
+
+def test_csv_guards_formulas(spark, tmp_path):
+    rows = [(1, "=1+1"), (2, 'say "hi", twice'), (3, "two\nlines"), (4, None), (5, "-3"), (6, "plain")]
+    T.write_csv(spark.createDataFrame(rows, "id int, t string").coalesce(1), f"{tmp_path}/out")
+    (path,) = pathlib.Path(tmp_path, "out").glob("part-*.csv")
+    with path.open(newline="") as f:
+        read = list(csv.reader(f))
+    assert read == [["id", "t"], ["1", "'=1+1"], ["2", 'say "hi", twice'], ["3", "two\nlines"], ["4", ""], ["5", "'-3"], ["6", "plain"]]
+
+
+def test_partitions_round_trip(spark, tmp_path):
+    df = spark.range(100).selectExpr("id", "id % 3 AS k", "concat('v', id % 2) AS v")
+    T.write_partitioned(df, f"{tmp_path}/p", "k", "v")
+    assert sorted(p.name for p in pathlib.Path(tmp_path, "p").glob("k=*/v=*")) == sorted(f"v=v{i}" for i in (0, 1) for _ in range(3))
+    assert all(len(list(p.glob("part-*"))) == 1 for p in pathlib.Path(tmp_path, "p").glob("k=*/v=*"))
+    back = spark.read.parquet(f"{tmp_path}/p").selectExpr("id", "cast(k as bigint) AS k", "v")
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
+
+
+def run(frame, path, mode):
+    query = frame.writeStream.format("memory").queryName(path).outputMode(mode).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    return frame.sparkSession.table(path)
+
+
+def test_stream_against_the_whole_table(spark, sf, tmp_path):
+    events = spark.read.parquet(f"{sf}/events.parquet").selectExpr("event_id", "cast(ts as timestamp) AS ts", "user_id", "event_type", "value", "props").orderBy("ts")
+    events.repartitionByRange(6, "ts").write.parquet(f"{tmp_path}/in")
+    counted = run(E.windowed_counts(E.read_events(spark, f"{tmp_path}/in", 2), "1 day", "3650 days"), "counted", "complete")
+    want = events.groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("n"))
+    key = lambda df: sorted((r.w, r.event_type, r.n) for r in df.select(F.col("window.start").alias("w"), "event_type", "n").collect())
+    assert key(counted) == key(want) and key(want)
+    newest = run(E.newest_per_user(E.read_events(spark, f"{tmp_path}/in", 1)), "newest", "complete")
+    assert sorted(map(tuple, newest.collect())) == sorted(map(tuple, E.newest_per_user(events).collect()))
+
+
+def test_late_events_are_dropped_behind_the_watermark(spark, tmp_path):
+    rows = [("2024-01-01 00:10:00", "x"), ("2024-01-01 09:00:00", "x")]
+    late = [("2024-01-01 00:20:00", "x"), ("2024-01-01 08:30:00", "x"), ("2024-01-01 12:30:00", "x")]
+    for i, part in enumerate((rows, late, [("2024-01-01 23:00:00", "y")])):
+        df = spark.createDataFrame(part, "t string, event_type string").selectExpr("1L AS event_id", "cast(t as timestamp) AS ts", "1L AS user_id", "event_type", "1D AS value", "'{}' AS props")
+        df.coalesce(1).write.parquet(f"{tmp_path}/in{i}")
+    frame = lambda: E.windowed_counts(E.read_events(spark, f"{tmp_path}/in", 1), "1 hour", "2 hours")
+    got = {}
+    for i in range(3):
+        pathlib.Path(tmp_path, "in").mkdir(exist_ok=True)
+        (part,) = pathlib.Path(tmp_path, f"in{i}").glob("part-*.parquet")
+        part.rename(f"{tmp_path}/in/{i}.parquet")
+        query = frame().writeStream.foreachBatch(lambda df, n: got.update({(r.window.start.hour, r.event_type): r.n for r in df.collect()})).outputMode("append").option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start()
+        query.awaitTermination(120)
+    assert got[0, "x"] == 1 and got[8, "x"] == 1 and got[9, "x"] == 1
