@@ -50,7 +50,7 @@ def discovered_regions(spark, sf):
     said = lambda n: f"CASE floor(event_id / {n}) % 3 WHEN 0 THEN true WHEN 1 THEN false END"
     windows = ev.where("i % 4 = 1").selectExpr("user_id", "k", "i * 10 AS start", "i * 10 + 40 AS stop", "event_id % 11 <> 0 AS ok", f"{said(1)} AS begins", f"{said(3)} AS ends", "event_id % 2 = 0 AS withheld")
     kind = "CASE event_type WHEN 'click' THEN 'record' WHEN 'view' THEN 'other' ELSE 'unresolved' END AS kind"
-    places = ev.where("i % 4 <> 1 and event_id % 3 <> 0").selectExpr("user_id", "k", "if(i % 4 = 2 and event_id % 2 = 0, i * 10 - 10, i * 10) AS at", kind, "concat('e', event_id) AS label")
+    places = ev.where("i % 4 <> 1").selectExpr("user_id", "k", "if(i % 4 = 2 and event_id % 2 = 0, i * 10 - 10, i * 10) AS at", kind, "concat('e', event_id) AS label")
     return assemble(windows, places, "user_id", "k")
 
 
@@ -59,7 +59,7 @@ ORACLES = {
     "discovered_regions": """WITH e AS (SELECT user_id, event_id, event_type, i, (i - 1) // 4 AS k FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events WHERE user_id IS NOT NULL)),
         w AS (SELECT user_id, k, i * 10 AS start, i * 10 + 40 AS stop, event_id % 11 <> 0 AS ok, CASE event_id % 3 WHEN 0 THEN true WHEN 1 THEN false END AS b, CASE (event_id // 3) % 3 WHEN 0 THEN true WHEN 1 THEN false END AS e, event_id % 2 = 0 AS withheld FROM e WHERE i % 4 = 1),
         s AS (SELECT w.*, p.k IS NULL AS first, coalesce(p.ok AND NOT p.e, false) AS clean, coalesce(w.ok AND p.ok AND p.e AND w.b, false) AS joinable FROM w LEFT JOIN w p ON p.user_id = w.user_id AND p.k = w.k - 1),
-        p AS (SELECT e.user_id, e.k, CASE WHEN i % 4 = 2 AND event_id % 2 = 0 THEN i * 10 - 10 ELSE i * 10 END AS pos, CASE event_type WHEN 'click' THEN 'record' WHEN 'view' THEN 'other' ELSE 'unresolved' END AS kind, concat('e', event_id) AS label FROM e WHERE i % 4 <> 1 AND event_id % 3 <> 0),
+        p AS (SELECT e.user_id, e.k, CASE WHEN i % 4 = 2 AND event_id % 2 = 0 THEN i * 10 - 10 ELSE i * 10 END AS pos, CASE event_type WHEN 'click' THEN 'record' WHEN 'view' THEN 'other' ELSE 'unresolved' END AS kind, concat('e', event_id) AS label FROM e WHERE i % 4 <> 1),
         r AS (SELECT p.user_id, pos AS start, kind, label, false AS joinable, CASE WHEN pos = s.start THEN clean AND coalesce(NOT b, false) ELSE kind <> 'unresolved' END AS fine FROM p JOIN s ON p.user_id = s.user_id AND p.k = s.k AND s.ok
             UNION ALL SELECT user_id, start, CASE WHEN ok AND b = false AND (first OR clean) THEN 'other' ELSE 'unresolved' END, NULL, joinable, ok AND clean FROM s WHERE NOT (ok AND EXISTS (SELECT 1 FROM p WHERE p.user_id = s.user_id AND p.k = s.k AND p.pos = s.start))),
         o AS (SELECT r.*, (SELECT q.kind FROM r q WHERE q.user_id = r.user_id AND q.start < r.start AND NOT q.joinable ORDER BY q.start DESC LIMIT 1) AS before FROM r),

@@ -113,14 +113,16 @@ def printed_prices(spark, sf):
 
 
 def mask(text: Column, ranges: Column) -> Column:
-    """The text with the half-open ranges (start, end) blanked, so that other offsets stay."""
+    """The text with the half-open ranges (start, end) blanked, so that other offsets stay; what lies beyond its end is none."""
+    ranges = F.transform(F.filter(ranges, lambda r: r["start"] < F.length(text)), lambda r: F.struct(r["start"].alias("start"), F.least(r["end"], F.length(text)).alias("end")))
     length = lambda r: (r["end"] - r["start"]).cast("int")
     return F.aggregate(ranges, text, lambda t, r: F.overlay(t, F.repeat(F.lit(" "), length(r)), (r["start"] + 1).cast("int"), length(r)))
 
 
 def masked_turns(spark, sf):
-    """Turns without the part that earlier work covered: their first ten characters, and five in the middle."""
-    c = T(spark, sf, "conversations").where(F.length("text") >= 20)
+    """Turns without the part that earlier work covered, their first ten characters and five more; those that have nothing
+    else go."""
+    c = T(spark, sf, "conversations")
     ranges = F.array(F.struct(F.lit(0).alias("start"), F.lit(10).alias("end")), F.struct(F.lit(12).alias("start"), F.lit(17).alias("end")))
     return c.select("conv_id", "turn", mask(F.col("text"), ranges).alias("rest")).where(F.regexp_replace("rest", r"\s", "") != "")
 
@@ -172,7 +174,7 @@ ORACLES = {
     "evidence_quotes": "WITH a AS (SELECT *, strpos(lower(text), 'que') AS p FROM conversations) SELECT conv_id, turn, replace(substring(text, greatest(p - 20, 1), p - greatest(p - 20, 1) + 23), chr(10), ' ') AS quote FROM a WHERE p > 0",
     "fenced_json": "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events",
     "printed_prices": "WITH v AS (SELECT l_orderkey, l_linenumber, l_partkey, round(l_extendedprice, 1) AS v FROM lineitem) SELECT l_orderkey, l_linenumber, l_partkey, unnest(CASE WHEN v = floor(v) THEN [v::BIGINT::VARCHAR] ELSE [printf('%.1f', v), replace(printf('%.1f', v), '.', ',')] END) AS form FROM v",
-    "masked_turns": r"SELECT conv_id, turn, repeat(' ', 10) || text[11:12] || repeat(' ', 5) || text[18:] AS rest FROM conversations WHERE length(text) >= 20 AND regexp_replace(text[11:12] || text[18:], '\s', '', 'g') <> ''",
+    "masked_turns": r"SELECT conv_id, turn, repeat(' ', least(10, length(text))) || text[11:12] || repeat(' ', greatest(0, least(17, length(text)) - 12)) || text[18:] AS rest FROM conversations WHERE regexp_replace(text[11:12] || text[18:], '\s', '', 'g') <> ''",
     "allowed_values": "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_type ELSE p_type || '?' END AS kind FROM part",
     "reviewed_values": "SELECT o_orderkey, CASE o_orderstatus WHEN 'P' THEN upper(o_orderpriority) WHEN 'F' THEN NULL ELSE o_orderpriority END AS value, CASE o_orderstatus WHEN 'P' THEN 'EDITED' WHEN 'F' THEN 'REJECTED' ELSE 'MODEL' END AS state FROM orders",
     "work_order": "SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY abs(turn - 2) NULLS LAST, turn) AS place FROM conversations",
