@@ -61,3 +61,72 @@ def test_verbatim_copies_of_any_kind_are_found(spark):
     for max_sent in (D.MAX_SENT, 0):
         got = sorted((r.doc_id, r.item_id, r.kind) for r in D.find_leaks(d, b, max_sent=max_sent).collect())
         assert got == [(i, i, "exact") for i in range(4)]
+
+
+def typed(text):
+    """(template word, whether a slot, plain word) of each word, one after the other."""
+    out, initial = [], True
+    for line in (text or "").split("\n"):
+        initial, before = True, None if not out else out[-1]
+        for raw in line.split():
+            plain = re.sub(r"[\W_]+", "", raw)
+            if plain:
+                digits = sum(c.isdigit() for c in plain)
+                number = 2 * digits >= len(plain) and digits > 0 or raw[0].isdigit()
+                unit = not number and plain.lower() in D.UNITS and before is not None and before[0] == "<number>"
+                name = not number and not unit and plain.lower() not in D.UNITS and plain[0].isupper() and not plain.isupper() and not initial
+                before = ("<number>" if number else "<unit>" if unit else "<name>" if name else plain.lower(), number or unit or name, plain.lower())
+                out.append(before)
+            if plain:
+                initial = False
+            if raw.rstrip("\"')]").endswith((".", "!", "?", ":")):
+                initial = True
+    return out
+
+
+def plain_leaks(doc, item, width=D.WINDOW, least=D.MIN_LITERALS):
+    """(windows, kind) of the best alignment of a document with an item, or None; all windows against all."""
+    d, t = typed(doc), typed(item)
+    w = min(width, len(t))
+    if not w:
+        return None
+    lines = {}
+    for plain in (False, True):
+        for a in range(len(t) - w + 1):
+            mine = t[a : a + w]
+            literals = sum(not s for _, s, _ in mine)
+            few = literals < min(least, w - 1)
+            if (not plain and (few or w < D.MIN_ITEM)) or (plain and len(t) > width and not few):
+                continue
+            for b in range(len(d) - w + 1):
+                other = d[b : b + w]
+                same = [x[2] for x in mine] == [x[2] for x in other] if plain else [x[:2] for x in mine] == [x[:2] for x in other]
+                if same:
+                    pairs = {(x[2], y[2]) for x, y in zip(mine, other) if x[1]}
+                    at, seen = lines.setdefault((plain, b - a), (set(), set()))
+                    at.add(b)
+                    seen |= {(p, p) for p, _ in pairs} if plain else pairs
+    good = []
+    for at, pairs in lines.values():
+        changed = sum(p != q for p, q in pairs)
+        if not changed or len({p for p, _ in pairs}) == len({q for _, q in pairs}) == len(pairs):
+            good.append((len(at), -changed, -min(at)))
+    best = max(good, default=None)
+    return best and (best[0], "exact" if not best[1] else "reparameterised")
+
+
+def test_all_pairs_against_a_plain_search(spark):
+    """Every pair of many texts of few words, with values changed one to one or not, sentences begun anew, marks and units."""
+    rng = np.random.default_rng(12)
+    words = ["a", "farmer", "sells", "Ann", "Bob", "12", "30", "km", "and", "the", "of", "in", "one", "two", "--", "rain.", "Why?", "TV", "x9"]
+    items = [" ".join(rng.choice(words, n)) for n in (3, 4, 6, 9, 14, 18, 25, 30) for _ in range(3)] + [ITEM]
+    docs = []
+    for i in range(150):
+        base = items[i % len(items)].split()
+        change = {x: str(rng.choice([x, x, *{"Ann": ["Cleo", "Dan"], "Bob": ["Dan", "Eve"], "12": ["77", "5"], "30": ["5", "9.5"], "km": ["miles"]}.get(x, [])])) for x in set(base)}
+        body = [change[x] if rng.random() < 0.97 else str(rng.choice(words)) for x in base]
+        docs.append(" ".join([*rng.choice(words, rng.integers(0, 6)), *body, *rng.choice(words, rng.integers(0, 6))]).replace("Why? ", "Why?\n"))
+    want = {(i, j): found for i, doc in enumerate(docs) for j, item in enumerate(items) if (found := plain_leaks(doc, item))}
+    d, b = frames(spark, list(enumerate(docs)), list(enumerate(items)))
+    got = {(r.doc_id, r.item_id): (r.windows, r.kind) for r in D.find_leaks(d, b).collect()}
+    assert got == want and {k for _, k in want.values()} == {"exact", "reparameterised"} and len(want) < len(docs) * len(items) / 2
