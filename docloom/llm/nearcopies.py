@@ -29,6 +29,8 @@ BITS = 960
 #: Of 960 bits at similarity 0.8, 154 differ with a deviation of 12; of the first 64, 10 with a deviation of 3.
 MOST_BITS, MOST_LEAD = 198, 22
 _STEP = 4096
+#: Texts whose segment values are made at a time.
+_ROWS = 4096
 #: Members of a bucket that are compared with as many others in one task.
 BLOCK = 1024
 _MULTIPLY = np.random.default_rng(20).integers(0, 1 << 63, BITS // 64, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -86,33 +88,34 @@ def _buckets(width: int, unsure: int, later: bool):
     may be near (later)."""
     m = BITS // width
 
+    weights = 1 << np.arange(width, dtype=np.int64)
+
     def run(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
-            node = b.column(0).to_numpy(zero_copy_only=False)
-            bits = np.unpackbits(b.column(1).flatten().to_numpy(zero_copy_only=False).view(np.uint8).reshape(len(node), -1), axis=1, bitorder="little")
-            value = bits[:, : m * width].reshape(-1, m, width) @ (1 << np.arange(width, dtype=np.int64))
+        for b in (b.slice(i, _ROWS) for b in batches for i in range(0, b.num_rows, _ROWS)):
+            node, sizes = b.column(0).to_numpy(zero_copy_only=False), b.column(3).to_numpy(zero_copy_only=False)
+            words = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(node), -1)
+            value = np.empty((len(node), m), np.int64)
+            for i in range(0, len(node), 256):
+                bits = np.unpackbits(words[i : i + 256].view(np.uint8), axis=1, bitorder="little")
+                value[i : i + 256] = bits[:, : m * width].reshape(-1, m, width) @ weights
             low = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(-1, m, unsure).astype(np.int64)
             ball = np.zeros((len(node), m, 1), np.int64)
             for i in range(unsure):
                 ball = np.concatenate([ball, ball ^ (np.int64(1) << low[:, :, i : i + 1])], 2)
             keys = ((value[:, :, None] ^ ball) | (np.arange(m, dtype=np.int64) << width)[None, :, None]).ravel()
             order = np.argsort(keys, kind="stable")
-            words, sizes = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(node), -1), b.column(3).to_numpy(zero_copy_only=False)
-            keys, row = keys[order], np.repeat(np.arange(len(node)), m << unsure)[order]
-            owner = node[row]
-            start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-            count = np.diff(np.append(start, len(keys)))
+            keys, row = keys[order], order // (m << unsure)
+            new = np.concatenate([[True], keys[1:] != keys[:-1]])
+            start = np.flatnonzero(new)
             if not later:
-                yield pa.RecordBatch.from_arrays([pa.array(keys[start]), pa.array(owner[start]), pa.array(count.astype(np.int32)), pa.array(words[row[start], 0]), pa.array(sizes[row[start]])], names=["bucket", "node", "k", "w", "n"])
+                count, one = np.diff(np.append(start, len(keys))), row[start]
+                yield pa.RecordBatch.from_arrays([pa.array(keys[start]), pa.array(node[one]), pa.array(count.astype(np.int32)), pa.array(words[one, 0]), pa.array(sizes[one])], names=["bucket", "node", "k", "w", "n"])
                 continue
-            more = np.concatenate([np.full(count[g] - 1, start[g]) for g in np.flatnonzero(count > 1)] or [np.zeros(0, np.int64)])
-            at = np.setdiff1d(np.arange(len(keys)), start, assume_unique=True) if len(more) else more
-            x, y = row[at], row[more]
+            at = np.flatnonzero(~new)
+            x, y = row[at], row[start[np.cumsum(new)[at] - 1]]
             near = np.minimum(sizes[x], sizes[y]) >= LEAST * np.maximum(sizes[x], sizes[y]) - 1e-9
             near &= np.bitwise_count((words[x, 0] ^ words[y, 0]).view(np.uint64)) <= MOST_LEAD
-            yield pa.RecordBatch.from_arrays([pa.array(keys[at]), pa.array(owner[at]), pa.array(owner[more]), pa.array(near)], names=["bucket", "node", "first", "near"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys[at]), pa.array(node[x]), pa.array(node[y]), pa.array(near)], names=["bucket", "node", "first", "near"])
 
     return run, "bucket long, node long, first long, near boolean" if later else "bucket long, node long, k int, w long, n int"
 
