@@ -71,10 +71,16 @@ def context_selection(spark, sf):
     return select_contexts(T(spark, sf, "conversations"), "conv_id", "turn", "text", F.col("turn") == 0, ["the", "and", "der", "und", "que", "la"])
 
 
+def values_after(text: Column, keys: list[str], value: str, gap: int = 3) -> Column:
+    """Array of what matches `value` (a pattern without groups) at most `gap` characters that are no letters or digits
+    behind one of the keys, in order; a key may be any text, in any case."""
+    listed = "|".join(r"\Q" + k.replace(r"\E", r"\E\\E\Q") + r"\E" for k in sorted(keys, key=len, reverse=True))
+    return F.regexp_extract_all(text, F.lit(rf"(?iu:{listed})[^\p{{L}}\p{{N}}]{{0,{gap}}}({value})"), F.lit(1))
+
+
 def values_after_keys(spark, sf):
-    """Numbers at most three non-word characters after the key k of an event's properties."""
-    found = F.regexp_extract_all("props", F.lit(r"k[^\p{L}\p{N}]{0,3}([0-9]+)"), F.lit(1))
-    return T(spark, sf, "events").select("event_id", F.explode(found).alias("value"))
+    """Numbers behind the key k of an event's properties."""
+    return T(spark, sf, "events").select("event_id", F.explode(values_after(F.col("props"), ["k"], "[0-9]+")).alias("value"))
 
 
 def quote(text: Column, term: str, around: int) -> Column:
@@ -138,10 +144,24 @@ def allowed_values(spark, sf):
     return allowed(p, "kind", T(spark, sf, "part").select("p_type").distinct(), "p_type")
 
 
+def exported_values(df: DataFrame, saved: Column, action: Column, edit: Column, model: Column) -> DataFrame:
+    """df, without the values that weren't saved, and what is exported of each as `value`: the edit of an edited one,
+    nothing of a rejected one, else the model's; `state` names which: EDITED, REJECTED, APPROVED, or MODEL without a decision."""
+    value = F.when(action == "EDITED", edit).when(action == "REJECTED", F.lit(None)).otherwise(model)
+    state = F.when(action.isin("EDITED", "REJECTED", "APPROVED"), action).otherwise("MODEL")
+    return df.where(F.coalesce(saved, F.lit(False))).withColumns({"value": value, "state": state})
+
+
+def in_review(df: DataFrame, wanted: str | None, state: str = "state") -> DataFrame:
+    """The rows of one state of review; all without one."""
+    return df if wanted is None else df.where(F.col(state) == wanted)
+
+
 def reviewed_values(spark, sf):
-    """What is exported of a value: the edit of an edited one, nothing of a rejected one, else the model's."""
+    """Orders' priorities as values: pending orders edited them, fulfilled ones rejected them."""
     s = F.col("o_orderstatus")
-    return T(spark, sf, "orders").select("o_orderkey", F.when(s == "P", F.upper("o_orderpriority")).when(s == "F", None).otherwise(F.col("o_orderpriority")).alias("value"), F.when(s == "P", "EDITED").when(s == "F", "REJECTED").otherwise("MODEL").alias("state"))
+    action = F.when(s == "P", "EDITED").when(s == "F", "REJECTED")
+    return exported_values(T(spark, sf, "orders"), F.lit(True), action, F.upper("o_orderpriority"), F.col("o_orderpriority")).select("o_orderkey", "value", "state")
 
 
 def work_order(spark, sf):

@@ -78,12 +78,21 @@ def project_summary(spark, sf):
     return T(spark, sf, "customer").select("c_custkey", "c_mktsegment").join(per, "c_custkey", "left").fillna(0, ["orders", "lines", "pending"])
 
 
+def rolled_up(df: DataFrame, by: list[str], state: str, ranked: list[str]) -> DataFrame:
+    """(by, state, n, and a count for each ranked state as n_<state>): the members' worst state, the first of ranked that
+    any has; other states count as the last."""
+    place = F.lit(len(ranked) - 1)
+    for i, name in reversed(list(enumerate(ranked))):
+        place = F.when(F.col(state) == name, i).otherwise(place)
+    counts = (F.count_if(place == i).alias(f"n_{name}") for i, name in enumerate(ranked))
+    out = df.groupBy(*by).agg(F.min(place).alias("__worst"), F.count("*").alias("n"), *counts)
+    return out.withColumn("state", F.element_at(F.array(*map(F.lit, ranked)), F.col("__worst") + 1)).select(*by, "state", "n", *(f"n_{name}" for name in ranked))
+
+
 def batch_rollup(spark, sf):
-    """Per customer batch one state: failed beats running beats done."""
-    s = F.col("o_orderstatus")
-    rank = F.when(s == "F", 3).when(s == "P", 2).otherwise(1)
-    out = T(spark, sf, "orders").groupBy("o_custkey").agg(F.max(rank).alias("r"), F.count("*").alias("n"))
-    return out.select("o_custkey", F.when(F.col("r") == 3, "failed").when(F.col("r") == 2, "running").otherwise("done").alias("state"), "n")
+    """Per customer batch one state: failed beats running beats done; and how many of its orders are in each."""
+    state = F.when(F.col("o_orderstatus") == "F", "failed").when(F.col("o_orderstatus") == "P", "running").otherwise("done")
+    return rolled_up(T(spark, sf, "orders").withColumn("s", state), ["o_custkey"], "s", ["failed", "running", "done"])
 
 
 _GP = """WITH li AS (SELECT l_returnflag, l_linestatus, l_suppkey AS v, l_linenumber AS n FROM lineitem),
@@ -100,5 +109,5 @@ ORACLES = {
     "stage_costs_with_unknowns": "WITH e AS (SELECT event_type, CASE WHEN value < 60 THEN round(value * 100)::BIGINT END AS cost FROM events) SELECT event_type, count(*) AS calls, sum(cost)::BIGINT AS known, CASE WHEN count(*) = count(cost) THEN sum(cost)::BIGINT END AS total, count(*) FILTER (cost IS NULL) AS unknown FROM e GROUP BY 1",
     "anchor_coverage": "SELECT lang, count(*) AS n, count(quality) AS covered, sum(quality)::BIGINT AS good, round(count(quality) / count(*), 9) AS share FROM documents LEFT JOIN labels USING (doc_id) GROUP BY lang",
     "project_summary": "WITH l AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1), p AS (SELECT o_custkey, count(*) AS orders, sum(coalesce(n, 0))::BIGINT AS lines, max(epoch_us(o_orderdate)) AS latest, count(*) FILTER (o_orderstatus = 'P') AS pending FROM orders LEFT JOIN l ON l_orderkey = o_orderkey GROUP BY 1) SELECT c_custkey, c_mktsegment, coalesce(orders, 0) AS orders, coalesce(lines, 0) AS lines, latest, coalesce(pending, 0) AS pending FROM customer LEFT JOIN p ON o_custkey = c_custkey",
-    "batch_rollup": "SELECT o_custkey, CASE max(CASE o_orderstatus WHEN 'F' THEN 3 WHEN 'P' THEN 2 ELSE 1 END) WHEN 3 THEN 'failed' WHEN 2 THEN 'running' ELSE 'done' END AS state, count(*) AS n FROM orders GROUP BY 1",
+    "batch_rollup": "SELECT o_custkey, CASE max(CASE o_orderstatus WHEN 'F' THEN 3 WHEN 'P' THEN 2 ELSE 1 END) WHEN 3 THEN 'failed' WHEN 2 THEN 'running' ELSE 'done' END AS state, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS n_failed, count(*) FILTER (o_orderstatus = 'P') AS n_running, count(*) FILTER (o_orderstatus NOT IN ('F', 'P')) AS n_done FROM orders GROUP BY 1",
 }

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.operators.sweeps import covering
 from docloom.sources.tables import read_table as T
 
 #: Resamples, the part outside the interval, and the seed of a bootstrap. Fixed values.
@@ -103,14 +104,20 @@ def document_fields(spark, sf):
     return worst_results(j, ["o_custkey", "o_orderpriority"], "o_orderstatus", {"O": 1, "P": 2, "F": 3})
 
 
+def changes(before: DataFrame, after: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, before, after, change) of every key of either side: added, dropped, changed or same."""
+    both = before.select(*keys, F.col(value).alias("before"), F.lit(True).alias("__b")).join(after.select(*keys, F.col(value).alias("after"), F.lit(True).alias("__a")), keys, "full")
+    kind = F.when(F.col("__b").isNull(), "added").when(F.col("__a").isNull(), "dropped").when(~F.col("before").eqNullSafe(F.col("after")), "changed").otherwise("same")
+    return both.select(*keys, "before", "after", kind.alias("change"))
+
+
 def link_changes(spark, sf):
     """Links (order line to supplier) that one run added, dropped or changed against another."""
     key = ["l_orderkey", "l_linenumber"]
-    side = lambda df, n: df.groupBy(*key).agg(F.min("l_suppkey").alias(n))
+    side = lambda df: df.groupBy(*key).agg(F.min("l_suppkey").alias("s"))
     li = T(spark, sf, "lineitem")
-    both = side(li.where("l_returnflag <> 'A'"), "a").join(side(li.where("l_returnflag <> 'N'").withColumn("l_suppkey", F.when(F.col("l_partkey") % 5 == 0, F.col("l_suppkey") + 1).otherwise(F.col("l_suppkey"))), "b"), key, "full")
-    kind = F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "dropped").when(F.col("a") != F.col("b"), "changed").otherwise("same")
-    return both.groupBy(kind.alias("change")).agg(F.count("*").alias("n"))
+    new = li.where("l_returnflag <> 'N'").withColumn("l_suppkey", F.when(F.col("l_partkey") % 5 == 0, F.col("l_suppkey") + 1).otherwise(F.col("l_suppkey")))
+    return changes(side(li.where("l_returnflag <> 'A'")), side(new), key, "s").groupBy("change").agg(F.count("*").alias("n"))
 
 
 def reply_variation(spark, sf):
@@ -144,12 +151,33 @@ def first_support(spark, sf):
     return ev
 
 
+def identities(items: DataFrame, fields: list[str], label: str, place: str, support: str) -> tuple[DataFrame, DataFrame]:
+    """(records, issues): items with the same identity are one record, its first item standing for it, with the support
+    (array) of all in order of first appearance.
+
+    The identity is all its fields, in any case and with any blanks. An item that lacks some is one only with items that
+    have the same fields, label and support, so nothing is erased by what isn't known, and an issue (place, label,
+    missing). Null supports add nothing.
+    """
+    form = lambda c: F.nullif(F.trim(F.regexp_replace(F.lower(c.cast("string")), r"\s+", " ")), F.lit(""))
+    lacks = F.array_compact(F.array(*(F.when(form(F.col(f)).isNull(), F.lit(f)) for f in fields)))
+    own = F.when(F.size(lacks) > 0, F.struct(form(F.col(label)).alias("label"), F.array_sort(F.array_distinct(F.col(support))).alias("support")))
+    key = F.to_json(F.struct(F.struct(*(form(F.col(f)).alias(f) for f in fields)).alias("identity"), own.alias("own")))
+    keyed = items.withColumn("__key", key)
+    first = keyed.groupBy("__key").agg(F.min_by(F.struct(place, label, *fields), place).alias("f"), F.count("*").alias("items"))
+    seen = keyed.select("__key", place, F.posexplode(support).alias("i", "s")).groupBy("__key", "s").agg(F.min(F.struct(place, "i")).alias("at"))
+    joined = seen.groupBy("__key").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "s"))), lambda x: x["s"]).alias(support))
+    nothing = F.array().cast(items.schema[support].dataType)
+    records = first.join(joined, "__key", "left").select("f.*", "items", F.coalesce(support, nothing).alias(support))
+    issues = items.where(F.size(lacks) > 0).select(place, label, F.array_join(lacks, ",").alias("missing"))
+    return records, issues
+
+
 def reconciled_identities(spark, sf):
-    """Parts with one name, brand and size, and the suppliers that any of them has."""
-    sup = T(spark, sf, "lineitem").select(F.col("l_partkey").alias("p_partkey"), "l_suppkey").distinct()
-    j = T(spark, sf, "part").select("p_partkey", "p_name", "p_brand").join(sup, "p_partkey")
-    ids = F.array_join(F.transform(F.sort_array(F.collect_set("l_suppkey")), lambda x: x.cast("string")), ",")
-    return j.groupBy("p_name", "p_brand").agg(F.count_distinct("p_partkey").alias("parts"), ids.alias("suppliers"))
+    """Parts with one name and brand, and the suppliers that any of them has."""
+    sup = T(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.sort_array(F.collect_set("l_suppkey")).alias("suppliers"))
+    records, _ = identities(T(spark, sf, "part").join(sup, "p_partkey"), ["p_name", "p_brand"], "p_type", "p_partkey", "suppliers")
+    return records.select("p_partkey", F.col("items").alias("parts"), F.array_join(F.transform("suppliers", lambda x: x.cast("string")), ",").alias("suppliers"))
 
 
 def items_joined_once(df: DataFrame, group: str, reading: str, item: str) -> DataFrame:
@@ -174,13 +202,10 @@ def orphans(spark, sf):
 def covering_cell(spark, sf):
     """Events (points) inside exactly one of their user's hours that begin with a purchase."""
     us = F.unix_micros(F.col("ts").cast("timestamp"))
-    hour = 3_600_000_000
-    ev = T(spark, sf, "events").select("user_id", "event_id", "event_type", us.alias("us"))
-    # a purchase's hour reaches into two buckets at most
-    spans = ev.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("cell"), F.col("us").alias("s"), F.explode(F.array(F.floor(F.col("us") / hour), F.floor(F.col("us") / hour) + 1)).alias("b"))
-    points = ev.where("event_type = 'click'").select("user_id", "event_id", "us", F.floor(F.col("us") / hour).alias("b"))
-    hits = points.join(spans, ["user_id", "b"]).where((F.col("s") <= F.col("us")) & (F.col("us") < F.col("s") + hour))
-    return hits.groupBy("user_id", "event_id").agg(F.count("*").alias("n"), F.min("cell").alias("cell")).where("n = 1").drop("n")
+    ev = T(spark, sf, "events").select("user_id", "event_id", "event_type", us.alias("s"))
+    cells = ev.where("event_type = 'purchase'").withColumn("e", F.col("s") + 3_600_000_000)
+    hits = covering(ev.where("event_type = 'click'").withColumn("e", F.col("s")), cells, "user_id", "event_id", "s", "e")
+    return hits.select("user_id", F.col("span").alias("event_id"), "cell")
 
 
 def project_phases(spark, sf):
@@ -217,7 +242,9 @@ ORACLES = {
     "dense_positions": "SELECT l_orderkey, l_linenumber, l_partkey, dense_rank() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS position FROM lineitem WHERE l_returnflag <> 'R'",
     "observations_of_parts": "SELECT l_partkey, l_suppkey, CASE WHEN count(*) > 1 AND count(*) = count(DISTINCT l_linenumber) THEN 1 ELSE count(*) END AS kept, count(*) > count(DISTINCT l_linenumber) AS ambiguous FROM lineitem GROUP BY 1, 2",
     "first_support": "SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS k FROM events) WHERE k = 1",
-    "reconciled_identities": "SELECT p_name, p_brand, count(DISTINCT p_partkey) AS parts, array_to_string(list_sort(list(DISTINCT l_suppkey)), ',') AS suppliers FROM part JOIN lineitem ON l_partkey = p_partkey GROUP BY 1, 2",
+    "reconciled_identities": """WITH j AS (SELECT DISTINCT p_name, p_brand, p_partkey, l_suppkey FROM part JOIN lineitem ON l_partkey = p_partkey), f AS (SELECT p_name, p_brand, l_suppkey, min(p_partkey) AS first FROM j GROUP BY ALL),
+        k AS (SELECT p_name, p_brand, min(p_partkey) AS p_partkey, count(DISTINCT p_partkey) AS parts FROM j GROUP BY ALL)
+        SELECT p_partkey, parts, string_agg(l_suppkey, ',' ORDER BY first, l_suppkey) AS suppliers FROM k JOIN f USING (p_name, p_brand) GROUP BY ALL""",
     "list_items_joined_once": """WITH c AS (SELECT l_orderkey, l_partkey % 4 AS item, l_suppkey % 3 AS reading, count(*) AS n FROM lineitem GROUP BY 1, 2, 3), p AS (SELECT l_orderkey, item, unnest(range(n)) AS place FROM c) SELECT l_orderkey, item, place, count(*) AS readers FROM p GROUP BY 1, 2, 3""",
     "orphans": "SELECT l_orderkey, count(*) AS children FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'F') GROUP BY 1",
     "covering_cell": "WITH e AS (SELECT *, epoch_us(ts) AS us FROM events) SELECT c.user_id, c.event_id, min(p.event_id) AS cell FROM e c JOIN e p ON c.user_id = p.user_id AND c.event_type = 'click' AND p.event_type = 'purchase' AND p.us <= c.us AND c.us < p.us + 3600000000 GROUP BY 1, 2 HAVING count(*) = 1",

@@ -118,6 +118,17 @@ def covered_lengths(rows: DataFrame, cover: DataFrame, key: str, ident: str, sta
     return at.groupBy("id").agg(F.sum(F.col("sign") * c).cast("long").alias("covered")).withColumnRenamed("id", ident)
 
 
+def covering(spans: DataFrame, cells: DataFrame, key: str, ident: str, start: str, end: str) -> DataFrame:
+    """(key, span, cell): spans that lie wholly in exactly one of their key's cells, and that cell. Spans that no cell or
+    several hold have no row; a point is in a cell from its start on."""
+    of = lambda df, n: df.select(key, F.struct(F.col(start).alias("start"), F.col(end).alias("end"), F.col(ident).alias("id")).alias(n), F.col(start).alias("s"), F.col(end).alias("e"))
+    keyed = lambda df, n: of(df, n).withColumn("id", F.to_json(n)).select(key, "id", "s", "e")
+    kind = of(cells, "x").schema["x"].dataType.simpleString()
+    met = overlap_pairs(keyed(cells, "c"), keyed(spans, "p"), key, "id", "s", "e").select(key, F.from_json("a", kind).alias("c"), F.from_json("b", kind).alias("p"))
+    held = met.where("c.start <= p.start AND p.end <= c.end").groupBy(key, F.col("p.id").alias("span"), F.col("p.start").alias("start"), F.col("p.end").alias("end")).agg(F.count("*").alias("n"), F.min("c.id").alias("cell"))
+    return held.where("n = 1").select(key, "span", "cell")
+
+
 def path_key(steps):
     """A path of steps (array of text) as a text that sorts right behind its ancestors' and starts with them: each step
     ends with the lowest character, which steps have not."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.sources.tables import read_table as T
@@ -13,14 +13,22 @@ LEASE_SECONDS = 30
 NOW = "2024-01-31 00:00:00"
 
 
+def retained(df: DataFrame, group: str, ident: str, at: str, kind: Column, now: Column, keep_hours: dict[str, int] = KEEP_HOURS) -> DataFrame:
+    """(ident, class, may_go): work may go when its class's hours are over, but the newest of each group always stays;
+    classes without hours stay too."""
+    hours = (F.unix_micros(now) - F.unix_micros(F.col(at).cast("timestamp"))) / 3_600_000_000
+    newest = df.groupBy(group).agg(F.max_by(ident, F.struct(at, ident)).alias("__newest"))
+    limit = F.lit(None).cast("int")
+    for name, n in keep_hours.items():
+        limit = F.when(F.col("class") == name, n).otherwise(limit)
+    told = df.withColumn("class", kind).join(newest, group)
+    return told.select(ident, "class", (F.coalesce(hours >= limit, F.lit(False)) & (F.col(ident) != F.col("__newest"))).alias("may_go"))
+
+
 def retention_plan(spark, sf):
-    """Per event whether it may go: kept for its class's hours, and the newest of each user always stays."""
-    ev = T(spark, sf, "events").select("event_id", "user_id", "ts", "event_type")
+    """Events as work of their users: clicks and views are interactive, the rest runs in the background."""
     kind = F.when(F.col("event_type").isin("click", "view"), "interactive").otherwise("background")
-    hours = (F.unix_micros(F.lit(NOW).cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))) / 3_600_000_000
-    newest = ev.groupBy("user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("newest"))
-    old = F.when(kind == "interactive", hours >= KEEP_HOURS["interactive"]).otherwise(hours >= KEEP_HOURS["background"])
-    return ev.join(newest, "user_id").select("event_id", kind.alias("class"), (old & (F.col("event_id") != F.col("newest"))).alias("may_go"))
+    return retained(T(spark, sf, "events").select("event_id", "user_id", "ts", "event_type"), "user_id", "event_id", "ts", kind, F.lit(NOW).cast("timestamp"))
 
 
 def lease_fold(events: DataFrame, key: str, at: str, ident: str, lease_seconds: int = LEASE_SECONDS) -> DataFrame:
