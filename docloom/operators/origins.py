@@ -19,30 +19,37 @@ def _number(v):
     return int(v) if isinstance(v, float) and v.is_integer() else v
 
 
-def _digest(*parts: str) -> str:
-    return hashlib.sha256(json.dumps(parts, ensure_ascii=False).encode()).hexdigest()
+def _digest(*parts: bytes) -> bytes:
+    """128 bits of the parts, each told apart by its length."""
+    h = hashlib.blake2b(digest_size=16)
+    for p in parts:
+        h.update(len(p).to_bytes(8, "little"))
+        h.update(p)
+    return h.digest()
 
 
-def subtree_digest(v) -> str:
+def subtree_digest(v) -> bytes:
     """Equal for equal values: objects in any order of keys, lists in theirs, numbers by value; true is not 1."""
     if isinstance(v, dict):
-        return _digest("object", *(x for k in sorted(v) for x in (k, subtree_digest(v[k]))))
+        return _digest(b"object", *(x for k in sorted(v) for x in (k.encode(), subtree_digest(v[k]))))
     if isinstance(v, list):
-        return _digest("list", *map(subtree_digest, v))
-    return _digest(type(v).__name__ if isinstance(v, (bool, str)) or v is None else "number", json.dumps(_number(v)))
+        return _digest(b"list", *map(subtree_digest, v))
+    if isinstance(v, str):
+        return _digest(b"text", v.encode())
+    return _digest(b"other" if v is None or isinstance(v, bool) else b"number", repr(_number(v)).encode())
 
 
 def _leaves(v, path, chain):
     """(path, signature) of each leaf: text that isn't blank, and numbers. A signature has names, and digests of whole
-    items for the places in lists."""
+    items for the places in lists; it grows from that of what is around the leaf."""
     if isinstance(v, dict):
         for name, x in v.items():
-            yield from _leaves(x, [*path, name], [*chain, "name", name])
+            yield from _leaves(x, [*path, name], _digest(chain, b"name", name.encode()))
     elif isinstance(v, list):
         for i, x in enumerate(v):
-            yield from _leaves(x, [*path, i], [*chain, "item", subtree_digest(x)])
+            yield from _leaves(x, [*path, i], _digest(chain, b"item", subtree_digest(x)))
     elif isinstance(v, str) and v.strip() or isinstance(v, (int, float)) and not isinstance(v, bool):
-        yield path, _digest(*chain, subtree_digest(v))
+        yield path, _digest(chain, subtree_digest(v)).hex()
 
 
 def signed_leaves(df: DataFrame, keys: list[str], column: str) -> DataFrame:
@@ -57,7 +64,7 @@ def signed_leaves(df: DataFrame, keys: list[str], column: str) -> DataFrame:
                     record = None if text is None else json.loads(text)
                 except ValueError:
                     continue
-                for path, signature in _leaves(record, [], []):
+                for path, signature in _leaves(record, [], b""):
                     took.append(i)
                     paths.append(json.dumps(path, ensure_ascii=False, separators=(",", ":")))
                     signatures.append(signature)
@@ -83,7 +90,7 @@ def value_origins(merged: DataFrame, replies: DataFrame, key: str, unit: str, co
     alone = replies.groupBy(key).agg((F.count("*") == 1).alias("alone"))
     said = said.join(alone, key).withColumnRenamed("signature", "said_signature")
     met = leaves.where("not given").join(said, [F.col("signature") == F.col("said_signature"), leaves[key].eqNullSafe(said[key])], "left").where("alone IS NULL OR NOT alone OR path = source")
-    found = met.select(leaves[key], "path", F.when(F.col("source").isNull(), "unknown").otherwise("value").alias("kind"), unit, "source")
+    found = materialize(met.select(leaves[key], "path", F.when(F.col("source").isNull(), "unknown").otherwise("value").alias("kind"), unit, "source"))
     # a leaf whose only equals stand at other places of a lone reply has no row left
     lost = leaves.where("not given").join(found.select(F.col(key).alias("__k"), F.col("path").alias("__p")), [leaves[key].eqNullSafe(F.col("__k")), F.col("path") == F.col("__p")], "left_anti")
     none = lambda df, kind: df.select(key, "path", F.lit(kind).alias("kind"), F.lit(None).cast(replies.schema[unit].dataType).alias(unit), F.lit(None).cast("string").alias("source"))
