@@ -218,7 +218,7 @@ def page_cuts(spark, sf):
 
 
 def united_boxes(spark, sf):
-    return united_regions(_boxes(spark, sf, 12)).withColumns({c: F.col(c).cast("bigint") for c in ("x0", "y0", "x1", "y1")})
+    return united_regions(_boxes(spark, sf, 60)).withColumns({c: F.col(c).cast("bigint") for c in ("x0", "y0", "x1", "y1")})
 
 
 def placed_pictures(spark, sf):
@@ -251,6 +251,11 @@ ORACLES = {
                                         max(y1) OVER (PARTITION BY page, node ORDER BY y0, y1, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS py FROM t WHERE open WINDOW p AS (PARTITION BY page, node))))) GROUP BY page, node) gaps ON gaps.page = w.page AND gaps.node = w.node
                 WHERE w.open)))
         SELECT page, id, ltrim(node, '.') AS node, CASE WHEN bool_or(picture) OVER (PARTITION BY page, node) THEN 'figure' ELSE kind END AS kind, l AS left, r AS right, t AS top, b AS bottom FROM t WHERE NOT open""",
+    # each step unites a region with the first that it overlaps; 60 boxes of a page take no more steps
+    "united_boxes": "WITH RECURSIVE " + _B.replace("{n}", "60") + """, w AS (SELECT 0 AS step, page, id, x0, y0, x1, y1, 1::BIGINT AS n FROM b
+            UNION ALL SELECT step + 1, page, min(id), min(x0), min(y0), max(x1), max(y1), sum(n)::BIGINT FROM (
+                SELECT w.*, coalesce((SELECT min(o.id) FROM w o WHERE o.page = w.page AND greatest(o.x0, w.x0) < least(o.x1, w.x1) AND greatest(o.y0, w.y0) < least(o.y1, w.y1)), w.id) AS g FROM w WHERE step < 60) GROUP BY step, page, g)
+        SELECT page, id, x0::BIGINT AS x0, y0::BIGINT AS y0, x1::BIGINT AS x1, y1::BIGINT AS y1, n FROM w WHERE step = 60""",
     "placed_pictures": "WITH " + _B.replace("{n}", "12") + """, i AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY x0, y0, id) - 1 AS nth, id % 13 = 0 AS f FROM b WHERE NOT picture),
         k AS (SELECT * FROM i WHERE NOT f OR page NOT IN (SELECT page FROM i WHERE NOT f)),
         q AS (SELECT r.page, r.id AS region, r.x0, r.y0, r.x1, r.y1, (SELECT count(*) FROM i WHERE i.page = r.page) AS total,
