@@ -102,34 +102,42 @@ def overlap_links(boxes: DataFrame) -> DataFrame:
     return asked.join(entered, ["page", "level", "cx", "cy"]).where(over).groupBy("id", "page", "level", "cx", "cy").agg(F.min("e_id").alias("b")).select(F.col("id").alias("a"), "b").distinct()
 
 
-def _swept(batches):
-    """Unites overlapping boxes of a sorted stretch: each box with the open ones it meets, as they grow. Of a page only
-    boxes that reach the sweep are open; what a grown one meets behind it is left to the links."""
-    page, open_ = None, []
+#: Boxes of a page behind the sweep that a grown one may still meet in its task.
+BEHIND = 2000
+
+
+def _swept(batches, behind_most: int):
+    """Unites overlapping boxes of a sorted stretch: each box with the open ones it meets, and as it grows with those just
+    behind the sweep. What it meets further behind is left to the links."""
+    page, open_, behind = None, [], []
     names = ["page", "id", "x0", "y0", "x1", "y1", "n"]
 
     def batch(rows):
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 7, (pa.int64(), pa.int64(), *[pa.float64()] * 4, pa.int64()))], names=names)
 
+    meet = lambda a, o: max(a[2], o[2]) < min(a[4], o[4]) and max(a[3], o[3]) < min(a[5], o[5])
     for b in batches:
         out = []
-        for p, i, x0, y0, x1, y1, n in zip(*(b.column(k).to_pylist() for k in range(7))):
-            if p != page:
-                out += open_
-                page, open_ = p, []
-            still = []
-            for box in open_:
-                (still if box[4] > x0 else out).append(box)
-            open_, box, grown = still, (p, i, x0, y0, x1, y1, n), True
-            while grown:
-                grown = [o for o in open_ if max(box[2], o[2]) < min(box[4], o[4]) and max(box[3], o[3]) < min(box[5], o[5])]
-                if grown:
-                    open_ = [o for o in open_ if o not in grown]
-                    both = [box, *grown]
-                    box = (p, min(x[1] for x in both), min(x[2] for x in both), min(x[3] for x in both), max(x[4] for x in both), max(x[5] for x in both), sum(x[6] for x in both))
+        for box in zip(*(b.column(k).to_pylist() for k in range(7))):
+            if box[0] != page:
+                out += open_ + behind
+                page, open_, behind = box[0], [], []
+            x0 = box[2]
+            behind += [o for o in open_ if o[4] <= x0]
+            open_ = [o for o in open_ if o[4] > x0]
+            if len(behind) > 2 * behind_most:
+                out += behind[:-behind_most]
+                behind = behind[-behind_most:]
+            met = [o for o in open_ if meet(box, o)]
+            while met:
+                gone = {id(o) for o in met}
+                open_, behind = [o for o in open_ if id(o) not in gone], [o for o in behind if id(o) not in gone]
+                both = [box, *met]
+                box = (page, min(x[1] for x in both), min(x[2] for x in both), min(x[3] for x in both), max(x[4] for x in both), max(x[5] for x in both), sum(x[6] for x in both))
+                met = [o for o in (*open_, *behind) if meet(box, o)]
             open_.append(box)
         yield batch(out)
-    yield batch(open_)
+    yield batch(open_ + behind)
 
 
 def united_regions(boxes: DataFrame, page: str = "page") -> DataFrame:
@@ -145,7 +153,7 @@ def united_regions(boxes: DataFrame, page: str = "page") -> DataFrame:
     parts = int(boxes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     while True:
         before = cur
-        cur = materialize(cur.repartitionByRange(parts, "page", "x0", "id").sortWithinPartitions("page", "x0", "id").mapInArrow(_swept, schema))
+        cur = materialize(cur.repartitionByRange(parts, "page", "x0", "id").sortWithinPartitions("page", "x0", "id").mapInArrow(lambda batches, n=BEHIND: _swept(batches, n), schema))
         found = materialize(overlap_links(cur.drop("n")))
         if found.isEmpty():
             break

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from docloom.operators import regions as G
 
 
@@ -94,7 +96,9 @@ def united(rows):
     return sorted(out)
 
 
-def test_union_of_what_overlaps(spark):
+@pytest.mark.parametrize("behind", [0, 2000])
+def test_union_of_what_overlaps(spark, monkeypatch, behind):
+    monkeypatch.setattr(G, "BEHIND", behind)
     rng, rows = random.Random(7), []
     for page in range(25):
         size = rng.choice([3, 8, 25])
