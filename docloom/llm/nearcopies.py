@@ -29,6 +29,9 @@ BITS = 960
 #: Of 960 bits at similarity 0.8, 154 differ with a deviation of 12; of the first 64, 10 with a deviation of 3.
 MOST_BITS, MOST_LEAD = 198, 22
 _STEP = 4096
+#: Orders in which a bucket's members stand, one by its segment: few, so a text of a large group meets few first members in
+#: all its buckets, and several, so no text is first everywhere.
+ORDERS = 8
 #: Texts whose segment values are made at a time.
 _ROWS = 4096
 #: Members of a bucket that are compared with as many others in one task.
@@ -278,7 +281,7 @@ def linked(nodes: DataFrame, sets_of, width: int, unsure: int) -> DataFrame:
     sets_of(pairs) gives the shingle sets of the pairs' ends.
     """
     given = nodes.select("node", "bits", "low", "n")
-    sent = given.mapInArrow(*_buckets(width, unsure, False)).repartition("bucket").withColumn("o", F.xxhash64("node", "bucket"))
+    sent = given.mapInArrow(*_buckets(width, unsure, False)).repartition("bucket").withColumn("o", F.xxhash64("node", F.pmod(F.shiftright("bucket", width), F.lit(ORDERS))))
     w = Window.partitionBy("bucket").orderBy("o").rowsBetween(Window.unboundedPreceding, 0)
     one = F.first(F.struct("node", "w", "n")).over(w)
     seen = sent.select("bucket", "node", "w", "n", one.alias("one"), F.sum("k").over(w).alias("k"))
