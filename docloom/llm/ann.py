@@ -1,10 +1,12 @@
 """Approximate nearest neighbours: an inverted file of coarse centroids with product-quantised residuals.
 
 Centroids and codebooks are fitted on a bounded sample; every distinct vector is indexed: its nearest centroid's list,
-and a byte a subspace for the residual. A query goes twice: it scores the codes of its few nearest lists with asymmetric
-distance tables, and the exact distances of the best give a limit; then it probes all its lists and only codes within
-the limit leave the task, to be ranked by the exact distance of the original vectors. Lists are packed into slices of
-bounded size, large lists over several; queries go to the slices of the lists they probe, codes go nowhere.
+a byte a subspace for the residual, and how far the vector lies from what its code stands for. A query goes twice: it
+scores the codes of its few nearest lists with asymmetric distance tables, and the exact distances of the best give a
+limit; then it probes all its lists. A code is left out only if its vector must lie beyond the limit, by the triangle
+inequality, so nothing near is lost in a probed list; what is left is ranked by the exact distance of the original
+vectors, in the task that holds both. Lists are packed into slices of bounded size, large lists over several; queries go
+to the slices of the lists they probe, codes go nowhere.
 """
 
 from __future__ import annotations
@@ -23,12 +25,12 @@ SAMPLE = 20_000
 MAX_LISTS = 1024
 BLOCK = 8192
 QUERY_BLOCK = 1024
-#: The nearest lists that give the limit, the codes of each that are scored for it, and of all these the ones ranked.
-FIRST, KEEP, RANKED = 16, 16, 64
+#: The nearest lists that give the limit, and the codes of each that are ranked for it.
+FIRST, KEEP = 16, 16
 #: The share of lists a query probes: measured for recall on vectors of which half have no cluster; less will do for others.
 PROBE = 0.7
-#: How far above the limit, as squares, a code may be scored; for the error of the codes.
-SLACK = 0.05
+#: Room for rounding in the bounds of codes, as a share; pairs of query and vector compared at a time.
+SLACK, PAIRS = 1e-6, 16_384
 SUBSPACE = 4
 SEED = 11
 
@@ -57,10 +59,13 @@ class Index:
         self.cuts = [(i, min(i + subspace, sample.shape[1])) for i in range(0, sample.shape[1], subspace)]
         self.books = [kmeans(rest[:, a:b], min(256, len(rest))) for a, b in self.cuts]
 
-    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Lists, codes, and the distance of each vector from what its code stands for."""
         lists = nearest(x, self.centroids)
         rest = x - self.centroids[lists]
-        return lists, np.stack([nearest(rest[:, a:b], book).astype(np.uint8) for (a, b), book in zip(self.cuts, self.books)], 1)
+        codes = np.stack([nearest(rest[:, a:b], book).astype(np.uint8) for (a, b), book in zip(self.cuts, self.books)], 1)
+        off = sum(((rest[:, a:b] - book[codes[:, j]]) ** 2).sum(1) for j, ((a, b), book) in enumerate(zip(self.cuts, self.books)))
+        return lists, codes, np.sqrt(off)
 
     def probes(self, q: np.ndarray, n: int) -> np.ndarray:
         d = (self.centroids**2).sum(1) / 2 - q @ self.centroids.T
@@ -94,8 +99,8 @@ def _encode(index):
         ix = index.value
         for b in batches:
             if b.num_rows:
-                lists, codes = ix.encode(_matrix(b.column(1)))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lists.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary())], names=["rep", "list", "code"])
+                lists, codes, off = ix.encode(_matrix(b.column(1)))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lists.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(off), b.column(1)], names=["rep", "list", "code", "off", "v"])
 
     return run
 
@@ -118,29 +123,53 @@ def _route(index, probes, slices):
     return run, "query_id long, q array<double>, most double, slice int"
 
 
-def _search(index, probes, keep):
-    """Over rows sorted by slice, its codes before its queries: of each list a query's nearest codes (keep), or all within
-    its limit. A task holds one slice's codes; queries stream by, however many there are."""
-
-    def score(ix, ids, lists, c, queries):
-        out = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
-        asked, q, most = queries.column(2).to_numpy(), _matrix(queries.column(5)), queries.column(6).to_numpy()
+def within(q: np.ndarray, x: np.ndarray, row: np.ndarray, at: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs (q[row], x[at]) the places of those within most[row], and their exact distances; components are added
+    one after the other, as Spark's aggregate does."""
+    good, scores = [np.zeros(0, int)], [np.zeros(0)]
+    for i in range(0, len(row), PAIRS):
+        diff, limit = q[row[i : i + PAIRS]] - x[at[i : i + PAIRS]], most[row[i : i + PAIRS]]
+        near = np.flatnonzero(~(np.einsum("ij,ij->i", diff, diff) > (limit * (1 + SLACK)) ** 2))
+        d = np.zeros(len(near))
+        for c in np.ascontiguousarray(diff[near].T):
+            d += c * c
+        d = np.sqrt(d)
+        good.append(i + near[~(d > limit[near])])
+        scores.append(d[~(d > limit[near])])
+    return np.concatenate(good), np.concatenate(scores)
+
+
+def _search(index, probes, keep, most_found):
+    """Over rows sorted by slice, its codes before its queries: a query's nearest vectors of the slice, most_found at most,
+    of each list those of its nearest codes (keep), or of all that may lie within its limit. A task holds one slice;
+    queries stream by, however many there are."""
+
+    def score(ix, ids, lists, c, off, x, queries):
+        asked, q, most = queries.column(2).to_numpy(), _matrix(queries.column(6)), queries.column(7).to_numpy()
+        rows, reps, scores = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
         probed = np.zeros((len(q), len(ix.centroids)), bool)
         np.put_along_axis(probed, ix.probes(q, probes), True, 1)
-        for x in np.unique(lists):
-            which, at = np.flatnonzero(probed[:, x]), np.flatnonzero(lists == x)
+        for l in np.unique(lists):
+            which, at = np.flatnonzero(probed[:, l]), np.flatnonzero(lists == l)
             if not len(which):
                 continue
             at = at[np.argsort(ids[at])]
-            d = ix.distances(q[which], x, c[at])
+            d = ix.distances(q[which], l, c[at])
             if keep:
                 near = np.argsort(d, 1, kind="stable")[:, :keep]
                 row, col = np.repeat(np.arange(len(which)), near.shape[1]), near.ravel()
             else:
-                row, col = np.nonzero(d <= most[which, None])
-            for column, v in zip(out, (asked[which[row]], ids[at[col]], d[row, col])):
+                far = ((q[which] - ix.centroids[l]) ** 2).sum(1)[:, None]  # tables of large values round more
+                row, col = np.nonzero(~(d > ((most[which, None] + off[at]) * (1 + SLACK)) ** 2 + SLACK**2 * far))
+            row = which[row]
+            good, d = within(q, x, row, at[col], most)
+            for column, v in zip((rows, reps, scores), (row[good], ids[at[col[good]]], d)):
                 column.append(v)
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in out], names=["query_id", "rep", "adc"])
+        row, rep, s = map(np.concatenate, (rows, reps, scores))
+        by = np.lexsort((rep, s, row))
+        row = row[by]
+        by = by[np.arange(len(row)) - np.searchsorted(row, row) < most_found]
+        return pa.RecordBatch.from_arrays([pa.array(v) for v in (asked[np.concatenate(rows)[by]], rep[by], s[by])], names=["query_id", "rep", "score"])
 
     def run(batches):
         ix, now, held, codes = index.value, None, [], None
@@ -158,11 +187,12 @@ def _search(index, probes, keep):
                     continue
                 if held and codes is None:
                     texts = [x for h in held for x in h.column(4).to_pylist()]
-                    codes = np.concatenate([h.column(2).to_numpy() for h in held]), np.concatenate([h.column(3).to_numpy() for h in held]), np.frombuffer(b"".join(texts), np.uint8).reshape(len(texts), -1)
+                    ids, lists, off = (np.concatenate([h.column(n).to_numpy() for h in held]) for n in (2, 3, 5))
+                    codes = ids, lists, np.frombuffer(b"".join(texts), np.uint8).reshape(len(texts), -1), off, np.concatenate([_matrix(h.column(6)) for h in held])
                 for i in range(0, part.num_rows if held else 0, QUERY_BLOCK):
                     yield score(ix, *codes, part.slice(i, QUERY_BLOCK))
 
-    return run, "query_id long, rep long, adc double"
+    return run, "query_id long, rep long, score double"
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", probe: float = PROBE, first: int = FIRST, sample: int = SAMPLE, max_lists: int = MAX_LISTS) -> DataFrame:
@@ -188,7 +218,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
     fit = entries.orderBy(F.xxhash64("rep", F.lit(SEED)), "rep").limit(sample).select("v").collect()  # a sample of bounded size
     rows = np.array([r.v for r in fit]) if fit else np.zeros((1, dim))
     index = spark.sparkContext.broadcast(Index(rows, n, max_lists))
-    codes = materialize(entries.mapInArrow(_encode(index), "rep long, list int, code binary"))
+    codes = materialize(entries.mapInArrow(_encode(index), "rep long, list int, code binary, off double, v array<double>"))
     # lists are packed into slices of BLOCK codes or fewer; larger ones take several
     n_lists = len(index.value.centroids)
     counts = {r.list: r.n for r in codes.groupBy("list").agg(F.count("*").alias("n")).collect()}  # a row a list: max_lists at most
@@ -203,23 +233,19 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
             at, room = at + int(blocks[x]) - 1, 0
     where = spark.createDataFrame([(x, int(start[x]), int(blocks[x])) for x in range(n_lists)], "list int, start int, blocks int")
     placed = codes.join(F.broadcast(where), "list").withColumn("slice", (F.col("start") + F.pmod(F.xxhash64("rep"), "blocks")).cast("int"))
-    placed = placed.select("slice", F.lit(0).alias("kind"), F.col("rep").alias("id"), "list", "code", F.lit(None).cast("array<double>").alias("q"), F.lit(None).cast("double").alias("most"))
+    placed = placed.select("slice", F.lit(0).alias("kind"), F.col("rep").alias("id"), "list", "code", "off", F.col("v").alias("q"), F.lit(None).cast("double").alias("most"))
 
     def scored(given, probes, keep):
         routed = given.mapInArrow(*_route(index, probes, (start, blocks)))
-        routed = routed.select("slice", F.lit(1).alias("kind"), F.col("query_id").alias("id"), F.lit(None).cast("int").alias("list"), F.lit(None).cast("binary").alias("code"), "q", "most")
-        return placed.union(routed).repartition("slice").sortWithinPartitions("slice", "kind").mapInArrow(*_search(index, probes, keep))
+        routed = routed.select("slice", F.lit(1).alias("kind"), F.col("query_id").alias("id"), F.lit(None).cast("int").alias("list"), F.lit(None).cast("binary").alias("code"), F.lit(None).cast("double").alias("off"), "q", "most")
+        return placed.union(routed).repartition("slice").sortWithinPartitions("slice", "kind").mapInArrow(*_search(index, probes, keep, k + 1))
 
-    exact = F.sqrt(F.aggregate(F.zip_with("q", "v", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
-    ranked = lambda found: found.join(entries, "rep").join(asked, "query_id").select("query_id", "rep", exact.alias("score"))
-    some = scored(asked.withColumn("most", F.lit(0.0)), min(n_lists, first), KEEP)
-    some = materialize(some.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy("adc", "rep"))).where(F.col("r") <= max(RANKED, k + 1)).select("query_id", "rep"))
+    nearest_found = lambda found: found.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "rep")))
     # the query itself may be among them, so the limit is the distance of one more
-    nth = ranked(some).withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "rep"))).where(F.col("r") == k + 1)
-    limits = materialize(asked.join(nth.select("query_id", "score"), "query_id", "left").select("query_id", "q", F.coalesce(F.col("score") * F.col("score") * (1 + SLACK), F.lit(float("inf"))).alias("most")))
-    found = scored(limits, min(n_lists, max(first, math.ceil(probe * n_lists))), 0).select("query_id", "rep").union(some).distinct()
+    nth = nearest_found(scored(asked.withColumn("most", F.lit(float("inf"))), min(n_lists, first), KEEP)).where(F.col("r") == k + 1)
+    limits = materialize(asked.join(nth.select("query_id", "score"), "query_id", "left").select("query_id", "q", F.coalesce("score", F.lit(float("inf"))).alias("most")))
+    top = nearest_found(scored(limits, min(n_lists, max(first, math.ceil(probe * n_lists))), 0)).where(F.col("r") <= k + 1)
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    top = ranked(found).withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "rep"))).where(F.col("r") <= k + 1)
     out = top.join(members.select("rep", "vec_id"), "rep").where("vec_id <> query_id")
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -57,3 +57,16 @@ def test_large_lists_and_query_blocks(spark, sf, monkeypatch):
     monkeypatch.setattr(ann, "QUERY_BLOCK", 3)
     cut = rows()
     assert len(cut) == len(whole) and sum(a == b for a, b in zip(cut, whole)) >= 0.98 * len(whole)
+
+
+def test_recall_on_tight_groups(spark):
+    """Groups much narrower than the error of the codes, so that codes can't tell their members apart."""
+    r = np.random.default_rng(1)
+    x = r.normal(size=(150, 32))[np.arange(6000) % 150] + 0.03 * r.normal(size=(6000, 32))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for g in ann.search(df, df.where("vec_id % 100 = 0")).collect():
+        got.setdefault(g.query_id, set()).add((g.vec_id, round(g.score, 9)))
+    want = {q: {(i, round(s, 9)) for i, s in v} for q, v in brute(rows, rows[::100]).items()}
+    assert sum(len(want[q] & got[q]) for q in want) >= 0.99 * 10 * len(want)
