@@ -18,9 +18,10 @@ _SENTENCE, _SPACE = re.compile(r"(?s).*[.!?。！？]\s+"), re.compile(r"(?s).*\
 PASSAGE_COST = 12
 
 
-def fold_in_order(df: DataFrame, group: list[str], order: list[str], start: Callable, schema: str) -> DataFrame:
+def fold_in_order(df: DataFrame, group: list[str], order: list[str], start: Callable, schema: str, tasks: int | None = None) -> DataFrame:
     """Rows of each group go, in order, to the feed that start(group values) returns; a feed takes a row and returns
-    rows of output, and takes None at the group's end. Groups stream through a task, so none is held as a whole."""
+    rows of output, and takes None at the group's end. Groups stream through a task, so none is held as a whole. tasks: how
+    many they are dealt to, else the session's number."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in schema.split(", ")]
@@ -37,7 +38,7 @@ def fold_in_order(df: DataFrame, group: list[str], order: list[str], start: Call
         if feed is not None:
             yield pd.DataFrame(feed(None), columns=names)
 
-    return df.repartition(*group).sortWithinPartitions(*group, *order).mapInPandas(run, schema)
+    return (df.repartition(tasks, *group) if tasks else df.repartition(*group)).sortWithinPartitions(*group, *order).mapInPandas(run, schema)
 
 
 def sentence_ranges(text: str, most: int) -> Iterator[tuple[int, int]]:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from docloom.operators.folds import fold_in_order, start_roles
 from docloom.operators.quotes import View, places
 from docloom.sources.tables import read_table as T
+from docloom.sources.tables import tasks_for
 
 #: Kinds of lines that end an open entry, and kinds that a reader sees around an entry. Fixed values.
 ENDS = ("heading", "section", "hint", "unclassified_heading", "series")
@@ -46,15 +47,17 @@ def _upto(last: int = 0):
     return Window.partitionBy("doc").orderBy("pos").rowsBetween(Window.unboundedPreceding, last)
 
 
-def resolved_starts(lines: DataFrame) -> DataFrame:
+def resolved_starts(lines: DataFrame, tasks: int | None = None) -> DataFrame:
     """The lines with `options`: for each numbered start that doesn't restart, the roles it has in some reading with the
-    fewest exceptions, sorted and joined by +. The starts of one document at a time are held; lines aren't."""
+    fewest exceptions, sorted and joined by +. The starts of one document at a time are held; lines aren't. tasks: how
+    many the rows are dealt to (`tasks_for`), else the session's number."""
+    dealt = lambda df, *keys: df.repartition(tasks, *keys) if tasks else df
     counted = lines.withColumn("__run", F.count_if(_main()).over(_upto())).withColumn("__walls", F.count_if(_in(*ENDS)).over(_upto()))
     numbers = F.when(_in("content") | _main(), F.col("inline"))
     written = counted.where(F.size(numbers) > 0).groupBy("doc", (F.col("__run") + 1).alias("__run")).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "inline"))), lambda x: x["inline"])).alias("written"))
     w = Window.partitionBy("doc").orderBy("pos")
     starts = counted.where(_main()).select("doc", "pos", "number", "suffix", "__run", (F.col("__walls") != F.lag("__walls", 1, 0).over(w)).alias("barrier"))
-    starts = starts.join(written, ["doc", "__run"], "left").select("doc", "pos", "number", "suffix", "barrier", "written")
+    starts = dealt(starts, "doc", "__run").join(dealt(written, "doc", "__run"), ["doc", "__run"], "left").select("doc", "pos", "number", "suffix", "barrier", "written")
 
     def begin(values):
         seen = []
@@ -68,8 +71,8 @@ def resolved_starts(lines: DataFrame) -> DataFrame:
 
         return feed
 
-    roles = fold_in_order(starts, ["doc"], ["pos"], begin, "doc bigint, pos bigint, options string")
-    return lines.join(roles, ["doc", "pos"], "left")
+    roles = fold_in_order(starts, ["doc"], ["pos"], begin, "doc bigint, pos bigint, options string", tasks)
+    return dealt(dealt(lines, "doc", "pos").join(dealt(roles, "doc", "pos"), ["doc", "pos"], "left"), "doc")
 
 
 def disposed(lines: DataFrame) -> DataFrame:
@@ -289,34 +292,37 @@ def observed_places(replies: DataFrame, lines: DataFrame) -> DataFrame:
     return per.select("doc", "line", "at", kind.alias("kind"), label.alias("label"), F.when(F.col("unplaced"), "boundary_unplaced").when(F.col("unprinted"), "label_not_in_source").alias("issue"))
 
 
-def _routed_lineitems(spark, sf) -> DataFrame:
-    """Lines of 32 orders stand for a document; a line's kind, marker and place follow from its columns."""
+def _routed_lineitems(spark, sf) -> tuple[DataFrame, int]:
+    """(lines, tasks). Lines of 32 orders stand for a document; a line's kind, marker and place follow from its columns."""
     k = F.pmod(F.col("l_partkey"), F.lit(29))
     kind = F.when(k < 2, "section").when(k == 2, "heading").when(k == 3, "hint").when(k == 4, "series").when(k == 5, "furniture").when(k == 6, "figure").when(k == 7, "glossary").when(k < 15, "content").otherwise("candidate")
     order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag"]
     doc = F.floor(F.col("l_orderkey") / 32).cast("long")
-    rows = T(spark, sf, "lineitem").withColumn("doc", doc).withColumn("pos", F.row_number().over(Window.partitionBy("doc").orderBy(*order)).cast("long"))
-    return lines_of(
+    li = T(spark, sf, "lineitem")
+    tasks = tasks_for(li)
+    rows = li.select(*order, doc.alias("doc")).repartition(tasks, "doc").withColumn("pos", F.row_number().over(Window.partitionBy("doc").orderBy(*order)).cast("long"))
+    lines = lines_of(
         rows, kind=kind, segment=F.concat(F.lit("s"), F.floor((F.col("pos") - 1) / 3)), start=F.pmod(F.col("pos") - 1, F.lit(3)) * 10, stop=F.pmod(F.col("pos") - 1, F.lit(3)) * 10 + 9, number=F.col("l_linenumber"),
         label=F.col("l_linenumber"), restart=F.col("l_suppkey") % 17 == 0, lost=F.col("l_suppkey") % 7 == 0, list_item=F.col("l_suppkey") % 3 == 0, region=F.lit("catalogue"), page=F.floor((F.col("pos") - 1) / 12),
         level=F.lit(1), heading=F.concat(F.lit("h"), F.col("pos")), heading_kind=F.lit("place"),
     )
+    return lines, tasks
 
 
 def segmented_lines(spark, sf):
     """Every line's role, reason and block, with roles of starts that are told by the data instead of resolved."""
     told = F.when(_main(), F.element_at(F.array(*map(F.lit, ("entry", "entry", "list_item", "entry+list_item", "exception"))), (F.pmod(F.col("pos") * 7 + F.col("number"), F.lit(5)) + 1).cast("int")))
-    return dispositions(disposed(_routed_lineitems(spark, sf).withColumn("options", told)))
+    return dispositions(disposed(_routed_lineitems(spark, sf)[0].withColumn("options", told)))
 
 
 def segmented_blocks(spark, sf):
     """The blocks of the same lines, with the roles of their starts resolved, as text."""
-    done = disposed(resolved_starts(_routed_lineitems(spark, sf)))
+    done = disposed(resolved_starts(*_routed_lineitems(spark, sf)))
     return blocks(done, {"place": 1}).select("doc", "block", "number", "lines", F.to_json("spans").alias("spans"), "continuation", F.array_join("headings", ",").alias("headings"), F.array_join("unsure", ",").alias("unsure"))
 
 
 def segmentation_coverage(spark, sf):
-    return coverage(disposed(resolved_starts(_routed_lineitems(spark, sf)))).select("doc", "complete", "lines", "entries", "unresolved", F.to_json("roles").alias("roles"))
+    return coverage(disposed(resolved_starts(*_routed_lineitems(spark, sf)))).select("doc", "complete", "lines", "entries", "unresolved", F.to_json("roles").alias("roles"))
 
 
 QUERIES = {f.__name__: f for f in (segmented_lines, segmented_blocks, segmentation_coverage)}

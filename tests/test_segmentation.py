@@ -254,3 +254,11 @@ def test_observed_places(spark):
         (1, 0, 100, "unresolved", None, "boundary_unplaced"), (1, 1, 200, "record", "twelve", "label_not_in_source"), (1, 2, 300, "unresolved", None, None),
         (1, 3, 400, "other", None, None), (1, 3, 405, "record", None, "label_not_in_source"),
     ]
+
+
+def test_tasks_grow_with_the_table(spark, sf, monkeypatch):
+    """Documents are dealt to as many tasks as the table's rows ask for, also behind the joins of resolved starts."""
+    monkeypatch.setattr(S, "tasks_for", lambda table: 40)
+    assert S.segmented_lines(spark, sf).rdd.getNumPartitions() == 40
+    lines, tasks = S._routed_lineitems(spark, sf)
+    assert S.disposed(S.resolved_starts(lines, tasks)).rdd.getNumPartitions() == 40
