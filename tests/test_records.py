@@ -121,3 +121,11 @@ def test_canonical_json(spark):
     rows = [(1, '{"b": 1, "a": {"d": "ü", "c": [1, 2.50, null]}}'), (2, '{"a":{"c":[1,2.5,null],"d":"ü"},"b":1}'), (3, "{bad"), (4, None), (5, '{"x": NaN}')]
     got = {r.id: r.j for r in R.canonical_json(spark.createDataFrame(rows, "id long, j string"), "j").collect()}
     assert got[1] == got[2] == '{"a":{"c":[1,2.5,null],"d":"ü"},"b":1}' and got[3] is got[4] is got[5] is None
+
+
+def test_wanted_columns_and_dealt_orders(spark, sf):
+    """Leaves have the wanted columns alone, and small orders are still dealt to all cores."""
+    whole = R.record_leaves(frame(spark, ROWS), ["id"], "raw", FIELDS).select("value", "name").collect()
+    some = R.record_leaves(frame(spark, ROWS), ["id"], "raw", FIELDS, wanted=("value", "name"))
+    assert some.columns == ["id", "value", "name"] and sorted(map(str, some.drop("id").collect())) == sorted(map(str, whole))
+    assert R.raw_orders(spark, sf).rdd.getNumPartitions() == 8
