@@ -9,6 +9,7 @@ from docloom.functions.text import fold_spaces
 from docloom.operators.graph import components
 from docloom.operators.metrics import _PRF, multiset_counts, with_scores
 from docloom.sources.tables import read_table as T
+from docloom.sources.tables import tasks_for
 from docloom.sources.written import materialize
 
 #: Reasons that leave a check not completed. Fixed values.
@@ -100,7 +101,7 @@ def _line_values(spark: SparkSession, sf: str, shift: int) -> tuple[DataFrame, D
 
 
 def _cells(spark: SparkSession, sf: str, shift: int) -> DataFrame:
-    per = multiset_counts(*_line_values(spark, sf, shift), ["l_orderkey", "l_returnflag"], "v")
+    per = multiset_counts(*_line_values(spark, sf, shift), ["l_orderkey", "l_returnflag"], "v", tasks_for(T(spark, sf, "lineitem")))
     return per.groupBy("l_orderkey", "l_returnflag").agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn")))
 
 

@@ -20,10 +20,15 @@ def with_scores(df: DataFrame) -> DataFrame:
     return df.withColumn("precision", F.round(ratio(tp, tp + fp), 9)).withColumn("recall", F.round(ratio(tp, tp + fn), 9)).withColumn("f1", f1)
 
 
-def multiset_counts(gold: DataFrame, predicted: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Per value: true and false positives and false negatives as multisets; both sides are counted before they meet."""
-    count = lambda df, n: df.groupBy(*by, value).agg(F.count("*").alias(n))
-    both = count(gold, "g").join(count(predicted, "p"), [*by, value], "full").fillna(0, ["g", "p"])
+def multiset_counts(gold: DataFrame, predicted: DataFrame, by: list[str], value: str, tasks: int | None = None) -> DataFrame:
+    """Per value: true and false positives and false negatives as multisets, by one count over both sides. Null keys and
+    values equal no others. tasks: how many the keys of `by` are dealt to (`tasks_for`), for keys with few rows each."""
+    keys = [*by, value]
+    alone = F.greatest(*(F.col(k).isNull() for k in keys))
+    side = lambda df, name, g, p: df.select(*keys, F.when(alone, name).alias("__side"), F.lit(g).alias("g"), F.lit(p).alias("p"))
+    rows = side(gold, "g", 1, 0).union(side(predicted, "p", 0, 1))
+    rows = rows.repartition(tasks, *by) if tasks else rows
+    both = rows.groupBy(*keys, "__side").agg(F.sum("g").alias("g"), F.sum("p").alias("p"))
     return both.select(*by, value, F.least("g", "p").alias("tp"), (F.col("p") - F.least("g", "p")).alias("fp"), (F.col("g") - F.least("g", "p")).alias("fn"))
 
 
