@@ -1,100 +1,171 @@
-"""Where merged values come from: digests of fields and items, bottom-up, joined with the replies' own."""
+"""Where merged values come from: a record's replies stream past its leaves, whose places in lists are whole items."""
 
 from __future__ import annotations
 
-import hashlib
 import json
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as K
+from pyspark.sql.pandas.types import to_arrow_type
 
 from docloom.sources.tables import read_table as T
-from docloom.sources.written import materialize
+from docloom.sources.tables import tasks_for
 
 
-def _number(v):
-    """A number as its one form: 2.0 is 2."""
-    return int(v) if isinstance(v, float) and v.is_integer() else v
-
-
-def _digest(*parts: bytes) -> bytes:
-    """128 bits of the parts, each told apart by its length."""
-    h = hashlib.blake2b(digest_size=16)
-    for p in parts:
-        h.update(len(p).to_bytes(8, "little"))
-        h.update(p)
-    return h.digest()
-
-
-def subtree_digest(v) -> bytes:
-    """Equal for equal values: objects in any order of keys, lists in theirs, numbers by value; true is not 1."""
+def _form(v):
+    """Equal and of equal hash for equal values: objects in any order of keys, lists in theirs, numbers by value; true is not 1."""
     if isinstance(v, dict):
-        return _digest(b"object", *(x for k in sorted(v) for x in (k.encode(), subtree_digest(v[k]))))
+        return "object", tuple((k, _form(v[k])) for k in sorted(v))
     if isinstance(v, list):
-        return _digest(b"list", *map(subtree_digest, v))
-    if isinstance(v, str):
-        return _digest(b"text", v.encode())
-    return _digest(b"other" if v is None or isinstance(v, bool) else b"number", repr(_number(v)).encode())
+        return "list", tuple(map(_form, v))
+    if v is None or isinstance(v, bool) or v != v:
+        return "other", repr(v)
+    return int(v) if isinstance(v, float) and v.is_integer() else v
 
 
-def _leaves(v, path, chain):
-    """(path, signature) of each leaf: text that isn't blank, and numbers. A signature has names, and digests of whole
-    items for the places in lists; it grows from that of what is around the leaf."""
-    if isinstance(v, dict):
-        for name, x in v.items():
-            yield from _leaves(x, [*path, name], _digest(chain, b"name", name.encode()))
-    elif isinstance(v, list):
-        for i, x in enumerate(v):
-            yield from _leaves(x, [*path, i], _digest(chain, b"item", subtree_digest(x)))
-    elif isinstance(v, str) and v.strip() or isinstance(v, (int, float)) and not isinstance(v, bool):
-        yield path, _digest(chain, subtree_digest(v)).hex()
-
-
-def signed_leaves(df: DataFrame, keys: list[str], column: str) -> DataFrame:
-    """(keys, path, signature): the leaves of JSON texts; path is a JSON array of names and places. What is no JSON has none."""
-    schema = K.StructType([*df.select(*keys).schema.fields, K.StructField("path", K.StringType()), K.StructField("signature", K.StringType())])
-
-    def run(batches):
-        for b in batches:
-            took, paths, signatures = [], [], []
-            for i, text in enumerate(b.column(len(keys)).to_pylist()):
-                try:
-                    record = None if text is None else json.loads(text)
-                except ValueError:
-                    continue
-                for path, signature in _leaves(record, [], b""):
-                    took.append(i)
-                    paths.append(json.dumps(path, ensure_ascii=False, separators=(",", ":")))
-                    signatures.append(signature)
-            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(took, pa.int32())) for c in b.columns[: len(keys)]), pa.array(paths, pa.string()), pa.array(signatures, pa.string())], names=schema.names)
-
-    return df.select(*keys, column).mapInArrow(run, schema)
-
-
-def value_origins(merged: DataFrame, replies: DataFrame, key: str, unit: str, column: str, identity: tuple[str, ...] = ()) -> DataFrame:
+def _is_leaf(v) -> bool:
+    """Text that isn't blank, and numbers."""
+    return isinstance(v, str) and v.strip() != "" or isinstance(v, (int, float)) and not isinstance(v, bool)
+
+
+_step = lru_cache(4096)(lambda name: json.dumps(name, ensure_ascii=False))
+
+
+class _Places:
+    """Where the leaves of merged records stand: steps are names, and in lists the whole items, by value."""
+
+    def __init__(self):
+        self.names: dict[str, _Places] = {}
+        self.items: dict = {}
+        self.leaves: dict = {}
+
+    def add(self, v, steps: tuple[str, ...], leaf) -> None:
+        """Puts leaf(steps) at each leaf of v."""
+        if isinstance(v, dict):
+            for name, x in v.items():
+                self.names.setdefault(name, _Places()).add(x, (*steps, _step(name)), leaf)
+        elif isinstance(v, list):
+            for i, x in enumerate(v):
+                self.items.setdefault(_form(x), _Places()).add(x, (*steps, str(i)), leaf)
+        elif _is_leaf(v):
+            self.leaves.setdefault(_form(v), []).append(leaf(steps))
+
+    def meet(self, v, steps: tuple[str, ...]):
+        """(what stands here, steps of v) for each leaf of v that stands here too; what no record has is left at its first step."""
+        if isinstance(v, dict):
+            for name, x in v.items():
+                if name in self.names:
+                    yield from self.names[name].meet(x, (*steps, _step(name)))
+        elif isinstance(v, list):
+            for i, x in enumerate(v) if self.items else ():
+                here = self.items.get(_form(x))
+                if here is not None:
+                    yield from here.meet(x, (*steps, str(i)))
+        elif self.leaves and _is_leaf(v):
+            for leaf in self.leaves.get(_form(v), ()):
+                yield leaf, steps
+
+
+def _path(steps: tuple[str, ...]) -> str:
+    return f"[{','.join(steps)}]"
+
+
+def _parsed(text: str | None):
+    try:
+        return None if text is None else json.loads(text)
+    except ValueError:
+        return None
+
+
+#: Rows that leave a task together.
+_MOST_ROWS = 20_000
+
+
+def _origins(batches, identity: frozenset[str], schema: K.StructType):
+    """Rows of value_origins() from rows (key, side, unit, text) sorted by key and side: merged records (0), then replies (1).
+    What is held of a key are the leaves of its merged records and one reply."""
+    kinds = [to_arrow_type(f.dataType) for f in schema.fields]
+    out: list[list] = [[] for _ in kinds]
+
+    def put(*row):
+        for c, x in zip(out, row):
+            c.append(x)
+
+    def batch():
+        b = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=schema.names)
+        for c in out:
+            c.clear()
+        return b
+
+    def said(unit, text, alone):
+        for leaf, steps in places.meet(_parsed(text), ()):
+            source = _path(steps)
+            if not alone or leaf[0] == source:
+                leaf[1] = True
+                put(key, leaf[0], "value", unit, source)
+                if len(out[0]) >= _MOST_ROWS:
+                    yield batch()
+
+    def finished():
+        if held is not None:
+            yield from said(*held, replies == 1)
+        for path, met in leaves:
+            if not met:
+                put(key, path, "unknown", None, None)
+        if len(out[0]) >= _MOST_ROWS:
+            yield batch()
+
+    key, places, leaves, held, replies = None, _Places(), [], None, 0
+
+    def leaf(steps):
+        x = [_path(steps), False]
+        leaves.append(x)
+        return x
+
+    for b in batches:
+        for k, side, unit, text in zip(*(b.column(n).to_pylist() for n in range(4))):
+            # a null key is no one's; NaN is one key
+            if k is None or k != key and (k == k or key == key):
+                yield from finished()
+                key, places, leaves, held, replies = k, _Places(), [], None, 0
+            if side == 0:
+                record = _parsed(text)
+                named = isinstance(record, dict)
+                for name in identity.intersection(record) if named else ():
+                    _Places().add(record[name], (_step(name),), lambda steps: put(key, _path(steps), "inventory", None, None))
+                places.add({n: x for n, x in record.items() if n not in identity} if named else record, (), leaf)
+            elif k is not None:
+                if held is not None and leaves:
+                    yield from said(*held, False)
+                held, replies = (unit, text), replies + 1
+    yield from finished()
+    yield batch()
+
+
+def value_origins(merged: DataFrame, replies: DataFrame, key: str, unit: str, column: str, identity: tuple[str, ...] = (), tasks: int | None = None) -> DataFrame:
     """(key, path, kind, unit, source): for each leaf of a merged record the replies (key, unit, column) and the paths in them
-    that it comes from.
+    that it comes from. Leaves are text that isn't blank, and numbers; a path is a JSON array of names and places. What is no
+    JSON has none.
 
     A leaf comes from the same field of a reply with an equal value; in a list, from every equal item as a whole, not from
     an item that only has the same leaf. A record with one reply was not merged, so there places are kept. Leaves of the
     identity fields are of kind `inventory`, without a reply; leaves that no reply has are `unknown`, with null unit
-    and source; all others `value`. Replies of a record meet its leaves by digest, never all with all.
+    and source; all others `value`.
+
+    Records and replies cross one shuffle, as texts, to `tasks` tasks (the session's number, if not given), and a key's replies
+    stream past the leaves of its merged record; records without a key are dealt by their texts.
     """
-    leaves = signed_leaves(merged, [key], column)
-    name = F.get(F.from_json("path", "array<string>"), F.lit(0))
-    given = name.isin(*identity) if identity else F.lit(False)
-    leaves = materialize(leaves.withColumn("given", given))
-    said = signed_leaves(replies, [key, unit], column).withColumnsRenamed({"path": "source"})
-    alone = replies.groupBy(key).agg((F.count("*") == 1).alias("alone"))
-    said = said.join(alone, key).withColumnRenamed("signature", "said_signature")
-    met = leaves.where("not given").join(said, [F.col("signature") == F.col("said_signature"), leaves[key].eqNullSafe(said[key])], "left").where("alone IS NULL OR NOT alone OR path = source")
-    found = materialize(met.select(leaves[key], "path", F.when(F.col("source").isNull(), "unknown").otherwise("value").alias("kind"), unit, "source"))
-    # a leaf whose only equals stand at other places of a lone reply has no row left
-    lost = leaves.where("not given").join(found.select(F.col(key).alias("__k"), F.col("path").alias("__p")), [leaves[key].eqNullSafe(F.col("__k")), F.col("path") == F.col("__p")], "left_anti")
-    none = lambda df, kind: df.select(key, "path", F.lit(kind).alias("kind"), F.lit(None).cast(replies.schema[unit].dataType).alias(unit), F.lit(None).cast("string").alias("source"))
-    return found.union(none(lost, "unknown")).union(none(leaves.where("given"), "inventory"))
+    side = lambda df, n, u: df.select(F.col(key).alias("key"), F.lit(n).alias("side"), u.alias("unit"), F.col(column).alias("text"))
+    rows = side(merged, 0, F.lit(None).cast(replies.schema[unit].dataType)).union(side(replies, 1, F.col(unit)))
+    by = [F.col("key"), F.when(F.col("key").isNull(), F.xxhash64("text"))]
+    dealt = rows.repartition(tasks, *by) if tasks else rows.repartition(*by)
+    kind = rows.schema
+    schema = K.StructType([K.StructField(key, kind["key"].dataType), K.StructField("path", K.StringType()), K.StructField("kind", K.StringType()), K.StructField(unit, kind["unit"].dataType), K.StructField("source", K.StringType())])
+    named = frozenset(identity)
+    return dealt.sortWithinPartitions("key", "side").mapInArrow(lambda batches: _origins(batches, named, schema), schema)
 
 
 def record_identity(revision: Column, scope: Column) -> Column:
@@ -116,14 +187,18 @@ def digest_uuid(digest: Column) -> Column:
 
 def line_origins(spark, sf):
     """Orders as merged records of lines; odd and even lines came from two replies, and some of each were said twice."""
-    li = T(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.struct(F.col("l_partkey").alias("part"), F.struct(F.col("l_returnflag").alias("flag")).alias("note")).alias("x"))
+    li = T(spark, sf, "lineitem")
+    tasks = tasks_for(li)
+    li = li.repartition(tasks, "l_orderkey").select("l_orderkey", "l_linenumber", F.struct(F.col("l_partkey").alias("part"), F.struct(F.col("l_returnflag").alias("flag")).alias("note")).alias("x"))
     order = lambda rows: F.transform(F.array_sort(F.collect_list(rows)), lambda y: y["x"])
     head = F.struct(F.col("l_orderkey").alias("key"), F.lit("open").alias("state"), F.col("lines"))
     text = lambda df: df.withColumn("j", F.to_json(head))
     merged = text(li.groupBy("l_orderkey").agg(order(F.struct("x")).alias("lines"))).select("l_orderkey", "j")
     units = li.withColumn("unit", F.explode(F.when(F.col("l_linenumber") % 3 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.col("l_linenumber") % 2))))
     replies = text(units.groupBy("l_orderkey", "unit").agg(order(F.struct("x")).alias("lines"))).select("l_orderkey", "unit", "j")
-    out = value_origins(merged, replies, "l_orderkey", "unit", "j", ("key",))
+    out = value_origins(merged, replies, "l_orderkey", "unit", "j", ("key",), tasks)
+    # an order's rows meet at once, not first by path
+    out = out.select("l_orderkey", "kind", "unit", "path").repartition(tasks, "l_orderkey")
     return out.groupBy("l_orderkey", "kind", "unit").agg(F.count("*").alias("n"), F.countDistinct("path").alias("paths"))
 
 

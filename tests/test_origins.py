@@ -100,3 +100,17 @@ def test_registry_of_unlike_shapes(spark):
     assert union["r2", "year (string, 2)"] == "MCM" and union["r1", "year"] == "1999" and union["r1", "source"] == union["r2", "source"] == "doc" and union["r3", "source"] == "mine"
     assert len(union) == 10
     assert R.field_registry(values.limit(0), "seq", "name", "shape", "words").count() == 0
+
+
+def test_texts_cross_one_shuffle(spark):
+    merged = spark.createDataFrame([(1, '{"id":"a","p":[1,1],"q":"x"}'), (2, '"alone"'), (None, '{"id":"b","q":2}')], "k long, j string")
+    replies = spark.createDataFrame([(1, 0, '{"p":[1,2]}'), (1, 1, "no JSON"), (2, 0, '"alone"'), (None, 0, '{"q":2}')], "k long, u long, j string")
+    got = O.value_origins(merged, replies, "k", "u", "j", ("id",))
+    want = {
+        (1, '["id"]', "inventory", None, None), (1, '["p",0]', "value", 0, '["p",0]'), (1, '["p",1]', "value", 0, '["p",0]'), (1, '["q"]', "unknown", None, None), (2, "[]", "value", 0, "[]"),
+        (None, '["id"]', "inventory", None, None), (None, '["q"]', "unknown", None, None),
+    }
+    rows = [tuple(r) for r in got.collect()]
+    assert len(rows) == len(want) and set(rows) == want
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Repartition") == 1 and "Join" not in plan and "docloom-" not in got._jdf.queryExecution().executedPlan().toString()
