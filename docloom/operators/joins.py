@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.operators.sweeps import overlap_pairs
 from docloom.sources.tables import read_table as T
+from docloom.sources.tables import tasks_for
 
 
 def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -105,10 +106,13 @@ def interval_overlap_join(spark, sf):
     return overlap_pairs(ev, None, "user_id", "event_id", "s", "e")
 
 
-def boxes_iou(boxes: DataFrame, page: str, ident: str, cell: int, least: float) -> DataFrame:
-    """Pairs of boxes of a page whose intersection over union is at least `least`, met in grid cells."""
+def boxes_iou(boxes: DataFrame, page: str, ident: str, cell: int, least: float, tasks: int | None = None) -> DataFrame:
+    """Pairs of boxes of a page whose intersection over union is at least `least`, met in grid cells. tasks: how many the
+    cells are dealt to (`tasks_for`), else the session's number."""
     span = lambda lo, hi: F.sequence(F.floor(F.col(lo) / cell), F.floor((F.col(hi) - 1) / cell))
     cut = boxes.withColumn("cx", F.explode(span("x0", "x1"))).withColumn("cy", F.explode(span("y0", "y1")))
+    if tasks:
+        cut = cut.repartition(tasks, page, "cx", "cy")
     a, b = cut.alias("a"), cut.alias("b")
     c = lambda f, n: f(F.col(f"a.{n}"), F.col(f"b.{n}"))
     w, h = c(F.least, "x1") - c(F.greatest, "x0"), c(F.least, "y1") - c(F.greatest, "y0")
@@ -121,8 +125,9 @@ def boxes_iou(boxes: DataFrame, page: str, ident: str, cell: int, least: float)
 
 def box_iou_pairs(spark, sf):
     x, y = F.col("p_partkey") * 7 % 90, F.col("p_partkey") * 13 % 90
-    boxes = T(spark, sf, "part").select(F.floor(F.col("p_partkey") / 50).cast("bigint").alias("page"), F.col("p_partkey").alias("id"), x.alias("x0"), y.alias("y0"), (x + F.col("p_size") + 5).alias("x1"), (y + F.col("p_size") + 5).alias("y1"))
-    return boxes_iou(boxes, "page", "id", 32, 0.3)
+    part = T(spark, sf, "part")
+    boxes = part.select(F.floor(F.col("p_partkey") / 50).cast("bigint").alias("page"), F.col("p_partkey").alias("id"), x.alias("x0"), y.alias("y0"), (x + F.col("p_size") + 5).alias("x1"), (y + F.col("p_size") + 5).alias("y1"))
+    return boxes_iou(boxes, "page", "id", 32, 0.3, tasks_for(part, 50_000))  # a box is in some four cells
 
 
 QUERIES = {f.__name__: f for f in (latest_event_per_user, asof_purchase_versions, mutual_unique_alignment, set_equal_orders, upsert_snapshot, anti_unreferenced, semi_referenced, part_conflicts, glossary_unambiguous, interval_overlap_join, box_iou_pairs)}
