@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from docloom.operators.sweeps import covering
 from docloom.sources.tables import read_table as T
+from docloom.sources.tables import tasks_for
 
 #: Resamples, the part outside the interval, and the seed of a bootstrap. Fixed values.
 DRAWS, TAIL, SEED = 1000, 0.05, 20260927
@@ -133,16 +134,18 @@ def dense_positions(spark, sf):
     return T(spark, sf, "lineitem").where("l_returnflag <> 'R'").select("l_orderkey", "l_linenumber", "l_partkey", (F.dense_rank().over(w) - 1).cast("bigint").alias("position"))
 
 
-def merged_observations(df: DataFrame, keys: list[str], window: str) -> DataFrame:
+def merged_observations(df: DataFrame, keys: list[str], window: str, tasks: int | None = None) -> DataFrame:
     """Observations with the same keys: one, if each window saw it once and more than one did; else kept as they are and
-    ambiguous, if there is more than one."""
-    out = df.groupBy(*keys).agg(F.count("*").alias("n"), F.count_distinct(window).alias("windows"))
+    ambiguous, if there is more than one. tasks: how many the keys are dealt to (`tasks_for`), for keys with few rows each."""
+    df = df.select(*keys, window)
+    out = (df.repartition(tasks, *keys) if tasks else df).groupBy(*keys).agg(F.count("*").alias("n"), F.count_distinct(window).alias("windows"))
     one = (F.col("n") > 1) & (F.col("n") == F.col("windows"))
     return out.select(*keys, F.when(one, 1).otherwise(F.col("n")).cast("bigint").alias("kept"), ((F.col("n") > 1) & ~one).alias("ambiguous"))
 
 
 def observations_of_parts(spark, sf):
-    return merged_observations(T(spark, sf, "lineitem"), ["l_partkey", "l_suppkey"], "l_linenumber")
+    li = T(spark, sf, "lineitem")
+    return merged_observations(li, ["l_partkey", "l_suppkey"], "l_linenumber", tasks_for(li))
 
 
 def first_support(spark, sf):

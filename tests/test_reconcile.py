@@ -34,3 +34,11 @@ def test_items_joined_in_order(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "k bigint, g string, v double")
     assert reconcile.bootstrap_interval(df, "g", "k", "v").collect() == []
+
+
+def test_observations_dealt_by_rows(spark, sf, monkeypatch):
+    rows = [(1, 1, 1), (1, 1, 2), (1, 2, 1), (1, 2, 1), (2, 1, 1), (None, 1, 1), (None, 1, 2), (3, 3, None), (3, 3, 1)]
+    got = reconcile.merged_observations(spark.createDataFrame(rows, "p int, s int, w int"), ["p", "s"], "w", 3).collect()
+    assert {(r.p, r.s): (r.kept, r.ambiguous) for r in got} == {(1, 1): (1, False), (1, 2): (2, True), (2, 1): (1, False), (None, 1): (1, False), (3, 3): (2, True)}
+    monkeypatch.setattr(reconcile, "tasks_for", lambda table: 40)
+    assert reconcile.observations_of_parts(spark, sf).rdd.getNumPartitions() == 40
