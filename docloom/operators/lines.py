@@ -12,19 +12,16 @@ from docloom.sources.tables import read_table as T
 
 
 _BLANKS = " \t\r\x0b\x0c"
-_MOST_ROWS = 50_000
+#: Lines, and code points of lines, that leave a task together.
+_MOST_ROWS, _MOST_CHARS = 20_000, 1 << 21
 
 
-def text_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, line_start, line_end, line) of every non-blank line, without the blanks around it. Null texts have no lines.
-
-    One pass over each text; what leaves it are its lines, never the text itself, in batches of bounded size.
-    """
-    kind = docs.select(key).schema[0].dataType
+def _cut_lines(docs: DataFrame, key: str, text: str, with_line: bool) -> DataFrame:
+    schema = StructType([StructField(key, docs.select(key).schema[0].dataType), StructField("line_start", LongType()), StructField("line_end", LongType()), *([StructField("line", StringType())] if with_line else [])])
 
     def run(batches):
         for b in batches:
-            took, starts, ends, lines = [], [], [], []
+            took, starts, ends, lines, chars = [], [], [], [], 0
             for i, t in enumerate(b.column(1)):
                 at = 0
                 for line in (t.as_py() or "").split("\n"):
@@ -34,23 +31,39 @@ def text_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
                         took.append(i)
                         starts.append(a)
                         ends.append(a + len(body))
-                        lines.append(body)
+                        if with_line:
+                            lines.append(body)
+                            chars += len(body)
                     at += len(line) + 1
-                    if len(took) >= _MOST_ROWS:
+                    if len(took) >= _MOST_ROWS or chars >= _MOST_CHARS:
                         yield _batch(b, took, starts, ends, lines)
-                        took, starts, ends, lines = [], [], [], []
+                        took, starts, ends, lines, chars = [], [], [], [], 0
             yield _batch(b, took, starts, ends, lines)
 
     def _batch(b, took, starts, ends, lines):
         keys = b.column(0).take(pa.array(took, pa.int64()))
-        return pa.RecordBatch.from_arrays([keys, pa.array(starts, pa.int64()), pa.array(ends, pa.int64()), pa.array(lines, pa.string())], names=[key, "line_start", "line_end", "line"])
+        return pa.RecordBatch.from_arrays([keys, pa.array(starts, pa.int64()), pa.array(ends, pa.int64()), *([pa.array(lines, pa.string())] if with_line else [])], names=schema.names)
+
+    return docs.select(key, text).mapInArrow(run, schema)
+
 
-    return docs.select(key, text).mapInArrow(run, StructType([StructField(key, kind), StructField("line_start", LongType()), StructField("line_end", LongType()), StructField("line", StringType())]))
+def text_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, line_start, line_end, line) of every non-blank line, without the blanks around it. Null texts have no lines.
+
+    One pass over each text; what leaves it are its lines, never the text itself, in batches of bounded size.
+    """
+    return _cut_lines(docs, key, text, True)
 
 
 def line_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, line_start, line_end) of text_lines."""
-    return text_lines(docs, key, text).drop("line")
+    """(key, line_start, line_end) of text_lines; the lines stay in the tasks."""
+    return _cut_lines(docs, key, text, False)
+
+
+def line_lengths(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """(keys, n): the code points of every line of text_lines, without its place: native, so texts stay where they are."""
+    cut = docs.select(*keys, F.explode(F.split(text, "\n")).alias("line"))
+    return cut.select(*keys, F.length(F.btrim("line", F.lit(_BLANKS))).cast("bigint").alias("n")).where("n > 0")
 
 
 _LINES_SQL = r"""
@@ -65,11 +78,8 @@ def lines_of_documents(spark, sf):
 
 
 def line_stats_by_lang(spark, sf):
-    docs = T(spark, sf, "documents")
-    # the language travels with the lines, so there is no join back
-    spans = line_spans(docs.select(F.struct("doc_id", "lang").alias("k"), "text"), "k")
-    n = F.col("line_end") - F.col("line_start")
-    return spans.groupBy("k.lang").agg(F.count("*").alias("n_lines"), F.max(n).alias("longest"), F.sum(n).alias("n_chars"))
+    n = F.col("n")
+    return line_lengths(T(spark, sf, "documents"), ["lang"]).groupBy("lang").agg(F.count("*").alias("n_lines"), F.max(n).alias("longest"), F.sum(n).alias("n_chars"))
 
 
 def fixed_chunks(docs: DataFrame, size: int, key: str = "doc_id", text: str = "text") -> DataFrame:
