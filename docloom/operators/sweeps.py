@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from itertools import groupby
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,61 +18,95 @@ from pyspark.sql import types as K
 from pyspark.sql.pandas.types import to_arrow_type
 
 from docloom.sources.tables import read_table as T
+from docloom.sources.tables import tasks_for
 from docloom.sources.written import materialize
 
 _BATCH = 50_000
 
 
-def _ranged(df: DataFrame, *order: str) -> DataFrame:
+def _ranged(df: DataFrame, *order: str, tasks: int | None = None) -> DataFrame:
     """The rows with the number of their range (`block`), written: ranges follow each other in the order."""
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = tasks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return materialize(df.repartitionByRange(parts, *order).withColumn("block", F.spark_partition_id()))
 
 
 def _pairs(batches, two_sides: bool, kinds):
-    """Sweeps rows (key, start, end, side, id, carried) sorted by key, start, side and id."""
-    key, open_ = None, ([], [])
-    out = ([], [], [])
+    """Sweeps rows (key, start, end, side, id, carried) sorted by key, start, side and id.
+
+    Open rows are places in `ids`, so a row meets all of them at once; an open set is gone through again only when one of its
+    intervals has ended.
+    """
+    key, open_, ends, places = None, [[], []], [None, None], [None, None]
+    keys, ids, out, waiting = [], [], ([], [], []), 0
 
     def batch():
-        b = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=["key", "a", "b"])
+        cols = [np.concatenate(c) if c else np.empty(0, np.int64) for c in out]
+        of = [pa.array(x, t) for x, t in zip((keys, ids, ids), kinds)]
+        b = pa.RecordBatch.from_arrays([x.take(pa.array(c)) for x, c in zip(of, cols)], names=["key", "a", "b"])
         for c in out:
             c.clear()
+        # the key and the open rows are still needed
+        keys[:-1] = []
+        held = [ids[j] for s in open_ for _, j in s]
+        at = iter(range(len(held)))
+        open_[:] = [[(end, next(at)) for end, _ in s] for s in open_]
+        places[:] = [None, None]
+        ids[:] = held
         return b
 
     for rows in batches:
         for k, start, end, side, i, carried in zip(*(rows.column(n).to_pylist() for n in range(6))):
             if k != key:
-                key, open_ = k, ([], [])
-            for s in open_:
-                s[:] = [x for x in s if x[0] > start]
-            if not carried:
-                met = open_[1 - side] if two_sides else open_[0]
-                for _, j in met:
-                    a, b = (i, j) if two_sides and side == 0 or not two_sides and i < j else (j, i)
-                    for c, x in zip(out, (k, a, b)):
-                        c.append(x)
-                if len(out[0]) >= _BATCH:
-                    yield batch()
+                key, open_[:], ends, places[:] = k, [[], []], [None, None], [None, None]
+                keys.append(k)
+                waiting += 1
+            for n, s in enumerate(open_):
+                if s and ends[n] <= start:
+                    open_[n] = s = [x for x in s if x[0] > start]
+                    ends[n], places[n] = min((x[0] for x in s), default=None), None
+            n = 1 - side if two_sides else 0
+            if not carried and open_[n]:
+                if places[n] is None:
+                    places[n] = np.fromiter((j for _, j in open_[n]), np.int64, len(open_[n]))
+                met, own = places[n], np.full(len(open_[n]), len(ids))
+                ids.append(i)
+                if two_sides:
+                    a, b = (own, met) if side == 0 else (met, own)
+                else:
+                    less = np.fromiter((ids[j] < i for _, j in open_[n]), bool, len(met))
+                    a, b = np.where(less, met, own), np.where(less, own, met)
+                for c, x in zip(out, (np.full(len(met), len(keys) - 1), a, b)):
+                    c.append(x)
+                waiting += len(met) + 1
             if end > start:
-                open_[side if two_sides else 0].append((end, i))
+                n = side if two_sides else 0
+                ends[n] = min(ends[n], end) if open_[n] else end
+                open_[n].append((end, len(ids)))
+                places[n] = None
+                ids.append(i)
+                waiting += 1
+            if waiting >= _BATCH:
+                yield batch()
+                waiting = 0
     yield batch()
 
 
-def overlap_pairs(left: DataFrame, right: DataFrame | None, key: str, ident: str, start: str, end: str) -> DataFrame:
+def overlap_pairs(left: DataFrame, right: DataFrame | None, key: str, ident: str, start: str, end: str, tasks: int | None = None) -> DataFrame:
     """(key, a, b): rows of one key whose half-open intervals overlap: left ones (a) with right ones (b), or, without
     right, rows of left with each other, a < b. A point (start = end) is in an interval that holds it or starts there, as
-    a right row; intervals with a null key or end take no part. Starts and ends are of any one sortable type."""
+    a right row; intervals with a null key or end take no part. Starts and ends are of any one sortable type. tasks: how
+    many ranges the rows are dealt to (`tasks_for`; few rows each where a row meets very many), else the session's number."""
     side = lambda df, n: df.select(F.col(key).alias("key"), F.col(start).alias("start"), F.col(end).alias("end"), F.lit(n).alias("side"), F.col(ident).alias("id"))
     rows = (side(left, 0) if right is None else side(left, 0).union(side(right, 1))).where("key IS NOT NULL AND start IS NOT NULL AND end IS NOT NULL AND start <= end")
-    ranged = _ranged(rows, "key", "start", "side", "id")
+    ranged = _ranged(rows, "key", "start", "side", "id", tasks=tasks)
     # where each range begins: a row a task, not a row a key
     bounds = ranged.groupBy("block").agg(F.min(F.struct("key", "start")).alias("at")).agg(F.sort_array(F.collect_list(F.struct("at", "block"))).alias("bounds"))
     reach = F.array_max(F.transform(F.filter("bounds", lambda b: b["at"] < F.struct(F.col("key"), F.col("end"))), lambda b: b["block"]))
     copies = ranged.join(F.broadcast(bounds)).withColumn("to", reach).where(F.col("to") > F.col("block"))
     copies = copies.select("key", "start", "end", "side", "id", F.explode(F.sequence(F.col("block") + 1, "to")).alias("block"), F.lit(True).alias("carried"))
     dealt = ranged.select("key", "start", "end", "side", "id", "block", F.lit(False).alias("carried")).union(copies)
-    dealt = dealt.repartition("block").sortWithinPartitions("block", "key", "start", "side", "id")
+    # a range a task, as ranges of few rows may give most pairs
+    dealt = dealt.repartitionById(tasks or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "block").sortWithinPartitions("block", "key", "start", "side", "id")
     kind = rows.schema
     schema = K.StructType([K.StructField(n, kind[c].dataType) for n, c in (("key", "key"), ("a", "id"), ("b", "id"))])
     kinds = [to_arrow_type(f.dataType) for f in schema.fields]
@@ -135,14 +170,14 @@ def path_key(steps):
     return F.array_join(F.transform(steps, lambda x: F.concat(x, F.lit("\u0001"))), "")
 
 
-def ancestors(links: DataFrame, items: DataFrame, group: str, ident: str, path: str) -> DataFrame:
+def ancestors(links: DataFrame, items: DataFrame, group: str, ident: str, path: str, tasks: int | None = None) -> DataFrame:
     """(group, a, b): items (a) whose path is that of a link (b) or above it, within a group. Paths are arrays of steps.
 
     A path's descendants lie in one interval of the sorted keys, so links meet the items above them in a sweep whose
     open set is one chain of ancestors; no path is listed with all its prefixes. An empty path is above all; null paths take no part.
     """
     keyed = lambda df, end: df.where(F.col(path).isNotNull()).select(group, ident, path_key(F.col(path)).alias("start")).withColumn("end", end)
-    return overlap_pairs(keyed(items, F.concat("start", F.lit("\U0010ffff"))), keyed(links, F.col("start")), group, ident, "start", "end")
+    return overlap_pairs(keyed(items, F.concat("start", F.lit("\U0010ffff"))), keyed(links, F.col("start")), group, ident, "start", "end", tasks)
 
 
 def _spans(spark, sf, seconds: int) -> DataFrame:
@@ -166,9 +201,10 @@ def folders_above_pages(spark, sf):
     """Pages as folders of their host (their url's steps but for the last) and as links: the folders above each page."""
     steps = F.split(F.regexp_replace(F.regexp_extract("url", r"://[^/?#]*/?([^?#]*)", 1), "/$", ""), "/")
     host = F.regexp_extract("url", r"://([^/?#]*)", 1)
-    pages = T(spark, sf, "pages").where("url IS NOT NULL").select(host.alias("host"), "page_id", steps.alias("path"))
+    table = T(spark, sf, "pages")
+    pages = table.where("url IS NOT NULL").select(host.alias("host"), "page_id", steps.alias("path"))
     folders = pages.withColumn("path", F.slice("path", 1, F.greatest(F.size("path") - 1, F.lit(0))))
-    return ancestors(pages, folders, "host", "page_id", "path")
+    return ancestors(pages, folders, "host", "page_id", "path", tasks_for(table, 1000))
 
 
 QUERIES = {f.__name__: f for f in (covered_clicks, clicks_during_errors, folders_above_pages)}

@@ -73,3 +73,15 @@ def test_empty(spark):
     one = spark.createDataFrame([(1, 1, 0, 5)], KIND)
     assert S.overlap_pairs(none, None, "k", "i", "s", "e").count() == 0 == S.overlap_pairs(one, none, "k", "i", "s", "e").count()
     assert [tuple(r) for r in S.covered_lengths(one, none, "k", "i", "s", "e").collect()] == [(1, 0)]
+
+
+def test_ranges_of_many_pairs_are_tasks_of_their_own(spark, monkeypatch):
+    """Two thirds of the rows have one path, so most pairs are theirs; small ranges stay apart, and batches are small."""
+    monkeypatch.setattr(S, "_BATCH", 7)
+    rows = [(i, "h" if i % 3 else "g", ["a"] if i % 3 else ["a", str(i % 5)]) for i in range(300)]
+    links = spark.createDataFrame(rows, "id long, host string, path array<string>")
+    met = S.ancestors(links, links, "host", "id", "path", 40)
+    want = sorted((h, j, i) for i, h, p in rows for j, g, q in rows if g == h and p[: len(q)] == q)
+    assert sorted(tuple(r) for r in met.collect()) == want
+    sizes = sorted(r["count"] for r in met.withColumn("task", F.spark_partition_id()).groupBy("task").count().collect())
+    assert len(sizes) >= 10 and sizes[-1] < len(want) / 5
