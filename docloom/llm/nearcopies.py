@@ -5,8 +5,10 @@ those that were nearly even in both. So each text enumerates, in every segment,
 certain bits, and texts that share such a segment value meet. What meets is checked by the complete distance of the
 fingerprints and then by the exact similarity of the shingle sets.
 
-In a bucket a text is not paired with all others, but with its first member; near texts form clusters. The members of a
-bucket in different clusters are compared inside tasks, so that every near pair that shares a bucket ends in one cluster.
+In a bucket a text is not paired with all others, but with its first member; near texts form clusters. A text first meets
+the FIRSTS likeliest of the first members in its buckets, and the others only where that left the two in different clusters.
+The members of a bucket in different clusters are compared inside tasks, so that every near pair that shares a bucket ends
+in one cluster.
 A cluster that holds several components of similar texts is dealt to blocks: fingerprints and shingle sets of each two
 blocks meet in a task, and only links between components leave it, so no pair is written and no link is lost to the size of
 a bucket or cluster.
@@ -32,6 +34,8 @@ _STEP = 4096
 #: Orders in which a bucket's members stand, one by its segment: few, so a text of a large group meets few first members in
 #: all its buckets, and several, so no text is first everywhere.
 ORDERS = 8
+#: First members that a text meets at once, those of the nearest first word; of a large group most need no more.
+FIRSTS = 8
 #: Texts whose segment values are made at a time.
 _ROWS = 4096
 #: Members of a bucket that are compared with as many others in one task.
@@ -87,8 +91,8 @@ def _sign(shingle: int, width: int, unsure: int):
 
 def _buckets(width: int, unsure: int, later: bool):
     """Segment values of batches of (node, bits, low, n). A batch sends on one node a value, with the first word of its
-    fingerprint, its size and how many it has there (not later), and pairs the others with that one and says whether they
-    may be near (later)."""
+    fingerprint, its size and how many it has there (not later), and pairs the others with that one and says how far their
+    first words are, if they may be near (later)."""
     m = BITS // width
 
     weights = 1 << np.arange(width, dtype=np.int64)
@@ -117,10 +121,19 @@ def _buckets(width: int, unsure: int, later: bool):
             at = np.flatnonzero(~new)
             x, y = row[at], row[start[np.cumsum(new)[at] - 1]]
             near = np.minimum(sizes[x], sizes[y]) >= LEAST * np.maximum(sizes[x], sizes[y]) - 1e-9
-            near &= np.bitwise_count((words[x, 0] ^ words[y, 0]).view(np.uint64)) <= MOST_LEAD
-            yield pa.RecordBatch.from_arrays([pa.array(keys[at]), pa.array(node[x]), pa.array(node[y]), pa.array(near)], names=["bucket", "node", "first", "near"])
+            lead = np.bitwise_count((words[x, 0] ^ words[y, 0]).view(np.uint64)).astype(np.int32)
+            near &= lead <= MOST_LEAD
+            yield pa.RecordBatch.from_arrays([pa.array(keys[at]), pa.array(node[x]), pa.array(node[y]), pa.array(lead, mask=~near)], names=["bucket", "node", "first", "lead"])
 
-    return run, "bucket long, node long, first long, near boolean" if later else "bucket long, node long, k int, w long, n int"
+    return run, "bucket long, node long, first long, lead int" if later else "bucket long, node long, k int, w long, n int"
+
+
+def _candidates(met: DataFrame) -> DataFrame:
+    """The distinct pairs (src, dst) of met (node, first, lead), with nth: the place of one end among those that the other
+    meets, the nearest first word first. A node has at most one row a segment value here, whatever the buckets hold."""
+    nth = F.row_number().over(Window.partitionBy("node").orderBy("lead", F.xxhash64("first")))
+    placed = met.where("lead IS NOT NULL and node <> first").distinct().select("node", "first", nth.alias("nth"))
+    return placed.groupBy(F.least("node", "first").alias("src"), F.greatest("node", "first").alias("dst")).agg(F.min("nth").alias("nth"))
 
 
 def _ordered(pairs: DataFrame, a: str, b: str) -> DataFrame:
@@ -128,13 +141,9 @@ def _ordered(pairs: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def _close(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The distinct pairs whose sizes allow the similarity and whose complete fingerprints are near, with the distance."""
-    lead = nodes.select("node", "n", F.element_at("bits", 1).alias("w"))
-    ends = lambda t, x: t.withColumnsRenamed({c: f"{x}_{c}" for c in t.columns if c != "node"}).withColumnRenamed("node", x)
-    near = F.bit_count(F.col("src_w").bitwiseXOR(F.col("dst_w"))) <= MOST_LEAD
-    sizes = F.least("src_n", "dst_n") >= LEAST * F.greatest("src_n", "dst_n") - 1e-9
-    some = pairs.distinct().join(ends(lead, "src"), "src").join(ends(lead, "dst"), "dst").where(near & sizes).select("src", "dst")
-    both = some.join(ends(nodes.select("node", "bits"), "src"), "src").join(ends(nodes.select("node", "bits"), "dst"), "dst")
+    """Of distinct pairs those whose complete fingerprints are near, with the distance."""
+    ends = lambda x: nodes.select(F.col("node").alias(x), F.col("bits").alias(f"{x}_bits"))
+    both = pairs.join(ends("src"), "src").join(ends("dst"), "dst")
     far = F.aggregate(F.zip_with("src_bits", "dst_bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     return both.select("src", "dst", far.alias("far")).where(F.col("far") <= MOST_BITS)
 
@@ -286,11 +295,12 @@ def linked(nodes: DataFrame, sets_of, width: int, unsure: int) -> DataFrame:
     one = F.first(F.struct("node", "w", "n")).over(w)
     seen = sent.select("bucket", "node", "w", "n", one.alias("one"), F.sum("k").over(w).alias("k"))
     # most chance meetings end here, before any join
-    may = (F.bit_count(F.col("w").bitwiseXOR(F.col("one.w"))) <= MOST_LEAD) & (F.least("n", "one.n") >= LEAST * F.greatest("n", "one.n") - 1e-9)
-    met = materialize(seen.select("bucket", "node", F.col("one.node").alias("first"), "k", may.alias("near")).where("node <> first or k > 2"))
+    lead = F.bit_count(F.col("w").bitwiseXOR(F.col("one.w"))).cast("int")
+    may = (lead <= MOST_LEAD) & (F.least("n", "one.n") >= LEAST * F.greatest("n", "one.n") - 1e-9)
+    met = materialize(seen.select("bucket", "node", F.col("one.node").alias("first"), "k", F.when(may, lead).alias("lead")).where("node <> first or k > 2"))
     held = materialize(given.mapInArrow(*_buckets(width, unsure, True)))
-    both = met.where("near").select("node", "first").union(held.where("near").select("node", "first"))
-    close = materialize(_close(_ordered(both, "node", "first"), nodes))
+    pairs = materialize(_candidates(met.select("node", "first", "lead").union(held.select("node", "first", "lead"))))
+    close = materialize(_close(pairs.where(F.col("nth") <= FIRSTS).select("src", "dst"), nodes))
     # first each text's nearest one; what that joins needs no further comparison
     ends = close.select(F.col("src").alias("x"), F.col("dst").alias("y"), "far").union(close.select("dst", "src", "far"))
     best = ends.groupBy("x").agg(F.min(F.struct("far", "y")).alias("b"))
@@ -303,6 +313,9 @@ def linked(nodes: DataFrame, sets_of, width: int, unsure: int) -> DataFrame:
         comp = materialize(components(as_links(comp).union(more)))
     # texts that are near, if not similar, are in one cluster: buckets of more than two may still hold near pairs of several
     near = materialize(components(as_links(comp).union(close.select("src", "dst"))))
+    later = materialize(_apart(pairs.where(F.col("nth") > FIRSTS).select("src", "dst"), near))
+    if not later.isEmpty() and not (met_later := materialize(_close(later, nodes).select("src", "dst"))).isEmpty():
+        near = materialize(components(as_links(near).union(met_later)))
     large = met.where("k > 2").select("bucket").distinct()
     members = met.select("bucket", "node").union(met.select("bucket", "first")).union(held.select("bucket", "node")).union(held.select("bucket", "first"))
     members = members.join(large, "bucket", "left_semi").distinct().join(near, "node", "left").withColumn("component", F.coalesce("component", "node"))

@@ -173,3 +173,15 @@ def test_clusters_in_blocks_against_all_pairs(spark):
         assert all(like(i, j) for i, j in links) and groups(links) == want
     whole = J._shared(sets[:20], sets[20:])
     assert (whole == [[len(np.intersect1d(x, y)) for y in sets[20:]] for x in sets[:20]]).all()
+
+
+def test_a_large_group_meets_few_at_once(spark, monkeypatch):
+    """In a group of near copies complete fingerprints are compared for few pairs a text; how many come first changes nothing."""
+    rows = list(edited(random.Random(11), 400, 1))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want, met, close = brute(rows), [], J._close
+    monkeypatch.setattr(J, "_close", lambda pairs, nodes: met.append(pairs.distinct().count()) or close(pairs, nodes))
+    assert {r.doc_id: r.component_id for r in J.near_copies(df).collect()} == want
+    assert 0 < sum(met) <= 12 * len(rows)
+    monkeypatch.setattr(J, "FIRSTS", 1)
+    assert {r.doc_id: r.component_id for r in J.near_copies(df).collect()} == want and len(met) > 2
