@@ -57,7 +57,7 @@ def write_pages(pages: DataFrame, folder: str, generation: str) -> DataFrame:
     """Writes pages (run, page, raw), a file each, of a new generation, without a manifest; gives (run, page, sha256,
     complete) as read back from the bytes."""
     spark = pages.sparkSession
-    files = pages.select(F.lit(generation).alias("generation"), "run", "page", "raw").repartition("run", "page")
+    files = pages.select(F.lit(generation).alias("generation"), "run", "page", "raw").repartitionByRange("run", "page")  # a run in one task or a few, so its folder is moved as a whole
     files.write.partitionBy("generation", "run", "page").mode("append").text(f"{folder}/pages")
     back = _page_files(spark, folder).where(F.col("generation") == generation)
     return materialize(back.select("run", "page", "sha256", F.from_json("raw", PAGE)["complete"].alias("complete")))

@@ -160,3 +160,15 @@ def test_two_writers(spark, folder, monkeypatch):
 def test_nothing_there(spark, tmp_path):
     pages, issues = R.proved_pages(spark, f"{tmp_path}/none")
     assert pages.isEmpty() and issues.isEmpty() and R.drop_old_generations(spark, f"{tmp_path}/none") == 0
+
+
+def test_a_run_is_written_by_few_tasks(spark, tmp_path):
+    """Tasks take ranges of pages, so of runs and tasks only as many meet as ranges have ends."""
+    pages = spark.range(80).selectExpr("concat('r', id % 4) AS run", "CAST(id div 4 + 1 AS INT) AS page", "'{\"complete\":true}' AS raw")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert R.write_pages(pages, f"{tmp_path}/r", "g").count() == 80
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    met = {(p.parent.parent.name, p.name.split("-")[1]) for p in (tmp_path / "r").rglob("part-*")}
+    assert len(met) <= 4 + 8 - 1
