@@ -26,7 +26,8 @@ MARGIN = 0.15
 BUCKETS = 1 << 15
 _ORDERS = (1, 2, 3, 4)
 _BLOCK = 32
-_GROUP_WORDS = 150_000
+#: Words that are labelled together, and rows of a batch that a task sends on.
+_GROUP_WORDS, _ROWS = 25_000, 1024
 
 
 def plain(word: bytes) -> bytes:
@@ -260,7 +261,7 @@ def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def run(batches):
         by = Labeller(*model)
-        for b in batches:
+        for b in (b.slice(i, _ROWS) for b in batches for i in range(0, b.num_rows, _ROWS)):
             lang, score, switches = zip(*found) if (found := by.column(b.column(1))) else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(switches, pa.int64())], names=["doc_id", "held_out", "lang_pred", "score", "switches"])
 
@@ -281,7 +282,7 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def run(batches):
         by = Labeller(*model)
-        for b in batches:
+        for b in (b.slice(i, _ROWS) for b in batches for i in range(0, b.num_rows, _ROWS)):
             found = by.column(b.column(at).cast(pa.binary()))
             yield b.filter(pa.array([lang != UNKNOWN and score >= min_score for lang, score, _ in found], pa.bool_()))
 

@@ -36,8 +36,10 @@ _STEP = 4096
 ORDERS = 8
 #: First members that a text meets at once, those of the nearest first word; of a large group most need no more.
 FIRSTS = 8
-#: Texts whose segment values are made at a time.
-_ROWS = 4096
+#: Texts whose segment values are made at a time; segment values of a batch that a task sends on.
+_ROWS, _SENT = 4096, 1 << 16
+#: Segment values that a task sorts, about, and how many times the session's shuffle partitions they are dealt to at most.
+_SORTED, _MORE = 250_000, 4
 #: Members of a bucket that are compared with as many others in one task.
 BLOCK = 1024
 _MULTIPLY = np.random.default_rng(20).integers(0, 1 << 63, BITS // 64, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -115,19 +117,29 @@ def _buckets(width: int, unsure: int, later: bool):
             new = np.concatenate([[True], keys[1:] != keys[:-1]])
             start = np.flatnonzero(new)
             if not later:
-                count, one = np.diff(np.append(start, len(keys))), row[start]
-                yield pa.RecordBatch.from_arrays([pa.array(keys[start]), pa.array(node[one]), pa.array(count.astype(np.int32)), pa.array(words[one, 0]), pa.array(sizes[one])], names=["bucket", "node", "k", "w", "n"])
+                count = np.diff(np.append(start, len(keys))).astype(np.int32)
+                for i in range(0, len(start), _SENT):
+                    part = start[i : i + _SENT]
+                    one = row[part]
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[part]), pa.array(node[one]), pa.array(count[i : i + _SENT]), pa.array(words[one, 0]), pa.array(sizes[one])], names=["bucket", "node", "k", "w", "n"])
                 continue
-            at = np.flatnonzero(~new)
-            x, y = row[at], row[start[np.cumsum(new)[at] - 1]]
-            near = np.minimum(sizes[x], sizes[y]) >= LEAST * np.maximum(sizes[x], sizes[y]) - 1e-9
-            lead = np.bitwise_count((words[x, 0] ^ words[y, 0]).view(np.uint64)).astype(np.int32)
-            near &= lead <= MOST_LEAD
-            yield pa.RecordBatch.from_arrays([pa.array(keys[at]), pa.array(node[x]), pa.array(node[y]), pa.array(lead, mask=~near)], names=["bucket", "node", "first", "lead"])
+            held, head = np.flatnonzero(~new), np.cumsum(new) - 1
+            for i in range(0, len(held), _SENT):
+                at = held[i : i + _SENT]
+                x, y = row[at], row[start[head[at]]]
+                near = np.minimum(sizes[x], sizes[y]) >= LEAST * np.maximum(sizes[x], sizes[y]) - 1e-9
+                lead = np.bitwise_count((words[x, 0] ^ words[y, 0]).view(np.uint64)).astype(np.int32)
+                near &= lead <= MOST_LEAD
+                yield pa.RecordBatch.from_arrays([pa.array(keys[at]), pa.array(node[x]), pa.array(node[y]), pa.array(lead, mask=~near)], names=["bucket", "node", "first", "lead"])
 
     return run, "bucket long, node long, first long, lead int" if later else "bucket long, node long, k int, w long, n int"
 
 
+def _partitions(rows: int, usual: int) -> int:
+    """Partitions for so many segment values: their sort is the largest of this step, so it gets more than usual."""
+    return max(usual, min(_MORE * usual, -(-rows // _SORTED)))
+
+
 def _candidates(met: DataFrame) -> DataFrame:
     """The distinct pairs (src, dst) of met (node, first, lead), with nth: the place of one end among those that the other
     meets, the nearest first word first. A node has at most one row a segment value here, whatever the buckets hold."""
@@ -290,7 +302,10 @@ def linked(nodes: DataFrame, sets_of, width: int, unsure: int) -> DataFrame:
     sets_of(pairs) gives the shingle sets of the pairs' ends.
     """
     given = nodes.select("node", "bits", "low", "n")
-    sent = given.mapInArrow(*_buckets(width, unsure, False)).repartition("bucket").withColumn("o", F.xxhash64("node", F.pmod(F.shiftright("bucket", width), F.lit(ORDERS))))
+    usual = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = _partitions(nodes.count() * (BITS // width << unsure), usual)
+    sent = given.mapInArrow(*_buckets(width, unsure, False))
+    sent = (sent.repartition(dealt, "bucket") if dealt > usual else sent.repartition("bucket")).withColumn("o", F.xxhash64("node", F.pmod(F.shiftright("bucket", width), F.lit(ORDERS))))
     w = Window.partitionBy("bucket").orderBy("o").rowsBetween(Window.unboundedPreceding, 0)
     one = F.first(F.struct("node", "w", "n")).over(w)
     seen = sent.select("bucket", "node", "w", "n", one.alias("one"), F.sum("k").over(w).alias("k"))

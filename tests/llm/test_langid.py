@@ -2,6 +2,7 @@ import itertools
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from docloom.llm import langid as L
@@ -94,3 +95,20 @@ def test_code_switched_text(spark):
     assert L.identify_languages(df.limit(0)).count() == 0
     assert {r.lang_pred for r in L.identify_languages(df.selectExpr("doc_id", "text", "cast(null AS string) AS lang")).collect()} == {"und"}
     assert L.keep_identified(df).where("doc_id in (501, 502, 503)").count() == 0
+
+
+def test_texts_are_labelled_and_sent_on_in_small_parts(monkeypatch):
+    words = []
+    monkeypatch.setattr(L, "fit", lambda *a: (None, (["a", "b"], np.ones((L.BUCKETS, 2), np.float32) * [9, 0], np.zeros((2, 2)))))
+    monkeypatch.setattr(L, "forward_backward", lambda scores, sizes, trans, f=L.forward_backward: (words.append(len(scores)), f(scores, sizes, trans))[1])
+
+    class Docs:
+        columns, schema = ["text"], None
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    texts = ["word " * 100] * 2500 + ["1 2"]
+    got = list(L.keep_identified(Docs())([pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])]))
+    assert [b.num_rows for b in got] == [1024, 1024, 452] and sum(words) == 250_000
+    assert max(words) <= L._GROUP_WORDS + 100 < 30_000

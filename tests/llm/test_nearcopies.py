@@ -2,6 +2,7 @@ import random
 
 import corpus_pipeline as P
 import numpy as np
+import pyarrow as pa
 import pytest
 from docloom.llm import common, nearcopies as J, simhash
 from docloom.operators import graph
@@ -185,3 +186,23 @@ def test_a_large_group_meets_few_at_once(spark, monkeypatch):
     assert 0 < sum(met) <= 12 * len(rows)
     monkeypatch.setattr(J, "FIRSTS", 1)
     assert {r.doc_id: r.component_id for r in J.near_copies(df).collect()} == want and len(met) > 2
+
+
+@pytest.mark.parametrize("later", [False, True])
+def test_segment_values_are_sent_in_small_batches(monkeypatch, later):
+    rng = np.random.default_rng(5)
+    found = [rng.integers(0, 1 << 62, 40, dtype=np.uint64) for _ in range(30)] * 2
+    sketches = [J.sketch(x) for x in found]
+    low = [np.argsort(m[:960].reshape(40, 24), 1, kind="stable")[:, :2].astype(np.uint8).tobytes() for _, m in sketches]
+    given = pa.RecordBatch.from_arrays([pa.array(range(60), pa.int64()), pa.array([w for w, _ in sketches], pa.list_(pa.int64())), pa.array(low), pa.array([40] * 60, pa.int32())], names=["node", "bits", "low", "n"])
+    run, _ = J._buckets(24, 2, later)
+    whole = pa.Table.from_batches(run([given]))
+    monkeypatch.setattr(J, "_SENT", 500)
+    parts = list(run([given]))
+    assert max(b.num_rows for b in parts) == 500 and pa.Table.from_batches(parts).combine_chunks() == whole.combine_chunks()
+    assert len(whole) == 4800 and whole.num_rows > 500  # two equal texts have each of 30 * 160 values
+
+
+def test_partitions_of_segment_values():
+    assert J._partitions(0, 12) == 12 and J._partitions(6_000_000, 12) == 24  # 500,000 a task before
+    assert J._partitions(10**9, 12) == 48 and J._partitions(10**6, 211) == 211
