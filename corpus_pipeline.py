@@ -10,7 +10,7 @@ from docloom.llm.decontaminate import drop_leaks
 from docloom.llm.nearcopies import keep_one_of_each
 from docloom.llm.langid import keep_identified
 from docloom.llm.mixing import keep_taken
-from docloom.llm.surrogates import replace_entities
+from docloom.llm.surrogates import key_of_run, replace_entities
 from docloom.sources.written import only_kept
 
 
@@ -32,7 +32,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data gets surrogates; n_chars follows the text."""
-    return replace_entities(docs).withColumn("n_chars", F.when(F.col("n_entities") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+    return replace_entities(docs, key=key_of_run(spark)).withColumn("n_chars", F.when(F.col("n_entities") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,7 +3,9 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from docloom.llm import surrogates as S
+from docloom.sources import written
 
 
 def run(spark, rows):
@@ -143,3 +145,31 @@ def test_against_a_plain_search(spark, sf):
         for (a, b), new in zip(spans, whole.groups()):
             assert seen.setdefault(r.text[a:b], new) == new and new != r.text[a:b]
     assert len(set(seen.values())) == len(seen) > 0
+
+
+def test_values_that_have_no_other_of_their_form(spark):
+    """Signs alone, and numbers that are all taken, get longer surrogates in the end."""
+    n, out = run(spark, [(1, "password: ------------ and more")])[1]
+    assert n == 1 and re.fullmatch(r"password: -{12}[a-p]{4} and more", out)
+    found = spark.createDataFrame([("phone", f"+123{d}") for d in range(10)], "kind string, value string")
+    late = S.retries(found, "k")
+    assert late.count() == 10
+    made = {r.m for r in late.select(S.surrogate(F.col("kind"), F.col("value"), F.col("attempt"), "k").alias("m")).collect()}
+    assert len(made) == 10 and all(re.fullmatch(r"\+123\d\d", m) for m in made)
+
+
+def test_a_domain_of_very_many_labels(spark):
+    mail = "a@" + "b." * 20_000 + "org"
+    n, out = run(spark, [(1, f"mail {mail} now")])[1]
+    assert n == 1 and out.startswith("mail ") and out.endswith(".org now") and len(out) == len(mail) + 9 and mail not in out
+
+
+def test_queries_on_a_cluster_without_a_key(spark, sf, tmp_path, monkeypatch):
+    """They take a key that is drawn for the application, and it is the same in all of them."""
+    want = S.op5_surrogates(spark, sf).where("n_entities > 0").count()
+    monkeypatch.setattr(written, "shared_dir", lambda _: str(tmp_path))
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+    got = [{r.doc_id: r.text for r in S.op5_surrogates(spark, sf).where("n_entities > 0").collect()} for _ in range(2)]
+    assert S.key_of_run(spark) not in ("", S.DEMO_KEY) and got[0] == got[1] and len(got[0]) == want > 0
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    assert {r.doc_id: r.text for r in corpus_pipeline.private_data(spark, docs, sf).collect() if r.doc_id in got[0]} == got[0]
