@@ -206,15 +206,25 @@ def _compare(group: pa.Table) -> pa.Table:
     return pa.table({"src": np.minimum(p, q), "dst": np.maximum(p, q)})
 
 
+def _members_apart(met: DataFrame, held: DataFrame, comp: DataFrame) -> DataFrame:
+    """(bucket, node, component): the members of the buckets of more than two that hold several components. A bucket's rows
+    meet in one place and are counted there, so no list of buckets is joined to them; a node without a component is its own."""
+    rows = met.select("bucket", "node").union(met.select("bucket", "first")).union(held.select("bucket", "node")).union(held.select("bucket", "first"))
+    w = Window.partitionBy("bucket")
+    large = rows.repartition("bucket").distinct().withColumn("k", F.count("*").over(w)).where("k > 2").select("bucket", "node")
+    own = large.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    return own.withColumns({"a": F.min("component").over(w), "b": F.max("component").over(w)}).where("a < b").select("bucket", "node", "component")
+
+
 def _meet_in_blocks(members: DataFrame, nodes: DataFrame, block: int = BLOCK) -> DataFrame:
     """The near pairs (src, dst) of different components in each bucket of members (bucket, node, component).
 
     A bucket is dealt to blocks, and each two blocks of it meet in a task of their own, so a task holds about 2 * block
     rows whatever the bucket holds; only near pairs leave it.
     """
-    sizes = members.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    sized = members.withColumn("blocks", F.ceil(F.count("*").over(Window.partitionBy("bucket")) / block).cast("int"))
     own = F.pmod(F.xxhash64("node", "bucket"), F.col("blocks")).cast("int").alias("own")
-    dealt = members.join(sizes, "bucket").select("bucket", "node", "component", "blocks", own).join(nodes.select("node", "bits", "n"), "node")
+    dealt = sized.select("bucket", "node", "component", "blocks", own).join(nodes.select("node", "bits", "n"), "node")
     sent = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     # side -1 and 1 are the two blocks; 0 meets itself
     sent = sent.select("bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), F.signum(F.col("own") - F.col("other")).cast("int").alias("side"), "node", "component", "n", "bits")
@@ -331,12 +341,8 @@ def linked(nodes: DataFrame, sets_of, width: int, unsure: int) -> DataFrame:
     later = materialize(_apart(pairs.where(F.col("nth") > FIRSTS).select("src", "dst"), near))
     if not later.isEmpty() and not (met_later := materialize(_close(later, nodes).select("src", "dst"))).isEmpty():
         near = materialize(components(as_links(near).union(met_later)))
-    large = met.where("k > 2").select("bucket").distinct()
-    members = met.select("bucket", "node").union(met.select("bucket", "first")).union(held.select("bucket", "node")).union(held.select("bucket", "first"))
-    members = members.join(large, "bucket", "left_semi").distinct().join(near, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    members = materialize(members)
-    split = materialize(members.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("bucket"))
-    if not split.isEmpty() and not (late := materialize(_meet_in_blocks(members.join(split, "bucket", "left_semi"), nodes))).isEmpty():
+    members = materialize(_members_apart(met, held, near))
+    if not members.isEmpty() and not (late := materialize(_meet_in_blocks(members, nodes))).isEmpty():
         near = materialize(components(as_links(near).union(late)))
     # every near pair of a bucket now lies in one cluster; the similar ones of those with several components are found there
     placed = near.withColumnRenamed("component", "cluster").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,16 +32,34 @@ def spread_join(big: DataFrame, small: DataFrame, key: str, rows: str, total: in
     return big.join(hot, key).unionByName(big.join(hot.select(key), key, "left_anti").join(cool, key))
 
 
-#: A hub of the graph with more links than this is not left to one task.
+#: A hub of the graph with more links than this is not left to one task; a whole graph of no more is.
 HUB_LINKS = 50_000
 
 
+def _least_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, component) of links (src, dst) that all are in these batches."""
+    root: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = x = root[up]
+        return x
+
+    for b in batches:
+        for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            p, q = top(x), top(y)
+            if p != q:
+                root[max(p, q)] = min(p, q)
+    nodes = list(root)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(map(top, nodes), pa.int64())], names=["node", "component"])
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of (src, dst), both long: rows (node, component = smallest node).
 
     Alternates large-star and small-star steps, each a map-side combined minimum and a spread join, so a node of very
-    many links is never gathered. Every round is written to the shared folder. No edges: no rows. Self loops and
-    repeated links do no harm.
+    many links is never gathered. Every round is written to the shared folder. A graph of HUB_LINKS links at most takes no
+    rounds, but one task. No edges: no rows. Self loops and repeated links do no harm.
     """
     cur = materialize(edges.where("src <> dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct())
 
@@ -46,6 +67,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         return df.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(20,0)"))).first()
 
     seen = stats(cur)
+    if seen[0] <= HUB_LINKS:
+        return cur.coalesce(1).mapInArrow(_least_of_each, "node long, component long")
     for _ in range(max_rounds):
         if not seen[0]:
             break

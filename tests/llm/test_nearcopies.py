@@ -1,4 +1,5 @@
 import random
+import re
 
 import corpus_pipeline as P
 import numpy as np
@@ -144,6 +145,36 @@ def test_blocks_of_a_bucket_against_all_pairs(spark):
     assert J._meet_in_blocks(given.limit(0), nodes).isEmpty()
 
 
+def test_members_apart_against_plain_counting(spark, monkeypatch):
+    """The members of buckets of more than two with several components, made without a join by bucket."""
+    rng = random.Random(8)
+    rows = lambda n, names: [tuple(rng.randrange(k) for _, k in names) for _ in range(n)]
+    names = [("bucket", 40), ("node", 30), ("first", 30)]
+    met, held = rows(40, names), rows(30, names)
+    comp = {i: i % 3 for i in range(0, 30, 2)}
+    buckets = {}
+    for b, x, y in met + held:
+        buckets.setdefault(b, set()).update((x, y))
+    want = sorted((b, i, comp.get(i, i)) for b, m in buckets.items() if len(m) > 2 and len({comp.get(i, i) for i in m}) > 1 for i in m)
+    make = lambda x: spark.createDataFrame(x, "bucket long, node long, first long")
+    out = J._members_apart(make(met), make(held), spark.createDataFrame(list(comp.items()), "node long, component long"))
+    assert sorted(map(tuple, out.collect())) == want and 0 < len(want) < len(buckets) * 30
+    assert not re.search(r"Join \[bucket", out._jdf.queryExecution().simpleString()) and "Join" in out._jdf.queryExecution().simpleString()
+
+
+def test_a_small_graph_takes_no_rounds(spark, monkeypatch):
+    """It is written once, and the rounds of a larger one give the same."""
+    rng = random.Random(2)
+    edges = spark.createDataFrame([(rng.randrange(200), rng.randrange(200)) for _ in range(150)], "src long, dst long")
+    written = []
+    monkeypatch.setattr(graph, "materialize", lambda df: written.append(1) or common.materialize(df))
+    got = sorted(map(tuple, graph.components(edges).collect()))
+    assert len(written) == 1
+    monkeypatch.setattr(graph, "HUB_LINKS", 100)
+    assert sorted(map(tuple, graph.components(edges).collect())) == got and len(written) > 3 and len(got) > 100
+    assert graph.components(edges.limit(0)).isEmpty()
+
+
 def test_clusters_in_blocks_against_all_pairs(spark):
     """Texts that are all near, some similar: block sizes don't change what is joined, and links are few."""
     rng = random.Random(9)
