@@ -108,7 +108,8 @@ def links(nodes: DataFrame, max_bits: int = 4, hot_bucket: int = HOT_BUCKET) ->
         cool, full = probes, entries
     else:
         cool, full = probes.join(hot, ["seg", "key"], "left_anti"), entries.join(hot, ["seg", "key"], "left_anti")
-    a, b = full.alias("a"), cool.alias("b")
+    # probes are many times the rows that Spark sizes them by, those before the explode, so this is a merge join at every size
+    a, b = full.alias("a"), cool.hint("merge").alias("b")
     pairs = a.join(b, (F.col("a.seg") == F.col("b.seg")) & (F.col("a.key") == F.col("b.key")) & near & (~F.col("same") | (F.col("fp") < F.col("other")))).select(F.col("fp").alias("src"), F.col("other").alias("dst"))
     if hot.isEmpty():
         return pairs.distinct()
@@ -131,7 +132,7 @@ def midpoint_links(members: DataFrame, max_bits: int) -> DataFrame:
     ball = F.transform(masks, lambda x: F.struct(F.col("fp").bitwiseXOR(x["flip"]).alias("point"), F.coalesce(x["inner"], F.lit(False)).alias("inner")))
     points = members.select("fp", F.explode(ball).alias("p")).select("fp", "p.point", "p.inner")
     least = points.groupBy("point").agg(F.min(F.when(F.col("inner"), F.col("fp"))).alias("least"), F.min("fp").alias("first"), F.max("fp").alias("last")).where("least is not null and first <> last").select("point", "least")
-    return points.join(least, "point").where("fp <> least").select(F.col("fp").alias("src"), F.col("least").alias("dst")).distinct()
+    return points.join(least.hint("merge"), "point").where("fp <> least").select(F.col("fp").alias("src"), F.col("least").alias("dst")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = 4) -> DataFrame:

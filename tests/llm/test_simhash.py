@@ -102,3 +102,15 @@ def test_whole_table_against_brute_force(spark, sf):
             break
         label = new
     assert got == {i: (f"{int(f) & (1 << 64) - 1:016x}", int(c)) for (i, f), c in zip(fps, label)}
+
+
+@pytest.mark.parametrize("hot", [512, 3])
+def test_exploded_rows_are_not_sent_to_all_tasks(spark, hot):
+    """Spark sizes them as the fingerprints before the explode, so no join of them is left to that size."""
+    rng = random.Random(4)
+    fps = [rng.getrandbits(62) ^ (1 << 63 >> rng.randrange(3)) - (1 << 62) for _ in range(50)]
+    fps += [fps[0] ^ 1 << i for i in range(20)]
+    nodes = spark.createDataFrame([(x,) for x in {*fps}], "fp long")
+    plan = S.links(nodes, 4, hot)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [x for x in plan.split("\n") if "Join Inner" in x]
+    assert len(joins) == (1 if hot == 512 else 2) and all("strategy=merge" in x for x in joins)
